@@ -1,0 +1,6 @@
+"""Queries over the proxy views and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
