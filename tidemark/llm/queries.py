@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import media, packing, repair
+from . import media, mixing, packing, quality, repair, secrets, sharding, urls
 
 QUERIES = {
+    "op3_sharding": sharding.op3_sharding,
+    "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
+    "op6_secrets": secrets.op6_secrets,
+    "op7_quality": quality.op7_quality,
     "op8_packing": packing.op8_packing,
     "op9_token_ids": repair.op9_token_ids,
+    "op10_url_filters": urls.op10_url_filters,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.oracle_sql(), "op10_url_filters": urls.oracle_sql()}
