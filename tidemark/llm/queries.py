@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, repair, secrets, sharding, urls
+from . import media, mixing, packing, quality, repair, secrets, sharding, substrings, urls
 
 QUERIES = {
+    "op2_substrings": substrings.op2_substrings,
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
     "op5_media": media.op5_media,
