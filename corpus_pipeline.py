@@ -2,17 +2,43 @@
 
 from __future__ import annotations
 
+from tidemark.llm import jaccard, mixing, packing, quality, secrets
 from tidemark.llm.common import documents, materialize
+from tidemark.llm.tokens import default_vocabulary
 
-STAGES: list = []
-#: Near-duplicate groups, recursive decoding and retrieval packing have no SQL form.
+
+def keep_good(spark, docs, sf_dir):
+    """Rejected documents go, and lines that too many documents of a host share."""
+    return quality.keep_good(docs)
+
+
+def one_of_each_group(spark, docs, sf_dir):
+    """Of documents linked by word shingles the one with the least id stays."""
+    return jaccard.one_of_each(docs)
+
+
+def mask_secrets(spark, docs, sf_dir):
+    """Secrets are masked in the text, also those inside encoded parts."""
+    return secrets.mask_secrets(docs)
+
+
+def sample_mix(spark, docs, sf_dir):
+    """Documents are sampled towards the target weights of source, language and topic."""
+    return mixing.mix(docs).filter("mix_sampled").select(*docs.columns)
+
+
+def pack(spark, docs, sf_dir):
+    """Pieces of token sequences filled by lexical neighbours."""
+    return packing.pack_documents(docs, default_vocabulary())
+
+
+STAGES = [("quality", keep_good), ("near_duplicates", one_of_each_group), ("secrets", mask_secrets), ("mixing", sample_mix), ("packing", pack)]
+#: Near-duplicate components, recursive decoding and retrieval packing have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

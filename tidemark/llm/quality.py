@@ -61,8 +61,8 @@ def _lines(text: str) -> dict[int, int]:
     return out
 
 
-def judge(docs: DataFrame, most_docs: int = 200, least_left: float = 0.3, least_words: int = 50) -> DataFrame:
-    """The documents, their measures, ``boilerplate_words`` and ``kept``."""
+def judge(docs: DataFrame, most_docs: int = 200, least_left: float = 0.3, least_words: int = 50, carry: bool = False) -> DataFrame:
+    """doc_id, host, the measures, ``boilerplate_words`` and ``kept``; with ``carry`` also ``doc``, the row, and ``boilerplate``, its lines' hashes."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(rows):
@@ -71,16 +71,17 @@ def judge(docs: DataFrame, most_docs: int = 200, least_left: float = 0.3, least_
             made = list(zip(*map(measures, texts), strict=True)) or [[]] * 5
             lines = [_lines(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in made), pa.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64()), pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int64()))],
-                names=["doc_id", "host", *names, "content", "line", "words"],
+                [b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in made), pa.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t in texts], pa.int64()), pa.array([list(x) for x in lines], pa.list_(pa.int64())), pa.array([list(x.values()) for x in lines], pa.list_(pa.int64())), *b.columns[3:]],
+                names=["doc_id", "host", *names, "content", "line", "words"] + ["doc"] * carry,
             )
 
-    base = docs.select(docs["doc_id"].cast("long"), docs["source"].alias("host"), docs["text"])
-    held = materialize(base.mapInArrow(run, "doc_id long, host string, " + ", ".join(f"{n} long" for n in names) + ", content long, line array<long>, words array<long>").withColumn("row", F.monotonically_increasing_id()), "lines")
+    base = docs.select(docs["doc_id"].cast("long"), docs["source"].alias("host"), docs["text"], *([F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")] if carry else []))
+    schema = "doc_id long, host string, " + ", ".join(f"{n} long" for n in names) + ", content long, line array<long>, words array<long>"
+    held = materialize(base.mapInArrow(run, schema + (f", doc {base.schema['doc'].dataType.simpleString()}" if carry else "")).withColumn("row", F.monotonically_increasing_id()), "lines")
     key = F.xxhash64(F.coalesce("host", F.lit("\0")), "l.line").alias("key")
-    each = held.select("row", "content", "host", F.explode(F.arrays_zip("line", "words")).alias("l")).select("row", "content", key, F.col("l.words").alias("words"))
+    each = held.select("row", "content", "host", F.explode(F.arrays_zip("line", "words")).alias("l")).select("row", "content", key, F.col("l.line").alias("line"), F.col("l.words").alias("words"))
     often = each.groupBy("key", "content").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("docs")).filter(F.col("docs") > most_docs).select("key")
-    lost = each.join(often, "key").groupBy("row").agg(F.sum("words").alias("boilerplate_words"))
+    lost = each.join(often, "key").groupBy("row").agg(F.sum("words").alias("boilerplate_words"), *([F.collect_list("line").alias("boilerplate")] if carry else []))
     out = held.drop("content", "line", "words").join(lost, "row", "left").withColumn("boilerplate_words", F.coalesce("boilerplate_words", F.lit(0)))
     left = F.col("n_words") - F.col("boilerplate_words")
     return (
@@ -90,5 +91,26 @@ def judge(docs: DataFrame, most_docs: int = 200, least_left: float = 0.3, least_
     )
 
 
+def keep_good(docs: DataFrame, **limits) -> DataFrame:
+    """The documents that are kept, without their boilerplate lines; the columns are those of ``docs``."""
+    judged = judge(docs, carry=True, **limits).filter("kept").select("doc.*", F.col("boilerplate").alias("__lines"))
+    at = docs.columns.index("text")
+
+    def run(rows):
+        for b in rows:
+            texts = []
+            for text, lines in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                if lines:
+                    drop = set(lines)
+                    text = "\n".join(x for x in text.split("\n") if drop.isdisjoint(_lines(x)))
+                texts.append(text)
+            kept = [*b.columns[:-1]]
+            kept[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(kept, names=b.schema.names[:-1])
+
+    out = judged.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in docs.columns else out
+
+
 def op7_quality(spark, sf_dir):
     return judge(documents(spark, sf_dir)).drop("host")

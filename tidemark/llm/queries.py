@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, mixing, packing, quality, repair, secrets, sharding, substrings, urls
+from . import jaccard, media, mixing, packing, quality, repair, secrets, sharding, substrings, urls
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_substrings": substrings.op2_substrings,
     "op3_sharding": sharding.op3_sharding,
     "op4_mixing": mixing.op4_mixing,
