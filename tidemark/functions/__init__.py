@@ -1 +1,80 @@
-"""tidemark.functions"""
+"""Column functions: rounding, intervals, option gamma, sample statistics."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def r(x: Column, places: int = 4) -> Column:
+    """Half-even rounding without a negative zero."""
+    return F.bround(x, places) + F.lit(0.0)
+
+
+def sign(bull_when: str) -> float:
+    return 1.0 if bull_when == "high" else -1.0
+
+
+def spread_or_tiny(sd: Column) -> Column:
+    """A standard deviation to divide by: nothing becomes 1e-9."""
+    return F.when(F.coalesce(sd, F.lit(0.0)) == 0, F.lit(1e-9)).otherwise(sd)
+
+
+def ratio(a: Column, b: Column, otherwise: float | None = None) -> Column:
+    return F.when(F.coalesce(b, F.lit(0.0)) != 0, a / b).otherwise(F.lit(otherwise))
+
+
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Wilson's interval for k of n, within [0, 1]; (0, 0) for none. ``k`` may be fractional."""
+    n = F.nullif(n.cast("double"), F.lit(0.0))
+    p = k / n
+    scale = 1 + z * z / n
+    centre = (p + z * z / (2 * n)) / scale
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
+    return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0))
+
+
+def mean_interval(mean: Column, variance: Column, n: Column, n_eff: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """The mean's interval on the effective number; the mean itself for one value."""
+    m = F.when(n_eff > 1, n_eff).otherwise(n)
+    half = F.when(n > 1, z * F.sqrt(variance / m)).otherwise(0.0)
+    return mean - half, mean + half
+
+
+def effective_n(days: Column, horizon: int) -> Column:
+    """Greedy count of the dates of an array that lie ``horizon`` days or more after the last one counted."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("last"))
+    step = lambda s, d: F.when(s["last"].isNull() | (F.datediff(d, s["last"]) >= horizon), F.struct((s["n"] + 1).alias("n"), d.alias("last"))).otherwise(s)
+    return F.aggregate(F.array_sort(days), empty, step, lambda s: s["n"])
+
+
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation as an aggregate; 0 below five pairs or without variance."""
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((F.count(F.when(x.isNotNull() & y.isNotNull(), 1)) >= 5) & (sx > 1e-12) & (sy > 1e-12), F.try_divide(F.covar_pop(x, y), sx * sy)).otherwise(0.0)
+
+
+def option_gamma(spot: Column, strike: Column, years: Column, sigma: Column, rate: Column) -> Column:
+    """Black and Scholes' gamma; 0 where an input is not positive."""
+    good = (spot > 0) & (strike > 0) & (years > 0) & (sigma > 0)
+    s, k, t, v = (F.when(good, c) for c in (spot, strike, years, sigma))
+    d1 = (F.log(s / k) + (rate + 0.5 * v * v) * t) / (v * F.sqrt(t))
+    return F.coalesce(F.exp(-0.5 * d1 * d1) / math.sqrt(2 * math.pi) / (s * v * F.sqrt(t)), F.lit(0.0))
+
+
+def crps(sorted_samples: Column, y: Column, legacy: bool = False) -> Column:
+    """Continuous ranked probability score of a sorted ensemble array.
+
+    ``legacy`` halves the term of the pairwise distance, as older figures did; the score is not proper then.
+    """
+    n = F.size(sorted_samples).cast("double")
+    near = F.aggregate(sorted_samples, F.lit(0.0), lambda a, x: a + F.abs(x - y)) / n
+    pairs = F.aggregate(F.transform(sorted_samples, lambda x, i: (2.0 * (i + 1) - n - 1) * x), F.lit(0.0), lambda a, x: a + x) / (n * n)
+    return near - (0.5 if legacy else 1.0) * pairs
+
+
+def pit(samples: Column, y: Column) -> Column:
+    """Share of samples at or below the outcome."""
+    return F.size(F.filter(samples, lambda x: x <= y)) / F.size(samples)

@@ -1 +1,75 @@
-"""tidemark.operators"""
+"""Operators on keyed series: as-of joins, calendar frames, seasonal baselines.
+
+A series is a DataFrame (key, d DATE, v DOUBLE) with one row per key and day. A probe is (key, as_of).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def asof(left: DataFrame, right: DataFrame, on: str, right_on: str, values: list[str], keys: tuple[str, ...] = ("key",), lag_days: int = 0, max_age_days: int | None = None, prefix: str = "") -> DataFrame:
+    """Backward inclusive as-of join: each left row with the last right row of its keys on or before ``on``.
+
+    A right row is visible ``lag_days`` after its day, and gives nulls when older than ``max_age_days``.
+    One shuffle by key: both sides are interleaved in time and the last right row is carried forward.
+    """
+    row = F.struct(F.col(right_on).alias("_day"), *values)
+    r = right.select(*keys, F.date_add(right_on, lag_days).alias("_t"), row.alias("_r"), F.lit(None).cast(left.schema.simpleString()).alias("_l"))
+    m = left.select(*keys, F.col(on).alias("_t"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), F.struct(*left.columns).alias("_l"))
+    w = Window.partitionBy(*keys).orderBy(F.unix_date("_t")).rangeBetween(Window.unboundedPreceding, 0)
+    out = m.unionByName(r).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).filter(F.col("_l").isNotNull())
+    if max_age_days is not None:
+        out = out.withColumn("_r", F.when(F.datediff("_t", "_r._day") <= max_age_days, F.col("_r")))
+    return out.select("_l.*", *(F.col(f"_r.{v}").alias(prefix + v) for v in values))
+
+
+def spine_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a / b carried forward, on a's days; days without b, or with b = 0, are left out."""
+    return asof(a, b.withColumnRenamed("v", "w"), "d", "d", ["w"]).filter(F.coalesce("w", F.lit(0.0)) != 0).select("key", "d", (F.col("v") / F.col("w")).alias("v"))
+
+
+def spine_spread(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a - b carried forward, on a's days."""
+    return asof(a, b.withColumnRenamed("v", "w"), "d", "d", ["w"]).filter(F.col("w").isNotNull()).select("key", "d", (F.col("v") - F.col("w")).alias("v"))
+
+
+def rows_before(key: str = "key", order: str = "d") -> Window:
+    return Window.partitionBy(key).orderBy(order)
+
+
+def expanding(key: str = "key", order: str = "d"):
+    return rows_before(key, order).rowsBetween(Window.unboundedPreceding, 0)
+
+
+def last_rows(n: int, key: str = "key", order: str = "d"):
+    return rows_before(key, order).rowsBetween(-(n - 1), 0)
+
+
+def look_back(probes: DataFrame, series: DataFrame, days: int) -> DataFrame:
+    """(key, as_of, cur, h): the values in [as_of - days, as_of] and the last of them; the frame ends at the probe."""
+    both = series.select("key", "d", "v", F.lit(False).alias("probe")).unionByName(probes.select("key", F.col("as_of").alias("d"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("probe")))
+    w = Window.partitionBy("key").orderBy(F.unix_date("d")).rangeBetween(-days, 0)
+    day = F.when(F.col("v").isNotNull(), F.struct("d", "v"))
+    return both.withColumn("h", F.collect_list("v").over(w)).withColumn("cur", F.max(day).over(w)["v"]).filter("probe").select("key", F.col("d").alias("as_of"), "cur", "h")
+
+
+def share_at_most(h, cur):
+    """Share of an array at or below a value."""
+    return F.size(F.filter(h, lambda x: x <= cur)) / F.nullif(F.size(h), F.lit(0))
+
+
+def seasonal_baseline(rows: DataFrame, half_width: int, exclude: int) -> DataFrame:
+    """``rows`` (key, d, v) with n_all, and mean, sd, n of the values around the same day of the year.
+
+    Days of the year lie on a circle of 366; of the past, the last ``exclude`` rows are left out. Every row
+    goes to the buckets of the days near it, so that a frame over a bucket replaces a theta join.
+    """
+    w = Window.partitionBy("key").orderBy("d")
+    doy = F.dayofyear("d")
+    near = rows.withColumn("rn", F.row_number().over(w)).select("*", F.explode(F.sequence(F.lit(-half_width), F.lit(half_width))).alias("k"))
+    near = near.withColumn("bucket", F.pmod(doy - 1 + F.col("k"), F.lit(366)) + 1)
+    past = Window.partitionBy("key", "bucket").orderBy("rn").rangeBetween(Window.unboundedPreceding, -exclude)
+    out = near.select("key", "d", "v", "k", F.col("rn").alias("n_all"), F.avg("v").over(past).alias("mean"), F.stddev_pop("v").over(past).alias("sd"), F.count("v").over(past).alias("n"))
+    return out.filter("k = 0").drop("k")

@@ -1 +1 @@
-"""tidemark.plans"""
+"""Plans composed of operators: drivers, scores, panels, gates, setups, validation."""
