@@ -13,6 +13,11 @@ def r(x: Column, places: int = 4) -> Column:
     return F.bround(x, places) + F.lit(0.0)
 
 
+def steady(x: Column, places: int = 4) -> Column:
+    """Rounding half up that the last digits of a sum don't sway: weighted means of rounded scores often are halves."""
+    return F.floor(x * 10**places + 0.500001) / 10**places + F.lit(0.0)
+
+
 def sign(bull_when: str) -> float:
     return 1.0 if bull_when == "high" else -1.0
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import r
+from ..functions import r, steady
 from .drivers import get_driver
 
 #: Grade limits on the strength of a score (fixed values).
@@ -91,7 +91,7 @@ def aggregate(frame: DataFrame, method: str = "linear", gamma: float = 1.0) -> D
     if method == "agreement":
         raw = raw * F.when(F.col("_a") != 0, F.pow(F.abs("_ws") / F.col("_a"), F.lit(float(gamma)))).otherwise(1.0)
     last = F.aggregate(F.filter("drivers", lambda d: d["ok"]), F.create_map().cast("map<string,double>"), lambda m, d: F.map_concat(F.map_filter(m, lambda k, v: k != d["name"]), F.create_map(d["name"], d["score"])))
-    return out.withColumn("raw", r(raw, 10)).select("instrument", "as_of", "raw", r(F.col("raw")).alias("score"), F.size(F.filter("drivers", lambda d: d["ok"])).alias("n_ok"), last.alias("vector"), "drivers")
+    return out.withColumn("raw", r(raw, 10)).select("instrument", "as_of", "raw", steady(F.col("raw")).alias("score"), F.size(F.filter("drivers", lambda d: d["ok"])).alias("n_ok"), last.alias("vector"), "drivers")
 
 
 def score_instruments(env: dict[str, DataFrame], fingerprints: list[dict], decisions: DataFrame) -> DataFrame:

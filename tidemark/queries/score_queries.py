@@ -69,7 +69,7 @@ def scores_sql(fingerprints: list[dict] = FINGERPRINTS, name: str = "scores") ->
         f"SELECT d.instrument, d.as_of, {i} AS driver_idx, '{s['name']}' AS name, {s['weight']}::DOUBLE AS weight, coalesce(x.ok, false) AS ok, CASE WHEN x.ok THEN round_even(x.s, 4) + 0.0 ELSE 0.0 END AS score FROM decisions d JOIN ({driver_sql(s['name'], s.get('params', {}))}) x USING (as_of) WHERE d.instrument = '{f['id']}'"
         for f in fingerprints for i, s in enumerate(f["drivers"])
     ]
-    return f"frame_{name} AS MATERIALIZED ({' UNION ALL '.join(parts)}), {name} AS MATERIALIZED (SELECT instrument, as_of, round_even(coalesce(list_sum(list(weight * score ORDER BY driver_idx) FILTER (ok)) / nullif(list_sum(list(weight ORDER BY driver_idx) FILTER (ok)), 0), 0), 10) + 0.0 AS raw, round_even(raw, 4) + 0.0 AS score, coalesce(abs(sum(weight * score) FILTER (ok)) / nullif(sum(weight * abs(score)) FILTER (ok), 0), 1) AS agreement, count(*) FILTER (ok) AS n_ok FROM frame_{name} GROUP BY 1, 2)"
+    return f"frame_{name} AS MATERIALIZED ({' UNION ALL '.join(parts)}), {name} AS MATERIALIZED (SELECT instrument, as_of, round_even(coalesce(list_sum(list(weight * score ORDER BY driver_idx) FILTER (ok)) / nullif(list_sum(list(weight ORDER BY driver_idx) FILTER (ok)), 0), 0), 10) + 0.0 AS raw, floor(raw * 10000 + 0.500001) / 10000 + 0.0 AS score, coalesce(abs(sum(weight * score) FILTER (ok)) / nullif(sum(weight * abs(score)) FILTER (ok), 0), 1) AS agreement, count(*) FILTER (ok) AS n_ok FROM frame_{name} GROUP BY 1, 2)"
 
 
 IDS = "(VALUES " + ", ".join(f"('{f['id']}', '{f['ticker']}')" for f in FINGERPRINTS) + ") i(instrument, key)"
@@ -109,6 +109,6 @@ QUERIES = {"score_all": score_all, "score_drivers": score_drivers, "score_agreem
 ORACLE = {
     "score_all": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, score, {GRADE}, CAST(n_ok AS INTEGER) AS n_ok FROM scores"),
     "score_drivers": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, driver_idx, name, weight, ok, score FROM frame_scores"),
-    "score_agreement": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, round_even(raw * pow(agreement, 2.0), 4) + 0.0 AS score FROM scores"),
+    "score_agreement": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, floor(raw * pow(agreement, 2.0) * 10000 + 0.500001) / 10000 + 0.0 AS score FROM scores"),
     "grades": f"SELECT event_id, {GRADE} FROM (SELECT event_id, value / 100 - 0.5 AS raw FROM events)",
 }

@@ -1 +1 @@
-"""tidemark.sources"""
+"""Schemas, connectors, parsers and sinks."""
