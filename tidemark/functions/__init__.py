@@ -38,7 +38,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return F.coalesce(F.greatest(F.lit(0.0), centre - half), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + half), F.lit(0.0))
+    return F.when(n.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), centre - half)), F.when(n.isNull(), 0.0).otherwise(F.least(F.lit(1.0), centre + half))
 
 
 def mean_interval(mean: Column, variance: Column, n: Column, n_eff: Column, z: float = 1.96) -> tuple[Column, Column]:

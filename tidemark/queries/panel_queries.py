@@ -46,7 +46,7 @@ eff AS (SELECT instrument, as_of, list_reduce(list_transform(ds, lambda x: {{'n'
 agg AS (SELECT c.instrument, c.as_of, count(p.outcome_r) AS n, any_value(coalesce(e.n_eff, 0)) AS n_eff, coalesce(avg(p.hit::INT), 0) AS hr, coalesce(avg(p.outcome_r), 0) AS mean, coalesce(var_samp(p.outcome_r), 0) AS var FROM cur c LEFT JOIN pairs p USING (instrument, as_of) LEFT JOIN eff e USING (instrument, as_of) GROUP BY 1, 2),
 ci AS (SELECT *, nullif(n_eff::DOUBLE, 0) AS m, CASE WHEN n > 1 THEN 1.96 * sqrt(var / CASE WHEN n_eff > 1 THEN n_eff ELSE n END) ELSE 0 END AS half FROM agg),
 wil AS (SELECT *, (hr + 1.96 * 1.96 / (2 * m)) / (1 + 1.96 * 1.96 / m) AS mid, 1.96 * sqrt(hr * (1 - hr) / m + 1.96 * 1.96 / (4 * m * m)) / (1 + 1.96 * 1.96 / m) AS wide FROM ci),
-lim AS (SELECT *, coalesce(greatest(0, mid - wide), 0) AS lo, coalesce(least(1, mid + wide), 0) AS hi FROM wil),
+lim AS (SELECT *, coalesce(greatest(0, mid - wide), 0) AS lo, CASE WHEN m IS NULL THEN 0 ELSE least(1, mid + wide) END AS hi FROM wil),
 rate AS MATERIALIZED (SELECT instrument, as_of, n, n_eff::INTEGER AS n_eff, round_even(hr, 4) + 0.0 AS hit_rate, round_even(lo, 4) + 0.0 AS hit_lo, round_even(hi, 4) + 0.0 AS hit_hi, round_even(mean, 4) + 0.0 AS expectancy_r, round_even(mean - half, 4) + 0.0 AS exp_lo, round_even(mean + half, 4) + 0.0 AS exp_hi,
     CASE WHEN n = 0 THEN 'no neighbours in the band' ELSE concat_ws('; ', CASE WHEN n_eff < {LEAST} THEN 'too few independent neighbours' END, CASE WHEN lo * 100 < 35 THEN 'hit rate' END, CASE WHEN mean < 0.05 THEN 'expectancy' END, CASE WHEN mean - half <= 0 THEN 'expectancy interval' END) END AS why FROM lim)"""
 RATE = "instrument, as_of, n, n_eff, hit_rate, hit_lo, hit_hi, expectancy_r, exp_lo, exp_hi, CASE WHEN why = '' THEN 'approved' ELSE why END AS reason, why = '' AS passes"
