@@ -30,26 +30,36 @@ MAGIC = b"RPG1"
 _HEAD = struct.Struct("<4sBxxxIIQQ")  # magic, bytes of a symbol, first nonterminal, rules, documents, symbols
 
 
-def _pairs(s: np.ndarray, joined: np.ndarray, least: int, most: int) -> np.ndarray:
-    """The most frequent pair keys; ``joined`` marks positions whose pair stays in one document."""
-    at = np.flatnonzero(joined)
-    key = s[at].astype(np.uint64) << np.uint64(32) | s[at + 1]
-    if not len(key):
-        return key
-    # A first count by hash picks the slots that can hold frequent pairs; only these are sorted.
+def _pairs(key: np.ndarray, joined: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The most frequent pair keys, the positions that hold one, and which; ``joined`` marks pairs inside a document.
+
+    Pairs are counted by hash, and a slot stands for one pair of the shard that falls into it, so that a
+    round is a few passes without sorting. Another pair of a slot waits for a later round.
+    """
     bits = 20
-    slot = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
-    count = np.bincount(slot.astype(np.int64), minlength=1 << bits)
+    slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+    count = np.bincount(slot[joined], minlength=1 << bits)
     full = np.count_nonzero(count >= least)
     if not full:
-        return key[:0]
+        return key[:0], slot[:0], slot[:0]
     bar = max(least, int(np.partition(count, -min(most, full))[-min(most, full)]))
-    pair, times = np.unique(key[count[slot] >= bar], return_counts=True)
-    order = np.lexsort((pair, -times))[:most]
-    return np.sort(pair[order[times[order] >= least]])
-
-
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = 6, per_round: int = 1500, least: int = 8) -> bytes:
+    at = np.flatnonzero((count >= bar)[slot] & joined)
+    here, pair = slot[at], key[at]
+    of_slot = np.zeros(1 << bits, np.uint64)
+    of_slot[here[::-1]] = pair[::-1]  # the first in the shard
+    same = of_slot[here] == pair
+    at, here = at[same], here[same]
+    times = np.bincount(here, minlength=1 << bits)
+    chosen = np.flatnonzero(times >= least)
+    if len(chosen) > most:
+        chosen = np.sort(chosen[np.argsort(-times[chosen], kind="stable")[:most]])
+    name = np.full(1 << bits, -1)
+    name[chosen] = np.arange(len(chosen))
+    which = name[here]
+    return of_slot[chosen], at[which >= 0], which[which >= 0]
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = 3, per_round: int = 4000, least: int = 8) -> bytes:
     """One shard: ``ids`` of all documents, ``ends`` the position after each document's last id."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
@@ -60,18 +70,15 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = 6
     for _ in range(rounds):
         if len(s) < 2:
             break
-        pairs = _pairs(s, ~last[:-1], least, min(per_round, room - n_rules))
+        key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
+        pairs, at, which = _pairs(key, ~last[:-1], least, min(per_round, room - n_rules))
         if not len(pairs):
             break
-        key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        where = np.searchsorted(pairs, key)
-        where[where == len(pairs)] = 0
-        hit = (pairs[where] == key) & ~last[:-1]
-        at = np.flatnonzero(hit)
         if len(at) > 1:  # in a run of overlapping hits every second one is taken
             new = np.concatenate(([True], np.diff(at) != 1))
-            at = at[(at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) % 2 == 0]
-        s[at] = vocabulary + n_rules + where[at]
+            take = (at - at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]) % 2 == 0
+            at, which = at[take], which[take]
+        s[at] = vocabulary + n_rules + which
         last[at] = last[at + 1]
         keep = np.ones(len(s), bool)
         keep[at + 1] = False
@@ -167,19 +174,20 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_ids: i
 
 def read_shards(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the shards alone."""
-    before = shards.select("shard_id", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    before = shards.select("shard_id", F.coalesce(F.sum("n_ids").over(Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
 
     def decode(rows):
         for b in rows:
-            for start, keys, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                shard, found = Shard(data), []
+            for name, keys, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                shard, found, start = Shard(data), [], 0
                 for k, key in enumerate(keys):
                     ids = shard.document(k)
-                    found.append((key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    found.append((name, key, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["shard_id", "doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.join(before, "shard_id").select("start", "doc_ids", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = shards.select("shard_id", "doc_ids", "data").mapInArrow(decode, "shard_id long, doc_id long, start long, n_tokens long, ids_crc32 long")
+    return docs.join(before, "shard_id").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op9_token_ids(spark, sf_dir):

@@ -33,10 +33,11 @@ class Coder(dict):
     """piece -> its ids as little-endian 16-bit (vocabularies to 65,536 ids) or 32-bit integers.
 
     None marks a piece with white space at an end or nothing in it: its text is cut more carefully.
-    The cache is emptied at ``most`` pieces; that bounds memory and changes no result.
+    The cache takes up to ``most`` pieces, the first and so the common ones; that bounds memory and
+    changes no result.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 800_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -61,37 +62,33 @@ class Coder(dict):
             return self.whole(text)
         out = []
         for part in self.find(text):
-            ids = self.inner.get(part)
+            # " word" is kept as the piece "word", which other texts cut out as it is.
+            cache, key = (self, part[1:]) if part[0] == " " and len(part) > 1 and not part[1].isspace() else (self.inner, part)
+            ids = cache.get(key)
             if ids is None:
                 shown = part.encode("utf-8").decode("latin-1").translate(self.letters)
-                ids = self.inner[part] = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                if len(cache) < self.most:
+                    cache[key] = ids
             out.append(ids)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else b"".join(out)
 
-    def learn(self, pieces: set[str]) -> None:
-        missing = [p for p in pieces if p not in self]
-        if len(self) + len(missing) > self.most:
-            self.clear()
-            self.inner.clear()
-            missing = list(pieces)
-        for p in missing:
-            self[p] = None if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
+    def __missing__(self, p: str) -> bytes | None:
+        ids = None if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
+        if len(self) < self.most:
+            self[p] = ids
+        return ids
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").split(" ") for t in texts]
-        pieces: set[str] = set()
-        for p in cut:
-            pieces.update(p[1:])
-        self.learn(pieces)
-        out = []
-        for p in cut:
-            first = p[0]
+        get, out = self.__getitem__, []
+        for t in texts:
+            first, *rest = (t or "").split(" ")
             try:
-                if len(p) > 1 and (not first or first[-1].isspace()):
+                if rest and (not first or first[-1].isspace()):
                     raise TypeError
-                out.append((self.piece(first) if len(first) < 1000 else self.whole(first)) + b"".join(map(self.__getitem__, p[1:])))
-            except TypeError:
-                first, *rest = _CUT.split(" ".join(p))
+                out.append((self.piece(first) if len(first) < 1000 else self.whole(first)) + b"".join(map(get, rest)))
+            except TypeError:  # two neighbours are white space: cut elsewhere only
+                first, *rest = _CUT.split(t)
                 out.append(self.whole(first) + b"".join(self.whole(" " + x) for x in rest))
         return out
 
