@@ -1,8 +1,8 @@
-"""Bars and the drivers at every tenth day of one symbol."""
+"""Bars and the drivers at every trading day of one symbol."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import r
@@ -26,16 +26,15 @@ def query(name: str, sql: str | None = None):
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every tenth trading day of one symbol from its 21st on."""
-    rows = P.closes(spark, sf_dir).filter(F.col("key") == "ORD_O").withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("d")))
-    return rows.filter((F.col("rn") > 20) & (F.col("rn") % 10 == 1)).select(F.col("d").alias("as_of"))
+    """Every trading day of one symbol."""
+    return P.closes(spark, sf_dir).filter(F.col("key") == "ORD_O").select(F.col("d").alias("as_of"))
 
 
 def probes(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return dates(spark, sf_dir).select(F.explode(F.array(*map(F.lit, keys))).alias("key"), "as_of")
 
 
-DATES = "dates AS (SELECT d AS as_of FROM (SELECT d, row_number() OVER (ORDER BY d) AS rn FROM prices WHERE key = 'ORD_O') WHERE rn > 20 AND rn % 10 = 1)"
+DATES = "dates AS (SELECT d AS as_of FROM prices WHERE key = 'ORD_O')"
 
 
 def probes_sql(*keys: str) -> str:

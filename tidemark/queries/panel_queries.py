@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import crps, pit, r
+from ..functions import crps, pit, r, steady
 from ..operators.bars import ahead, atr, numbered, repair_scales, triple_barrier
 from ..plans import panel as panels
 from ..plans import scenario, setups, validation
@@ -63,8 +63,8 @@ def _panel(spark, sf_dir, fingerprints=FINGERPRINTS):
 
 
 def triple_barriers(spark, sf_dir):
-    """Both directions at every tenth bar, also near the end of the history."""
-    b = numbered(ahead(atr(P.prices(spark, sf_dir)), H)).filter((F.col("rn") >= 20) & (F.col("rn") % 10 == 0) & (F.col("rn") < F.col("n_bars")))
+    """Both directions at every bar, also near the end of the history."""
+    b = numbered(ahead(atr(P.prices(spark, sf_dir)), H)).filter(F.col("atr").isNotNull() & (F.col("rn") < F.col("n_bars")))
     b = b.select("key", "d", "rn", "close", "atr", "f", F.explode(F.array(F.lit("LONG"), F.lit("SHORT"))).alias("direction"))
     out = triple_barrier(b, H, 0.4 * F.col("atr"), 0.6 * F.col("atr"), F.lit(1.5))
     return out.select(F.col("key").alias("symbol"), "d", "direction", "label", "held", r(F.col("outcome_r"), 6).alias("outcome_r"))
@@ -136,14 +136,15 @@ def ablation(spark, sf_dir):
 
 
 def _ensembles(spark, sf_dir):
+    """Every event's value against all values of its user."""
     e = P.table(spark, sf_dir, "events")
-    x = e.groupBy("event_type").agg(F.array_sort(F.collect_list("value")).alias("x"))
-    return e.filter("event_id % 50 = 0").select("event_id", "event_type", F.col("value").alias("y")).join(x, "event_type")
+    x = e.groupBy("user_id").agg(F.array_sort(F.collect_list("value")).alias("x"))
+    return e.select("event_id", "event_type", "user_id", F.col("value").alias("y")).join(x, "user_id")
 
 
 def crps_ensemble(spark, sf_dir):
     out = _ensembles(spark, sf_dir)
-    return out.select("event_id", r(crps(F.col("x"), F.col("y")), 6).alias("crps"), r(crps(F.col("x"), F.col("y"), True), 6).alias("crps_legacy"), r(pit(F.col("x"), F.col("y")), 6).alias("pit"))
+    return out.select("event_id", steady(crps(F.col("x"), F.col("y")), 6).alias("crps"), steady(crps(F.col("x"), F.col("y"), True), 6).alias("crps_legacy"), r(pit(F.col("x"), F.col("y")), 6).alias("pit"))
 
 
 def pit_hist(spark, sf_dir):
@@ -159,10 +160,10 @@ def quantile_cone(spark, sf_dir):
 
 
 def ewma_vol(spark, sf_dir):
-    """Weekly closes' conditional volatility, by a fold over each symbol's returns."""
+    """The next day's conditional volatility, by a fold over each symbol's returns."""
     from ..operators.bars import log_returns
 
-    x = log_returns(P.closes(spark, sf_dir).filter(F.dayofweek("d") == 4)).filter("log_return IS NOT NULL")
+    x = log_returns(P.closes(spark, sf_dir)).filter("log_return IS NOT NULL")
     x = x.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "log_return"))).alias("x"))
     head = F.slice("x", 1, 20)
     mean = F.aggregate(head, F.lit(0.0), lambda a, e: a + e["log_return"]) / F.size(head)
@@ -239,8 +240,10 @@ SETUPS = (
     concat_ws('; ', CASE WHEN grade = 'NONE' THEN 'no grade' END, CASE WHEN rr < 1.5 THEN 'reward to risk' END, CASE WHEN r.why <> '' THEN 'base rate: ' || r.why END) AS reject_reason, CASE WHEN (g.as_of - first_day) / 365.25 >= 7 THEN 'ok' ELSE 'short history' END AS data_quality, round_even((g.as_of - first_day) / 365.25, 1) AS history_years FROM graded g JOIN rate r USING (instrument, as_of))"""
 )
 
+ENSEMBLES = "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), p AS (SELECT user_id, sum((2.0 * i - n - 1) * value) / any_value(n::DOUBLE * n) AS pairs FROM x GROUP BY 1), m AS (SELECT e.event_id, e.event_type, e.user_id, avg(abs(x.value - e.value)) AS near, avg((x.value <= e.value)::INT) AS pit FROM events e JOIN x USING (user_id) GROUP BY 1, 2, 3)"
+
 ORACLE = {
-    "triple_barrier": P.with_views("prices", f"{ATR}, src AS (SELECT key AS instrument, key, d, rn, close, atr, direction FROM bars, (VALUES ('LONG'), ('SHORT')) t(direction) WHERE rn >= 20 AND rn % 10 = 0 AND rn < n_bars), " + barrier_sql("src", "0.4 * s.atr", "0.6 * s.atr") + " SELECT key AS symbol, d, direction, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r FROM out"),
+    "triple_barrier": P.with_views("prices", f"{ATR}, src AS (SELECT key AS instrument, key, d, rn, close, atr, direction FROM bars, (VALUES ('LONG'), ('SHORT')) t(direction) WHERE atr IS NOT NULL AND rn < n_bars), " + barrier_sql("src", "0.4 * s.atr", "0.6 * s.atr") + " SELECT key AS symbol, d, direction, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r FROM out"),
     "panel_outcomes": P.with_views(VIEWS, outcome_sql() + " SELECT instrument, as_of, score, direction, oos, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r, hit FROM out"),
     "swap_cost": P.with_views(VIEWS, panel_sql(FINGERPRINTS[1:2]) + ", " + barrier_sql("panel", "1.0 * s.atr", "2.0 * s.atr", "CASE WHEN direction = 'LONG' THEN 0.0002 ELSE -0.0001 END * close * held / sl") + " SELECT instrument, as_of, direction, held, round_even(outcome_r, 6) + 0.0 AS outcome_r FROM out"),
     "gate_neighbors": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT} SELECT c.instrument, c.as_of, count(t.score) AS n, round_even(coalesce(avg(t.outcome_r), 0), 6) + 0.0 AS mean_r FROM cur c LEFT JOIN train t ON t.instrument = c.instrument AND t.direction = c.direction AND abs(t.score - c.score) <= {BAND} GROUP BY 1, 2"),
@@ -257,10 +260,11 @@ good AS (SELECT r.instrument, count(*) AS n_gate_pass, round_even(avg(c.hit::INT
 SELECT instrument, n_train, n_oos, base_hit, base_exp, coalesce(n_predicted, 0) AS n_predicted, coalesce(sign_agreement, 0) AS sign_agreement, coalesce(exp_when_pred_bull, 0) AS exp_when_pred_bull, coalesce(exp_when_pred_bear, 0) AS exp_when_pred_bear, coalesce(n_gate_pass, 0) AS n_gate_pass, coalesce(gate_hit, 0) AS gate_hit, coalesce(gate_exp, 0) AS gate_exp FROM base LEFT JOIN fig USING (instrument) LEFT JOIN good USING (instrument)"""),
     "walk_forward": P.with_views(VIEWS, f"{outcome_sql()}, {PREDICT.format(rows='out', train='out', more='AND year(t.as_of) < year(c.as_of)')}, counts AS (SELECT instrument, CAST(year(as_of) AS INTEGER) AS fold, count(*) AS m FROM out GROUP BY 1, 2), fig AS (SELECT instrument, CAST(year(as_of) AS INTEGER) AS fold, {FIGURES} FROM pred GROUP BY 1, 2) SELECT a.instrument, a.fold, CAST(any_value(a.m) AS BIGINT) AS n_test, CAST(sum(b.m) AS BIGINT) AS n_train, coalesce(any_value(f.n_predicted), 0) AS n_predicted, coalesce(any_value(f.sign_agreement), 0) AS sign_agreement, coalesce(any_value(f.exp_when_pred_bull), 0) AS exp_when_pred_bull FROM counts a JOIN counts b ON a.instrument = b.instrument AND b.fold < a.fold LEFT JOIN fig f ON f.instrument = a.instrument AND f.fold = a.fold GROUP BY 1, 2"),
     "ablation": P.with_views(VIEWS, f"full_run AS (SELECT * FROM {_validated(FINGERPRINTS, 'a', ())}), less_run AS (SELECT * FROM {_validated(validation.without_driver(FINGERPRINTS, 'level_percentile'), 'b', ())}) SELECT instrument, a.sign_agreement AS base, b.sign_agreement AS ablated, round_even(100 * (b.sign_agreement - a.sign_agreement), 2) + 0.0 AS delta, b.sign_agreement > a.sign_agreement AS better FROM full_run a JOIN less_run b USING (instrument)"),
-    "crps_ensemble": "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), p AS (SELECT event_type, sum((2.0 * i - n - 1) * value) / any_value(n::DOUBLE * n) AS pairs FROM x GROUP BY 1), m AS (SELECT e.event_id, e.event_type, avg(abs(x.value - e.value)) AS near, avg((x.value <= e.value)::INT) AS pit FROM events e JOIN x USING (event_type) WHERE e.event_id % 50 = 0 GROUP BY 1, 2) SELECT event_id, round_even(near - pairs, 6) + 0.0 AS crps, round_even(near - 0.5 * pairs, 6) + 0.0 AS crps_legacy, round_even(pit, 6) + 0.0 AS pit FROM m JOIN p USING (event_type)",
-    "pit_hist": "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events), p AS (SELECT event_type, sum((2.0 * i - n - 1) * value) / any_value(n::DOUBLE * n) AS pairs FROM x GROUP BY 1), m AS (SELECT e.event_id, e.event_type, avg(abs(x.value - e.value)) AS near, avg((x.value <= e.value)::INT) AS pit FROM events e JOIN x USING (event_type) WHERE e.event_id % 50 = 0 GROUP BY 1, 2), s AS (SELECT event_type, least(floor(pit * 10), 9) AS bin, near - pairs AS crps FROM m JOIN p USING (event_type)), c AS (SELECT event_type, bin, count(*) AS c, sum(crps) AS s FROM s GROUP BY 1, 2), t AS (SELECT event_type, sum(c) AS n, sum(s) AS s FROM c GROUP BY 1) SELECT event_type, CAST(n AS BIGINT) AS n, round_even(t.s / n, 5) + 0.0 AS mean_crps, round_even(avg(abs(coalesce(c.c, 0) - n / 10)) / (n / 10), 3) + 0.0 AS pit_uniformity FROM t CROSS JOIN range(10) b(k) LEFT JOIN c ON c.event_type = t.event_type AND c.bin = b.k GROUP BY t.event_type, n, t.s".replace("SELECT event_type, CAST(n", "SELECT t.event_type, CAST(n"),
+    "crps_ensemble": ENSEMBLES + " SELECT event_id, floor((near - pairs) * 1000000 + 0.500001) / 1000000 + 0.0 AS crps, floor((near - 0.5 * pairs) * 1000000 + 0.500001) / 1000000 + 0.0 AS crps_legacy, round_even(pit, 6) + 0.0 AS pit FROM m JOIN p USING (user_id)",
+    "pit_hist": ENSEMBLES + """, s AS (SELECT event_type, least(floor(pit * 10), 9) AS bin, near - pairs AS crps FROM m JOIN p USING (user_id)), c AS (SELECT event_type, bin, count(*) AS c, sum(crps) AS s FROM s GROUP BY 1, 2), t AS (SELECT event_type, sum(c) AS n, sum(s) AS s FROM c GROUP BY 1)
+SELECT t.event_type, CAST(n AS BIGINT) AS n, round_even(t.s / n, 5) + 0.0 AS mean_crps, round_even(avg(abs(coalesce(c.c, 0) - n / 10)) / (n / 10), 3) + 0.0 AS pit_uniformity FROM t CROSS JOIN range(10) b(k) LEFT JOIN c ON c.event_type = t.event_type AND c.bin = b.k GROUP BY t.event_type, n, t.s""",
     "quantile_cone": "SELECT event_type, round_even(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round_even(quantile_cont(value, 0.25), 6) + 0.0 AS p25, round_even(quantile_cont(value, 0.5), 6) + 0.0 AS median, round_even(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round_even(quantile_cont(value, 0.95), 6) + 0.0 AS p95, round_even(avg((value > 50)::INT), 4) + 0.0 AS prob_up, round_even(avg(value), 4) + 0.0 AS expected FROM events GROUP BY 1",
-    "ewma_vol": P.with_views("closes", """x AS (SELECT * FROM (SELECT key, d, ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)) AS r FROM closes WHERE dayofweek(d) = 3) WHERE r IS NOT NULL),
+    "ewma_vol": P.with_views("closes", """x AS (SELECT * FROM (SELECT key, d, ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)) AS r FROM closes) WHERE r IS NOT NULL),
 l AS (SELECT key, list(r ORDER BY d) AS xs FROM x GROUP BY 1), h AS (SELECT key, xs, list_aggregate(xs[1:20], 'var_pop') AS v0 FROM l)
 SELECT key AS symbol, CAST(len(xs) AS INTEGER) AS n, round_even(sqrt(list_reduce(xs, lambda a, x: 0.94 * a + 0.06 * x * x, v0)), 8) AS next_volatility FROM h"""),
 }
