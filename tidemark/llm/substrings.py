@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, RangeHash, documents, materialize, mix, partitions
+from .common import CHUNK, RangeHash, documents, materialize, mix, modest_batches, partitions
 
 GRAM = 32
 _LOW = np.uint64((1 << 24) - 1)
@@ -117,6 +117,11 @@ def spread(x: np.ndarray, n: int) -> np.ndarray:
     return ((x >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def anchor_bucket(x: np.ndarray, n: int) -> np.ndarray:
+    """Anchors are minima of hashes, so their high bits are hashed again."""
+    return spread(mix(x), n)
+
+
 def doc_bucket(key: np.ndarray, n: int) -> np.ndarray:
     """Spark's ``pmod(xxhash64(key), n)`` for 64-bit keys."""
     p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
@@ -146,7 +151,7 @@ def find_segments(rows, length: int, n: int):
 
 def _flush(held, n: int) -> pa.RecordBatch:
     arrays = [np.concatenate(x) for x in zip(*held, strict=True)]
-    return _rows((b, pack(*x)) for b, x in by_bucket(spread(arrays[0], n), *arrays))
+    return _rows((b, pack(*x)) for b, x in by_bucket(anchor_bucket(arrays[0], n), *arrays))
 
 
 COVER, SINGLE, REPEATED = 0, 1, 2
@@ -190,7 +195,7 @@ def cut_segments(texts: dict, rows: list[bytes], length: int, n: int):
     kind, anchor, doc, first, run = joined(rows)
     want = kind != COVER
     kind, anchor, doc, first, run = (x[want] for x in (kind, anchor, doc, first, run))
-    for b, (k, a, d, f, r) in by_bucket(spread(anchor, n), kind, anchor, doc, first, run):
+    for b, (k, a, d, f, r) in by_bucket(anchor_bucket(anchor, n), kind, anchor, doc, first, run):
         size = r.astype(np.int64) + length
         data = b"".join(texts[int(x)][y : y + z] for x, y, z in zip(d, f.tolist(), size.tolist(), strict=True))
         yield b, pack(k, a, d, f, r, np.frombuffer(data, np.uint8))
@@ -291,7 +296,7 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, weight: np.ndarray, len
     return (out & valid)[inside]
 
 
-def expand(rows: list[bytes], length: int, n: int, most: int = 400_000):
+def expand(rows: list[bytes], length: int, n: int, most: int = 200_000):
     """Step 3 in one bucket: (bucket of the document; doc, first byte, end) of repeated windows."""
     kind, anchor, doc, first, run = (np.concatenate(x) for x in zip(*(unpack(r)[:5] for r in rows), strict=True))
     data = np.concatenate([unpack(r)[5] for r in rows])
@@ -344,6 +349,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
     """One row per document: n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
     spark = docs.sparkSession
     n = partitions(spark)
+    modest_batches(spark)
     once = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     key = F.col("doc_id").cast("long")
     if once["n"] != once["ids"]:  # repeated or null ids: rows with equal id and text are one key
