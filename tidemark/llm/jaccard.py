@@ -8,7 +8,7 @@ t differ in at most (a + b)(1 - t)/(1 + t) shingles. That bounds how far their p
   k differences agree in all but k words. By the pigeonhole principle two similar sets share a word
   among any k + 1 words of each, if both take the first in one common order. The order used is by
   rarity over the corpus: words of one document come first and match nothing, common passages last.
-* Bit sketch: each shingle flips one of 512 bits. The Hamming distance of two sketches is at most the
+* Bit sketch: each shingle flips one of 2,048 bits. The Hamming distance of two sketches is at most the
   number of differing shingles, which sieves candidates before the exact check on full sets.
 
 Bands are powers of two of the larger set's size; a set takes part in those that a partner may have.
@@ -34,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, partitions, shingle_set
+from .common import documents, materialize, mix, modest_batches, partitions, shingle_set
 from .substrings import by_bucket, doc_bucket, joined, pack, spread, unpack
 
 FIRST = 32  # in the lowest band each shingle is a block
-BITS = 512
+BITS = 2048
 _WORDS = [f"s{i}" for i in range(BITS // 64)]
 
 
@@ -199,6 +199,7 @@ class Join:
     def __init__(self, nodes: DataFrame, words: int, percent: int):
         self.nodes, self.words, self.measure = nodes, words, Measure(percent)
         n, measure = partitions(nodes.sparkSession), self.measure
+        modest_batches(nodes.sparkSession)
         for seed in range(100):
 
             def start(rows, seed=seed):
