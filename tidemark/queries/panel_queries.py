@@ -55,7 +55,8 @@ LIMITS = {"band": BAND, "min_effective_n": LEAST, "min_hit_rate_pct": 35.0, "min
 
 
 def _scored(spark, sf_dir, fingerprints=FINGERPRINTS):
-    return panels.scored_panel(environment(spark, sf_dir), P.prices(spark, sf_dir), fingerprints, H, FIRST, STEP, OOS)
+    """The scored panel is the dear part and used in several branches: it is computed once and kept."""
+    return panels.scored_panel(environment(spark, sf_dir), P.prices(spark, sf_dir), fingerprints, H, FIRST, STEP, OOS).persist()
 
 
 def _panel(spark, sf_dir, fingerprints=FINGERPRINTS):
