@@ -111,3 +111,14 @@ def test_repeated_null_and_no_rows(spark):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.near_duplicates(docs).collect())
     assert got == [(0, 0, 0), (0, 6, 3), (3, 6, 3), (7, 5, 7), (7, 6, 3), (7, 6, 3)]
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_copies_in_any_order_link_with_their_near_copies(spark):
+    """The least id of a group of copies need not be the first that a task reads."""
+    t = " ".join(f"w{i}" for i in range(200))
+    rows = [(9, t), (8, t), (7, t), (1, t + " end"), (5, "other words that are not like these at all")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {9: 1, 8: 1, 7: 1, 1: 1, 5: 5}
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
+    again = spark.createDataFrame(rows + [(None, t)], "doc_id long, text string").coalesce(1)  # nodes are hashes
+    assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(again).collect()} == want | {None: 1}

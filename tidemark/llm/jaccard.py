@@ -89,7 +89,7 @@ def bit_sketch(s: np.ndarray) -> np.ndarray:
 
 
 _PART = "bucket int, kind int, data binary"
-_ROW = f"kind int, node long, word long, n int, f0 long, f1 long, {', '.join(w + ' long' for w in _WORDS)}, weak int"
+_ROW = f"kind int, node long, word long, n int, f0 long, f1 long, {', '.join(w + ' long' for w in _WORDS)}, weak int, own int"
 WORDS, SETS = 0, 1
 
 
@@ -107,9 +107,9 @@ def _sketch(rows, n: int, words: int, measure: Measure, seed: int):
 
     def flush():
         nonlocal keys, facts, size
-        node, count, f, weak, sketch = (np.array(x) for x in zip(*facts, strict=True))
+        node, count, f, weak, own, sketch = (np.array(x) for x in zip(*facts, strict=True))
         node, f = node.astype(np.int64), np.frombuffer(f.tobytes(), np.int64).reshape(-1, 2)
-        columns = [node, count.astype(np.uint32), f[:, 0], f[:, 1], weak.astype(np.uint8), *sketch.astype(np.int64).T]
+        columns = [node, count.astype(np.uint32), f[:, 0], f[:, 1], weak.astype(np.uint8), own.astype(np.uint8), *sketch.astype(np.int64).T]
         found = [(b, SETS, pack(*x)) for b, x in by_bucket(doc_bucket(node, n), *columns)]
         if keys:
             w, doc, band, slack = (np.concatenate(x) for x in zip(*keys, strict=True))
@@ -122,10 +122,10 @@ def _sketch(rows, n: int, words: int, measure: Measure, seed: int):
             s = shingle_set(text, words)
             f = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
             made = block_words(s, measure, seed)
-            facts.append((node, len(s), np.void(f), min((x for *_, x in made), default=0) < 0, bit_sketch(s)))
+            facts.append((node, len(s), np.void(f), min((x for *_, x in made), default=0) < 0, f not in seen, bit_sketch(s)))
             size += 20
             if f in seen:
-                continue  # a copy in this task: one of them stands for all
+                continue  # a copy in this task: the first has the words of all
             seen.add(f)
             for top, w, slack in made:
                 keys.append((w, np.full(len(w), node, np.int64), np.full(len(w), top.bit_length(), np.uint8), np.full(len(w), min(max(slack, 0), 65535), np.uint16)))
@@ -165,8 +165,8 @@ def _lowest(kinds: list[int], rows: list[bytes]) -> pa.Table:
         return pa.table([pa.array(columns[c], t) if c in columns else pa.nulls(m, t) for c, t in zip(names, types, strict=True)], names=names)
 
     if facts:
-        node, count, f0, f1, weak, *sketch = (np.concatenate(x) for x in zip(*facts, strict=True))
-        out.append(table({"kind": np.full(len(node), SETS), "node": node, "n": count.astype(np.int32), "f0": f0, "f1": f1, "weak": weak.astype(np.int32), **dict(zip(_WORDS, sketch, strict=True))}, len(node)))
+        node, count, f0, f1, weak, own, *sketch = (np.concatenate(x) for x in zip(*facts, strict=True))
+        out.append(table({"kind": np.full(len(node), SETS), "node": node, "n": count.astype(np.int32), "f0": f0, "f1": f1, "weak": weak.astype(np.int32), "own": own.astype(np.int32), **dict(zip(_WORDS, sketch, strict=True))}, len(node)))
     if words:
         w, doc, band, slack, count = joined(words)
         order = np.lexsort((w, count, band, doc))[::-1]  # the commonest first
@@ -213,18 +213,18 @@ class Join:
 
             made = nodes.select("node", "text").mapInArrow(start, _PART).groupBy("bucket").applyInArrow(shared, _PART)
             made = materialize(made.groupBy("bucket").applyInArrow(lowest, _ROW), "sketches")
-            self.facts = made.filter(F.col("kind") == SETS).select("node", "n", "f0", "f1", *_WORDS, "weak")
+            self.facts = made.filter(F.col("kind") == SETS).select("node", "n", "f0", "f1", *_WORDS, "weak", "own")
             # A set with too many empty blocks in a band would miss partners; another seed deals anew.
             if self.facts.filter("weak = 1").isEmpty():
                 break
         else:
             raise RuntimeError("no seed spreads all sets over their blocks")
-        # Equal sets are one node, the least.
-        group = self.facts.groupBy("f0", "f1").agg(F.min("node").alias("head"))
-        self.heads = materialize(self.facts.join(group, ["f0", "f1"]).select("node", "head", "n", *_WORDS), "heads")
+        # Equal sets are one node, the least; its words come from the least copy that has some of its own.
+        group = self.facts.groupBy("f0", "f1").agg(F.min("node").alias("head"), F.min(F.when(F.col("own") == 1, F.col("node"))).alias("giver"))
+        self.heads = materialize(self.facts.join(group, ["f0", "f1"]).select("node", "head", "giver", "n", *_WORDS), "heads")
         single = self.heads.filter(F.col("node") == F.col("head")).select("node", "n", *_WORDS)
         self.single = single
-        rows = made.filter(F.col("kind") == WORDS).select("node", "word").join(single.select("node"), "node")
+        rows = made.filter(F.col("kind") == WORDS).select("node", "word").join(self.heads.filter("node = giver").select("node", "head"), "node").select(F.col("head").alias("node"), "word")
         lead = rows.groupBy("word").agg(F.min("node").alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
         self.rows = materialize(rows.join(lead, "word"), "words")
 
