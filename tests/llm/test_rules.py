@@ -70,6 +70,22 @@ def test_layers_end():
     assert secrets.scan_layers("plain words only")[1:] == ([], 0, 0)
 
 
+def masked(text, *hidden):
+    clean = secrets.redact(text, secrets.scan_layers(text)[1])
+    return not any(h in clean for h in hidden)
+
+
+def test_each_place_of_a_layer_is_unwrapped():
+    twice = base64.b64encode(base64.b64encode(b'password="hunter2hunter2"')).decode()
+    percent = "password%253D%2522hunter2hunter2"
+    for inner in (twice, percent):
+        t = f"one {inner} two {inner} three {inner} end"
+        found = secrets.scan_layers(t)[1]
+        for m in re.finditer(re.escape(inner), t):
+            assert any(k == 0 and m.start() <= s < e <= m.end() for s, k, e in found), (inner, m, found)
+        assert masked(t, inner)
+
+
 def test_secret_rows(spark):
     rows = [(1, None, "s", "en", 0, ""), (2, f"a token={KEY} b", "s", "en", 49, ""), (2, "", "s", "en", 0, ""), (None, "x " * 50_000, "s", None, None, "")]
     docs = spark.createDataFrame(rows, SCHEMA)

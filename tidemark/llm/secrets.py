@@ -3,9 +3,9 @@
 Every text is scanned for assignments, access keys and hexadecimal keys. Then encoded parts are
 unwrapped: percent-encoded and backslash-escaped words, base64 runs, and zlib or gzip streams in
 base64. Each decoded layer is scanned like the text and unwrapped in turn, until no layer is new.
-A layer that was seen before in the same text isn't taken again, so cycles end. Every character
-of a layer knows the part of the original text that it came from; a find in a layer is reported
-as that part.
+Every character of a layer knows the part of the original text that it came from; a find in a
+layer is reported as that part. A layer with the same text from the same parts isn't taken again:
+parts only narrow, so cycles end, and a text that occurs at several places is unwrapped at each.
 
 Defined results: a null text is an empty one; a span found both ways is reported once; a layer
 that would grow beyond ``most`` characters is not unwrapped and counts in ``n_skipped``.
@@ -173,10 +173,17 @@ def _parts(text: str, most: int):
             yield m.start(), e
 
 
+def _key(text: str, start: np.ndarray, end: np.ndarray) -> bytes:
+    h = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
+    h.update(start.tobytes())
+    h.update(end.tobytes())
+    return h.digest()
+
+
 def scan_layers(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
     """(base spans, all spans, decoded layers, layers too large to unwrap)."""
     base = scan(text)
-    spans, seen, layers, skipped = set(base), {text}, 0, 0
+    spans, seen, layers, skipped = set(base), set(), 0, 0
     work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
     while work:
         now, start, end = work.pop()
@@ -191,8 +198,8 @@ def scan_layers(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, in
                 continue
             found = scan(part.text)
             spans.update((int(a[s:e].min()), k, int(b[s:e].max())) for s, k, e in found)
-            if part.text not in seen:
-                seen.add(part.text)
+            if (key := _key(part.text, a, b)) not in seen:
+                seen.add(key)
                 layers += 1
                 work.append((part.text, a, b))
     return base, sorted(spans), layers, skipped
