@@ -86,6 +86,23 @@ def test_each_place_of_a_layer_is_unwrapped():
         assert masked(t, inner)
 
 
+@pytest.mark.parametrize("text, hidden", [
+    ('{"password": "\\u0068unter2x"}', "unter2x"),
+    ("é token: %67hp_abcdef 漢", "hp_abcdef"),
+    ("secret = \\x61bcdefg", "bcdefg"),
+    ("%74oken = \\x61bcdefg", "bcdefg"),
+])
+def test_name_and_value_are_rejoined(text, hidden):
+    assert masked(text, hidden) and masked(f"more\n{text}\nlines %20", hidden)
+
+
+def test_spans_of_percent_sequences_in_any_text():
+    t = "aé%41🎈%E6%BC%A2%ff\ud800z"
+    layer = secrets._percent(t)
+    assert layer.text == "aéA🎈漢\ufffd\ufffd\ufffd\ufffdz"
+    assert [t[a:b] for a, b in zip(layer.start, layer.end, strict=True)] == ["a", "é", "%41", "🎈", "%E6%BC%A2", "%ff", "\ud800", "\ud800", "\ud800", "z"]
+
+
 def test_secret_rows(spark):
     rows = [(1, None, "s", "en", 0, ""), (2, f"a token={KEY} b", "s", "en", 49, ""), (2, "", "s", "en", 0, ""), (None, "x " * 50_000, "s", None, None, "")]
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for assignments, access keys and hexadecimal keys. Then encoded parts are
-unwrapped: percent-encoded and backslash-escaped words, base64 runs, and zlib or gzip streams in
+unwrapped: percent and backslash sequences (all of a layer at once), base64 runs, and zlib or gzip streams in
 base64. Each decoded layer is scanned like the text and unwrapped in turn, until no layer is new.
 Every character of a layer knows the part of the original text that it came from; a find in a
 layer is reported as that part. A layer with the same text from the same parts isn't taken again:
@@ -35,7 +35,6 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-_WORD = re.compile(r"\S+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 
@@ -63,6 +62,13 @@ def _from_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
     text = data.decode("utf-8", "replace")
     if len(text) == len(data):
         return Layer(text, start, end)
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    else:
+        at = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+        return Layer(text, start[at], end[np.append(at[1:], len(data)) - 1])
     out, first, last, at = [], [], [], 0
     while at < len(data):
         lead = data[at]
@@ -78,27 +84,27 @@ def _from_bytes(data: bytes, start: np.ndarray, end: np.ndarray) -> Layer:
     return Layer("".join(out), np.array(first, np.int64), np.array(last, np.int64))
 
 
-def _percent(text: str) -> Layer | None:
-    data, start, end, at = bytearray(), [], [], 0
-    for m in _PERCENT.finditer(text):
-        for i in range(at, m.start()):
-            c = text[i].encode("utf-8", "surrogatepass")
-            data += c
-            start += [i] * len(c)
-            end += [i + 1] * len(c)
-        data.append(int(m[0][1:], 16))
-        start.append(m.start())
-        end.append(m.end())
-        at = m.end()
-    for i in range(at, len(text)):
-        c = text[i].encode("utf-8", "surrogatepass")
-        data += c
-        start += [i] * len(c)
-        end += [i + 1] * len(c)
-    return _from_bytes(bytes(data), np.array(start, np.int64), np.array(end, np.int64))
-
-
-def _escaped(text: str) -> Layer | None:
+def _percent(text: str) -> Layer:
+    """The whole text with its percent sequences decoded."""
+    data, start, end, at = [], [], [], 0
+    for m in [*_PERCENT.finditer(text), None]:
+        stop = m.start() if m else len(text)
+        data.append(plain := text[at:stop].encode("utf-8", "surrogatepass"))
+        here = np.arange(at, stop)
+        if len(plain) > stop - at:
+            here = at - 1 + np.cumsum((np.frombuffer(plain, np.uint8) & 0xC0) != 0x80)
+        start.append(here)
+        end.append(here + 1)
+        if m:
+            data.append(bytes([int(m[0][1:], 16)]))
+            start.append(np.array([m.start()]))
+            end.append(np.array([m.end()]))
+            at = m.end()
+    return _from_bytes(b"".join(data), np.concatenate(start), np.concatenate(end))
+
+
+def _escaped(text: str) -> Layer:
+    """The whole text with its backslash sequences decoded."""
     out, start, end, at = [], [], [], 0
     for m in [*_ESCAPE.finditer(text), None]:
         stop = m.start() if m else len(text)
@@ -158,13 +164,10 @@ def _base64(text: str, most: int) -> Layer | None:
 
 def _parts(text: str, most: int):
     """(start of the part, decoded part); an OverflowError is given in place of a part that is too large."""
-    percent, escape = _PERCENT.search(text), "\\" in text and _ESCAPE.search(text)
-    if percent or escape:
-        for w in _WORD.finditer(text):
-            if percent and _PERCENT.search(w[0]):
-                yield w.start(), _percent(w[0])
-            if escape and _ESCAPE.search(w[0]):
-                yield w.start(), _escaped(w[0])
+    if _PERCENT.search(text):
+        yield 0, _percent(text)
+    if "\\" in text and _ESCAPE.search(text):
+        yield 0, _escaped(text)
     for m in _BASE64.finditer(text):
         try:
             if (part := _base64(m[0], most)) is not None:
