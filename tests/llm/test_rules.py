@@ -103,6 +103,45 @@ def test_spans_of_percent_sequences_in_any_text():
     assert [t[a:b] for a, b in zip(layer.start, layer.end, strict=True)] == ["a", "é", "%41", "🎈", "%E6%BC%A2", "%ff", "\ud800", "\ud800", "\ud800", "z"]
 
 
+SECRET = b'password="hunter2hunter2"'
+NOISE = bytes(range(128, 256)) * 3
+
+
+def lines(data, width=64, end="\n"):
+    t = base64.b64encode(data).decode()
+    return end.join(t[i : i + width] for i in range(0, len(t), width))
+
+
+@pytest.mark.parametrize("inner", [
+    base64.b64encode(b"token=abcdef").decode(),
+    base64.b64encode(b"secret=abcdef").decode().rstrip("="),
+    lines(b"some words " * 3 + SECRET + b" more words" * 9, 44),
+    lines(gzip.compress(SECRET + NOISE + hashlib.sha512(b"x").digest() * 2), 76, "\r\n"),
+    "-----BEGIN DATA-----\n" + lines(zlib.compress(SECRET + hashlib.sha512(b"x").digest() * 2)) + "\n-----END DATA-----",
+    "title\n" + lines(b"words and " * 20 + SECRET, 64, "\n  ") + "\nword after",
+    base64.b64encode(gzip.compress(zlib.compress(gzip.compress(SECRET)))).decode(),
+    base64.b64encode(gzip.compress(b"first") + gzip.compress(SECRET)).decode(),
+    base64.b64encode(gzip.compress(b"first") + SECRET).decode(),
+    base64.b64encode(NOISE + SECRET + NOISE).decode(),
+    base64.b64encode(gzip.compress(NOISE + SECRET + NOISE)).decode(),
+    base64.b64encode(NOISE + base64.b64encode(SECRET) + b" " + NOISE).decode(),
+])
+def test_encoded_parts_are_unwrapped_wholly(inner):
+    t = f"before: {inner} after\nthe end"
+    found = secrets.scan_layers(t)[1]
+    assert any(k == 0 for _, k, _ in found), found
+    assert all(t.index(inner) <= s < e <= t.index(inner) + len(inner) for s, _, e in found)
+
+
+def test_large_layers_are_gone_through_in_pieces():
+    big = b"a few plain words " * 5000
+    for data in (big + SECRET + big, gzip.compress(big + SECRET + big), gzip.compress(big + base64.b64encode(SECRET) + b" " + big)):
+        t = "x " + base64.b64encode(zlib.compress(data)).decode() + " y"
+        _, found, _, skipped = secrets.scan_layers(t, most=1000)
+        assert (2, 0, len(t.split()[1].rstrip("=")) + 2) in found and skipped == 1
+        assert secrets.scan_layers(t)[1] == found
+
+
 def test_secret_rows(spark):
     rows = [(1, None, "s", "en", 0, ""), (2, f"a token={KEY} b", "s", "en", 49, ""), (2, "", "s", "en", 0, ""), (None, "x " * 50_000, "s", None, None, "")]
     docs = spark.createDataFrame(rows, SCHEMA)

@@ -1,14 +1,15 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for assignments, access keys and hexadecimal keys. Then encoded parts are
-unwrapped: percent and backslash sequences (all of a layer at once), base64 runs, and zlib or gzip streams in
-base64. Each decoded layer is scanned like the text and unwrapped in turn, until no layer is new.
+unwrapped: percent and backslash sequences (all of a layer at once), base64 runs, also over line ends, and
+zlib or gzip streams in base64, one in or after the other. Bytes that aren't UTF-8 are scanned as they are. Each decoded layer is scanned like the text and unwrapped in turn, until no layer is new.
 Every character of a layer knows the part of the original text that it came from; a find in a
 layer is reported as that part. A layer with the same text from the same parts isn't taken again:
 parts only narrow, so cycles end, and a text that occurs at several places is unwrapped at each.
 
-Defined results: a null text is an empty one; a span found both ways is reported once; a layer
-that would grow beyond ``most`` characters is not unwrapped and counts in ``n_skipped``.
+Defined results: a null text is an empty one; a span found both ways is reported once; a stream
+that grows beyond ``most`` bytes counts in ``n_skipped`` and is gone through in windows of ``most`` bytes,
+each over half of the one before, so only what is longer than that half may be missed in it.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,11 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+# The shortest find, an assignment of 12 bytes, has 16 characters in base64.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# Runs that go on over line ends, and the lines of one.
+_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -51,9 +58,9 @@ def scan(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A decoded text and, for each of its characters, the range of the original it came from."""
+    """A decoded text and the range of the original that each character came from, or one range (numbers) for all."""
 
-    def __init__(self, text: str, start: np.ndarray, end: np.ndarray):
+    def __init__(self, text: str, start: np.ndarray | int, end: np.ndarray | int):
         self.text, self.start, self.end = text, start, end
 
 
@@ -123,88 +130,183 @@ def _escaped(text: str) -> Layer:
     return Layer("".join(out), np.array(start, np.int64), np.array(end, np.int64))
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """A zlib or gzip stream's content; None if it is none, OverflowError beyond ``most`` bytes."""
-    if data[:2] != b"\x1f\x8b" and not (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0):
-        return None
-    d = zlib.decompressobj(47)
-    try:
-        out = d.decompress(data, most)
-    except zlib.error:
-        return None
-    if d.unconsumed_tail:
-        raise OverflowError
-    return out if d.eof else None
-
+def _packed(data: bytes) -> bool:
+    return data[:2] == b"\x1f\x8b" or (len(data) > 2 and data[0] & 15 == 8 and (data[0] << 8 | data[1]) % 31 == 0)
 
-def _readable(text: str) -> bool:
-    return bool(text) and sum(c.isprintable() or c in "\n\r\t" for c in text) >= 0.9 * len(text)
 
+def _inflate(data: Iterable[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """The content of zlib or gzip streams, one after the other, in chunks; what follows them as it is.
 
-def _base64(text: str, most: int) -> Layer | None:
+    What a broken stream gave before it broke is content too.
+    """
+    data, rest = iter(data), b""
+    while True:
+        while len(rest) < 3 and (more := next(data, None)) is not None:
+            rest += more
+        if not _packed(rest):
+            if rest:
+                yield rest
+            yield from data
+            return
+        d = zlib.decompressobj(47)
+        try:
+            while not d.eof:
+                if chunk := d.decompress(rest, size):
+                    yield chunk
+                rest = d.unconsumed_tail
+                if not rest and not d.eof:
+                    if not (rest := next(data, b"")):
+                        if chunk := d.flush():
+                            yield chunk
+                        return
+        except zlib.error:
+            return
+        rest = d.unused_data
+
+
+def _read(data: bytes) -> str:
+    """UTF-8, or else bytes as they are: the patterns know only ASCII."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def _windows(chunks: Iterable[bytes], size: int) -> Iterator[bytes]:
+    """Windows of ``size`` bytes, each over the last half of the one before."""
+    held = bytearray()
+    for c in chunks:
+        held += c
+        while len(held) > size:
+            yield bytes(held[:size])
+            del held[: max(1, size // 2)]
+    yield bytes(held)
+
+
+def _opened(data: bytes, most: int) -> Iterator[bytes | OverflowError]:
+    """What is in packed bytes, level by level, until no header is left.
+
+    From the first level of more than ``most`` bytes on, an OverflowError and then windows of the innermost one.
+    """
+    seen: set[bytes] = set()
+    while _packed(data) and (key := hashlib.blake2b(data, digest_size=16).digest()) not in seen:
+        seen.add(key)
+        level = bytearray()
+        for c in _inflate([data]):
+            level += c
+            if len(level) > most:
+                yield OverflowError()
+                yield from _windows(_innermost(_inflate([data])), most)
+                return
+        data = bytes(level)
+        yield data
+
+
+def _innermost(chunks: Iterator[bytes]) -> Iterator[bytes]:
+    while True:
+        first = b""
+        while len(first) < 3 and (c := next(chunks, None)) is not None:
+            first += c
+        chunks = chain([first], chunks)
+        if not _packed(first):
+            return chunks
+        chunks = _inflate(chunks)
+
+
+def _base64(text: str, most: int, at: np.ndarray) -> Iterator[Layer | OverflowError]:
+    """The layers of a base64 run whose characters lie at ``at``."""
     body = text.rstrip("=")
     if len(body) % 4 == 1:
-        return None
+        return
     try:
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
-        return None
-    opened = inflate(data, most)
-    if opened is not None:
-        text = opened.decode("utf-8", "replace")
-        return Layer(text, np.zeros(len(text), np.int64), np.full(len(text), len(body), np.int64)) if _readable(text) else None
+        return
+    k = np.arange(len(data))
+    k = k // 3 * 4 + k % 3
+    start, end = at[k], at[np.minimum(k + 1, len(body) - 1)] + 1
     try:
-        if not _readable(data.decode("utf-8")):
-            return None
+        data.decode("utf-8")
+        yield _from_bytes(data, start, end)
     except UnicodeDecodeError:
-        return None
-    at = np.arange(len(data))
-    return _from_bytes(data, at // 3 * 4 + at % 3, np.minimum(at // 3 * 4 + at % 3 + 2, len(body)))
-
-
-def _parts(text: str, most: int):
-    """(start of the part, decoded part); an OverflowError is given in place of a part that is too large."""
+        yield Layer(data.decode("latin-1"), start, end)
+    for x in _opened(data, most):
+        yield x if isinstance(x, OverflowError) else Layer(_read(x), int(at[0]), int(at[len(body) - 1]) + 1)
+
+
+def _wrapped(text: str) -> Iterator[tuple[str, np.ndarray]]:
+    """Base64 runs over several lines, joined, and where their characters lie.
+
+    The first and the last line may be words of their own, and lines of one length with a shorter last one
+    are a run by themselves, as other lines may stand before them.
+    """
+    for m in _WRAPPED.finditer(text):
+        pad = m[0][len(m[0].rstrip("=")) :]
+        lines = [(x.start() + m.start(), x[0]) for x in _LINE.finditer(m[0])]
+        n = len(lines)
+        runs = {(i, j) for i in (0, 1) for j in (n - 1, n)}
+        i = 0
+        while i < n:
+            j = i + 1
+            while j < n and len(lines[j][1]) == len(lines[i][1]):
+                j += 1
+            runs.add((i, j))
+            if j < n and len(lines[j][1]) < len(lines[i][1]):
+                runs.add((i, j + 1))
+            i = j
+        for i, j in sorted(runs):
+            if j - i > 1 and sum(len(x) for _, x in lines[i:j]) >= 16:
+                at = np.concatenate([np.arange(a, a + len(x)) for a, x in lines[i:j]])
+                yield "".join(x for _, x in lines[i:j]) + (pad if j == n else ""), at
+
+
+def _parts(text: str, most: int) -> Iterator[Layer | OverflowError]:
+    """The layers in a text; an OverflowError comes before the windows of one that is too large."""
     if _PERCENT.search(text):
-        yield 0, _percent(text)
+        yield _percent(text)
     if "\\" in text and _ESCAPE.search(text):
-        yield 0, _escaped(text)
+        yield _escaped(text)
     for m in _BASE64.finditer(text):
-        try:
-            if (part := _base64(m[0], most)) is not None:
-                yield m.start(), part
-        except OverflowError as e:
-            yield m.start(), e
+        yield from _base64(m[0], most, np.arange(m.start(), m.end()))
+    if "\n" in text:
+        for run, at in _wrapped(text):
+            yield from _base64(run, most, at)
 
 
-def _key(text: str, start: np.ndarray, end: np.ndarray) -> bytes:
+def _key(text: str, start: np.ndarray | int, end: np.ndarray | int) -> bytes:
     h = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
-    h.update(start.tobytes())
-    h.update(end.tobytes())
+    h.update(np.asarray(start).tobytes())
+    h.update(np.asarray(end).tobytes())
     return h.digest()
 
 
 def scan_layers(text: str, most: int = 1 << 26) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], int, int]:
-    """(base spans, all spans, decoded layers, layers too large to unwrap)."""
+    """(base spans, all spans, decoded layers, layers too large to unwrap at once)."""
     base = scan(text)
     spans, seen, layers, skipped = set(base), set(), 0, 0
-    work: list[tuple[str, np.ndarray | None, np.ndarray | None]] = [(text, None, None)]
+    work = [(_parts(text, most), None, None)]
     while work:
-        now, start, end = work.pop()
-        for at, part in _parts(now, most):
-            if isinstance(part, OverflowError):
-                skipped += 1
-                continue
-            a, b = part.start + at, part.end + at
-            if start is not None and len(a):
-                a, b = start[a], end[b - 1]
-            if not len(a):
-                continue
-            found = scan(part.text)
-            spans.update((int(a[s:e].min()), k, int(b[s:e].max())) for s, k, e in found)
-            if (key := _key(part.text, a, b)) not in seen:
-                seen.add(key)
-                layers += 1
-                work.append((part.text, a, b))
+        parts, start, end = work[-1]
+        if (part := next(parts, None)) is None:
+            work.pop()
+            continue
+        if isinstance(part, OverflowError):
+            skipped += 1
+            continue
+        if not part.text:
+            continue
+        a, b = part.start, part.end
+        if isinstance(start, int):  # all of one range
+            a, b = start, end
+        elif start is not None:
+            a, b = (int(start[a:b].min()), int(end[a:b].max())) if isinstance(a, int) else (start[a], end[b - 1])
+        if (key := _key(part.text, a, b)) in seen:
+            continue
+        seen.add(key)
+        layers += 1
+        found = scan(part.text)
+        spans.update((a, k, b) if isinstance(a, int) else (int(a[s:e].min()), k, int(b[s:e].max())) for s, k, e in found)
+        work.append((_parts(part.text, most), a, b))
     return base, sorted(spans), layers, skipped
 
 
