@@ -122,3 +122,13 @@ def test_copies_in_any_order_link_with_their_near_copies(spark):
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()} == want
     again = spark.createDataFrame(rows + [(None, t)], "doc_id long, text string").coalesce(1)  # nodes are hashes
     assert {r.doc_id: r.component_id for r in jaccard.near_duplicates(again).collect()} == want | {None: 1}
+
+
+def test_one_row_of_each_component_stays(spark):
+    r = random.Random(4)
+    a, b, c, d, e = (" ".join(r.choices([f"w{i}" for i in range(900)], k=80)) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b + " end"), (7, c), (7, d), (7, d), (3, e), (7, e + " end"), (None, e)]
+    got = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    pairs = [(x.doc_id, x.text) for x in got]
+    assert len(pairs) == 5 and {(None, a), (7, c), (7, d), (3, e)} < set(pairs)
+    assert len({(None, b), (None, b + " end")} & set(pairs)) == 1

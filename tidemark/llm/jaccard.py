@@ -31,7 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, mix, modest_batches, partitions, shingle_set
@@ -270,28 +270,43 @@ class Join:
         return found.unionByName(self.verify(second)) if not second.isEmpty() else found
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+def _rooted(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, Column, bool]:
+    """``docs`` as (node, text, doc_id), (node, n, root) of each node, the node's expression, and whether nodes are ids."""
     once = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    node = F.col("doc_id").cast("long")
-    if once["n"] != once["ids"]:  # repeated or null ids: rows with equal id and text are one node
+    unique = once["n"] == once["ids"]
+    node = docs["doc_id"].cast("long")
+    if not unique:  # repeated or null ids: rows with equal id and text are one node
         node = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
     named = docs.select(node.alias("node"), docs["text"], docs["doc_id"].cast("long").alias("doc_id"))
-    join = Join(named.select("node", "text").dropDuplicates(["node"]) if once["n"] != once["ids"] else named.select("node", "text"), words, percent)
+    join = Join(named.select("node", "text") if unique else named.select("node", "text").dropDuplicates(["node"]), words, percent)
     root = components(join.links())
     nodes = join.heads.withColumn("linked", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("node")))
     nodes = nodes.join(root.withColumnRenamed("node", "linked"), "linked", "left").select("node", "n", F.coalesce("root", "linked").alias("root"))
+    return named, nodes, node, unique
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
+    named, nodes, _, unique = _rooted(docs, words, percent)
     rows = named.select("node", "doc_id").join(nodes, "node")
-    if once["n"] == once["ids"]:  # nodes are ids, so the least node is the least id
+    if unique:  # nodes are ids, so the least node is the least id
         return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
     least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's, one row of each."""
-    keep = near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component: that of the least doc_id, null ids last, and among equal ids of the least node.
+
+    Where ids are repeated or null, a node is a hash of id and text; of rows with both equal one stays.
+    """
+    named, nodes, node, unique = _rooted(docs, 5, 75)
+    if unique:
+        keep = nodes.filter(F.col("node") == F.col("root")).select(F.col("node").alias("__node"))
+        return docs.withColumn("__node", node).join(keep, "__node", "left_semi").select(*docs.columns)
+    rows = named.select("node", "doc_id").distinct().join(nodes, "node")
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")).select(F.col("first.node").alias("__node"))
+    return docs.withColumn("__node", node).join(keep, "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir):
