@@ -103,6 +103,23 @@ def test_packing_puts_neighbours_together():
     assert np.mean([len(set(s)) == 1 for s in seqs.values()]) > 0.8
 
 
+def test_a_group_over_a_tenth_of_the_shard_is_packed_together():
+    r = np.random.default_rng(2)
+    words = [r.integers(1 << 50, 1 << 60, 40).astype(np.uint64) for _ in range(200)]
+    hot = r.integers(0, 1 << 40, 30).astype(np.uint64)
+    for i in range(0, 200, 4):
+        words[i] = np.concatenate((r.choice(hot, 25), words[i][:10]))
+    first = [d for d, *_, s, _ in packing.pack([100] * 200, packing.Index(words), 1000) if s == 0]
+    assert len(first) == 10 and all(d % 4 == 0 for d in first)
+
+
+def test_neighbours_are_all_taken_before_the_input_order():
+    near = np.arange(20, dtype=np.uint64)
+    words = [near if i % 2 == 0 else np.array([1000 + i], np.uint64) for i in range(1200)]
+    first = [d for d, *_, s, _ in packing.pack([1] * 1200, packing.Index(words), 600) if s == 0]
+    assert all(d % 2 == 0 for d in first)
+
+
 def test_bm25_equals_brute_force():
     r = np.random.default_rng(3)
     words = [r.integers(0, 60, r.integers(1, 80)).astype(np.uint64) for _ in range(50)]

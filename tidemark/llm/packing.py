@@ -31,7 +31,7 @@ K1, B = 1.2, 0.75
 class Index:
     """BM25 over one shard: term-major postings with their weights, and each document's terms."""
 
-    def __init__(self, words: list[np.ndarray], common: float = 0.1):
+    def __init__(self, words: list[np.ndarray], common: float = 1.0):
         n = len(words)
         length = np.array([len(w) for w in words], float)
         doc = np.repeat(np.arange(n), length.astype(np.int64))
@@ -44,7 +44,7 @@ class Index:
         term, doc = term[at], doc[at]
         first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
         df = np.diff(np.append(first, len(term)))
-        # A word of one document finds no neighbour; one in a large part of the shard has an idf near nothing.
+        # A word of one document finds no neighbour.
         use = (df > 1) & (df <= max(8, common * n))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
@@ -81,8 +81,6 @@ def pack(lengths: list[int], index: Index, window: int) -> list[tuple[int, int,
         if seed >= 0:  # a new seed's neighbours, best first
             score = np.where(used, 0, index.scores(seed))
             some = np.flatnonzero(score > 0)
-            if len(some) > 256:
-                some = np.sort(some[np.argpartition(-score[some], 255)[:256]])
             ranked = some[np.argsort(-score[some], kind="stable")][::-1].tolist()
             seed = -1
         while ranked:
