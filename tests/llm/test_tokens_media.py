@@ -66,6 +66,28 @@ def test_repair_round_trip(seed):
     assert len(shard.symbols) < len(ids) and ends[-1] == len(ids)
 
 
+def test_repair_ends_when_no_pair_is_frequent():
+    r = np.random.default_rng(5)
+    copy = r.integers(0, 30000, 2000)
+    parts = [copy] * 20 + [r.integers(0, 30000, 50000)]
+    data = repair.compress(np.concatenate(parts), np.cumsum([len(p) for p in parts]), 50257)
+    shard = repair.Shard(data)
+    assert all(shard.document(k).tolist() == p.tolist() for k, p in enumerate(parts))
+    assert max(np.diff(np.append(0, shard.stops))[:20]) <= 2
+    for k in range(20):
+        s = shard.symbols[shard.stops[k - 1] if k else 0 : shard.stops[k]]
+        assert len(s) <= 2
+
+
+def test_a_rare_pair_does_not_hide_a_frequent_one_of_its_slot():
+    hashed = (np.arange(3_000_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    rare = 5
+    often = int(np.flatnonzero(hashed == hashed[rare])[1])
+    key = np.array([rare] + [often, 0] * 20, np.uint64)
+    pairs, at, which = repair._pairs(key, np.ones(len(key), bool), 8, 4000)
+    assert often in pairs.tolist() and key[at[pairs[which] == often]].tolist() == [often] * 20
+
+
 def check_pieces(rows, window, end_id=1):
     docs, sequences = {}, {}
     for r in rows:

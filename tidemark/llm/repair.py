@@ -7,7 +7,7 @@ document's end, so any document is decoded without the others.
 
 Each round counts all pairs of the shard, takes the most frequent ones (up to ``per_round``, found
 at least ``least`` times) and replaces their occurrences from left to right at once; rounds end
-when no pair is that frequent or after ``rounds``.
+when no pair is that frequent, or after ``rounds`` if given.
 
 Defined results: a null text has only the end id; an empty table gives no shard; rows with equal
 doc_id are kept each, side by side; extra columns are ignored.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,45 +34,34 @@ _HEAD = struct.Struct("<4sBxxxIIQQ")  # magic, bytes of a symbol, first nontermi
 def _pairs(key: np.ndarray, joined: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The most frequent pair keys, the positions that hold one, and which; ``joined`` marks pairs inside a document.
 
-    Pairs are counted by hash, and a slot stands for one pair of the shard that falls into it, so that a
-    round is a few passes without sorting. Another pair of a slot waits for a later round.
+    A first count by hash picks the slots that can hold a frequent pair; their pairs are counted exactly.
     """
     bits = 20
     slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
-    count = np.bincount(slot[joined], minlength=1 << bits)
-    full = np.count_nonzero(count >= least)
-    if not full:
-        return key[:0], slot[:0], slot[:0]
-    bar = max(least, int(np.partition(count, -min(most, full))[-min(most, full)]))
-    at = np.flatnonzero((count >= bar)[slot] & joined)
-    here, pair = slot[at], key[at]
-    of_slot = np.zeros(1 << bits, np.uint64)
-    of_slot[here[::-1]] = pair[::-1]  # the first in the shard
-    same = of_slot[here] == pair
-    at, here = at[same], here[same]
-    times = np.bincount(here, minlength=1 << bits)
+    full = np.bincount(slot[joined], minlength=1 << bits)
+    at = np.flatnonzero((full >= least)[slot] & joined)
+    pair, which, times = np.unique(key[at], return_inverse=True, return_counts=True)
     chosen = np.flatnonzero(times >= least)
     if len(chosen) > most:
         chosen = np.sort(chosen[np.argsort(-times[chosen], kind="stable")[:most]])
-    name = np.full(1 << bits, -1)
+    name = np.full(len(pair), -1)
     name[chosen] = np.arange(len(chosen))
-    which = name[here]
-    return of_slot[chosen], at[which >= 0], which[which >= 0]
+    which = name[which]
+    return pair[chosen], at[which >= 0], which[which >= 0]
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = 3, per_round: int = 4000, least: int = 8) -> bytes:
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int | None = None, per_round: int = 4000, least: int = 8) -> bytes:
     """One shard: ``ids`` of all documents, ``ends`` the position after each document's last id."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
     last[ends[ends > 0] - 1] = True
-    room = (1 << 16) - vocabulary if vocabulary < 1 << 16 else 1 << 30
     left: list[np.ndarray] = []
     n_rules = 0
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(s) < 2:
             break
         key = s[:-1].astype(np.uint64) << np.uint64(32) | s[1:]
-        pairs, at, which = _pairs(key, ~last[:-1], least, min(per_round, room - n_rules))
+        pairs, at, which = _pairs(key, ~last[:-1], least, per_round)
         if not len(pairs):
             break
         if len(at) > 1:  # in a run of overlapping hits every second one is taken
