@@ -187,6 +187,15 @@ def test_frequent_lines(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_depleted_by_either_limit(spark):
+    body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    long, short = body("long", 4940), body("short", 65)
+    rows = [(i, f"{long}\n{body(i, 60)}", "h", "en", 0, "") for i in range(20)] + [(100 + i, f"{short}\n{body(100 + i, 35 if i < 10 else 60)}", "h", "en", 0, "") for i in range(20)]
+    rows += [(200, body(200, 50), "h", "en", 0, "")]
+    got = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, SCHEMA), most_docs=10).filter("kept").collect()}
+    assert got == {*range(110, 120), 200}
+
+
 def test_best_fit_is_the_plain_algorithm():
     import random
 

@@ -2,8 +2,8 @@
 
 Lines are normalised (case and white space), hashed, and counted over the distinct documents of
 each host; copies of one whole text count once. Lines on more documents than ``most_docs`` of a
-host are boilerplate there. A document whose other lines hold less than ``least_left`` of its words,
-and fewer than ``least_words`` words, is depleted and rejected, as are those that fail the base rules.
+host are boilerplate there. A document with such lines whose others hold less than ``least_left`` of its
+words, or fewer than ``least_words`` words, is depleted and rejected, as are those that fail the base rules.
 
 Counting is a two-step aggregation (distinct text and line, then line), combined before each
 shuffle; the verdicts come from an equi-join that Spark can split at hot lines. No line's documents
@@ -86,7 +86,7 @@ def judge(docs: DataFrame, most_docs: int = 200, least_left: float = 0.3, least_
     left = F.col("n_words") - F.col("boilerplate_words")
     return (
         out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-        .withColumn("kept", ~F.col("base_failed") & ~((left < least_left * F.col("n_words")) & (left < least_words)))
+        .withColumn("kept", ~F.col("base_failed") & ~((F.col("boilerplate_words") > 0) & ((left < least_left * F.col("n_words")) | (left < least_words))))
         .drop("row")
     )
 
