@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -16,9 +20,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Only a local session, whose tasks run on this machine, has a fallback."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    return found or f"file://{tempfile.gettempdir()}/tidemark-shared"
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/tidemark-shared"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -29,20 +37,55 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts go to Python in batches of at most ``rows``, so that long ones don't fill a worker."""
+@contextlib.contextmanager
+def modest_batches(spark: SparkSession, rows: int = 1000):
+    """While it is open, rows go to Python at most ``rows`` at a time, so that whole texts don't fill a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, str(rows))
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Free memory goes back to the system: a reused Python worker otherwise keeps the most that any task took."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def buckets(spark: SparkSession, n_bytes: int, each: int = 64 << 20) -> int:
+    """How many groups to deal ``n_bytes`` to, so that one of them doesn't grow with the input."""
+    return max(partitions(spark), -(-n_bytes // each))
+
+
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns called c0, c1 and so on, as names may differ in case only."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+
+
+def place(df: DataFrame, name: str) -> str:
+    """What ``plain`` calls the column of exactly this name."""
+    return f"c{df.columns.index(name)}"
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns, by exact name first, so that extra columns that differ in case don't clash."""
-    return df.select(*(df[f"`{n}`"] for n in names))
+    """The columns of exactly these names; other columns may differ from them in case only."""
+    return plain(df).select(*(F.col(place(df, n)).alias(n) for n in names))
+
+
+def recounted(made: DataFrame, docs: DataFrame) -> DataFrame:
+    """``made`` (c0, c1 ...) under the names of ``docs``, with ``n_chars``, where there is one, that of the text."""
+    if "n_chars" in docs.columns:
+        n = place(docs, "n_chars")
+        made = made.withColumn(n, F.coalesce(F.length(place(docs, "text")).cast(made.schema[n].dataType), F.col(n)))
+    return made.toDF(*docs.columns)
 
 
 # --- hashing of byte ranges -------------------------------------------------------------------
@@ -54,7 +97,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 #: Longer texts are hashed in pieces of this many bytes, so the tables of powers stay small.
-CHUNK = 1 << 22
+CHUNK = 1 << 18
 
 
 def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -17,12 +17,14 @@ Links serve components here, so copies are never expanded into all pairs: equal
 sharers of a word are first compared with one of them, and after components are known, only those
 pairs of sharers that are still apart. Every pair that shares a word is thus compared or connected.
 
-Words travel as packed arrays by hash bucket, as many buckets as shuffle partitions; of each document
-only shared words of low rank become rows. Joins are equalities that Spark splits at hot keys.
+Words travel as packed arrays by hash bucket, in as many buckets as the text's size asks for; of each
+document only shared words of low rank become rows. Bit sketches lie beside the facts and are read for
+candidates only. Copies are found by an aggregate that combines before its shuffle, and what is joined
+by a set's hash is the table of sets with copies. Joins are equalities that Spark splits at hot keys.
 
 Defined results: null and empty texts, and texts without words, have empty sets and link with nothing;
 rows are nodes, also with equal or null doc_id; a component's id is its least doc_id (null if it has
-none); an empty table gives an empty one.
+none); other columns, also of names that differ in case only, are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,12 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix, modest_batches, partitions, shingle_set
+from .common import buckets, documents, give_back, materialize, mix, modest_batches, only, place, plain, shingle_set
 from .substrings import by_bucket, doc_bucket, joined, pack, spread, unpack
 
 FIRST = 32  # in the lowest band each shingle is a block
 BITS = 2048
-_WORDS = [f"s{i}" for i in range(BITS // 64)]
+FLUSH = 200_000  # words that a task holds before it deals them out
 
 
 def blocks(top: int) -> int:
@@ -89,7 +91,7 @@ def bit_sketch(s: np.ndarray) -> np.ndarray:
 
 
 _PART = "bucket int, kind int, data binary"
-_ROW = f"kind int, node long, word long, n int, f0 long, f1 long, {', '.join(w + ' long' for w in _WORDS)}, weak int, own int"
+_ROW = "kind int, node long, word long, n int, f0 long, f1 long, sketch array<long>, weak int, own int"
 WORDS, SETS = 0, 1
 
 
@@ -130,10 +132,12 @@ def _sketch(rows, n: int, words: int, measure: Measure, seed: int):
             for top, w, slack in made:
                 keys.append((w, np.full(len(w), node, np.int64), np.full(len(w), top.bit_length(), np.uint8), np.full(len(w), min(max(slack, 0), 65535), np.uint16)))
                 size += len(w)
-            if size > 1_000_000:
+            if size > FLUSH:
                 yield flush()
+                give_back()
     if facts:
         yield flush()
+    give_back()
 
 
 def _shared(kinds: list[int], rows: list[bytes], bucket: int, n: int):
@@ -158,15 +162,16 @@ def _lowest(kinds: list[int], rows: list[bytes]) -> pa.Table:
     facts = [unpack(d) for k, d in zip(kinds, rows, strict=True) if k == SETS]
     words = [d for k, d in zip(kinds, rows, strict=True) if k == WORDS]
     names = [x.split()[0] for x in _ROW.split(", ")]
-    types = [pa.int64() if x.endswith("long") else pa.int32() for x in _ROW.split(", ")]
+    types = [{"long": pa.int64(), "int": pa.int32()}.get(x.split()[1], pa.list_(pa.int64())) for x in _ROW.split(", ")]
     out = []
 
     def table(columns: dict, m: int):
-        return pa.table([pa.array(columns[c], t) if c in columns else pa.nulls(m, t) for c, t in zip(names, types, strict=True)], names=names)
+        return pa.table([columns[c].cast(t) if isinstance(columns.get(c), pa.Array) else pa.array(columns[c], t) if c in columns else pa.nulls(m, t) for c, t in zip(names, types, strict=True)], names=names)
 
     if facts:
         node, count, f0, f1, weak, own, *sketch = (np.concatenate(x) for x in zip(*facts, strict=True))
-        out.append(table({"kind": np.full(len(node), SETS), "node": node, "n": count.astype(np.int32), "f0": f0, "f1": f1, "weak": weak.astype(np.int32), "own": own.astype(np.int32), **dict(zip(_WORDS, sketch, strict=True))}, len(node)))
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * len(sketch)), pa.array(np.stack(sketch, 1).ravel()))
+        out.append(table({"kind": np.full(len(node), SETS), "node": node, "n": count.astype(np.int32), "f0": f0, "f1": f1, "weak": weak.astype(np.int32), "own": own.astype(np.int32), "sketch": bits}, len(node)))
     if words:
         w, doc, band, slack, count = joined(words)
         order = np.lexsort((w, count, band, doc))[::-1]  # the commonest first
@@ -194,37 +199,46 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 class Join:
-    """Nodes, their facts and shared words for one table; ``nodes`` has (node, text)."""
+    """Nodes, their facts and shared words for one table; ``nodes`` has (node, text), some ``n_bytes`` of it."""
 
-    def __init__(self, nodes: DataFrame, words: int, percent: int):
+    def __init__(self, nodes: DataFrame, words: int, percent: int, n_bytes: int = 0):
         self.nodes, self.words, self.measure = nodes, words, Measure(percent)
-        n, measure = partitions(nodes.sparkSession), self.measure
-        modest_batches(nodes.sparkSession)
+        spark, measure = nodes.sparkSession, self.measure
+        n = buckets(spark, n_bytes, 16 << 20)
         for seed in range(100):
 
             def start(rows, seed=seed):
                 return _sketch(rows, n, words, measure, seed)
 
             def shared(key, table):
-                return pa.Table.from_batches([_parts(_shared(table.column("kind").to_pylist(), table.column("data").to_pylist(), key[0].as_py(), n))])
+                out = pa.Table.from_batches([_parts(_shared(table.column("kind").to_pylist(), table.column("data").to_pylist(), key[0].as_py(), n))])
+                give_back()
+                return out
 
             def lowest(key, table):
-                return _lowest(table.column("kind").to_pylist(), table.column("data").to_pylist())
+                out = _lowest(table.column("kind").to_pylist(), table.column("data").to_pylist())
+                give_back()
+                return out
 
             made = nodes.select("node", "text").mapInArrow(start, _PART).groupBy("bucket").applyInArrow(shared, _PART)
-            made = materialize(made.groupBy("bucket").applyInArrow(lowest, _ROW), "sketches")
-            self.facts = made.filter(F.col("kind") == SETS).select("node", "n", "f0", "f1", *_WORDS, "weak", "own")
+            with modest_batches(spark):
+                made = materialize(made.groupBy("bucket").applyInArrow(lowest, _ROW), "sketches")
+            sets = made.filter(F.col("kind") == SETS)
             # A set with too many empty blocks in a band would miss partners; another seed deals anew.
-            if self.facts.filter("weak = 1").isEmpty():
+            if sets.filter("weak = 1").isEmpty():
                 break
         else:
             raise RuntimeError("no seed spreads all sets over their blocks")
+        self.single = sets.select("node", "n", "sketch")
         # Equal sets are one node, the least; its words come from the least copy that has some of its own.
-        group = self.facts.groupBy("f0", "f1").agg(F.min("node").alias("head"), F.min(F.when(F.col("own") == 1, F.col("node"))).alias("giver"))
-        self.heads = materialize(self.facts.join(group, ["f0", "f1"]).select("node", "head", "giver", "n", *_WORDS), "heads")
-        single = self.heads.filter(F.col("node") == F.col("head")).select("node", "n", *_WORDS)
-        self.single = single
-        rows = made.filter(F.col("kind") == WORDS).select("node", "word").join(self.heads.filter("node = giver").select("node", "head"), "node").select(F.col("head").alias("node"), "word")
+        facts = sets.select("node", "n", "f0", "f1", "own")
+        group = facts.groupBy("f0", "f1").agg(F.min("node").alias("head"), F.min(F.when(F.col("own") == 1, F.col("node"))).alias("giver"), F.count("*").alias("m"))
+        copied = materialize(group.filter("m > 1").drop("m"), "copied")
+        heads = facts.join(copied, ["f0", "f1"], "left").select("node", "n", "own", F.coalesce("head", "node").alias("head"), F.coalesce("giver", "node").alias("giver"))
+        self.heads = materialize(heads, "heads")
+        spare = self.heads.filter("own = 1 AND node <> giver").select("node")
+        given = self.heads.filter("node = giver AND node <> head").select("node", "head")
+        rows = made.filter(F.col("kind") == WORDS).select("node", "word").join(spare, "node", "left_anti").join(given, "node", "left").select(F.coalesce("head", "node").alias("node"), "word")
         lead = rows.groupBy("word").agg(F.min("node").alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
         self.rows = materialize(rows.join(lead, "word"), "words")
 
@@ -232,7 +246,7 @@ class Join:
         """What two sketches allow: sizes in range and no more odd bits than similar sets can have."""
         p = self.measure.percent
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        odd = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS[1:]), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+        odd = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
         return (100 * F.least(na, nb) >= p * F.greatest(na, nb)) & (odd * (100 + p) <= (na + nb) * (100 - p))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -247,7 +261,8 @@ class Join:
                 flat = np.concatenate(found) if found else np.empty(0, np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offset), pa.array(flat))], names=["node", "items"])
 
-        full = materialize(self.nodes.join(wanted, "node").select("node", "text").mapInArrow(sets, "node long, items array<long>"), "sets")
+        with modest_batches(pairs.sparkSession):
+            full = materialize(self.nodes.join(wanted, "node").select("node", "text").mapInArrow(sets, "node long, items array<long>"), "sets")
         x = full.select(F.col("node").alias("a"), F.col("items").alias("x"))
         y = full.select(F.col("node").alias("b"), F.col("items").alias("y"))
         both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("same"))
@@ -271,14 +286,15 @@ class Join:
 
 
 def _rooted(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, Column, bool]:
-    """``docs`` as (node, text, doc_id), (node, n, root) of each node, the node's expression, and whether nodes are ids."""
-    once = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    """``docs`` (c0, c1 ... and the places of doc_id and text) as (node, text, doc_id), (node, n, root) of each node, the node's expression, and whether nodes are ids."""
+    key, text = F.col(place(docs, "doc_id")), F.col(place(docs, "text"))
+    docs = plain(docs)
+    once = docs.agg(F.count("*").alias("n"), F.count_distinct(key).alias("ids"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()
     unique = once["n"] == once["ids"]
-    node = docs["doc_id"].cast("long")
-    if not unique:  # repeated or null ids: rows with equal id and text are one node
-        node = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
-    named = docs.select(node.alias("node"), docs["text"], docs["doc_id"].cast("long").alias("doc_id"))
-    join = Join(named.select("node", "text") if unique else named.select("node", "text").dropDuplicates(["node"]), words, percent)
+    # Repeated or null ids: rows with equal id and text are one node.
+    node = key.cast("long") if unique else F.xxhash64(F.coalesce(key.cast("string"), F.lit("null")), F.coalesce(text, F.lit("")))
+    named = docs.select(node.alias("node"), text.alias("text"), key.cast("long").alias("doc_id"))
+    join = Join(named.select("node", "text") if unique else named.select("node", "text").dropDuplicates(["node"]), words, percent, once["bytes"])
     root = components(join.links())
     nodes = join.heads.withColumn("linked", F.when(F.col("n") > 0, F.col("head")).otherwise(F.col("node")))
     nodes = nodes.join(root.withColumnRenamed("node", "linked"), "linked", "left").select("node", "n", F.coalesce("root", "linked").alias("root"))
@@ -288,26 +304,27 @@ def _rooted(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``."""
     named, nodes, _, unique = _rooted(docs, words, percent)
+    if unique:  # nodes are ids, so the least node is the least id, and every node is a row
+        return nodes.select(F.col("node").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
     rows = named.select("node", "doc_id").join(nodes, "node")
-    if unique:  # nodes are ids, so the least node is the least id
-        return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = materialize(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     return rows.join(least, "root").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: that of the least doc_id, null ids last, and among equal ids of the least node.
+    """One row of each component, with all its columns: that of the least doc_id, null ids last, and among equal ids of the least node.
 
-    Where ids are repeated or null, a node is a hash of id and text; of rows with both equal one stays.
+    Where ids are repeated or null, a node is a hash of id and text; of rows with both equal one stays. Rows
+    with null or empty texts link with nothing and all stay, but for repeats of id and text.
     """
     named, nodes, node, unique = _rooted(docs, 5, 75)
+    held = plain(docs).withColumn("node", node)
     if unique:
-        keep = nodes.filter(F.col("node") == F.col("root")).select(F.col("node").alias("__node"))
-        return docs.withColumn("__node", node).join(keep, "__node", "left_semi").select(*docs.columns)
+        return held.join(nodes.filter("node = root").select("node"), "node", "left_semi").drop("node").toDF(*docs.columns)
     rows = named.select("node", "doc_id").distinct().join(nodes, "node")
-    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")).select(F.col("first.node").alias("__node"))
-    return docs.withColumn("__node", node).join(keep, "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
+    keep = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")).select(F.col("first.node").alias("node"))
+    return held.join(keep, "node", "left_semi").dropDuplicates(["node"]).drop("node").toDF(*docs.columns)
 
 
 def op1_ngram_jaccard(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(only(documents(spark, sf_dir), "doc_id", "text"))
