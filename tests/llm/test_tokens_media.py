@@ -80,12 +80,58 @@ def test_repair_ends_when_no_pair_is_frequent():
 
 
 def test_a_rare_pair_does_not_hide_a_frequent_one_of_its_slot():
-    hashed = (np.arange(3_000_000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
+    keys = np.arange(300_000, dtype=np.uint64)
+    slot = repair._slots(keys, 8)
     rare = 5
-    often = int(np.flatnonzero(hashed == hashed[rare])[1])
-    key = np.array([rare] + [often, 0] * 20, np.uint64)
-    pairs, at, which = repair._pairs(key, np.ones(len(key), bool), 8, 4000)
-    assert often in pairs.tolist() and key[at[pairs[which] == often]].tolist() == [often] * 20
+    often, more = (int(x) for x in np.flatnonzero(slot == slot[rare])[1:3])
+    key = np.array([rare] + [often, 0] * 20 + [more] * 9 + [more + 1] * 8, np.uint64)
+    pairs, rest = repair._frequent(key, 8, 3)
+    assert sorted(pairs.tolist()) == sorted([0, often, more]) and rest.tolist() == [more + 1]
+    which, maybe = repair._places(key, pairs, rest)
+    assert [int(pairs[w]) if w >= 0 else None for w in which] == [None if k in (rare, more + 1) else int(k) for k in key]
+    assert maybe[-8:].all() and maybe[which >= 0].all()
+
+
+def replaced(p, name):
+    out, i = [], 0
+    while i < len(p):
+        pair = tuple(p[i : i + 2])
+        out.append(name.get(pair, p[i]))
+        i += 1 + (pair in name)
+    return out
+
+
+def plain_rounds(parts, vocabulary, per_round, least):
+    """Re-Pair by rounds, counting every pair of every document anew."""
+    parts, n_rules = [list(p) for p in parts], 0
+    while True:
+        times = {}
+        for p in parts:
+            for pair in zip(p, p[1:], strict=False):
+                times[pair] = times.get(pair, 0) + 1
+        chosen = sorted(sorted((k for k, n in times.items() if n >= least), key=lambda k: (-times[k], k))[:per_round])
+        if not chosen:
+            return parts, n_rules
+        name = {pair: vocabulary + n_rules + i for i, pair in enumerate(chosen)}
+        n_rules += len(chosen)
+        parts = [replaced(p, name) for p in parts]
+
+
+@pytest.mark.parametrize("seed, per_round, least", [(1, 4000, 8), (2, 3, 4), (3, 50, 2), (4, 1, 8)])
+def test_repair_is_the_plain_algorithm(seed, per_round, least):
+    r = np.random.default_rng(seed)
+    parts = [r.integers(0, 4 + 10 * seed, n).tolist() for n in (1, 2, 700, 900, 3)] + [[7] * 99, [1, 2, 3] * 40]
+    data = repair.compress(np.concatenate(parts), np.cumsum([len(p) for p in parts]), 1000, per_round=per_round, least=least)
+    shard = repair.Shard(data)
+    want, n_rules = plain_rounds(parts, 1000, per_round, least)
+    assert shard.symbols.tolist() == sum(want, []) and len(shard.lengths) == n_rules
+
+
+def test_a_shard_is_read_from_its_bytes_alone():
+    parts = [np.arange(5), np.array([9]), np.arange(5)]
+    shard = repair.Shard(repair.compress(np.concatenate(parts), np.array([5, 6, 11]), 100, least=2, doc_ids=[3, None, -7]))
+    ids, stops = shard.documents()
+    assert shard.doc_ids == [3, None, -7] and shard.n_ids == 11 and stops.tolist() == [5, 6, 11] and ids.tolist() == [*range(5), 9, *range(5)]
 
 
 def check_pieces(rows, window, end_id=1):
@@ -145,7 +191,7 @@ def test_neighbours_are_all_taken_before_the_input_order():
 def test_bm25_equals_brute_force():
     r = np.random.default_rng(3)
     words = [r.integers(0, 60, r.integers(1, 80)).astype(np.uint64) for _ in range(50)]
-    index = packing.Index(words, common=1)
+    index = packing.Index(words)
     mean = np.mean([len(w) for w in words])
     for d in (0, 7, 31):
         want = np.zeros(50)
@@ -176,9 +222,22 @@ def test_image_formats():
     assert media.decode(b"P2\n# c\n2 2 9\n1 2\n3 4\n").tolist() == [[1, 2], [3, 4]]
     assert media.decode(b"P1\n3 1\n1 0 1\n").tolist() == [[0, 255, 0]]
     assert media.decode(b"P4\n3 1\n\xa0").tolist() == [[0, 255, 0]]
-    for bad in (b"", b"P5", b"P5 9 9 255\nxx", b"BM", b"GIF89a"):
-        with pytest.raises((ValueError, __import__("struct").error)):
+    low = bytearray(media.encode_bmp(grey))
+    low[10:14] = (54 + 8).to_bytes(4, "little")  # a palette of two colours
+    wide, odd = b"P5 99999999999999999999 3 255\n1", b"P5 2 2 70000\n12345678"
+    for bad in (b"", b"P5", b"P5 9 9 255\nxx", b"BM", b"GIF89a", bytes(low), wide, odd, b"P2 2 1 9 -5 3", b"P2 2 1 9 10 3", b"P2 2 1 300 301 3", b"P5 2 1 9\n\x0a\x01", b"P1 2 1 12", b"P2 0 1 9", b"P2 x 1 9", media.encode_bmp(grey)[:-3]):
+        with pytest.raises(ValueError):
             media.decode(bad)
+    r = np.random.default_rng(1)
+    for whole in (media.encode_bmp(grey), media.encode_bmp(rgb), media.encode_pgm(grey), b"P6 5 6 255\n" + rgb.tobytes()):
+        for _ in range(300):  # bytes changed anywhere never raise anything else
+            data = bytearray(whole[: r.integers(1, len(whole) + 1)])
+            for k in r.integers(0, min(len(data), 70), 3):
+                data[k] = r.integers(0, 256)
+            try:
+                media.decode(bytes(data))
+            except ValueError:
+                pass
 
 
 def test_area_resize_is_the_mean_of_areas():

@@ -52,10 +52,16 @@ class Coder(dict):
         self.direct = shape.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.find = regex.compile(_PATTERN).findall
         self.letters = _byte_letters()
+        self.space = self.letters[ord(" ")]
+        self.tokenize = self.tokenizer.model.tokenize
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _part(self, shown: str) -> bytes:
+        """The ids of one pre-token, shown in the letters of byte-level BPE."""
+        return array(self.code, [t.id for t in self.tokenize(shown)]).tobytes()
+
     def piece(self, text: str) -> bytes:
         """The ids of a short text."""
         if not self.direct:
@@ -66,15 +72,17 @@ class Coder(dict):
             cache, key = (self, part[1:]) if part[0] == " " and len(part) > 1 and not part[1].isspace() else (self.inner, part)
             ids = cache.get(key)
             if ids is None:
-                shown = part.encode("utf-8").decode("latin-1").translate(self.letters)
-                ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+                ids = self._part(part.encode("utf-8").decode("latin-1").translate(self.letters))
                 if len(cache) < self.most:
                     cache[key] = ids
             out.append(ids)
         return out[0] if len(out) == 1 else b"".join(out)
 
     def __missing__(self, p: str) -> bytes | None:
-        ids = None if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
+        if self.direct and p.isalpha():  # letters only: " word" is one pre-token
+            ids = self._part(self.space + (p if p.isascii() else p.encode("utf-8").decode("latin-1").translate(self.letters)))
+        else:
+            ids = None if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
         if len(self) < self.most:
             self[p] = ids
         return ids
