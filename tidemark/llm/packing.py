@@ -9,8 +9,12 @@ is full, and each token lies in exactly one piece.
 Shards are cut from the stream of a partition, so a task holds one shard at a time, whatever the
 input's size; no shuffle is needed, and no group of rows has to come together.
 
+Document frequencies, mean length and neighbours are those of the shard, as in any index that is
+partitioned by documents.
+
 Defined results: a null or empty text is a document of the end id only; equal scores go to the
-earlier document; repeated rows are packed each; an empty table gives no row.
+earlier document; rows with null or repeated doc_id are packed each; other columns, also of names that
+differ in case only, are ignored; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ K1, B = 1.2, 0.75
 class Index:
     """BM25 over one shard: term-major postings with their weights, and each document's terms."""
 
-    def __init__(self, words: list[np.ndarray], common: float = 1.0):
+    def __init__(self, words: list[np.ndarray]):
         n = len(words)
         length = np.array([len(w) for w in words], float)
         doc = np.repeat(np.arange(n), length.astype(np.int64))
@@ -45,7 +49,7 @@ class Index:
         first = np.flatnonzero(np.concatenate(([True], term[1:] != term[:-1]))) if len(term) else np.empty(0, np.int64)
         df = np.diff(np.append(first, len(term)))
         # A word of one document finds no neighbour.
-        use = (df > 1) & (df <= max(8, common * n))
+        use = df > 1
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * length / max(1.0, length.mean() if n else 1.0))
         weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
