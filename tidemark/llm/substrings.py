@@ -17,12 +17,12 @@ A byte goes when a string of ``length`` bytes that covers it also starts anywher
 4. Documents are cut by the union of the repeated windows.
 
 Between the steps, segments travel as packed arrays, one row a bucket and input batch. Buckets are
-hashes of anchors or document ids and their number follows the session's shuffle partitions, so a
-task's share does not grow with the input. Copies of a passage are one hash each in step 2.
+hashes of anchors or document ids, as many as the text's size asks for, so a task's share does not
+grow with the input. Copies of a passage are one hash each in step 2.
 
 Defined results: a null text is empty; texts below ``length`` bytes are kept whole; repeated rows
-with one doc_id get the same result each, and count as different places; an empty table gives an
-empty one.
+with one doc_id get the same result each, and count as different places; other columns, also of names
+that differ in case only, are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, RangeHash, documents, materialize, mix, modest_batches, partitions
+from .common import CHUNK, RangeHash, buckets, documents, give_back, materialize, mix, modest_batches, only
 
 GRAM = 32
 _LOW = np.uint64((1 << 24) - 1)
@@ -142,11 +142,13 @@ def find_segments(rows, length: int, n: int):
             if len(first):
                 held.append((anchor, form, np.full(len(first), key, np.int64), first.astype(np.uint32), (last - first).astype(np.uint8), (place - first).astype(np.uint8)))
                 size += len(first)
-            if size > 500_000:
+            if size > 200_000:
                 yield _flush(held, n)
                 held, size = [], 0
+                give_back()
     if held:
         yield _flush(held, n)
+    give_back()
 
 
 def _flush(held, n: int) -> pa.RecordBatch:
@@ -176,8 +178,9 @@ def compare_forms(rows: list[bytes], length: int, n: int, hot: int = 50_000):
     kind = np.where(n_form[ask] > 1, REPEATED, SINGLE).astype(np.uint8)
     out = [(np.full(len(cover), COVER, np.uint8), anchor[cover], doc[cover], first[cover], run[cover])]
     shares = 1 << np.ceil(np.log2(np.maximum(1, np.bincount(of_anchor[ask], minlength=len(forms))[of_anchor[ask]] / hot))).astype(np.int64) if len(ask) else ask
-    for share in np.unique(np.minimum(shares, 64)):
-        which = np.minimum(shares, 64) == share
+    most = 1 << int(np.log2(length - GRAM + 1))  # a share is a distance at least
+    for share in np.unique(np.minimum(shares, most)):
+        which = np.minimum(shares, most) == share
         i, k = ask[which], kind[which]
         width = -(-(length - GRAM + 1) // int(share))
         f, r, p = (x[i].astype(np.int64) for x in (first, run, place))
@@ -347,10 +350,9 @@ def cut_document(data: bytes, a: np.ndarray, b: np.ndarray) -> tuple[int, int, b
 
 def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False) -> DataFrame:
     """One row per document: n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes)."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    modest_batches(spark)
-    once = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    spark, docs = docs.sparkSession, only(docs, "doc_id", "text")
+    once = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    n = buckets(spark, once["bytes"], 16 << 20)
     key = F.col("doc_id").cast("long")
     if once["n"] != once["ids"]:  # repeated or null ids: rows with equal id and text are one key
         key = F.xxhash64(F.coalesce(docs["doc_id"].cast("string"), F.lit("null")), F.coalesce(docs["text"], F.lit("")))
@@ -395,14 +397,17 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = False)
 
     result = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())] + [("kept", pa.binary())] * with_text)
     found = base.select("key", "text").mapInArrow(start, _ROW)
-    first = materialize(found.groupBy("bucket").applyInArrow(forms, _ROW), "segments")
+    with modest_batches(spark):
+        first = materialize(found.groupBy("bucket").applyInArrow(forms, _ROW), "segments")
     cut = mixed.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInArrow(gather, _ROW)
     second = cut.groupBy("bucket").applyInArrow(windows, _ROW)
     return mixed.groupBy("bucket").cogroup(first.unionByName(second).groupBy("bucket")).applyInArrow(finish, ", ".join(f"{f.name} {({'int64': 'long', 'string': 'string', 'binary': 'binary'})[str(f.type)]}" for f in result))
 
 
 def _table(found) -> pa.Table:
-    return pa.Table.from_batches([_rows(found)])
+    out = pa.Table.from_batches([_rows(found)])
+    give_back()
+    return out
 
 
 def op2_substrings(spark, sf_dir):
