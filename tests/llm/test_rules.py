@@ -179,7 +179,7 @@ def test_frequent_lines(spark):
     body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
     rows = [(i, f"Common  LINE {' '.join(map(str, range(60)))}\n{body(i, 5 if i < 3 else 60)}", "h" if i % 2 else None, "en", 0, "") for i in range(40)]
     rows += [(100 + i, "one text many times " + body(0, 80), "h", "en", 0, "") for i in range(50)] + [(200, None, None, None, None, None)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), most_docs=10).collect()}
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA), least_docs=10).collect()}
     assert all(got[i].boilerplate_words == 62 for i in range(40))
     assert [i for i in range(40) if not got[i].kept] == [0, 1, 2]
     assert all(got[100 + i].kept and got[100 + i].boilerplate_words == 0 for i in range(50))  # copies count once
@@ -192,7 +192,7 @@ def test_depleted_by_either_limit(spark):
     long, short = body("long", 4940), body("short", 65)
     rows = [(i, f"{long}\n{body(i, 60)}", "h", "en", 0, "") for i in range(20)] + [(100 + i, f"{short}\n{body(100 + i, 35 if i < 10 else 60)}", "h", "en", 0, "") for i in range(20)]
     rows += [(200, body(200, 50), "h", "en", 0, "")]
-    got = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, SCHEMA), most_docs=10).filter("kept").collect()}
+    got = {r.doc_id for r in quality.judge(spark.createDataFrame(rows, SCHEMA), least_docs=10).filter("kept").collect()}
     assert got == {*range(110, 120), 200}
 
 
@@ -247,6 +247,19 @@ def test_raking(spark):
     assert share("lang") == pytest.approx({v: x / sum(natural.values()) for v, x in natural.items()}, rel=1e-4)
 
 
+def test_residuals_and_a_table_of_targets(spark):
+    cells = [(s, l, float(1 + (3 * i + 5 * j) % 7)) for i, s in enumerate("ab") for j, l in enumerate("xyz")]
+    table = spark.createDataFrame([("x", 5.0), ("y", 3.0), ("none", 1.0)], "value string, share double")
+    targets = {"source": {"a": 0.3, "b": 0.7}, "lang": table}
+    raked = mixing.rake(spark.createDataFrame(cells, "source string, lang string, mass double"), targets, rounds=30)
+    got = {(r.dim, r.value): (r.goal, r.mass) for r in mixing.residuals(raked, targets).collect()}
+    total = sum(m for *_, m in cells)
+    assert got["lang", "z"] == (0.0, 0.0) and got["lang", "x"] == pytest.approx((total * 5 / 8,) * 2) and got["source", "a"] == pytest.approx((total * 0.3,) * 2)
+    lone = spark.createDataFrame([("a", "x", 1.0), ("b", "y", 1.0)], "source string, lang string, mass double")
+    apart = {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}}  # no weights meet both
+    assert any(abs(r.goal - r["mass"]) > 0.1 for r in mixing.residuals(mixing.rake(lone, apart), apart).collect())
+
+
 def test_mixing(spark):
     rows = [(i, "word " * (i % 50), f"s{i % 3}" if i % 7 else None, "en" if i % 2 else "de", 0, "") for i in range(3000)] + [(None, None, None, None, None, None)]
     docs = spark.createDataFrame(rows, SCHEMA)
@@ -254,7 +267,8 @@ def test_mixing(spark):
     assert len(got) == len(rows) and docs.columns == list(got[0].asDict())[:6]
     p = sum(r.mix_probability for r in got)
     assert abs(sum(r.mix_sampled for r in got) - p) < 5 * p**0.5 and max(r.mix_probability for r in got) == 1
-    assert mixing.mix(docs.limit(0)).count() == 0
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.sample(docs).columns == docs.columns
+    assert mixing.sample(docs).count() == sum(r.mix_sampled for r in got)
 
 
 def test_url_filters(spark):

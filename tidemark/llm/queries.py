@@ -16,4 +16,4 @@ QUERIES = {
     "op9_token_ids": repair.op9_token_ids,
     "op10_url_filters": urls.op10_url_filters,
 }
-ORACLE: dict[str, str] = {"op4_mixing": mixing.oracle_sql(), "op10_url_filters": urls.oracle_sql()}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.oracle_sql(), "op7_quality": quality.oracle_sql(), "op10_url_filters": urls.oracle_sql()}
