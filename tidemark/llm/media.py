@@ -3,8 +3,10 @@
 Images are decoded to numpy arrays, area-resized by integral images (summed-area tables), and
 given out as NPY tiles with difference hashes.
 
-Defined results: a null payload is an empty one; bytes that are no image give null tile and hash;
-equal bytes give equal values; an empty table gives an empty one.
+Defined results: a null payload is an empty one; bytes that are no whole image (a broken header, too few
+samples, samples or palette indexes out of range) give null values, tile and hash; equal bytes give equal
+values; rows with null or repeated doc_id are kept each; very long payloads are one image of many rows;
+other columns, also of names that differ in case only, are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, only
+from .common import documents, materialize, modest_batches, only
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -37,10 +39,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         head.append(int(m[1]))
         at = m.end()
     width, height, top = *head[:2], (head[2] if len(head) > 2 else 1)
+    if min(width, height, top) < 1 or top > 65535 or width * height > 8 * len(data):
+        raise ValueError("impossible size")
     shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
     n = int(np.prod(shape))
     if kind == b"P1":
         digits = re.sub(rb"#[^\n\r]*|\s", b"", data[at:])
+        if digits[:n].strip(b"01"):
+            raise ValueError("a sample that is no bit")
         out = (np.frombuffer(digits, np.uint8, n) == ord("0")) * np.uint8(255)
     elif kind in (b"P2", b"P3"):
         out = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.int64)
@@ -50,8 +56,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = (bits[:, :width] == 0) * np.uint8(255)
     else:
         out = np.frombuffer(data, np.uint8 if top < 256 else ">u2", n, at + 1)
-    if out.size != n:
-        raise ValueError("truncated samples")
+    if out.size != n or (kind in (b"P2", b"P3", b"P5", b"P6") and n and not 0 <= out.min() <= out.max() <= top):
+        raise ValueError("too few samples or one out of range")
     return out.astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
 
 
@@ -67,12 +73,16 @@ def decode_bmp(data: bytes) -> np.ndarray:
     start, size, width, height, _, depth, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed or depth not in (8, 24, 32):
         raise ValueError("only uncompressed 8, 24 and 32 bits")
+    if width < 1 or not height or width * abs(height) * depth // 8 > len(data):
+        raise ValueError("impossible size")
     row = (width * depth // 8 + 3) & ~3
     raw = np.frombuffer(data, np.uint8, row * abs(height), start).reshape(abs(height), row)[:, : width * depth // 8]
     raw = raw if height < 0 else raw[::-1]
     if depth > 8:
         return raw.reshape(abs(height), width, depth // 8)[:, :, 2::-1].copy()
     palette = np.frombuffer(data, np.uint8, start - 14 - size, 14 + size).reshape(-1, 4)[:, 2::-1]
+    if raw.max() >= len(palette):
+        raise ValueError("a sample outside the palette")
     return palette[raw][:, :, 0].copy() if (palette == palette[:, :1]).all() else palette[raw]
 
 
@@ -90,7 +100,11 @@ def encode_bmp(samples: np.ndarray) -> bytes:
 
 
 def decode(data: bytes) -> np.ndarray:
-    return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    """The samples of an image; ValueError for any bytes that are none."""
+    try:
+        return decode_bmp(data) if data[:2] == b"BM" else decode_netpbm(data)
+    except (IndexError, OverflowError, struct.error) as e:
+        raise ValueError(f"not a whole image: {e}") from e
 
 
 def area_resize(samples: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -146,7 +160,7 @@ def media_features(media: DataFrame, tile: int = 16) -> DataFrame:
         head = (len(data), hashlib.sha256(data).hexdigest())
         try:
             samples = decode(data)
-        except (ValueError, struct.error):
+        except ValueError:
             return None, None, None, *head, None, None
         raw = samples.tobytes()
         if not raw:
@@ -165,4 +179,7 @@ def media_features(media: DataFrame, tile: int = 16) -> DataFrame:
 
 
 def op5_media(spark, sf_dir):
-    return media_features(text_to_media(documents(spark, sf_dir)))
+    """Images are written as a table of binary columns, and their features computed from what is read back."""
+    with modest_batches(spark):
+        stored = materialize(text_to_media(documents(spark, sf_dir)), "media")
+    return media_features(stored)
