@@ -5,7 +5,6 @@ import pytest
 from tidemark.queries import ORACLE, QUERIES
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"setups", "publish_order", "ablation", "validate_oos", "walk_forward", "gate_full", "gate_neighbors"}
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +22,7 @@ def canonical(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLE) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, DIR)
     columns = sorted(got.columns)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.operators import bars as B
-from tidemark.plans import panel, scenario, score, setups, validation
+from tidemark.plans import panel, rules, scenario, score, setups, validation
 
 D0 = dt.date(2018, 1, 1)
 
@@ -74,7 +74,7 @@ def test_barriers_against_a_loop(spark):
         rows.append((o, max(o, c) + r.random(), min(o, c) - r.random(), c))
     b = B.numbered(B.ahead(make_bars(spark, rows), 8)).withColumn("direction", F.explode(F.array(F.lit("LONG"), F.lit("SHORT"))))
     for sl, tp in ((1.5, 2.0), (1.0, 6.0), (50.0, 60.0)):
-        out = B.triple_barrier(b, 8, F.lit(sl), F.lit(tp), F.lit(tp / sl)).collect()
+        out = B.triple_barrier(b, F.lit(sl), F.lit(tp), F.lit(tp / sl)).collect()
         assert len(out) == 400
         for x in out:
             label, gain, held = loop_barrier(rows, x.rn - 1, x.direction == "LONG", sl, tp, 8, tp / sl)
@@ -84,10 +84,38 @@ def test_barriers_against_a_loop(spark):
 def test_swap_is_paid_by_the_bar(spark):
     rows = [(100, 100.1, 99.9, 100)] * 10
     b = B.ahead(make_bars(spark, rows), 5).limit(1).withColumn("direction", F.lit("LONG"))
-    x = B.triple_barrier(b, 5, F.lit(2.0), F.lit(4.0), F.lit(2.0), {"long_cost_pct_per_day": 0.001}).first()
+    x = B.triple_barrier(b, F.lit(2.0), F.lit(4.0), F.lit(2.0), F.lit(0.001)).first()
     assert x.label == "TIME" and x.outcome_r == pytest.approx(-0.001 * 100 * 5 / 2)
 
 
+def test_outcomes_follow_each_instruments_rule(spark):
+    """Carry, horizon and true-range window are the instrument's own."""
+    r = random.Random(9)
+    rows, c = [], 100.0
+    for _ in range(120):
+        o, c = c, c + r.gauss(0, 1)
+        rows.append((o, max(o, c) + r.random(), min(o, c) - r.random(), c))
+    bars = make_bars(spark, rows, "A").unionByName(make_bars(spark, rows, "B"))
+    swap = {"long_cost_pct_per_day": 0.0003, "short_cost_pct_per_day": -0.0001}
+    specs = [{"id": "a", "ticker": "A", "drivers": []}, {"id": "b", "ticker": "B", "drivers": [], "swap": swap, "base_rate": {"horizon_days": 4, "atr_window": 5}}]
+    at = panel.decisions(bars, specs, first=30, step=3, horizon_days=9).withColumn("direction", F.explode(F.array(F.lit("LONG"), F.lit("SHORT"))))
+    out = panel.outcomes(at, 0.5, 0.8).collect()
+    tr = [rows[0][1] - rows[0][2]] + [max(h - low, abs(h - p), abs(low - p)) for (_, h, low, _), (*_, p) in zip(rows[1:], rows, strict=False)]
+    for key, h, w, costs in (("a", 9, 14, (0, 0)), ("b", 4, 5, (0.0003, -0.0001))):
+        mine = [x for x in out if x.instrument == key]
+        assert sorted({x.rn for x in mine}) == list(range(31, 120 - h + 1, 3))
+        for x in mine:
+            long, atr = x.direction == "LONG", sum(tr[x.rn - w : x.rn]) / w
+            label, gain, held = loop_barrier(rows, x.rn - 1, long, 0.5 * atr, 0.8 * atr, h, 1.6)
+            assert (x.label, x.held) == (label, held)
+            assert x.outcome_r == pytest.approx(gain - costs[not long] * x.close * held / (0.5 * atr))
+
+
+def test_rules_of_specifications():
+    own = rules.rule({"id": "x", "ticker": "t", "base_rate": {"band": 0.2, "oos_start": dt.date(2020, 1, 1), "note": "none"}, "swap": {"long_cost_pct_per_day": 0.1}}, horizon_days=7, band=0.5)
+    assert (own["band"], own["horizon_days"], own["oos_start"], own["swap_long"], own["swap_short"], own["min_effective_n"]) == (0.2, 7, "2020-01-01", 0.1, 0.0, 30)
+
+
 def test_atr_and_fractals(spark):
     rows = [(0, 10 + i % 3, 5 - i % 2, 7 + i % 2) for i in range(20)]
     out = sorted(B.atr(make_bars(spark, rows), 5).collect(), key=lambda x: x.d)
@@ -137,6 +165,16 @@ def test_gate(spark):
     assert close.n_eff == 10 and "too few" in close.reason
 
 
+def test_limits_may_be_fields_of_the_rows(spark):
+    train = panel_rows(spark, [(i * 30, 0.5 + 0.001 * (i % 20), "LONG", 2.0 if i % 10 else -1.0, bool(i % 10), False) for i in range(100)])
+    now = panel_rows(spark, [(9000, 0.5, "LONG", 0, False, True)])
+    with_rule = lambda df, **own: df.join(rules.table(spark, [{"id": "X", "ticker": "t", "base_rate": own}]).select("instrument", "rule"), "instrument")
+    for own in ({}, {"band": 0.005, "min_effective_n": 10}, {"horizon_days": 300}, {"min_hit_rate_pct": 99.0}, {"match_coverage": True}):
+        got = panel.gate(with_rule(now, **own), with_rule(train, **own), **rules.GATE).first()
+        limits = {k.replace("horizon_days", "horizon"): v for k, v in own.items()}
+        assert got == panel.gate(now, train, **limits).first()
+
+
 def test_band_join_equals_all_pairs(spark):
     r = random.Random(7)
     rows = [(i, round(r.uniform(-1, 1), 4), r.choice(["LONG", "SHORT"]), r.gauss(0, 1), r.random() < 0.5, i >= 150) for i in range(300)]
@@ -167,15 +205,18 @@ def test_payload(spark):
 def test_validation(spark):
     rows = [(i, 0.5 if i % 2 else -0.5, "LONG" if i % 2 else "SHORT", 1.0 if i % 2 else -1.0, bool(i % 2), i >= 800) for i in range(1000)]
     p = panel_rows(spark, rows)
-    v = validation.validate(p, min_effective_n=10, horizon=1).first()
+    v = validation.validate(p, band=0.1, min_effective_n=10, horizon=1, min_hit_rate_pct=55.0, min_expectancy_r=0.3).first()
     assert (v.n_train, v.n_oos, v.n_predicted, v.sign_agreement, v.exp_when_pred_bull, v.exp_when_pred_bear) == (800, 200, 200, 1.0, 1.0, -1.0)
     assert v.n_gate_pass == 100 and v.gate_hit == 1.0
-    ic = {r.driver: r.ic for r in validation.information_coefficients(p).collect()}
-    assert ic["a"] == 1.0 and ic["b"] == 0.0  # one value only: no variance
-    folds = {r.fold: r for r in validation.walk_forward(p, min_effective_n=10).collect()}
+    assert v.driver_ic == {"a": (1.0, 200), "b": (0.0, 100)}  # of the tested rows; one value only has no variance
+    ic = {r.driver: (r.ic, r.n) for r in validation.information_coefficients(p.filter("not oos")).collect()}
+    assert ic == {"a": (1.0, 800), "b": (0.0, 400)}  # none tested: of all
+    folds = {r.fold: r for r in validation.walk_forward(p, band=0.1, min_effective_n=10).collect()}
     assert set(folds) == {2019, 2020} and folds[2019].n_train == 365 and folds[2020].sign_agreement == 1.0
-    less = validation.validate(p, min_effective_n=10, horizon=30, embargo=True).first()
+    less = validation.validate(p, band=0.1, min_effective_n=10, horizon=30, min_hit_rate_pct=55.0, min_expectancy_r=0.3, embargo=True).first()
     assert less.n_predicted == 200
+    deltas = spark.createDataFrame([("a", 1.0, True), ("b", -4.0, False)], "instrument string, delta double, better boolean")
+    assert tuple(validation.ablation_summary(deltas).first()) == (-1.5, 1, 2)
 
 
 def test_pearson_guards(spark):
@@ -206,7 +247,15 @@ def test_simulation():
 def test_ewma_is_the_recursion():
     x = np.random.default_rng(2).normal(0, 1, 50)
     v = scenario.ewma_volatility(x) ** 2
-    assert v[0] == pytest.approx(np.var(x[:20])) and all(v[i + 1] == pytest.approx(0.94 * v[i] + 0.06 * x[i] ** 2) for i in range(49))
+    assert len(v) == 51 and v[0] == pytest.approx(np.var(x[:20])) and all(v[i + 1] == pytest.approx(0.94 * v[i] + 0.06 * x[i] ** 2) for i in range(50))
+    long = np.random.default_rng(3).normal(0, 1, 1500)
+    for decay in (0.2, 0.94, 0.999):  # over several blocks
+        v = scenario.decayed(2.0, long, decay)
+        want = [2.0]
+        for y in long:
+            want.append(decay * want[-1] + y)
+        assert v == pytest.approx(np.array(want))
+    assert (scenario.ewma_volatility(np.zeros(5)) ** 2)[0] == pytest.approx(1e-8) and not scenario.ewma_volatility(np.zeros(30)).any()
 
 
 def test_crps_rewards_the_true_spread():
@@ -217,6 +266,25 @@ def test_crps_rewards_the_true_spread():
     x = r.normal(0, 1, 60)
     want = np.abs(x - 0.3).mean() - 0.5 * np.abs(x[:, None] - x[None]).mean()
     assert scenario.ensemble_crps(x, 0.3) == pytest.approx(want)
+    x, spread = np.round(x, 1), lambda x: np.abs(x[:, None] - x[None]).mean()  # noqa: E731  ties
+    for y in (-9.0, -0.5, 0.0, float(x[3]), 9.0):
+        assert scenario.ensemble_crps(x, y) == pytest.approx(np.abs(x - y).mean() - 0.5 * spread(x))
+        assert scenario.ensemble_crps(x, y, legacy=True) == pytest.approx(np.abs(x - y).mean() - 0.25 * spread(x))
+
+
+def test_scores_against_ensembles_of_other_rows(spark):
+    r = random.Random(11)
+    samples = [(k, round(r.gauss(0, 1), 1)) for k in "ab" for _ in range(40)] + [("a", None)]
+    cases = [(k, i, round(r.gauss(0, 1), 1)) for k in "abc" for i in range(20)]
+    got = scenario.against_ensembles(spark.createDataFrame(samples, "k string, value double"), spark.createDataFrame(cases, "k string, i int, value double"), "k").collect()
+    assert len(got) == len(cases)
+    for x in got:
+        have = np.array([v for k, v in samples if k == x.k and v is not None])
+        if x.k == "c":
+            assert x.crps is None and x.pit is None
+            continue
+        assert x.crps == pytest.approx(scenario.ensemble_crps(have, x.value)) and x.crps_legacy == pytest.approx(scenario.ensemble_crps(have, x.value, True))
+        assert x.pit == pytest.approx((have <= x.value).mean())
 
 
 def test_models_and_routing(spark):
@@ -228,5 +296,28 @@ def test_models_and_routing(spark):
     figures = scenario.pit_deviation(ev)
     assert {x.n for x in figures.collect()} == {len(range(520, 679, 20))} and {x.winner for x in scenario.route(figures).collect()} <= {"fhs", "normal"}
     assert scenario.cones(closes).count() == 2
+    calm = scenario.cones(closes, pool=np.full(50, 1e-6)).collect()
+    assert all(abs(x.p95) < 1e-4 for x in calm)
+    rates = scenario.scenario_rates(closes.select(F.col("key").alias("instrument"), "d", "v"), spark.createDataFrame([("a", "LONG", 0.03, 0.03, 0.0, 20), ("b", "SHORT", 0.02, 0.05, 0.001, 10), ("none", "LONG", 0.1, 0.1, 0.0, 5)], "instrument string, direction string, tp double, sl double, daily_cost double, horizon int"))
+    found = {x.instrument: x for x in rates.collect()}
+    assert set(found) == {"a", "b"} and all(x.prob_tp + x.prob_sl + x.prob_time == pytest.approx(1) and x.p05 < x.median < x.p95 for x in found.values())
+    short = scenario.scenario_rates(closes.filter(F.col("d") < day(79)).select(F.col("key").alias("instrument"), "d", "v"), spark.createDataFrame([("a", "LONG", 0.03, 0.03, 0.0, 20)], "instrument string, direction string, tp double, sl double, daily_cost double, horizon int"))
+    assert short.count() == 0
+    routed = {x.key: x for x in scenario.routed_cones(closes, least_bars=600, paths=50).collect()}
+    assert set(routed) == {"a", "b"} and all(x.used == x.winner and x.p05 < x.p95 for x in routed.values())
+    assert scenario.routed_cones(closes, least_bars=701, paths=50).count() == 0
+
+    def limited(v, horizon, n):
+        assert len(v) == 100
+        return np.zeros(n)
+
+    scenario.register_model("own", limited, context=100)
+    figures = scenario.pit_deviation(scenario.evaluate(closes, ("fhs", "own"), start=520, paths=50, shards=2))
+    assert {x.model for x in figures.collect()} == {"fhs", "own"}
+    scenario.MODELS["own"] = lambda v, x, sigma, at, horizon, n: np.zeros(n) if at < len(x) - 1 else 1 / 0
+    flat = closes.withColumn("v", F.lit(100.0) + F.dayofyear("d") % 2)  # the constant forecast wins, then fails
+    x = scenario.routed_cones(flat, ("fhs", "own"), paths=50).first()
+    assert (x.winner, x.used) == ("own", "fhs")
+    del scenario.MODELS["own"]
     pits = spark.createDataFrame([("k", "m", (i + 0.5) / 10, 1.0) for i in range(10)] + [("u", "m", 1.0, 1.0)] * 10, "key string, model string, pit double, crps double")
     assert {x.key: x.pit_uniformity for x in scenario.pit_deviation(pits).collect()} == {"k": 0.0, "u": 1.8}

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import statistics
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,11 +38,11 @@ def ahead(bars: DataFrame, horizon: int) -> DataFrame:
     return bars.withColumn("f", F.collect_list(F.struct("high", "low", "close")).over(w))
 
 
-def triple_barrier(rows: DataFrame, horizon: int, sl: Column, tp: Column, rr: Column, swap: dict[str, float] | None = None) -> DataFrame:
+def triple_barrier(rows: DataFrame, sl: Column, tp: Column, rr: Column, daily_cost: Column | None = None) -> DataFrame:
     """Adds label, outcome_r and held to rows with close, direction and ``f``: which barrier the next bars meet first.
 
     A stop and a target met by the same bar count as the stop. At the end of time the move counts in units of
-    the stop's distance. ``swap`` takes its daily cost, by direction, for the bars held.
+    the stop's distance. ``daily_cost``, a share of the entry, is taken for each bar held.
     """
     long, entry = F.col("direction") == "LONG", F.col("close")
     hit = lambda down, dist: F.array_position(F.transform("f", lambda b: F.when(down, b["low"] <= entry - dist).otherwise(b["high"] >= entry + dist)), True)
@@ -49,45 +53,45 @@ def triple_barrier(rows: DataFrame, horizon: int, sl: Column, tp: Column, rr: Co
     out = out.withColumn("label", F.when(stop, "SL").when(F.col("_target_at") > 0, "TP").otherwise("TIME"))
     out = out.withColumn("held", F.when(stop, F.col("_stop_at")).when(F.col("_target_at") > 0, F.col("_target_at")).otherwise(F.size("f")).cast("int"))
     gain = F.when(stop, -1.0).when(F.col("_target_at") > 0, rr).otherwise(F.when(sl > 0, move / sl).otherwise(0.0))
-    return out.withColumn("outcome_r", gain - swap_cost(swap, entry, F.col("held"), sl)).drop("_stop_at", "_target_at", "f")
+    cost = F.lit(0.0) if daily_cost is None else swap_cost(daily_cost, entry, F.col("held"), sl)
+    return out.withColumn("outcome_r", gain - cost).drop("_stop_at", "_target_at", "f")
 
 
-def swap_cost(swap: dict[str, float] | None, entry: Column, held: Column, sl: Column) -> Column:
+def swap_cost(daily: Column, entry: Column, held: Column, sl: Column) -> Column:
     """Carry over the bars held in units of the stop's distance; 0 without a rate, distance, price or time."""
-    if not swap:
-        return F.lit(0.0)
-    daily = F.when(F.col("direction") == "LONG", swap.get("long_cost_pct_per_day", 0.0)).otherwise(swap.get("short_cost_pct_per_day", 0.0))
-    return F.when((sl > 0) & (entry > 0) & (held > 0), daily * entry * held / sl).otherwise(0.0)
+    return F.when((sl > 0) & (entry > 0) & (held > 0), F.coalesce(daily, F.lit(0.0)) * entry * held / sl).otherwise(0.0)
+
+
+#: The largest power of ten that a feed may be off by (a fixed value).
+MOST_OFF = 3
 
 
-#: Scales that a feed may be off by (fixed values).
-SCALES = (0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0)
+def _scale(close: float, usual: float, tolerance: float) -> float:
+    """The power of ten that brings a close near the usual one; 1 where it is near already or none does."""
+    if abs(close - usual) <= tolerance * usual:
+        return 1.0
+    power = 10.0 ** max(-MOST_OFF, min(MOST_OFF, round(math.log10(usual / close))))
+    return power if abs(close * power - usual) <= tolerance * usual else 1.0
 
 
 def repair_scales(bars: DataFrame, tolerance: float = 0.5, window: int = 15) -> DataFrame:
     """``bars`` with bars that are off by a power of ten put right, and ``factor``.
 
-    A bar is compared with the median of up to ``window`` repaired closes before it, so a symbol's bars
-    are gone through in order; a task holds one symbol's closes.
+    A bar is compared with the median of the positive ones among up to ``window`` repaired closes before it,
+    if there are three, so a symbol's bars are gone through in order; a task holds one symbol's closes.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("d").reset_index(drop=True)
-        good: list[float] = []
-        factor = []
+        recent: deque[float] = deque(maxlen=window)
+        factors = []
         for close in pdf["close"].tolist():
-            use, f = [x for x in good[-window:] if x > 0], 1.0
-            if len(use) >= 3 and close > 0:
-                use.sort()
-                mid = use[len(use) // 2] if len(use) % 2 else (use[len(use) // 2 - 1] + use[len(use) // 2]) / 2
-                if abs(close / mid - 1) > tolerance:
-                    best = min(SCALES, key=lambda s: abs(close * s - mid))
-                    f = best if abs(close * best - mid) <= tolerance * mid else 1.0
-            good.append(close * f)
-            factor.append(f)
-        pdf["factor"] = factor
-        for c in ("open", "high", "low", "close"):
-            pdf[c] = pdf[c] * pdf["factor"]
+            known = [x for x in recent if x > 0]
+            factors.append(_scale(close, statistics.median(known), tolerance) if close > 0 and len(known) >= 3 else 1.0)
+            recent.append(close * factors[-1])
+        pdf["factor"] = factors
+        prices = ["open", "high", "low", "close"]
+        pdf[prices] = pdf[prices].mul(pdf["factor"], axis=0)
         return pdf
 
     return bars.groupBy("key").applyInPandas(one, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in bars.schema)}, factor double")

@@ -1,4 +1,8 @@
-"""Panels: past decisions with their scores and outcomes, and gates on them."""
+"""Panels: past decisions with their scores and outcomes, and gates on them.
+
+Each row carries its instrument's ``rule`` (see ``rules``), so that instruments with horizons, bands, limits and
+carry of their own go through one plan.
+"""
 
 from __future__ import annotations
 
@@ -6,59 +10,95 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import effective_n, mean_interval, r, wilson
+from ..operators import last_rows
 from ..operators.bars import ahead, atr, numbered, sampled, triple_barrier
+from . import rules
 from .score import score_instruments
 
 
-def decisions(bars: DataFrame, horizon: int = 30, first: int = 220, step: int = 10, atr_window: int = 14) -> DataFrame:
-    """(key, as_of, rn, close, atr, f): bars with a full horizon after them, every ``step`` from the ``first``."""
-    out = numbered(ahead(atr(bars, atr_window), horizon))
-    return out.filter(sampled(out, first, step) & (F.col("rn") <= F.col("n_bars") - horizon) & (F.col("atr") > 0)).select("key", F.col("d").alias("as_of"), "rn", "close", "atr", "f")
+def with_atr(bars: DataFrame, windows: set[int]) -> tuple[DataFrame, Column]:
+    """Numbered ``bars`` with a true-range mean for each window, and the column that picks the one of a row's ``rule``."""
+    first, *more = sorted(windows)
+    out = atr(bars, first)
+    for w in more:
+        out = out.withColumn(f"atr_{w}", F.when(F.col("rn") >= w, F.avg("tr").over(last_rows(w))))
+    pick = F.col("atr")
+    for w in more:
+        pick = F.when(F.col("rule.atr_window") == w, F.col(f"atr_{w}")).otherwise(pick)
+    return numbered(out), pick
+
+
+def decisions(bars: DataFrame, fingerprints: list[dict], first: int = 220, step: int = 10, **defaults) -> DataFrame:
+    """(instrument, key, rule, as_of, rn, close, atr, f): bars with a full horizon after them, every ``step`` from the ``first``."""
+    known = rules.table(bars.sparkSession, fingerprints, **defaults)
+    own = [rules.rule(f, **defaults) for f in fingerprints]
+    out, mean = with_atr(ahead(bars.filter(F.col("key").isin([f["ticker"] for f in fingerprints])), max(x["horizon_days"] for x in own)), {x["atr_window"] for x in own})
+    out = out.filter(sampled(out, first, step)).join(F.broadcast(known), "key")
+    out = out.withColumn("atr", mean).withColumn("f", F.slice("f", F.lit(1), F.col("rule.horizon_days")))
+    return out.filter((F.col("rn") <= F.col("n_bars") - F.col("rule.horizon_days")) & (F.col("atr") > 0)).select("instrument", "key", "rule", F.col("d").alias("as_of"), "rn", "close", "atr", "f")
 
 
-def scored_panel(env: dict[str, DataFrame], bars: DataFrame, fingerprints: list[dict], horizon: int = 30, first: int = 220, step: int = 10, oos_start: str | None = None) -> DataFrame:
-    """Decisions with score, direction, vector, oos: the part that doesn't depend on stops and targets."""
-    names = F.create_map(*(F.lit(x) for f in fingerprints for x in (f["ticker"], f["id"])))
-    at = decisions(bars.filter(F.col("key").isin([f["ticker"] for f in fingerprints])), horizon, first, step).withColumn("instrument", names[F.col("key")])
+def scored_panel(env: dict[str, DataFrame], bars: DataFrame, fingerprints: list[dict], first: int = 220, step: int = 10, **defaults) -> DataFrame:
+    """Decisions with score, direction, vector, oos: the part that doesn't depend on stops and targets.
+
+    ``defaults`` are settings (``horizon_days``, ``oos_start`` ...) for the instruments that have none of their own.
+    """
+    at = decisions(bars, fingerprints, first, step, **defaults)
     scored = score_instruments(env, fingerprints, at.select("instrument", "as_of")).filter("n_ok > 0")
     side = F.when(F.col("score") >= 0, "LONG").otherwise("SHORT")
-    oos = F.lit(False) if oos_start is None else F.col("as_of") >= F.lit(oos_start).cast("date")
-    return at.join(scored.select("instrument", "as_of", "score", "vector"), ["instrument", "as_of"]).select("instrument", "key", "as_of", "rn", "close", "atr", "score", side.alias("direction"), "vector", oos.alias("oos"), "f")
+    oos = F.coalesce(F.col("as_of") >= F.col("rule.oos_start").cast("date"), F.lit(False))
+    return at.join(scored.select("instrument", "as_of", "score", "vector"), ["instrument", "as_of"]).select("instrument", "key", "rule", "as_of", "rn", "close", "atr", "score", side.alias("direction"), "vector", oos.alias("oos"), "f")
 
 
-def outcomes(panel: DataFrame, horizon: int = 30, sl_atr: Column | float = 1.0, tp_atr: Column | float = 2.0, swap: dict[str, float] | None = None) -> DataFrame:
-    """The panel with label, outcome_r, held and hit for stops and targets in multiples of the ATR."""
+def outcomes(panel: DataFrame, sl_atr: Column | float = 1.0, tp_atr: Column | float = 2.0) -> DataFrame:
+    """The panel with label, outcome_r, held and hit for stops and targets in multiples of the ATR; carry is taken off."""
     sl, tp = (x if isinstance(x, Column) else F.lit(x) for x in (sl_atr, tp_atr))
     rr = F.when(sl != 0, tp / sl).otherwise(0.0)
-    return triple_barrier(panel, horizon, sl * F.col("atr"), tp * F.col("atr"), rr, swap).withColumn("hit", F.col("label") == "TP")
+    return triple_barrier(panel, sl * F.col("atr"), tp * F.col("atr"), rr, rules.daily_cost()).withColumn("hit", F.col("label") == "TP")
 
 
-def neighbours(current: DataFrame, train: DataFrame, band: float, match_coverage: bool = False, before: Column | None = None) -> DataFrame:
+def _value(x, side: str) -> Column:
+    """A number, or a field of the rows of one side of the join."""
+    return F.col(f"{side}.{x}") if isinstance(x, str) else F.lit(x)
+
+
+def neighbours(current: DataFrame, train: DataFrame, band: float | str, match_coverage: bool | str = False, before: Column | None = None) -> DataFrame:
     """Pairs of current rows (c.*) with train rows (t.*) of the same instrument and direction and a score within ``band``.
 
     A band join as an equality: scores fall into bins as wide as the band, and a current row looks into three.
+    ``band`` may be a field, equal for all rows of an instrument.
     """
-    bin_ = lambda x: F.floor(F.col(x) / band)
-    c = current.withColumn("bin", F.explode(F.array(bin_("score") - 1, bin_("score"), bin_("score") + 1))).alias("c")
-    t = train.withColumn("bin", bin_("score")).alias("t")
+    c, t = current.alias("c"), train.alias("t")
+    bin_ = lambda side: F.floor(F.col(f"{side}.score") / _value(band, side))
+    c = c.withColumn("bin", F.explode(F.array(bin_("c") - 1, bin_("c"), bin_("c") + 1))).alias("c")
+    t = t.withColumn("bin", bin_("t")).alias("t")
     on = (F.col("c.instrument") == F.col("t.instrument")) & (F.col("c.direction") == F.col("t.direction")) & (F.col("c.bin") == F.col("t.bin"))
-    on &= F.abs(F.col("t.score") - F.col("c.score")) <= band
+    on &= F.abs(F.col("t.score") - F.col("c.score")) <= _value(band, "c")
     if match_coverage:
-        on &= F.array_sort(F.map_keys("c.vector")) == F.array_sort(F.map_keys("t.vector"))
+        same = F.array_sort(F.map_keys("c.vector")) == F.array_sort(F.map_keys("t.vector"))
+        on &= same if match_coverage is True else ~_value(match_coverage, "c") | same
     return c.join(t, on if before is None else on & before, "left")
 
 
-def gate(current: DataFrame, train: DataFrame, band: float = 0.1, horizon: int | None = 30, min_effective_n: int = 30, min_hit_rate_pct: float = 55.0, min_expectancy_r: float = 0.3, match_coverage: bool = False, keys: tuple[str, ...] = ("instrument", "as_of")) -> DataFrame:
-    """The base rate of each current row: n, n_eff, hit_rate and expectancy_r with intervals, passes, reason."""
+def gate(current: DataFrame, train: DataFrame, band: float | str = 0.1, horizon: int | str | None = 30, min_effective_n: int | str = 30, min_hit_rate_pct: float | str = 55.0, min_expectancy_r: float | str = 0.3, match_coverage: bool | str = False, keys: tuple[str, ...] = ("instrument", "as_of")) -> DataFrame:
+    """The base rate of each current row: n, n_eff, hit_rate and expectancy_r with intervals, passes, reason.
+
+    Limits are numbers or fields of the current rows, such as those of ``rules.GATE``.
+    """
+    limits = {"_h": horizon, "_least": min_effective_n, "_hit": min_hit_rate_pct, "_exp": min_expectancy_r}
     pairs = neighbours(current, train, band, match_coverage)
     agg = pairs.groupBy(*(F.col(f"c.{k}") for k in keys)).agg(
-        F.count("t.outcome_r").alias("n"), F.avg(F.col("t.hit").cast("double")).alias("hit_rate"), F.avg("t.outcome_r").alias("expectancy_r"), F.var_samp("t.outcome_r").alias("_var"), F.collect_list("t.as_of").alias("_days")
+        F.count("t.outcome_r").alias("n"), F.avg(F.col("t.hit").cast("double")).alias("hit_rate"), F.avg("t.outcome_r").alias("expectancy_r"), F.var_samp("t.outcome_r").alias("_var"), F.collect_set("t.as_of").alias("_days"),
+        *(F.first(_value(v, "c")).alias(k) for k, v in limits.items()),
     )
     n, hit, mean = F.col("n"), F.coalesce("hit_rate", F.lit(0.0)), F.coalesce("expectancy_r", F.lit(0.0))
-    agg = agg.withColumn("n_eff", effective_n(F.col("_days"), horizon) if horizon else F.col("n").cast("int"))
+    agg = agg.withColumn("n_eff", effective_n(F.col("_days"), F.col("_h")) if horizon else F.col("n").cast("int"))
     lo, hi = wilson(hit * F.col("n_eff"), F.col("n_eff"))
     e_lo, e_hi = mean_interval(mean, F.coalesce("_var", F.lit(0.0)), n, F.col("n_eff"))
     some = n > 0
-    reasons = F.concat_ws("; ", F.when(~some, "no neighbours in the band"), F.when(some & (F.col("n_eff") < min_effective_n), "too few independent neighbours"), F.when(some & (lo * 100 < min_hit_rate_pct), "hit rate"), F.when(some & (mean < min_expectancy_r), "expectancy"), F.when(some & (e_lo <= 0), "expectancy interval"))
+    reasons = F.concat_ws(
+        "; ", F.when(~some, "no neighbours in the band"), F.when(some & (F.col("n_eff") < F.col("_least")), "too few independent neighbours"), F.when(some & (lo * 100 < F.col("_hit")), "hit rate"),
+        F.when(some & (mean < F.col("_exp")), "expectancy"), F.when(some & (e_lo <= 0), "expectancy interval"),
+    )
     out = agg.select(*keys, n, "n_eff", r(hit).alias("hit_rate"), r(lo).alias("hit_lo"), r(hi).alias("hit_hi"), r(mean).alias("expectancy_r"), r(e_lo).alias("exp_lo"), r(e_hi).alias("exp_hi"), reasons.alias("reason"))
     return out.withColumn("passes", F.col("reason") == "").withColumn("reason", F.when(F.col("reason") == "", "approved").otherwise(F.col("reason")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import r, steady
+from ..sources.shared import materialize
 from .drivers import get_driver
 
 #: Grade limits on the strength of a score (fixed values).
@@ -37,34 +38,51 @@ SOURCES = {
 ARGUMENTS = {"symbol": "closes", "market": "cot", "region": "weather", "ticker": "holdings", "instrument": "gamma", "ethanol_series": "ethanol", "brl_series": "fx"}
 
 
-def run_driver(env: dict[str, DataFrame], spec: dict, dates: DataFrame) -> DataFrame:
-    """One driver at (as_of) dates: ``env`` has the keyed tables by kind."""
-    params, args = dict(spec.get("params", {})), {}
-    label = "/".join(str(params[k]) for k in SOURCES if k in params)
-    kind = {"price_ratio": "closes", "series_ratio": "macro"}.get(spec["name"])
-    for k, source in SOURCES.items():
-        if k in params:
-            df = env[source or kind]
-            args[ARGUMENTS.get(k, k)] = df.filter(F.col("key") == params.pop(k)).withColumn("key", F.lit(label))
-    params.pop("tf", None)
-    return get_driver(spec["name"])(dates.select(F.lit(label).alias("key"), "as_of"), **args, **params)
+#: What kind of series a driver's parameters name where the parameter alone doesn't tell.
+KINDS = {"price_ratio": "closes", "series_ratio": "macro"}
+
+
+def run_driver(env: dict[str, DataFrame], name: str, params: dict, cases: dict[str, dict[str, str]], probes: DataFrame) -> DataFrame:
+    """One driver with one set of parameters for many cases at once: (key, as_of, ok, score, value).
+
+    A case is a label and the series that each of the driver's arguments takes there; ``probes`` are (key, as_of)
+    with labels as keys, and ``env`` has the keyed tables by kind.
+    """
+    args = {}
+    for argument in next(iter(cases.values())):
+        labels: dict[str, list[str]] = {}
+        for label, series in cases.items():
+            labels.setdefault(series[argument], []).append(label)
+        to = F.create_map(*(x for k, v in labels.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+        df = env[SOURCES[argument] or KINDS[name]].filter(F.col("key").isin(list(labels)))
+        args[ARGUMENTS.get(argument, argument)] = df.select(F.explode(to[F.col("key")]).alias("key"), *(c for c in df.columns if c != "key"))
+    return get_driver(name)(probes, **args, **params)
 
 
 def driver_frame(env: dict[str, DataFrame], fingerprints: list[dict], decisions: DataFrame) -> DataFrame:
     """(instrument, as_of, driver_idx, name, weight, ok, score, value) of all drivers at ``decisions`` (instrument, as_of).
 
-    Equal drivers of several instruments are computed once, at all their dates.
+    Drivers of one name and the same parameters are computed in one pass over all their series, and equal drivers of
+    several instruments once, at all their dates. The dates are used by every driver, so they are kept as a file.
     """
-    once: dict[str, tuple[dict, list[tuple[str, int, float]]]] = {}
+    decisions = materialize(decisions.select("instrument", "as_of").distinct(), "decisions")
+    groups: dict[str, tuple[str, dict, dict, dict]] = {}
     for f in fingerprints:
         for i, d in enumerate(f["drivers"]):
-            once.setdefault(repr((d["name"], sorted(d.get("params", {}).items(), key=str))), (d, []))[1].append((f["id"], i, float(d.get("weight", 0.0))))
+            series = {k: v for k, v in d.get("params", {}).items() if k in SOURCES}
+            params = {k: v for k, v in d.get("params", {}).items() if k not in SOURCES and k != "tf"}
+            shape = repr((d["name"], sorted(series), sorted(params.items(), key=str)))
+            _, _, cases, users = groups.setdefault(shape, (d["name"], params, {}, {}))
+            label = "/".join(map(str, series.values()))
+            cases[label] = series
+            users.setdefault(label, []).append((f["id"], i, float(d.get("weight", 0.0))))
     parts = []
-    for spec, users in once.values():
-        use = F.explode(F.array(*(F.struct(F.lit(a).alias("instrument"), F.lit(b).alias("driver_idx"), F.lit(c).alias("weight")) for a, b, c in users))).alias("u")
-        mine = decisions.filter(F.col("instrument").isin([u[0] for u in users]))
-        got = run_driver(env, spec, mine.select("as_of").distinct()).select("as_of", "ok", "score", "value", use).select("u.*", "as_of", F.lit(spec["name"]).alias("name"), "ok", "score", "value")
-        parts.append(got.join(mine.select("instrument", "as_of"), ["instrument", "as_of"], "left_semi"))
+    for name, params, cases, users in groups.values():
+        rows = [(label, *user) for label, found in users.items() for user in found]
+        use = F.explode(F.array(*(F.struct(F.lit(a).alias("key"), F.lit(b).alias("instrument"), F.lit(c).alias("driver_idx"), F.lit(w).alias("weight")) for a, b, c, w in rows))).alias("u")
+        mine = decisions.select("instrument", "as_of", use).filter("u.instrument = instrument").select("u.*", "as_of")
+        got = run_driver(env, name, params, cases, mine.select("key", "as_of").distinct())
+        parts.append(mine.join(got, ["key", "as_of"]).select("instrument", "as_of", "driver_idx", F.lit(name).alias("name"), "weight", "ok", "score", "value"))
     return reduce(DataFrame.unionByName, parts)
 
 

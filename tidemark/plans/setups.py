@@ -3,29 +3,34 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import r
-from ..operators.bars import atr, fractals, numbered
-from .panel import gate, outcomes
+from ..operators.bars import fractals
+from ..sources.shared import materialize
+from . import rules
+from .panel import gate, outcomes, with_atr
+from .scenario import CONE, scenario_rates
 from .score import score_instruments
 
 
-def latest(bars: DataFrame, fingerprints: list[dict], as_of: str | None = None, look_back: int = 180) -> DataFrame:
-    """The last bar up to ``as_of`` of each instrument with its ATR and the swings of the last ``look_back`` bars."""
-    names = F.create_map(*(F.lit(x) for f in fingerprints for x in (f["ticker"], f["id"])))
+def latest(bars: DataFrame, fingerprints: list[dict], as_of: str | None = None, look_back: int = 180, **defaults) -> DataFrame:
+    """The last bar up to ``as_of`` of each instrument with its ATR, its ``rule`` and the swings of the last ``look_back`` bars."""
     bars = bars.filter(F.col("key").isin([f["ticker"] for f in fingerprints]))
     if as_of:
         bars = bars.filter(F.col("d") <= F.lit(as_of).cast("date"))
-    b = numbered(fractals(atr(bars)))
+    b, mean = with_atr(fractals(bars), {rules.rule(f, **defaults)["atr_window"] for f in fingerprints})
+    b = b.join(F.broadcast(rules.table(bars.sparkSession, fingerprints, **defaults)), "key").withColumn("atr", mean)
     inside = (F.col("rn") > F.col("n_bars") - look_back + 3) & (F.col("rn") <= F.col("n_bars") - 3)
-    out = b.groupBy("key").agg(
-        F.max("n_bars").alias("n_bars"), F.max("d").alias("as_of"), F.min("d").alias("first_day"), F.max_by("close", "rn").alias("entry"), F.max_by("atr", "rn").alias("atr"),
-        F.array_sort(F.collect_list(F.when(inside & F.col("is_high"), F.col("high")))).alias("highs"), F.array_sort(F.collect_list(F.when(inside & F.col("is_low"), F.col("low")))).alias("lows"),
+    swings = lambda mark, level: F.array_sort(F.collect_list(F.when(inside & F.col(mark), F.col(level))))
+    out = b.groupBy("key", "instrument").agg(
+        F.first("rule").alias("rule"), F.max("n_bars").alias("n_bars"), F.max("d").alias("as_of"), F.min("d").alias("first_day"), F.max_by("close", "rn").alias("entry"), F.max_by("atr", "rn").alias("atr"),
+        swings("is_high", "high").alias("highs"), swings("is_low", "low").alias("lows"),
     )
-    return out.withColumn("instrument", names[F.col("key")]).filter((F.col("n_bars") >= look_back) & (F.col("atr") > 0))
+    return out.filter((F.col("n_bars") >= look_back) & (F.col("atr") > 0))
 
 
 def round_levels(price: Column, n: int = 3) -> Column:
@@ -53,33 +58,56 @@ def with_levels(rows: DataFrame, sl_atr: float = 1.0, tp_atr: float = 2.0, buffe
     return out.withColumn("rr", F.when(F.col("risk") > 0, F.col("reward") / F.col("risk")).otherwise(0.0))
 
 
-def build_setups(env: dict[str, DataFrame], bars: DataFrame, fingerprints: list[dict], panel: DataFrame, as_of: str | None = None, horizon: int = 30, rr_floor: float = 1.5, settled_only: bool = True, scenarios: DataFrame | None = None, **limits) -> DataFrame:
-    """One row per instrument: levels, base rate of this very stop and target, and why it is not published.
+def build_setups(env: dict[str, DataFrame], bars: DataFrame, fingerprints: list[dict], panel: DataFrame, as_of: str | None = None, rr_floor: float = 1.5, settled_only: bool = True, simulated: bool = True, **defaults) -> DataFrame:
+    """One row per instrument: levels, base rate of this very stop and target, scenario, and why it is not published.
 
-    ``settled_only`` leaves out neighbours whose outcome was not known at the decision. ``scenarios``
-    (instrument, prob_tp, sim_expectancy_r, sim_lo) gates in place of the base rate for instruments with engine "scenario".
+    ``settled_only`` leaves out neighbours whose outcome was not known at the decision. ``simulated`` adds the
+    simulated chances and quantiles of the trade; they gate in place of the base rate for instruments with engine
+    "scenario". ``defaults`` are settings for the instruments that have none of their own, as for the panel.
     """
-    now = latest(bars, fingerprints, as_of)
+    now = latest(bars, fingerprints, as_of, **defaults)
     scored = score_instruments(env, fingerprints, now.select("instrument", "as_of"))
     now = now.join(scored.select("instrument", "score", "grade", "vector", "drivers"), "instrument").withColumn("direction", F.when(F.col("score") >= 0, "LONG").otherwise("SHORT"))
-    now = with_levels(now)
-    mine = panel.join(now.select("instrument", F.col("as_of").alias("_now"), F.col("n_bars").alias("_n"), (F.col("risk") / F.col("atr")).alias("_sl"), (F.col("reward") / F.col("atr")).alias("_tp")), "instrument").filter(~F.col("oos"))
+    now = materialize(with_levels(now), "now")  # a row an instrument, used below in several places
+    trade = now.select("instrument", F.col("as_of").alias("_now"), F.col("n_bars").alias("_n"), (F.col("risk") / F.col("atr")).alias("_sl"), (F.col("reward") / F.col("atr")).alias("_tp"))
+    mine = panel.join(trade, "instrument").filter(~F.col("oos"))
     if settled_only:
-        mine = mine.filter(F.col("rn") + horizon <= F.col("_n"))
-    base = gate(now, outcomes(mine, horizon, F.col("_sl"), F.col("_tp")), horizon=horizon, **limits)
+        mine = mine.filter(F.col("rn") + F.col("rule.horizon_days") <= F.col("_n"))
+    base = gate(now, outcomes(mine, F.col("_sl"), F.col("_tp")), **rules.GATE)
     out = now.join(base.drop("as_of"), "instrument", "left")
-    years = F.datediff("as_of", "first_day") / 365.25
+    out = out.join(_scenarios(bars, now), "instrument", "left") if simulated else out.select("*", *(F.lit(None).cast("double").alias(c) for c in _SIMULATED))
     by_rate = F.when(~F.coalesce("passes", F.lit(False)), F.concat(F.lit("base rate: "), F.coalesce("reason", F.lit("none"))))
-    if scenarios is not None:
-        out = out.join(scenarios, "instrument", "left")
-        engine = F.create_map(*(F.lit(x) for f in fingerprints for x in (f["id"], f.get("base_rate", {}).get("engine", "analog"))))
-        simulated = F.when(F.col("prob_tp").isNull(), "scenario: too little history").otherwise(F.nullif(F.concat_ws("; ", F.when(F.col("prob_tp") < 0.5, "scenario: probability"), F.when(F.col("sim_expectancy_r") < 0.3, "scenario: expectancy"), F.when(F.col("sim_lo") <= 0, "scenario: expectancy interval")), F.lit("")))
-        by_rate = F.when(engine[F.col("instrument")] == "scenario", simulated).otherwise(by_rate)
-    why = F.concat_ws("; ", F.when(F.col("grade") == "NONE", "no grade"), F.when(F.col("rr") < rr_floor, "reward to risk"), by_rate)
+    why = F.concat_ws(
+        "; ", F.when(F.col("grade") == "NONE", "no grade"), F.when(F.col("rr") < rr_floor, "reward to risk"),
+        F.when(F.col("rule.engine") == "scenario", _scenario_reasons()).otherwise(by_rate),
+    )
+    years = F.datediff("as_of", "first_day") / 365.25
     return out.select(
-        "instrument", F.col("key").alias("ticker"), "as_of", "direction", "grade", "score", *(r(F.col(c), 6).alias(c) for c in ("entry", "sl", "tp", "atr")), r(F.col("rr"), 3).alias("rr"), "n", "n_eff", "hit_rate", "expectancy_r",
-        (why == "").alias("published"), why.alias("reject_reason"), F.when(years >= 7, "ok").otherwise("short history").alias("data_quality"), r(years, 1).alias("history_years"), "drivers",
+        "instrument", F.col("key").alias("ticker"), "as_of", "direction", "grade", "score", *(r(F.col(c), 6).alias(c) for c in ("entry", "sl", "tp", "atr")), r(F.col("rr"), 3).alias("rr"),
+        "n", "n_eff", "hit_rate", "expectancy_r", *_SIMULATED, (why == "").alias("published"), why.alias("reject_reason"),
+        F.when(years >= 7, "ok").otherwise("short history").alias("data_quality"), r(years, 1).alias("history_years"), "drivers",
+    )
+
+
+_SIMULATED = ["prob_tp", "prob_sl", "prob_time", "sim_expectancy_r", "sim_lo", "sim_hi", *CONE]
+
+
+def _scenarios(bars: DataFrame, now: DataFrame) -> DataFrame:
+    """The simulated chances of each instrument's trade, from its closes up to the decision."""
+    trades = now.select("instrument", "key", "as_of", "direction", (F.col("reward") / F.col("entry")).alias("tp"), (F.col("risk") / F.col("entry")).alias("sl"), rules.daily_cost().alias("daily_cost"), F.col("rule.horizon_days").alias("horizon"))
+    trades = trades.filter("tp > 0 AND sl > 0")
+    at = trades.select(F.col("instrument").alias("name"), "key", F.col("as_of").alias("until"))
+    closes = bars.select("key", "d", F.col("close").alias("v")).join(at, "key").filter("d <= until").select(F.col("name").alias("instrument"), "d", "v")
+    return scenario_rates(closes, trades.drop("key", "as_of"))
+
+
+def _scenario_reasons() -> Column:
+    p, e = F.col("prob_tp"), F.col("sim_expectancy_r")
+    told = F.concat_ws(
+        "; ", F.when(p < F.col("rule.min_prob_tp"), "scenario: probability"), F.when(e < F.col("rule.min_expectancy_r"), "scenario: expectancy"),
+        F.when(F.col("sim_lo") <= 0, "scenario: expectancy interval"),
     )
+    return F.when(p.isNull(), "scenario: too little history").otherwise(F.nullif(told, F.lit("")))
 
 
 def publish_order(setups: DataFrame) -> DataFrame:
@@ -91,10 +119,22 @@ def publish_order(setups: DataFrame) -> DataFrame:
 def payload(setups: DataFrame, as_of: str, generated: str, version: int = 1) -> str:
     """The published document as JSON; one row per instrument reaches the driver."""
     rows = publish_order(setups).orderBy("position").drop("position").toJSON().collect()
-    return json.dumps({"schema_version": version, "generated": generated, "as_of": as_of, "signals": [json.loads(x) for x in rows]}, indent=2)
+    return json.dumps({"schema_version": version, "generated": generated, "as_of": as_of, "signals": [json.loads(x) for x in rows]}, indent=2, ensure_ascii=False) + "\n"
 
 
 def changed(old: str | None, new: str) -> bool:
     """Whether a document says something new, besides when it was made."""
     strip = lambda t: {k: v for k, v in json.loads(t).items() if k != "generated"}
     return old is None or strip(old) != strip(new)
+
+
+def write(document: str, path: str | Path, always: bool = False) -> bool:
+    """Writes a document if it says something new, or ``always``; whether it was written. Readers see the old or the new one whole."""
+    path = Path(path)
+    if not always and not changed(path.read_text() if path.exists() else None, document):
+        return False
+    path.parent.mkdir(parents=True, exist_ok=True)
+    fresh = path.with_name(path.name + ".new")
+    fresh.write_text(document)
+    fresh.replace(path)
+    return True

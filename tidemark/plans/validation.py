@@ -8,20 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pearson, r
+from . import rules
 from .panel import gate, neighbours
 
 
+def judged_rows(panel: DataFrame) -> DataFrame:
+    """The out-of-sample rows of each instrument, or all of its rows where it has none."""
+    tested = panel.filter("oos").select("instrument").distinct()
+    return panel.filter("oos").unionByName(panel.join(tested, "instrument", "left_anti"))
+
+
 def information_coefficients(panel: DataFrame, outcome: str = "outcome_r") -> DataFrame:
-    """(instrument, driver, ic, n): correlation of each driver's score with the outcome."""
-    each = panel.select("instrument", F.col(outcome).alias("y"), F.explode("vector").alias("driver", "x"))
+    """(instrument, driver, ic, n): correlation of each driver's score with the outcome, out of sample where there are such rows."""
+    each = judged_rows(panel).select("instrument", F.col(outcome).alias("y"), F.explode("vector").alias("driver", "x"))
     return each.groupBy("instrument", "driver").agg(r(pearson(F.col("x"), F.col("y"))).alias("ic"), F.count("*").alias("n"))
 
 
-def _predicted(rows: DataFrame, train: DataFrame, band: float, least: int, before: Column | None = None) -> DataFrame:
+def _predicted(rows: DataFrame, train: DataFrame, band: float | str, least: int | str, before: Column | None = None) -> DataFrame:
     """(instrument, as_of, actual, predicted) of rows with ``least`` neighbours or more."""
     pairs = neighbours(rows, train, band, before=before)
-    out = pairs.groupBy(F.col("c.instrument"), F.col("c.as_of"), F.col("c.outcome_r").alias("actual")).agg(F.count("t.score").alias("m"), F.avg("t.outcome_r").alias("predicted"))
-    return out.filter(F.col("m") >= least)
+    enough = F.first(F.col(f"c.{least}") if isinstance(least, str) else F.lit(least)).alias("least")
+    out = pairs.groupBy(F.col("c.instrument"), F.col("c.as_of"), F.col("c.outcome_r").alias("actual")).agg(F.count("t.score").alias("m"), F.avg("t.outcome_r").alias("predicted"), enough)
+    return out.filter(F.col("m") >= F.col("least")).drop("least")
 
 
 def _figures() -> list[Column]:
@@ -33,11 +41,14 @@ def _figures() -> list[Column]:
     ]
 
 
-def validate(panel: DataFrame, band: float = 0.1, min_effective_n: int = 30, horizon: int = 30, embargo: bool = False, **limits) -> DataFrame:
-    """One row per instrument: base figures of the out-of-sample rows, predictions, and what the gate lets pass.
+def validate(panel: DataFrame, embargo: bool = False, **limits) -> DataFrame:
+    """One row per instrument: base figures of the out-of-sample rows, predictions, what the gate lets pass, and driver_ic.
 
-    ``embargo`` leaves out train rows whose outcome reaches into the test period.
+    Limits are those of each row's ``rule`` unless given. ``embargo`` leaves out train rows whose outcome reaches
+    into the test period. ``driver_ic`` maps drivers to (ic, n).
     """
+    limits = rules.GATE | {"match_coverage": False} | limits
+    horizon = F.col(limits["horizon"]) if isinstance(limits["horizon"], str) else F.lit(limits["horizon"])
     train, oos = panel.filter("not oos"), panel.filter("oos")
     if embargo:
         edge = oos.groupBy("instrument").agg(F.min("rn").alias("_edge"))
@@ -46,13 +57,14 @@ def validate(panel: DataFrame, band: float = 0.1, min_effective_n: int = 30, hor
         F.count(F.when(~F.col("oos"), 1)).alias("n_train"), F.count(F.when(F.col("oos"), 1)).alias("n_oos"),
         r(F.coalesce(F.avg(F.when(F.col("oos"), F.col("hit").cast("double"))), F.lit(0.0))).alias("base_hit"), r(F.coalesce(F.avg(F.when(F.col("oos"), F.col("outcome_r"))), F.lit(0.0))).alias("base_exp"),
     )
-    figures = _predicted(oos, train, band, min_effective_n).groupBy("instrument").agg(*_figures())
-    passed = gate(oos, train, band, horizon, min_effective_n, **limits).filter("passes").join(oos.select("instrument", "as_of", F.col("hit").alias("_hit"), F.col("outcome_r").alias("_r")), ["instrument", "as_of"])
+    figures = _predicted(oos, train, limits["band"], limits["min_effective_n"]).groupBy("instrument").agg(*_figures())
+    passed = gate(oos, train, **limits).filter("passes").join(oos.select("instrument", "as_of", F.col("hit").alias("_hit"), F.col("outcome_r").alias("_r")), ["instrument", "as_of"])
     passed = passed.groupBy("instrument").agg(F.count("*").alias("n_gate_pass"), r(F.avg(F.col("_hit").cast("double"))).alias("gate_hit"), r(F.avg("_r")).alias("gate_exp"))
-    return base.join(figures, "instrument", "left").join(passed, "instrument", "left").na.fill(0)
+    ic = information_coefficients(panel).groupBy("instrument").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("driver", F.struct("ic", "n"))))).alias("driver_ic"))
+    return base.join(figures, "instrument", "left").join(passed, "instrument", "left").na.fill(0).join(ic, "instrument", "left")
 
 
-def walk_forward(panel: DataFrame, band: float = 0.1, min_effective_n: int = 30, embargo_days: int = 0) -> DataFrame:
+def walk_forward(panel: DataFrame, band: float | str = "rule.band", min_effective_n: int | str = "rule.min_effective_n", embargo_days: int = 0) -> DataFrame:
     """(instrument, fold, n_train, n_test, figures): each year predicted from all rows before it."""
     year = F.year("as_of")
     first = panel.groupBy("instrument").agg(F.min(year).alias("_y0"))
@@ -80,3 +92,8 @@ def ablation(full: DataFrame, reduced: DataFrame) -> DataFrame:
     b = reduced.select("instrument", F.col("sign_agreement").alias("ablated"))
     out = full.select("instrument", F.col("sign_agreement").alias("base")).join(b, "instrument")
     return out.withColumn("delta", r(100 * (F.col("ablated") - F.col("base")), 2)).withColumn("better", F.col("ablated") > F.col("base"))
+
+
+def ablation_summary(deltas: DataFrame) -> DataFrame:
+    """(mean_delta, n_better, n): how the instruments of an ablation fared together."""
+    return deltas.agg(r(F.avg("delta"), 2).alias("mean_delta"), F.count_if("better").alias("n_better"), F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import drivers, score
+from ..plans import score
 from ..sources import proxies as P
 from .driver_queries import SD
 
@@ -25,16 +25,13 @@ FINGERPRINTS = [
         {"name": "momentum", "weight": 0.5, "params": {"series": "N", "bull_when": "low"}},
         {"name": "rainfall_anomaly", "weight": 0.25, "params": {"region": "F"}},
         {"name": "level_percentile", "weight": 0.25, "params": {"series": "A", "lookback_days": 250}},
-    ]},
+    ], "base_rate": {"horizon_days": 20, "band": 0.22, "min_effective_n": 8, "min_hit_rate_pct": 30.0, "min_expectancy_r": 0.02, "atr_window": 10}},
 ]
 VIEWS = "prices closes macro cot weather etf"
 
 
 def environment(spark, sf_dir) -> dict:
-    return {
-        "macro": P.macro(spark, sf_dir), "closes": P.closes(spark, sf_dir), "cot": P.cot(spark, sf_dir), "weather": P.weather(spark, sf_dir),
-        "etf": P.etf(spark, sf_dir), "gamma": drivers.gamma_snapshot(P.options(spark, sf_dir)),
-    }
+    return P.environment(spark, sf_dir)
 
 
 def driver_sql(name: str, p: dict) -> str:
@@ -72,27 +69,48 @@ def scores_sql(fingerprints: list[dict] = FINGERPRINTS, name: str = "scores") ->
     return f"frame_{name} AS MATERIALIZED ({' UNION ALL '.join(parts)}), {name} AS MATERIALIZED (SELECT instrument, as_of, round_even(coalesce(list_sum(list(weight * score ORDER BY driver_idx) FILTER (ok)) / nullif(list_sum(list(weight ORDER BY driver_idx) FILTER (ok)), 0), 0), 10) + 0.0 AS raw, floor(raw * 10000 + 0.500001) / 10000 + 0.0 AS score, coalesce(abs(sum(weight * score) FILTER (ok)) / nullif(sum(weight * abs(score)) FILTER (ok), 0), 1) AS agreement, count(*) FILTER (ok) AS n_ok FROM frame_{name} GROUP BY 1, 2)"
 
 
-IDS = "(VALUES " + ", ".join(f"('{f['id']}', '{f['ticker']}')" for f in FINGERPRINTS) + ") i(instrument, key)"
+#: What the instruments without settings of their own go by.
+LIMITS = {"horizon_days": 30, "band": 0.15, "min_effective_n": 10, "min_hit_rate_pct": 35.0, "min_expectancy_r": 0.05, "oos_start": "1997-01-01"}
+
+
+def _rule_sql(f: dict) -> str:
+    """The instrument's settings and carry, written out for SQL independently of the library's own table."""
+    own, swap = LIMITS | f.get("base_rate", {}), f.get("swap", {})
+    numbers = [own["horizon_days"], own["band"], own["min_effective_n"], own["min_hit_rate_pct"], own["min_expectancy_r"], own.get("atr_window", 14), swap.get("long_cost_pct_per_day", 0), swap.get("short_cost_pct_per_day", 0)]
+    return f"('{f['id']}', '{f['ticker']}', {', '.join(f'{x}::DOUBLE' for x in numbers)})"
+
+
+IDS = "(VALUES " + ", ".join(map(_rule_sql, FINGERPRINTS)) + ") i(instrument, key, h, band, least, min_hit, min_exp, atr_w, carry_long, carry_short)"
 LAST = f"decisions AS (SELECT instrument, max(d) AS as_of FROM prices JOIN {IDS} USING (key) GROUP BY 1)"
 GRADE = "CASE WHEN abs(raw) < 0.25 THEN 'NEUTRAL' WHEN raw > 0 THEN 'LONG' ELSE 'SHORT' END AS direction, CASE WHEN abs(raw) < 0.25 THEN 'NONE' WHEN abs(raw) >= 0.55 THEN 'A+' WHEN abs(raw) >= 0.4 THEN 'A' ELSE 'B' END AS grade"
 
 
 def last_days(spark, sf_dir):
+    return _last(P.closes(spark, sf_dir))
+
+
+def _last(closes):
     names = F.create_map(*(F.lit(x) for f in FINGERPRINTS for x in (f["ticker"], f["id"])))
-    return P.closes(spark, sf_dir).groupBy("key").agg(F.max("d").alias("as_of")).select(names[F.col("key")].alias("instrument"), "as_of")
+    return closes.groupBy("key").agg(F.max("d").alias("as_of")).select(names[F.col("key")].alias("instrument"), "as_of")
+
+
+def _scored(spark, sf_dir, fingerprints=FINGERPRINTS):
+    env = environment(spark, sf_dir)
+    return score.score_instruments(env, fingerprints, _last(env["closes"]))
 
 
 def score_all(spark, sf_dir):
-    return score.score_instruments(environment(spark, sf_dir), FINGERPRINTS, last_days(spark, sf_dir)).select("instrument", "as_of", "score", "direction", "grade", "n_ok")
+    return _scored(spark, sf_dir).select("instrument", "as_of", "score", "direction", "grade", "n_ok")
 
 
 def score_drivers(spark, sf_dir):
-    return score.driver_frame(environment(spark, sf_dir), FINGERPRINTS, last_days(spark, sf_dir)).select("instrument", "as_of", "driver_idx", "name", "weight", "ok", "score")
+    env = environment(spark, sf_dir)
+    return score.driver_frame(env, FINGERPRINTS, _last(env["closes"])).select("instrument", "as_of", "driver_idx", "name", "weight", "ok", "score")
 
 
 def score_agreement(spark, sf_dir):
     agree = [f | {"aggregation": {"method": "agreement", "gamma": 2.0}} for f in FINGERPRINTS]
-    return score.score_instruments(environment(spark, sf_dir), agree, last_days(spark, sf_dir)).select("instrument", "as_of", "score")
+    return _scored(spark, sf_dir, agree).select("instrument", "as_of", "score")
 
 
 def grades(spark, sf_dir):
@@ -102,7 +120,11 @@ def grades(spark, sf_dir):
 
 
 def explain_json(spark, sf_dir):
-    return score.explain(score.score_instruments(environment(spark, sf_dir), FINGERPRINTS, last_days(spark, sf_dir)))
+    """The trace of each score, field by field: the JSON text parsed again."""
+    text = score.explain(_scored(spark, sf_dir))
+    trace = "struct<instrument: string, as_of: string, score: double, direction: string, grade: string, drivers: array<struct<name: string, ok: boolean, score: double, value: double, weight: double, contribution: double>>>"
+    each = text.select(F.from_json("trace", trace).alias("t")).select("t.*", F.posexplode("t.drivers").alias("driver_idx", "e"))
+    return each.select("instrument", "as_of", "score", "direction", "grade", "driver_idx", F.col("e.name").alias("name"), F.col("e.ok").alias("ok"), F.col("e.score").alias("driver_score"), F.col("e.weight").alias("weight"), F.col("e.contribution").alias("contribution"))
 
 
 QUERIES = {"score_all": score_all, "score_drivers": score_drivers, "score_agreement": score_agreement, "grades": grades, "explain_json": explain_json}
@@ -110,5 +132,7 @@ ORACLE = {
     "score_all": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, score, {GRADE}, CAST(n_ok AS INTEGER) AS n_ok FROM scores"),
     "score_drivers": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, driver_idx, name, weight, ok, score FROM frame_scores"),
     "score_agreement": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, floor(raw * pow(agreement, 2.0) * 10000 + 0.500001) / 10000 + 0.0 AS score FROM scores"),
+    "explain_json": P.with_views(VIEWS, f"""{LAST}, {scores_sql()}, graded AS (SELECT *, {GRADE} FROM scores)
+SELECT instrument, CAST(as_of AS VARCHAR) AS as_of, g.score, direction, grade, driver_idx, name, ok, f.score AS driver_score, weight, round_even(weight * f.score, 4) + 0.0 AS contribution FROM frame_scores f JOIN graded g USING (instrument, as_of)"""),
     "grades": f"SELECT event_id, {GRADE} FROM (SELECT event_id, value / 100 - 0.5 AS raw FROM events)",
 }

@@ -5,21 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(key, d, open, high, low, close, volume): a bar per order status and day."""
-    p, k = F.col("o_totalprice"), F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("ORD_"), "o_orderstatus").alias("key"), F.to_date("o_orderdate").alias("d")).agg(
-        F.min_by(p, k).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, k).alias("close"), F.count("*").alias("volume")
+def orders_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the orders: a row per status and day, from which prices and positions follow."""
+    p, k, urgency = F.col("o_totalprice"), F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("d")).agg(
+        F.min_by(p, k).alias("open"), F.max(p).alias("high"), F.min(p).alias("low"), F.max_by(p, k).alias("close"), F.count("*").alias("volume"),
+        F.count_if(urgency.isin("1", "2")).alias("long_spec"), F.count_if(urgency.isin("4", "5")).alias("short_spec"),
+    )
+
+
+def lines_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pass over the line items: a row per flag, status and day, from which macro series, weather and holdings follow."""
+    q, cents = F.col("l_quantity"), F.round(F.col("l_extendedprice") * 100).cast("long")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.to_date("l_shipdate").alias("d")).agg(
+        F.sum(cents).alias("cents"), F.count("*").alias("n"), F.max(q).alias("tmax"), F.min(q).alias("tmin"), F.sum(q).alias("q")
     )
 
 
-def closes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prices(spark, sf_dir).select("key", "d", F.col("close").alias("v"))
+def prices(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    """(key, d, open, high, low, close, volume): a bar per order status and day."""
+    daily = orders_daily(spark, sf_dir) if daily is None else daily
+    return daily.select(F.concat(F.lit("ORD_"), "status").alias("key"), "d", "open", "high", "low", "close", "volume")
+
+
+def closes(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    return prices(spark, sf_dir, daily).select("key", "d", F.col("close").alias("v"))
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,29 +47,37 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("key"), F.to_date("l_shipdate").alias("d")).agg((F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")) / F.count("*") / 100.0).alias("v"))
+def macro(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    daily = lines_daily(spark, sf_dir) if daily is None else daily
+    return daily.groupBy(F.col("flag").alias("key"), "d").agg((F.sum("cents") / F.sum("n") / 100.0).alias("v"))
 
 
-def cot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = F.substring("o_orderpriority", 1, 1)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("key"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("d")).agg(
-        F.count(F.when(p.isin("1", "2"), 1)).alias("long_spec"), F.count(F.when(p.isin("4", "5"), 1)).alias("short_spec"), F.count("*").alias("open_interest")
-    )
+def cot(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    daily = orders_daily(spark, sf_dir) if daily is None else daily
+    week = F.to_date(F.date_trunc("week", "d"))
+    return daily.groupBy(F.col("status").alias("key"), week.alias("d")).agg(F.sum("long_spec").alias("long_spec"), F.sum("short_spec").alias("short_spec"), F.sum("volume").alias("open_interest"))
 
 
-def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.col("l_quantity")
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("key"), F.to_date("l_shipdate").alias("d")).agg(
-        F.max(q).alias("tmax"), F.min(q).alias("tmin"), (F.sum(q) / F.count("*")).alias("precip")
-    )
+def weather(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    daily = lines_daily(spark, sf_dir) if daily is None else daily
+    return daily.groupBy(F.col("status").alias("key"), "d").agg(F.max("tmax").alias("tmax"), F.min("tmin").alias("tmin"), (F.sum("q") / F.sum("n")).alias("precip"))
 
 
-def etf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = table(spark, sf_dir, "lineitem").groupBy(F.lit("ETF").alias("key"), F.to_date("l_shipdate").alias("d")).agg(F.sum("l_quantity").alias("q"))
+def etf(spark: SparkSession, sf_dir: str, daily: DataFrame | None = None) -> DataFrame:
+    daily = lines_daily(spark, sf_dir) if daily is None else daily
+    day = daily.groupBy(F.lit("ETF").alias("key"), "d").agg(F.sum("q").alias("q"))
     return day.select("key", "d", F.sum("q").over(Window.partitionBy("key").orderBy("d")).alias("v"))
 
 
+def environment(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables by kind, and ``bars``. Orders and line items are read once each, to daily rows that are kept as files."""
+    orders, lines = materialize(orders_daily(spark, sf_dir), "orders-daily"), materialize(lines_daily(spark, sf_dir), "lines-daily")
+    return {
+        "bars": prices(spark, sf_dir, orders), "closes": closes(spark, sf_dir, orders), "cot": cot(spark, sf_dir, orders),
+        "macro": macro(spark, sf_dir, lines), "weather": weather(spark, sf_dir, lines), "etf": etf(spark, sf_dir, lines),
+    }
+
+
 def options(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts (key, d, strike, kind, oi, iv, years, spot), a month of them a chain."""
     line = table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_linestatus", "l_quantity", "l_discount", "l_linenumber")
@@ -80,4 +105,5 @@ def with_views(names: str, body: str) -> str:
     need = names.split()
     if "closes" in need and "prices" not in need:
         need.insert(0, "prices")
-    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in need) + ("," if body.lstrip()[:6].upper() != "SELECT" else "") + "\n" + body
+    recursive = "RECURSIVE " if "walk AS (" in body else ""
+    return f"WITH {recursive}" + ",\n".join(f"{n} AS MATERIALIZED ({SQL[n]})" for n in need) + ("," if body.lstrip()[:6].upper() != "SELECT" else "") + "\n" + body
