@@ -202,10 +202,11 @@ def gamma_regime(probes, gamma, max_age_days=5, k=8.0):
 
 
 def gamma_snapshot(options: DataFrame) -> DataFrame:
-    """(key, d, spot, net_gex, gamma_center) of contracts: calls add and puts take away."""
+    """(key, d, spot, net_gex, gamma_center) of contracts, each at its own ``rate`` if there is one: calls add and puts take away."""
     from ..functions import option_gamma
 
-    g = option_gamma(F.col("spot"), F.col("strike"), F.col("years"), F.col("iv") / 100.0, F.lit(0.0))
+    rate = F.coalesce("rate", F.lit(0.0)) if "rate" in options.columns else F.lit(0.0)
+    g = option_gamma(F.col("spot"), F.col("strike"), F.col("years"), F.col("iv") / 100.0, rate)
     used = options.filter((F.col("oi") > 0) & (F.col("iv") != 0)).withColumn("g", g).filter("g > 0").withColumn("w", F.col("g") * F.col("oi"))
     out = used.groupBy("key", "d").agg(F.max("spot").alias("spot"), F.sum(F.when(F.col("kind") == "C", F.col("w")).otherwise(-F.col("w"))).alias("net"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("strike")).alias("ws"))
     return out.filter("w > 0").select("key", "d", r(F.col("spot"), 2).alias("spot"), r(F.col("net")).alias("net_gex"), r(F.col("ws") / F.col("w"), 2).alias("gamma_center"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,20 +86,29 @@ def weather_days(payload: DataFrame, json: str = "payload") -> DataFrame:
 
 
 def option_chain(index: DataFrame, summary: DataFrame) -> DataFrame:
-    """Contracts (key, d, strike, kind, oi, iv, years, spot) of an index price (key, d, spot) and a book summary
-    (key, instrument_name, open_interest, mark_iv)."""
+    """Contracts (key, d, strike, kind, oi, iv, years, rate, spot) of an index price (key, d, spot) and a book summary
+    (key, instrument_name, open_interest, mark_iv, and interest_rate if known)."""
     from ..plans.drivers import parse_instrument
 
     expiry, strike, kind = parse_instrument(F.col("instrument_name"))
-    rows = summary.withColumn("expiry", expiry).withColumn("strike", strike).withColumn("kind", kind).filter("expiry IS NOT NULL").join(index, "key")
-    return rows.select("key", "d", "strike", "kind", F.col("open_interest").alias("oi"), F.col("mark_iv").alias("iv"), (F.datediff("expiry", "d") / 365.0).alias("years"), "spot")
+    rate = F.coalesce(F.col("interest_rate").cast("double"), F.lit(0.0)) if "interest_rate" in summary.columns else F.lit(0.0)
+    rows = summary.withColumn("expiry", expiry).withColumn("strike", strike).withColumn("kind", kind).withColumn("rate", rate).filter("expiry IS NOT NULL").join(index, "key")
+    return rows.select("key", "d", "strike", "kind", F.col("open_interest").alias("oi"), F.col("mark_iv").alias("iv"), (F.datediff("expiry", "d") / 365.0).alias("years"), "rate", "spot")
+
+
+def option_payloads(index: DataFrame, summary: DataFrame, day: Column) -> DataFrame:
+    """The contracts of two JSON answers (key, payload) each: the index price and the book summary of the day."""
+    price = F.from_json("payload", "struct<result: struct<index_price: double>>")["result"]["index_price"]
+    book = F.from_json("payload", "struct<result: array<struct<instrument_name: string, open_interest: double, mark_iv: double, interest_rate: double>>>")["result"]
+    return option_chain(index.select("key", day.alias("d"), price.alias("spot")).filter("spot IS NOT NULL"), summary.select("key", F.inline(book)))
 
 
 def dix_csv(lines: DataFrame, line: str = "value") -> DataFrame:
-    """(d, dix, gex) from the lines of a CSV date,price,dix,gex; a row must parse as a whole."""
-    part = lambda i: F.try_element_at(F.split(line, ","), F.lit(i))
-    number = lambda i: F.expr(f"try_cast(try_element_at(split({line}, ','), {i}) AS double)")
-    return lines.select(F.try_to_date(part(1)).alias("d"), number(3).alias("dix"), number(4).alias("gex")).filter("d IS NOT NULL AND dix IS NOT NULL AND gex IS NOT NULL")
+    """(d, dix, gex) from the lines of a CSV date,price,dix,gex; a row must parse as a whole, and fields may be quoted."""
+    row = F.from_csv(line, "day string, price string, dix string, gex string", {"mode": "PERMISSIVE"})
+    number = lambda c: F.expr(f"try_cast(r.{c} AS double)").alias(c)
+    out = lines.select(row.alias("r")).select(F.try_to_date("r.day").alias("d"), number("dix"), number("gex"))
+    return out.filter("d IS NOT NULL AND dix IS NOT NULL AND gex IS NOT NULL")
 
 
 def long_series(wide: DataFrame, ids: list[str], names: dict[str, str]) -> DataFrame:
@@ -108,25 +118,40 @@ def long_series(wide: DataFrame, ids: list[str], names: dict[str, str]) -> DataF
     return out.select(*ids, label[F.col("column")].alias("series_id"), "v").filter("v IS NOT NULL")
 
 
-def cot_normalised(reports: dict[str, DataFrame], markets: dict[str, list[str]]) -> DataFrame:
-    """cot_positions of the first report type, and in it all contracts, that match a market's candidates."""
+def cot_normalised(reports: dict[str, DataFrame], markets: dict[str, list[str] | dict[str, list[str]]]) -> DataFrame:
+    """cot_positions of the first report type, and in it all contracts, that match a market's candidates.
+
+    A market is a list of candidates, or ``{"contracts": candidates, "types": report types in its own order}``.
+    """
+    wanted = []
+    for market, spec in markets.items():
+        own = spec if isinstance(spec, dict) else {"contracts": spec}
+        kinds = own.get("types") or list(COT_COLUMNS)
+        if unknown := set(kinds) - set(COT_COLUMNS):
+            raise ValueError(f"{market}: unknown report types {sorted(unknown)}; there are {list(COT_COLUMNS)}")
+        wanted += [(market, c.lower(), i, kind, rank) for rank, kind in enumerate(kinds) for i, c in enumerate(own["contracts"])]
     parts = []
-    wanted = next(iter(reports.values())).sparkSession.createDataFrame([(m, c.lower(), i) for m, cs in markets.items() for i, c in enumerate(cs)], "market string, candidate string, at int")
-    for rank, (kind, (ls, ss, lc, sc)) in enumerate(COT_COLUMNS.items()):
+    for kind, (ls, ss, lc, sc) in COT_COLUMNS.items():
         if kind in reports:
-            df = reports[kind].select("contract", F.col("report_date").cast("date"), *(F.col(c).cast("long").alias(n) for c, n in ((ls, "long_spec"), (ss, "short_spec"), (lc, "long_comm"), (sc, "short_comm"))), F.col("open_interest").cast("long"))
-            hit = df.join(F.broadcast(wanted), F.lower("contract").contains(F.col("candidate")))
-            parts.append(hit.select("market", "report_date", F.lit(kind).alias("report_type"), "long_spec", "short_spec", "long_comm", "short_comm", "open_interest", F.lit(rank).alias("rank"), "at", "contract"))
+            numbers = [F.col(c).cast("long").alias(n) for c, n in ((ls, "long_spec"), (ss, "short_spec"), (lc, "long_comm"), (sc, "short_comm"))]
+            parts.append(reports[kind].select(F.lit(kind).alias("report_type"), "contract", F.col("report_date").cast("date"), *numbers, F.col("open_interest").cast("long")))
     if not parts:
         raise ValueError(f"no known report type; there are {list(COT_COLUMNS)}")
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+    rows = reduce(DataFrame.unionByName, parts)
+    # One row a market, candidate and type, from the caller's list: small enough to go to every task.
+    spec = rows.sparkSession.createDataFrame(wanted, "market string, candidate string, at int, report_type string, rank int")
+    rows = rows.join(F.broadcast(spec), (rows["report_type"] == spec["report_type"]) & F.contains(F.lower("contract"), F.col("candidate"))).drop(spec["report_type"])
     first = rows.groupBy("market").agg(F.min("rank").alias("rank"))
     rows = rows.join(first, ["market", "rank"]).withColumn("_order", F.struct("at", "contract"))
     return latest(rows, ["market", "report_date"], "_order").select(*(f.name for f in schema("cot_positions")))
 
 
+def as_series(table: DataFrame, series_id: str, day: str, value: str) -> DataFrame:
+    """One column of a special table (such as the share of a mix) as a macro series."""
+    rows = table.select(F.lit(series_id).alias("series_id"), F.col(day).cast("date").alias("date"), F.col(value).cast("double").alias("value"))
+    return conform(rows.filter("date IS NOT NULL AND value IS NOT NULL"), "macro_series")
+
+
 def resolve(values: DataFrame, candidates: list[str], column: str = "value") -> DataFrame:
     """Values that contain a candidate, whatever the case, with the position of the first."""
     wanted = values.sparkSession.createDataFrame([(c.lower(), i) for i, c in enumerate(candidates)], "candidate string, position int")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
 from collections.abc import Callable
 
@@ -95,6 +96,22 @@ def secret(name: str, default: str | None = None, path: str | None = None) -> st
     return _secrets.get(name, default)
 
 
+#: Energy stocks by name: the data route and the series' facet (fixed values).
+ENERGY_SERIES = {
+    "WCESTUS1": ("petroleum/stoc/wstk", "WCESTUS1"),
+    "NG_STOR_L48": ("natural-gas/stor/wkly", "NW2_EPG0_SWO_R48_BCF"),
+}
+
+
+def energy_url(base: str, key: str, api_key: str, start: str | None = None, length: int = 5000) -> str:
+    """The address of a registered weekly series, oldest first."""
+    if key not in ENERGY_SERIES:
+        raise KeyError(f"unknown energy series {key}; there are {sorted(ENERGY_SERIES)}")
+    route, facet = ENERGY_SERIES[key]
+    query = {"api_key": api_key, "frequency": "weekly", "data[0]": "value", "facets[series][]": facet, "sort[0][column]": "period", "sort[0][direction]": "asc", "length": length}
+    return f"{base.rstrip('/')}/{route}/data/?{urllib.parse.urlencode(query | ({'start': start} if start else {}))}"
+
+
 def page_plan(first_ms: int, last_ms: int, chunk_ms: int) -> list[tuple[int, int]]:
     """[from, to) windows of a history, newest first: one input partition each of a paginated feed."""
     out = []
