@@ -1,4 +1,4 @@
-"""Bars and the drivers at every trading day of one symbol."""
+"""Bars and the drivers of every series at every trading day."""
 
 from __future__ import annotations
 
@@ -26,15 +26,15 @@ def query(name: str, sql: str | None = None):
 
 
 def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trading day of one symbol."""
-    return P.closes(spark, sf_dir).filter(F.col("key") == "ORD_O").select(F.col("d").alias("as_of"))
+    """Every day on which a symbol trades."""
+    return P.closes(spark, sf_dir).select(F.col("d").alias("as_of")).distinct()
 
 
 def probes(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return dates(spark, sf_dir).select(F.explode(F.array(*map(F.lit, keys))).alias("key"), "as_of")
 
 
-DATES = "dates AS (SELECT d AS as_of FROM prices WHERE key = 'ORD_O')"
+DATES = "dates AS (SELECT DISTINCT d AS as_of FROM prices)"
 
 
 def probes_sql(*keys: str) -> str:
@@ -84,17 +84,17 @@ def fractals_query(spark, sf_dir):
     return fractals(P.prices(spark, sf_dir), 3).filter("is_high OR is_low").select(F.col("key").alias("symbol"), "d", "is_high", "is_low")
 
 
-SPREAD = "spread AS (SELECT 'A-N' AS key, a.d, a.v - b.v AS v FROM macro a ASOF JOIN (SELECT * FROM macro WHERE key = 'N' AND day(d) = 1) b ON a.d >= b.d WHERE a.key = 'A')"
+SPREAD = "spread AS (SELECT 'A-N' AS key, a.d, a.v - b.v AS v FROM macro a ASOF JOIN (SELECT last_day(d) AS d, round_even(avg(v), 6) AS v FROM macro WHERE key = 'N' GROUP BY 1) b ON a.d >= b.d WHERE a.key = 'A')"
 
 
-def thin(spark, sf_dir):
-    """A monthly series: one day a month of a daily one."""
-    return one(P.macro(spark, sf_dir), "N", "A-N").filter(F.dayofmonth("d") == 1)
+def monthly(spark, sf_dir):
+    """A monthly series: the means of a daily one's months, at their last days."""
+    return one(P.macro(spark, sf_dir), "N", "A-N").groupBy("key", F.last_day("d").alias("d")).agg(r(F.avg("v"), 6).alias("v"))
 
 
 @query("asof_spread", P.with_views("macro", SPREAD + " SELECT d, round_even(v, 7) + 0.0 AS spread FROM spread"))
 def asof_spread(spark, sf_dir):
-    return spine_spread(one(P.macro(spark, sf_dir), "A", "A-N"), thin(spark, sf_dir)).select("d", r(F.col("v"), 7).alias("spread"))
+    return spine_spread(one(P.macro(spark, sf_dir), "A", "A-N"), monthly(spark, sf_dir)).select("d", r(F.col("v"), 7).alias("spread"))
 
 
 @query("drv_level_pct", P.with_views("prices macro", probes_sql("A", "N", "R") + ", series AS (SELECT * FROM macro), " + LOOK.format(days=504) + PCT.format(sign=-1)))
@@ -104,7 +104,7 @@ def drv_level_pct(spark, sf_dir):
 
 @query("drv_spread_pct", P.with_views("prices macro", probes_sql("A-N") + f", {SPREAD}, series AS (SELECT * FROM spread), " + LOOK.format(days=504) + PCT.format(sign=1)))
 def drv_spread_pct(spark, sf_dir):
-    return drivers.series_spread_percentile(probes(spark, sf_dir, "A-N"), one(P.macro(spark, sf_dir), "A", "A-N"), thin(spark, sf_dir))
+    return drivers.series_spread_percentile(probes(spark, sf_dir, "A-N"), one(P.macro(spark, sf_dir), "A", "A-N"), monthly(spark, sf_dir))
 
 
 def _change_sql(views: str, keys: tuple, source: str, change: str, horizon: int, least: int) -> str:
@@ -127,9 +127,9 @@ dev AS (SELECT *, CASE WHEN n >= 200 THEN coalesce((v - sma) / nullif(sma, 0), 0
 rows AS (SELECT key, d, n, cur, stddev_pop(cur) OVER (PARTITION BY key ORDER BY d ROWS 250 PRECEDING) AS sd FROM dev)"""
 
 
-@query("drv_price_vs_sma", P.with_views("prices closes", probes_sql("ORD_F", "ORD_O") + f", {SMA_ROWS}, {ATTACH} " + final(f"tanh(cur / {SD})", "cur", "n >= 201")))
+@query("drv_price_vs_sma", P.with_views("prices closes", probes_sql("ORD_F", "ORD_O", "ORD_P") + f", {SMA_ROWS}, {ATTACH} " + final(f"tanh(cur / {SD})", "cur", "n >= 201")))
 def drv_price_vs_sma(spark, sf_dir):
-    return drivers.price_vs_sma(probes(spark, sf_dir, "ORD_F", "ORD_O"), P.closes(spark, sf_dir))
+    return drivers.price_vs_sma(probes(spark, sf_dir, "ORD_F", "ORD_O", "ORD_P"), P.closes(spark, sf_dir))
 
 
 @query("drv_cot_pct", P.with_views("prices cot", probes_sql("F", "O", "P") + """, nets AS (SELECT key, d + 3 AS d, CASE WHEN open_interest <> 0 THEN (long_spec - short_spec) / open_interest::DOUBLE ELSE long_spec - short_spec END AS net FROM cot),
@@ -189,12 +189,12 @@ def drv_frost(spark, sf_dir):
     return drivers.frost_anomaly(probes(spark, sf_dir, "F", "O"), P.weather(spark, sf_dir))
 
 
-@query("drv_seasonal", P.with_views("prices macro", probes_sql("A", "R") + """, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d) AS rn, dayofyear(d) AS doy FROM macro),
+@query("drv_seasonal", P.with_views("prices macro", probes_sql("A", "N", "R") + """, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d) AS rn, dayofyear(d) AS doy FROM macro),
 x AS (SELECT p.key, p.as_of, s.* EXCLUDE (key) FROM probes p ASOF JOIN s ON p.key = s.key AND p.as_of >= s.d),
 last_rows AS (SELECT p.key, p.as_of, any_value(x.v) AS cur, (SELECT count(*) FROM s c WHERE c.key = p.key AND c.d <= p.as_of AND c.d >= p.as_of - 3650) AS held, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS n
 FROM probes p LEFT JOIN x ON x.key = p.key AND x.as_of = p.as_of LEFT JOIN s o ON o.key = x.key AND o.rn <= x.rn - 30 AND o.d >= x.as_of - 3650 AND least(abs(o.doy - x.doy), 366 - abs(o.doy - x.doy)) <= 10 GROUP BY 1, 2) """ + final(f"-tanh((cur - mean) / {SD})", "cur", "held >= 365 AND n >= 15", 1)))
 def drv_seasonal(spark, sf_dir):
-    return drivers.seasonal_anomaly(probes(spark, sf_dir, "A", "R"), P.macro(spark, sf_dir), bull_when="low")
+    return drivers.seasonal_anomaly(probes(spark, sf_dir, "A", "N", "R"), P.macro(spark, sf_dir), bull_when="low")
 
 
 GAMMA = """g AS (SELECT *, (ln(spot / strike) + 0.5 * (iv / 100) * (iv / 100) * years) / ((iv / 100) * sqrt(years)) AS d1 FROM options WHERE oi > 0 AND iv <> 0 AND strike > 0 AND years > 0),
