@@ -7,9 +7,13 @@ active on that day, by host, by parent domain, or by host and first path segment
 Captures are first reduced to distinct (host, segment, day), so a hot host costs a row a day and
 segment; all joins are equalities that Spark can split at hot keys.
 
+A host is compared without user, port, case, percent encoding and closing dots, and so are a list's
+patterns, so that none of them leads past a list. A backslash ends a host as a slash does.
+
 Defined results: entries of one pattern on the same day act in the order add, remove, so the pattern
-ends inactive; an addition to an active pattern renews it; a null URL or day matches nothing and is
-allowed; repeated captures are judged each; an empty list allows all.
+ends inactive; an addition to an active pattern renews it; a null URL or day, or a URL without a host,
+matches nothing and is allowed; a null pattern or day in the list counts for nothing; repeated captures
+are judged each; an empty list allows all; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,16 +21,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)"
-_SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
+from .common import place, plain
+
+#: Scheme, user, host and the rest of a URL. Leading white space and control characters don't count.
+_HOST = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}(?:[^/?#\\]*@)?(\[[^\]/?#\\]*\]|[^/?#:@\\]*)"
+_SEGMENT = r"^[\x00-\x20]*[A-Za-z][A-Za-z0-9+.-]*:[/\\]{2}[^/?#\\]+[/\\]([^/?#\\]+)"
+
+
+def decoded(text: Column) -> Column:
+    """Percent sequences decoded; a text with broken ones stays as it is."""
+    return F.coalesce(F.when(F.contains(text, F.lit("%")), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))), text)
+
+
+def normal(host: Column) -> Column:
+    return F.regexp_replace(F.lower(decoded(host)), r"\.+$", "")
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, _HOST, 1))
+    return normal(F.regexp_extract(url, _HOST, 1))
 
 
 def segment(url: Column) -> Column:
-    return F.regexp_extract(url, _SEGMENT, 1)
+    return decoded(F.regexp_extract(url, _SEGMENT, 1))
+
+
+def pattern(entry: Column) -> Column:
+    """A list's pattern with its host, which is all before the first slash, as hosts of captures are compared."""
+    path = F.regexp_extract(entry, r"^[^/]*(/.*)?$", 1)
+    return F.concat(normal(F.regexp_extract(entry, r"^([^/]*)", 1)), decoded(path))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -34,7 +56,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     w = Window.partitionBy("list", "kind", "pattern").orderBy("on_date", "action")
     return (
         entries.filter(F.col("on_date").isNotNull() & F.col("pattern").isNotNull())
-        .select("list", "kind", "pattern", "action", "on_date").distinct()
+        .select("list", "kind", pattern(F.col("pattern")).alias("pattern"), "action", "on_date").distinct()
         .withColumn("valid_to", F.lead("on_date").over(w))
         .filter((F.col("action") == "add") & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("on_date"))))
         .select("list", "kind", "pattern", F.col("on_date").alias("valid_from"), "valid_to")
@@ -43,7 +65,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The captures (with ``url``, ``fetch_date``) and host, n_active, matched (the newest active pattern) and allowed."""
-    known = captures.withColumn("host", host(F.col("url"))).withColumn("segment", segment(F.col("url")))
+    url, day = F.col(place(captures, "url")), F.col(place(captures, "fetch_date"))
+    known = plain(captures).select("*", host(url).alias("host"), segment(url).alias("segment"), day.alias("fetch_date"))
     probe = known.filter((F.col("host") != "") & F.col("fetch_date").isNotNull()).select("host", "segment", "fetch_date").distinct()
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern")))
@@ -55,7 +78,8 @@ def filter_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     verdict = found.groupBy("host", "segment", "fetch_date").agg(F.count("*").alias("n_active"), F.min(order).alias("best"))
     verdict = verdict.select("host", "segment", "fetch_date", "n_active", F.concat_ws(":", "best.list", "best.kind", "best.pattern").alias("matched"))
     out = known.join(verdict, ["host", "segment", "fetch_date"], "left")
-    return out.withColumn("n_active", F.coalesce("n_active", F.lit(0))).withColumn("allowed", F.col("n_active") == 0)
+    n = F.coalesce("n_active", F.lit(0))
+    return out.select(*plain(captures).columns, "host", n.alias("n_active"), "matched", (n == 0).alias("allowed")).toDF(*captures.columns, "host", "n_active", "matched", "allowed")
 
 
 #: The query's captures and list: fetch days from page ids, entries from hashes of hosts and paths.
@@ -86,11 +110,16 @@ def op10_url_filters(spark, sf_dir):
     return out.select("page_id", "host", "fetch_date", "n_active", F.coalesce("matched", F.lit("")).alias("matched"), "allowed")
 
 
+def decoded_sql(x: str) -> str:
+    return f"CASE WHEN contains({x}, '%') THEN coalesce(try(url_decode({x})), {x}) ELSE {x} END"
+
+
 def oracle_sql() -> str:
+    plain_host = lambda h: f"regexp_replace(lower({decoded_sql(h)}), '\\.+$', '')"
     byte = lambda k: f"CAST(concat('0x', substr(h, {k}, 2)) AS BIGINT)"
     return rf"""
 WITH known AS (
-    SELECT page_id, lower(regexp_extract(url, '{_HOST}', 1)) AS host, regexp_extract(url, '{_SEGMENT}', 1) AS segment,
+    SELECT page_id, {plain_host(f"regexp_extract(url, '{_HOST}', 1)")} AS host, {decoded_sql(f"regexp_extract(url, '{_SEGMENT}', 1)")} AS segment,
         CAST(DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INTEGER) AS DATE) AS fetch_date FROM pages),
 sites AS (SELECT DISTINCT host, segment FROM known WHERE host <> ''),
 patterns AS (
