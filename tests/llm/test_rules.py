@@ -133,6 +133,53 @@ def test_encoded_parts_are_unwrapped_wholly(inner):
     assert all(t.index(inner) <= s < e <= t.index(inner) + len(inner) for s, _, e in found)
 
 
+def reveals(text, what, depth=0):
+    """A plain recursive decoder: whether any layer of a text holds ``what``."""
+    if what in text:
+        return True
+    if depth == 9:
+        return False
+    inner = {urllib.parse.unquote(text), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text)} - {text}
+    for joined in {text, re.sub(r"\s*\n\s*", "", text)}:
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", joined):
+            for cut in range(len(m[0]) - len(m[0]) % 4, len(m[0]) + 1):
+                try:
+                    data = base64.b64decode(m[0][:cut].replace("-", "+").replace("_", "/") + "=" * (-cut % 4))
+                except ValueError:
+                    continue
+                for _ in range(4):
+                    inner.add(data.decode("latin-1"))
+                    try:
+                        data = zlib.decompress(data, 47)
+                    except zlib.error:
+                        break
+    return any(reveals(x, what, depth + 1) for x in inner)
+
+
+def test_random_nestings_leave_nothing():
+    import random
+
+    r = random.Random(21)
+    wraps = {
+        "b64": lambda s: base64.b64encode(s.encode()).decode(), "url64": lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="),
+        "gzip": lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), "zlib": lambda s: base64.b64encode(zlib.compress(zlib.compress(s.encode()))).decode(),
+        "percent": lambda s: "".join(f"%{ord(c):02X}" for c in s), "escape": lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
+        "lines": lambda s: lines(s.encode(), r.choice([20, 44, 76])), "words": lambda s: f"some {s} words",
+    }
+    for _ in range(60):
+        inner, used = "password=hunter2hunter2", r.choices(list(wraps), k=r.randint(1, 4))
+        for w in used:
+            inner = wraps[w](inner)
+            if len(inner) > 20_000:
+                break
+        t = "; ".join(["plain text", inner, "between", inner, "the end"])
+        assert reveals(t, "hunter2hunter2"), used
+        found = secrets.scan_layers(t)[1]
+        clean = secrets.redact(t, found)
+        assert not reveals(clean, "hunter2hunter2"), (used, t, found)
+        assert clean.startswith("plain text; ") and clean.endswith("; the end")
+
+
 def test_large_layers_are_gone_through_in_pieces():
     big = b"a few plain words " * 5000
     for data in (big + SECRET + big, gzip.compress(big + SECRET + big), gzip.compress(big + base64.b64encode(SECRET) + b" " + big)):

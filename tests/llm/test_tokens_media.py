@@ -202,6 +202,76 @@ def test_bm25_equals_brute_force():
         assert np.allclose(index.scores(d), want)
 
 
+def plain_scores(words, d):
+    """BM25 of document ``d``'s distinct words against every document; words of one document say nothing."""
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    out = [0.0] * n
+    for t in set(words[d]):
+        have = [w.count(t) for w in words]
+        if (df := sum(f > 0 for f in have)) > 1:
+            idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+            for i, f in enumerate(have):
+                out[i] += idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words[i]) / mean))
+    return out
+
+
+def plain_packing(lengths, words, window):
+    """(documents' pieces) by the rule itself: a seed's best unused neighbours fill its window, then the next in order."""
+    left, out, sequence, room, near = list(range(len(lengths))), [], 0, window, []
+    while left:
+        near = [d for d in near if d in left]
+        d = near.pop(0) if near else left[0]
+        left.remove(d)
+        start, seed = 0, d if room == window else None
+        while start < lengths[d]:
+            n = min(room, lengths[d] - start)
+            out.append((d, start, n, sequence, window - room))
+            start, room = start + n, room - n
+            if not room:
+                sequence, room, near = sequence + 1, window, []
+                seed = d if start < lengths[d] else None
+        if seed is not None:
+            score = [round(x, 9) for x in plain_scores(words, seed)]
+            near = sorted((i for i in left if score[i] > 0), key=lambda i: (-score[i], i))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_is_the_plain_rule(seed):
+    r = np.random.default_rng(seed)
+    words = [r.integers(0, 400, r.integers(0, 30)).tolist() for _ in range(60)]
+    words += words[:5]  # copies tie
+    lengths = [int(x) for x in r.integers(1, 150, len(words))]
+    got = packing.pack(lengths, packing.Index([np.array(w, np.uint64) for w in words]), 100)
+    assert got == plain_packing(lengths, words, 100)
+
+
+def plain_area(a, height, width):
+    """Each target pixel's mean, source pixel by source pixel."""
+    out = np.zeros((height, width))
+    for i in range(height):
+        for j in range(width):
+            total = weight = 0.0
+            for y in range(a.shape[0]):
+                dy = min(y + 1, (i + 1) * a.shape[0] / height) - max(y, i * a.shape[0] / height)
+                for x in range(a.shape[1]):
+                    dx = min(x + 1, (j + 1) * a.shape[1] / width) - max(x, j * a.shape[1] / width)
+                    if dy > 0 and dx > 0:
+                        total, weight = total + dy * dx * a[y, x], weight + dy * dx
+            out[i, j] = total / weight
+    return out
+
+
+def test_features_are_those_of_plain_areas():
+    r = np.random.default_rng(4)
+    for shape in ((1, 64), (3, 64), (11, 7), (20, 33)):
+        a = r.integers(0, 256, shape).astype(np.uint8)
+        small = np.round(plain_area(a, 8, 9), 6)
+        bits = "".join("1" if small[i, j + 1] > small[i, j] else "0" for i in range(8) for j in range(8))
+        assert media.difference_hash(a) == f"{int(bits, 2):016x}"
+        assert (np.load(__import__("io").BytesIO(media.npy_tile(a, 5))) == np.rint(np.round(plain_area(a, 5, 5), 9))).all()
+
+
 def test_media(docs):
     rows = {r.doc_id: r for r in media.media_features(media.text_to_media(docs)).collect()}
     for i, t, *_ in ROWS:
