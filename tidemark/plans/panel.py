@@ -80,7 +80,10 @@ def neighbours(current: DataFrame, train: DataFrame, band: float | str, match_co
     return c.join(t, on if before is None else on & before, "left")
 
 
-def gate(current: DataFrame, train: DataFrame, band: float | str = 0.1, horizon: int | str | None = 30, min_effective_n: int | str = 30, min_hit_rate_pct: float | str = 55.0, min_expectancy_r: float | str = 0.3, match_coverage: bool | str = False, keys: tuple[str, ...] = ("instrument", "as_of")) -> DataFrame:
+def gate(
+    current: DataFrame, train: DataFrame, band: float | str = 0.1, horizon: int | str | None = 30, min_effective_n: int | str = 30,
+    min_hit_rate_pct: float | str = 55.0, min_expectancy_r: float | str = 0.3, match_coverage: bool | str = False, keys: tuple[str, ...] = ("instrument", "as_of"),
+) -> DataFrame:
     """The base rate of each current row: n, n_eff, hit_rate and expectancy_r with intervals, passes, reason.
 
     Limits are numbers or fields of the current rows, such as those of ``rules.GATE``.

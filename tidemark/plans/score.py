@@ -129,5 +129,6 @@ def score_instruments(env: dict[str, DataFrame], fingerprints: list[dict], decis
 
 def explain(scored: DataFrame) -> DataFrame:
     """(instrument, as_of, trace): the score's trace as JSON."""
-    trace = F.struct("instrument", F.col("as_of").cast("string").alias("as_of"), "score", "direction", "grade", F.transform("drivers", lambda d: F.struct(d["name"].alias("name"), d["ok"].alias("ok"), d["score"].alias("score"), d["value"].alias("value"), d["weight"].alias("weight"), r(d["weight"] * d["score"]).alias("contribution"))).alias("drivers"))
+    shown = lambda d: F.struct(*(d[c].alias(c) for c in ("name", "ok", "score", "value", "weight")), r(d["weight"] * d["score"]).alias("contribution"))
+    trace = F.struct("instrument", F.col("as_of").cast("string").alias("as_of"), "score", "direction", "grade", F.transform("drivers", shown).alias("drivers"))
     return scored.select("instrument", "as_of", F.to_json(trace).alias("trace"))

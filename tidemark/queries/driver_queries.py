@@ -47,14 +47,16 @@ def one(df: DataFrame, key: str, to: str | None = None) -> DataFrame:
 
 
 def final(score: str, value: str, ok: str, places: int = 6) -> str:
-    return f"SELECT key, as_of, coalesce({ok}, false) AS ok, CASE WHEN {ok} THEN round_even({score}, 4) + 0.0 ELSE 0.0 END AS score, CASE WHEN {ok} THEN round_even({value}, {places}) + 0.0 END AS value FROM last_rows"
+    return f"""SELECT key, as_of, coalesce({ok}, false) AS ok, CASE WHEN {ok} THEN round_even({score}, 4) + 0.0 ELSE 0.0 END AS score, CASE WHEN {ok} THEN round_even({value},
+    {places}) + 0.0 END AS value FROM last_rows"""
 
 
 SD = "CASE WHEN coalesce(sd, 0) = 0 THEN 1e-9 ELSE sd END"
 #: The last row of ``rows`` on or before each probe.
 ATTACH = "last_rows AS (SELECT p.key, p.as_of, x.* EXCLUDE (key) FROM probes p ASOF LEFT JOIN rows x ON p.key = x.key AND p.as_of >= x.d)"
 #: The values of ``series`` in the look-back of each probe.
-LOOK = "last_rows AS (SELECT p.key, p.as_of, arg_max(v, d) AS cur, list(v ORDER BY d) AS h FROM probes p LEFT JOIN series s ON s.key = p.key AND s.d <= p.as_of AND s.d >= p.as_of - {days} GROUP BY 1, 2)"
+LOOK = """last_rows AS (SELECT p.key, p.as_of, arg_max(v, d) AS cur, list(v ORDER BY d) AS h
+    FROM probes p LEFT JOIN series s ON s.key = p.key AND s.d <= p.as_of AND s.d >= p.as_of - {days} GROUP BY 1, 2)"""
 PCT = final("{sign} * (2.0 * len(list_filter(h, lambda x: x <= cur)) / len(h) - 1)", "cur", "coalesce(len(h), 0) >= 20")
 
 @query("bars_daily", "SELECT key AS symbol, d, open, high, low, close, volume FROM (" + P.SQL["prices"] + ")")
@@ -62,29 +64,34 @@ def bars_daily(spark, sf_dir):
     return P.prices(spark, sf_dir).withColumnRenamed("key", "symbol")
 
 
-@query("bars_hourly", "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2")
+@query("bars_hourly", """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value,
+    event_id) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
 def bars_hourly(spark, sf_dir):
     return P.hourly(spark, sf_dir).withColumnRenamed("key", "symbol")
 
 
-@query("log_returns", P.with_views("closes", "SELECT key AS symbol, d, round_even(ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)), 8) + 0.0 AS log_return FROM closes"))
+@query("log_returns", P.with_views("closes", """SELECT key AS symbol, d, round_even(ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)), 8) + 0.0 AS log_return FROM closes"""))
 def log_returns_query(spark, sf_dir):
     return log_returns(P.closes(spark, sf_dir)).select(F.col("key").alias("symbol"), "d", r(F.col("log_return"), 8).alias("log_return"))
 
 
-@query("atr14", P.with_views("prices", """t AS (SELECT key, d, row_number() OVER w AS rn, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w), 0)) AS tr FROM prices WINDOW w AS (PARTITION BY key ORDER BY d))
-SELECT key AS symbol, d, round_even(tr, 6) AS true_range, round_even(CASE WHEN rn >= 14 THEN avg(tr) OVER (PARTITION BY key ORDER BY d ROWS 13 PRECEDING) END, 6) AS atr FROM t"""))
+@query("atr14", P.with_views("prices", """t AS (SELECT key, d, row_number() OVER w AS rn, greatest(high - low, coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(low - lag(close) OVER w),
+    0)) AS tr FROM prices WINDOW w AS (PARTITION BY key ORDER BY d))
+SELECT key AS symbol, d, round_even(tr, 6) AS true_range, round_even(CASE WHEN rn >= 14 THEN avg(tr) OVER (PARTITION BY key ORDER BY d ROWS 13 PRECEDING) END,
+    6) AS atr FROM t"""))
 def atr14(spark, sf_dir):
     return atr(P.prices(spark, sf_dir), 14).select(F.col("key").alias("symbol"), "d", r(F.col("tr"), 6).alias("true_range"), r(F.col("atr"), 6).alias("atr"))
 
 
-@query("fractals", P.with_views("prices", """f AS (SELECT key, d, high, low, max(high) OVER w AS mh, min(low) OVER w AS ml, count(*) OVER w AS n FROM prices WINDOW w AS (PARTITION BY key ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
+@query("fractals", P.with_views("prices", """f AS (SELECT key, d, high, low, max(high) OVER w AS mh, min(low) OVER w AS ml, count(*) OVER w AS n
+    FROM prices WINDOW w AS (PARTITION BY key ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))
 SELECT key AS symbol, d, high = mh AS is_high, low = ml AS is_low FROM f WHERE n = 7 AND (high = mh OR low = ml)"""))
 def fractals_query(spark, sf_dir):
     return fractals(P.prices(spark, sf_dir), 3).filter("is_high OR is_low").select(F.col("key").alias("symbol"), "d", "is_high", "is_low")
 
 
-SPREAD = "spread AS (SELECT 'A-N' AS key, a.d, a.v - b.v AS v FROM macro a ASOF JOIN (SELECT last_day(d) AS d, round_even(avg(v), 6) AS v FROM macro WHERE key = 'N' GROUP BY 1) b ON a.d >= b.d WHERE a.key = 'A')"
+SPREAD = """spread AS (SELECT 'A-N' AS key, a.d, a.v - b.v AS v FROM macro a ASOF JOIN (SELECT last_day(d) AS d, round_even(avg(v), 6) AS v
+    FROM macro WHERE key = 'N' GROUP BY 1) b ON a.d >= b.d WHERE a.key = 'A')"""
 
 
 def monthly(spark, sf_dir):
@@ -108,7 +115,8 @@ def drv_spread_pct(spark, sf_dir):
 
 
 def _change_sql(views: str, keys: tuple, source: str, change: str, horizon: int, least: int) -> str:
-    return P.with_views(views, probes_sql(*keys) + f""", c AS (SELECT key, d, {change.format(old=f'lag(v, {horizon}) OVER (PARTITION BY key ORDER BY d)')} AS cur, row_number() OVER (PARTITION BY key ORDER BY d) AS n FROM {source}),
+    return P.with_views(views, probes_sql(*keys) + f""", c AS (SELECT key, d, {change.format(old=f'lag(v, {horizon}) OVER (PARTITION BY key ORDER BY d)')} AS cur,
+    row_number() OVER (PARTITION BY key ORDER BY d) AS n FROM {source}),
 rows AS (SELECT *, stddev_pop(cur) OVER (PARTITION BY key ORDER BY d) AS sd FROM c), {ATTACH} """ + final(f"tanh(cur / {SD})", "cur", f"n >= {horizon + least}"))
 
 
@@ -122,7 +130,8 @@ def drv_price_momentum(spark, sf_dir):
     return drivers.price_momentum(probes(spark, sf_dir, "ORD_F", "ORD_O", "ORD_P"), P.closes(spark, sf_dir))
 
 
-SMA_ROWS = """n AS (SELECT key, d, v, row_number() OVER w AS n, avg(v) OVER (PARTITION BY key ORDER BY d ROWS 199 PRECEDING) AS sma FROM closes WINDOW w AS (PARTITION BY key ORDER BY d)),
+SMA_ROWS = """n AS (SELECT key, d, v, row_number() OVER w AS n, avg(v) OVER (PARTITION BY key ORDER BY d ROWS 199 PRECEDING) AS sma
+    FROM closes WINDOW w AS (PARTITION BY key ORDER BY d)),
 dev AS (SELECT *, CASE WHEN n >= 200 THEN coalesce((v - sma) / nullif(sma, 0), 0) END AS cur FROM n),
 rows AS (SELECT key, d, n, cur, stddev_pop(cur) OVER (PARTITION BY key ORDER BY d ROWS 250 PRECEDING) AS sd FROM dev)"""
 
@@ -138,7 +147,7 @@ def drv_cot_pct(spark, sf_dir):
     return drivers.cot_spec_net_percentile(probes(spark, sf_dir, "F", "O", "P"), P.cot(spark, sf_dir))
 
 
-Z_ROWS = "rows AS (SELECT key, d, v AS cur, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS sd, count(v) OVER w AS n FROM series WINDOW w AS (PARTITION BY key ORDER BY d))"
+Z_ROWS = """rows AS (SELECT key, d, v AS cur, avg(v) OVER w AS mean, stddev_pop(v) OVER w AS sd, count(v) OVER w AS n FROM series WINDOW w AS (PARTITION BY key ORDER BY d))"""
 
 
 @query("drv_ethanol", P.with_views("prices closes macro", probes_sql("X") + f""", series AS (SELECT 'X' AS key, c.d, e.v / b.v / c.v AS v FROM closes c ASOF JOIN (SELECT * FROM macro WHERE key = 'A') e ON c.d >= e.d
@@ -154,23 +163,28 @@ def drv_price_ratio(spark, sf_dir):
     return drivers.price_ratio(probes(spark, sf_dir, "F/P"), one(c, "ORD_F", "F/P"), one(c, "ORD_P", "F/P"), bull_when="low")
 
 
-@query("drv_series_ratio", P.with_views("prices macro", probes_sql("A/R") + """, series AS (SELECT 'A/R' AS key, a.d, a.v / b.v AS v FROM (SELECT * FROM macro WHERE key = 'A') a ASOF JOIN (SELECT * FROM macro WHERE key = 'R') b ON a.d >= b.d WHERE b.v <> 0),
-last_rows AS (SELECT p.key, p.as_of, arg_max(v, d) AS cur, avg(v) AS mean, stddev_pop(v) AS sd, count(v) AS n FROM probes p LEFT JOIN series s ON s.d <= p.as_of AND s.d >= p.as_of - 1825 GROUP BY 1, 2) """ + final(f"tanh((cur - mean) / {SD})", "cur", "n >= 20")))
+@query("drv_series_ratio", P.with_views("prices macro", probes_sql("A/R") + """, series AS (SELECT 'A/R' AS key, a.d, a.v / b.v AS v FROM (SELECT * FROM macro WHERE key = 'A') a ASOF JOIN (SELECT *
+    FROM macro WHERE key = 'R') b ON a.d >= b.d WHERE b.v <> 0),
+last_rows AS (SELECT p.key, p.as_of, arg_max(v, d) AS cur, avg(v) AS mean, stddev_pop(v) AS sd, count(v) AS n
+    FROM probes p LEFT JOIN series s ON s.d <= p.as_of AND s.d >= p.as_of - 1825 GROUP BY 1, 2) """ + final(f"tanh((cur - mean) / {SD})", "cur", "n >= 20")))
 def drv_series_ratio(spark, sf_dir):
     m = P.macro(spark, sf_dir)
     return drivers.series_ratio(probes(spark, sf_dir, "A/R"), one(m, "A", "A/R"), one(m, "R", "A/R"))
 
 
 @query("drv_etf_flow", P.with_views("prices etf", probes_sql("ETF") + """, c AS (SELECT key, d, v, lag(v, 63) OVER (PARTITION BY key ORDER BY d) AS old, row_number() OVER (PARTITION BY key ORDER BY d) AS n FROM etf),
-c2 AS (SELECT *, (v - old) / nullif(old, 0) AS cur FROM c), rows AS (SELECT *, stddev_pop(cur) OVER w AS sd, count(cur) OVER w AS m FROM c2 WINDOW w AS (PARTITION BY key ORDER BY d)), """ + ATTACH + " " + final(f"tanh(cur / {SD})", "cur", "n >= 93 AND old > 0 AND m >= 20", 4)))
+c2 AS (SELECT *, (v - old) / nullif(old, 0) AS cur FROM c),
+rows AS (SELECT *, stddev_pop(cur) OVER w AS sd, count(cur) OVER w AS m FROM c2 WINDOW w AS (PARTITION BY key ORDER BY d)), """ + ATTACH + " " + final(f"tanh(cur / {SD})", "cur", "n >= 93 AND old > 0 AND m >= 20", 4)))
 def drv_etf_flow(spark, sf_dir):
     return drivers.etf_flow(probes(spark, sf_dir, "ETF"), P.etf(spark, sf_dir))
 
 
 def _season_sql(value: str, roll: str, window: int, exclude: int, score: str, out: str, places: int) -> str:
-    return P.with_views("prices weather", probes_sql("F", "O") + f""", s AS (SELECT key, d, {roll}({value}) OVER (PARTITION BY key ORDER BY d ROWS {window - 1} PRECEDING) AS v, row_number() OVER (PARTITION BY key ORDER BY d) AS rn, dayofyear(d) AS doy FROM weather),
+    return P.with_views("prices weather", probes_sql("F", "O") + f""", s AS (SELECT key, d, {roll}({value}) OVER (PARTITION BY key ORDER BY d ROWS {window - 1} PRECEDING) AS v, row_number() OVER (PARTITION BY key ORDER BY d) AS rn,
+    dayofyear(d) AS doy FROM weather),
 x AS (SELECT p.key, p.as_of, s.* EXCLUDE (key) FROM probes p ASOF LEFT JOIN s ON p.key = s.key AND p.as_of >= s.d),
-last_rows AS (SELECT x.key, x.as_of, any_value(x.v) AS v, any_value(x.rn) AS n_all, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS n, (any_value(x.v) - avg(o.v)) / CASE WHEN coalesce(stddev_pop(o.v), 0) = 0 THEN 1e-9 ELSE stddev_pop(o.v) END AS z
+last_rows AS (SELECT x.key, x.as_of, any_value(x.v) AS v, any_value(x.rn) AS n_all, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS n,
+    (any_value(x.v) - avg(o.v)) / CASE WHEN coalesce(stddev_pop(o.v), 0) = 0 THEN 1e-9 ELSE stddev_pop(o.v) END AS z
 FROM x LEFT JOIN s o ON o.key = x.key AND o.rn <= x.rn - {exclude} AND least(abs(o.doy - x.doy), 366 - abs(o.doy - x.doy)) <= 15 GROUP BY 1, 2) """ + final(score, out, "n_all >= 1095 AND n >= 20", places))
 
 
@@ -191,15 +205,19 @@ def drv_frost(spark, sf_dir):
 
 @query("drv_seasonal", P.with_views("prices macro", probes_sql("A", "N", "R") + """, s AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d) AS rn, dayofyear(d) AS doy FROM macro),
 x AS (SELECT p.key, p.as_of, s.* EXCLUDE (key) FROM probes p ASOF JOIN s ON p.key = s.key AND p.as_of >= s.d),
-last_rows AS (SELECT p.key, p.as_of, any_value(x.v) AS cur, (SELECT count(*) FROM s c WHERE c.key = p.key AND c.d <= p.as_of AND c.d >= p.as_of - 3650) AS held, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS n
-FROM probes p LEFT JOIN x ON x.key = p.key AND x.as_of = p.as_of LEFT JOIN s o ON o.key = x.key AND o.rn <= x.rn - 30 AND o.d >= x.as_of - 3650 AND least(abs(o.doy - x.doy), 366 - abs(o.doy - x.doy)) <= 10 GROUP BY 1, 2) """ + final(f"-tanh((cur - mean) / {SD})", "cur", "held >= 365 AND n >= 15", 1)))
+last_rows AS (SELECT p.key, p.as_of, any_value(x.v) AS cur, (SELECT count(*)
+    FROM s c WHERE c.key = p.key AND c.d <= p.as_of AND c.d >= p.as_of - 3650) AS held, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS n
+FROM probes p LEFT JOIN x ON x.key = p.key AND x.as_of = p.as_of
+    LEFT JOIN s o ON o.key = x.key AND o.rn <= x.rn - 30 AND o.d >= x.as_of - 3650 AND least(abs(o.doy - x.doy), 366 - abs(o.doy - x.doy)) <= 10 GROUP BY 1, 2) """ + final(f"-tanh((cur - mean) / {SD})", "cur", "held >= 365 AND n >= 15", 1)))
 def drv_seasonal(spark, sf_dir):
     return drivers.seasonal_anomaly(probes(spark, sf_dir, "A", "N", "R"), P.macro(spark, sf_dir), bull_when="low")
 
 
-GAMMA = """g AS (SELECT *, (ln(spot / strike) + 0.5 * (iv / 100) * (iv / 100) * years) / ((iv / 100) * sqrt(years)) AS d1 FROM options WHERE oi > 0 AND iv <> 0 AND strike > 0 AND years > 0),
+GAMMA = """g AS (SELECT *, (ln(spot / strike) + 0.5 * (iv / 100) * (iv / 100) * years) / ((iv / 100) * sqrt(years)) AS d1
+    FROM options WHERE oi > 0 AND iv <> 0 AND strike > 0 AND years > 0),
 w AS (SELECT *, exp(-0.5 * d1 * d1) / sqrt(2 * pi()) / (spot * iv / 100 * sqrt(years)) * oi AS w FROM g),
-gamma AS (SELECT key, d, round_even(max(spot), 2) AS spot, round_even(sum(CASE WHEN kind = 'C' THEN w ELSE -w END), 4) + 0.0 AS net_gex, round_even(sum(w * strike) / sum(w), 2) AS gamma_center FROM w WHERE w > 0 GROUP BY 1, 2)"""
+gamma AS (SELECT key, d, round_even(max(spot), 2) AS spot, round_even(sum(CASE WHEN kind = 'C' THEN w ELSE -w END), 4) + 0.0 AS net_gex,
+    round_even(sum(w * strike) / sum(w), 2) AS gamma_center FROM w WHERE w > 0 GROUP BY 1, 2)"""
 
 
 @query("option_gamma", P.with_views("options", GAMMA + " SELECT * FROM gamma"))
@@ -207,6 +225,7 @@ def option_gamma_query(spark, sf_dir):
     return drivers.gamma_snapshot(P.options(spark, sf_dir))
 
 
-@query("drv_gamma", P.with_views("prices options", probes_sql("OPT") + f", {GAMMA}, rows AS (SELECT * FROM gamma), last_rows AS (SELECT p.key, p.as_of, x.* EXCLUDE (key) FROM probes p ASOF LEFT JOIN rows x ON p.key = x.key AND p.as_of >= x.d) " + final("CASE WHEN net_gex > 0 THEN tanh(8 * (gamma_center - spot) / spot) ELSE 0 END", "net_gex", "as_of - d <= 20 AND spot > 0", 2)))
+@query("drv_gamma", P.with_views("prices options", probes_sql("OPT") + f""", {GAMMA}, rows AS (SELECT * FROM gamma),
+last_rows AS (SELECT p.key, p.as_of, x.* EXCLUDE (key) FROM probes p ASOF LEFT JOIN rows x ON p.key = x.key AND p.as_of >= x.d) """ + final("CASE WHEN net_gex > 0 THEN tanh(8 * (gamma_center - spot) / spot) ELSE 0 END", "net_gex", "as_of - d <= 20 AND spot > 0", 2)))
 def drv_gamma(spark, sf_dir):
     return drivers.gamma_regime(probes(spark, sf_dir, "OPT"), drivers.gamma_snapshot(P.options(spark, sf_dir)), max_age_days=20)

@@ -56,12 +56,21 @@ QUERIES = {
     "data_version": data_version, "trendbars": trendbars, "event_properties": event_properties,
 }
 ORACLE = {
-    "upsert_latest": "WITH a AS (SELECT o_custkey AS key, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_totalprice, o_orderkey) AS o_totalprice FROM orders GROUP BY 1), b AS (SELECT o_custkey AS key, max(o_orderkey) AS o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT a.key, coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN b.key IS NULL THEN a.o_orderstatus ELSE 'U' END AS o_orderstatus, a.o_totalprice FROM a LEFT JOIN b USING (key)",
+    "upsert_latest": """WITH a AS (SELECT o_custkey AS key, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, arg_max(o_totalprice,
+    o_orderkey) AS o_totalprice FROM orders GROUP BY 1),
+b AS (SELECT o_custkey AS key, max(o_orderkey) AS o_orderkey
+    FROM orders WHERE o_orderpriority = '1-URGENT'
+    GROUP BY 1) SELECT a.key, coalesce(b.o_orderkey, a.o_orderkey) AS o_orderkey, CASE WHEN b.key IS NULL THEN a.o_orderstatus ELSE 'U' END AS o_orderstatus,
+    a.o_totalprice FROM a LEFT JOIN b USING (key)""",
     "unpivot_series": P.with_views("weather", "SELECT key, d, 'WX_MAX' AS series_id, tmax AS v FROM weather UNION ALL SELECT key, d, 'WX_MIN', tmin FROM weather"),
     "key_diff": "SELECT c_custkey AS custkey, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'present' ELSE 'missing' END AS status FROM customer",
-    "key_resolve": "SELECT value, CAST(min(position) AS INTEGER) AS position FROM (SELECT DISTINCT p_type AS value FROM part), (VALUES ('brass', 0), ('tin', 1), ('e', 2)) c(candidate, position) WHERE contains(lower(value), candidate) GROUP BY 1",
-    "depth_probe": P.with_views("prices", "SELECT key, min(d) AS first, max(d) AS last, count(*) AS n, round((max(d) - min(d)) / 365.25, 2) AS years FROM prices GROUP BY 1"),
-    "data_version": "SELECT l_returnflag, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS lo, CAST(max(l_shipdate) AS DATE) AS hi, sum(l_quantity) AS total FROM lineitem GROUP BY 1",
-    "trendbars": "SELECT o_orderstatus AS symbol, make_timestamp((o_orderkey * 5 + 28000000) * 60000000) AS ts, (o_orderkey * 17 % 1000000 + 100000 + o_orderkey % 97) / 100000 AS open, (o_orderkey * 17 % 1000000 + 100000 + o_orderkey % 97 + o_orderkey % 31) / 100000 AS high, (o_orderkey * 17 % 1000000 + 100000) / 100000 AS low, (o_orderkey * 17 % 1000000 + 100000 + o_orderkey % 31) / 100000 AS close, CAST(o_orderkey % 1000 AS DOUBLE) AS volume FROM orders",
-    "event_properties": "SELECT event_type, count(*) AS n, sum(k) AS total FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) WHERE k IS NOT NULL GROUP BY 1",
+    "key_resolve": """SELECT value, CAST(min(position) AS INTEGER) AS position FROM (SELECT DISTINCT p_type AS value
+    FROM part), (VALUES ('brass', 0), ('tin', 1), ('e', 2)) c(candidate, position) WHERE contains(lower(value), candidate) GROUP BY 1""",
+    "depth_probe": P.with_views("prices", """SELECT key, min(d) AS first, max(d) AS last, count(*) AS n, round((max(d) - min(d)) / 365.25, 2) AS years FROM prices GROUP BY 1"""),
+    "data_version": """SELECT l_returnflag, count(*) AS n, CAST(min(l_shipdate) AS DATE) AS lo, CAST(max(l_shipdate) AS DATE) AS hi, sum(l_quantity) AS total FROM lineitem GROUP BY 1""",
+    "trendbars": """SELECT o_orderstatus AS symbol, make_timestamp((o_orderkey * 5 + 28000000) * 60000000) AS ts,
+    (o_orderkey * 17 % 1000000 + 100000 + o_orderkey % 97) / 100000 AS open,
+    (o_orderkey * 17 % 1000000 + 100000 + o_orderkey % 97 + o_orderkey % 31) / 100000 AS high, (o_orderkey * 17 % 1000000 + 100000) / 100000 AS low,
+    (o_orderkey * 17 % 1000000 + 100000 + o_orderkey % 31) / 100000 AS close, CAST(o_orderkey % 1000 AS DOUBLE) AS volume FROM orders""",
+    "event_properties": """SELECT event_type, count(*) AS n, sum(k) AS total FROM (SELECT event_type, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) WHERE k IS NOT NULL GROUP BY 1""",
 }

@@ -25,7 +25,8 @@ CARRY = "CASE WHEN direction = 'LONG' THEN carry_long ELSE carry_short END * clo
 
 def barrier_sql(source: str, sl: str, tp: str, carry: str = CARRY) -> str:
     """CTE ``out``: label, held and outcome_r of ``source`` (instrument, key, rn, close, atr, direction, h ...)."""
-    hit = lambda down, at: f"(SELECT min(b.rn) FROM bars b WHERE b.key = s.key AND b.rn > s.rn AND b.rn <= s.rn + s.h AND CASE WHEN s.direction = '{down}' THEN b.low <= s.close - {at} ELSE b.high >= s.close + {at} END) - s.rn"
+    hit = lambda down, at: f"""(SELECT min(b.rn) FROM bars b WHERE b.key = s.key AND b.rn > s.rn AND b.rn <= s.rn + s.h
+    AND CASE WHEN s.direction = '{down}' THEN b.low <= s.close - {at} ELSE b.high >= s.close + {at} END) - s.rn"""
     return f"""hits AS (SELECT s.*, {sl} AS sl, {tp} AS tp, {hit('LONG', sl)} AS t_sl, {hit('SHORT', tp)} AS t_tp FROM {source} s),
 ends AS (SELECT h.*, least(h.rn + h.h, n.n) AS last_rn FROM hits h JOIN (SELECT key, max(rn) AS n FROM bars GROUP BY 1) n USING (key)),
 labelled AS (SELECT e.*, b.close AS last_close,
@@ -56,18 +57,23 @@ def outcome_sql(fingerprints=FINGERPRINTS) -> str:
 GATE = """pairs AS MATERIALIZED (
     SELECT c.instrument, c.as_of, t.as_of AS day, t.outcome_r, t.hit FROM cur c
     JOIN train t ON t.instrument = c.instrument AND t.direction = c.direction AND abs(t.score - c.score) <= c.band),
-days AS (SELECT instrument, as_of, any_value(h) AS h, list(DISTINCT day ORDER BY day) AS ds FROM pairs JOIN (SELECT DISTINCT instrument, h FROM cur) USING (instrument) GROUP BY 1, 2),
-eff AS (SELECT instrument, as_of, list_reduce(list_transform(ds, lambda x: {'n': 0, 'last': x}), lambda a, x: CASE WHEN x.last - a.last >= h THEN {'n': a.n + 1, 'last': x.last} ELSE a END, {'n': 1, 'last': ds[1]}).n AS n_eff FROM days),
-agg AS (SELECT c.instrument, c.as_of, any_value(least) AS least_n, any_value(min_hit) AS min_hit, any_value(min_exp) AS min_exp, count(p.outcome_r) AS n, any_value(coalesce(e.n_eff, 0)) AS n_eff,
+days AS (SELECT instrument, as_of, any_value(h) AS h, list(DISTINCT day ORDER BY day) AS ds FROM pairs JOIN (SELECT DISTINCT instrument, h
+    FROM cur) USING (instrument) GROUP BY 1, 2),
+eff AS (SELECT instrument, as_of, list_reduce(list_transform(ds, lambda x: {'n': 0, 'last': x}), lambda a, x: CASE WHEN x.last - a.last >= h THEN {'n': a.n + 1,
+    'last': x.last} ELSE a END, {'n': 1, 'last': ds[1]}).n AS n_eff FROM days),
+agg AS (SELECT c.instrument, c.as_of, any_value(least) AS least_n, any_value(min_hit) AS min_hit, any_value(min_exp) AS min_exp, count(p.outcome_r) AS n,
+    any_value(coalesce(e.n_eff, 0)) AS n_eff,
     coalesce(avg(p.hit::INT), 0) AS hr, coalesce(avg(p.outcome_r), 0) AS mean, coalesce(var_samp(p.outcome_r), 0) AS var
     FROM cur c LEFT JOIN pairs p USING (instrument, as_of) LEFT JOIN eff e USING (instrument, as_of) GROUP BY 1, 2),
 ci AS (SELECT *, nullif(n_eff::DOUBLE, 0) AS m, CASE WHEN n > 1 THEN 1.96 * sqrt(var / CASE WHEN n_eff > 1 THEN n_eff ELSE n END) ELSE 0 END AS half FROM agg),
-wil AS (SELECT *, (hr + 1.96 * 1.96 / (2 * m)) / (1 + 1.96 * 1.96 / m) AS mid, 1.96 * sqrt(hr * (1 - hr) / m + 1.96 * 1.96 / (4 * m * m)) / (1 + 1.96 * 1.96 / m) AS wide FROM ci),
+wil AS (SELECT *, (hr + 1.96 * 1.96 / (2 * m)) / (1 + 1.96 * 1.96 / m) AS mid,
+    1.96 * sqrt(hr * (1 - hr) / m + 1.96 * 1.96 / (4 * m * m)) / (1 + 1.96 * 1.96 / m) AS wide FROM ci),
 lim AS (SELECT *, coalesce(greatest(0, mid - wide), 0) AS lo, CASE WHEN m IS NULL THEN 0 ELSE least(1, mid + wide) END AS hi FROM wil),
 rate AS MATERIALIZED (
     SELECT instrument, as_of, n, n_eff::INTEGER AS n_eff, round_even(hr, 4) + 0.0 AS hit_rate, round_even(lo, 4) + 0.0 AS hit_lo, round_even(hi, 4) + 0.0 AS hit_hi,
         round_even(mean, 4) + 0.0 AS expectancy_r, round_even(mean - half, 4) + 0.0 AS exp_lo, round_even(mean + half, 4) + 0.0 AS exp_hi,
-        CASE WHEN n = 0 THEN 'no neighbours in the band' ELSE concat_ws('; ', CASE WHEN n_eff < least_n THEN 'too few independent neighbours' END, CASE WHEN lo * 100 < min_hit THEN 'hit rate' END,
+        CASE WHEN n = 0 THEN 'no neighbours in the band' ELSE concat_ws('; ', CASE WHEN n_eff < least_n THEN 'too few independent neighbours' END,
+    CASE WHEN lo * 100 < min_hit THEN 'hit rate' END,
             CASE WHEN mean < min_exp THEN 'expectancy' END, CASE WHEN mean - half <= 0 THEN 'expectancy interval' END) END AS why FROM lim)"""
 RATE = "instrument, as_of, n, n_eff, hit_rate, hit_lo, hit_hi, expectancy_r, exp_lo, exp_hi, CASE WHEN why = '' THEN 'approved' ELSE why END AS reason, why = '' AS passes"
 SPLIT = "train AS (SELECT * FROM out WHERE NOT oos), cur AS (SELECT * FROM out WHERE oos)"
@@ -247,33 +253,44 @@ QUERIES = {
 }
 
 FIGURES = "count(predicted) AS n_predicted, round_even(coalesce(avg(((predicted > 0) = (actual > 0))::INT), 0), 4) + 0.0 AS sign_agreement, round_even(coalesce(avg(actual) FILTER (predicted > 0), 0), 4) + 0.0 AS exp_when_pred_bull"
-PREDICT = f"pred AS MATERIALIZED (SELECT c.instrument, c.as_of, any_value(c.outcome_r) AS actual, avg(t.outcome_r) AS predicted FROM {{rows}} c JOIN {{train}} t ON t.instrument = c.instrument AND t.direction = c.direction AND abs(t.score - c.score) <= c.band {{more}} GROUP BY 1, 2 HAVING count(*) >= any_value(c.least))"
+PREDICT = f"""pred AS MATERIALIZED (SELECT c.instrument, c.as_of, any_value(c.outcome_r) AS actual, avg(t.outcome_r) AS predicted
+    FROM {{rows}} c JOIN {{train}} t ON t.instrument = c.instrument AND t.direction = c.direction AND abs(t.score - c.score) <= c.band {{more}}
+    GROUP BY 1, 2 HAVING count(*) >= any_value(c.least))"""
 
 
 def _validated(fingerprints, name: str, limits: tuple) -> str:
     """A query for the sign agreement of a panel."""
-    return "(" + "WITH " + outcome_sql(fingerprints) + ", " + SPLIT + ", " + PREDICT.format(rows="cur", train="train", more="") + f" SELECT i.instrument, coalesce(f.sign_agreement, 0) AS sign_agreement FROM (SELECT DISTINCT instrument FROM out) i LEFT JOIN (SELECT instrument, {FIGURES} FROM pred GROUP BY 1) f USING (instrument))"
+    return "(" + "WITH " + outcome_sql(fingerprints) + ", " + SPLIT + ", " + PREDICT.format(rows="cur", train="train", more="") + f""" SELECT i.instrument, coalesce(f.sign_agreement, 0) AS sign_agreement FROM (SELECT DISTINCT instrument FROM out) i LEFT JOIN (SELECT instrument, {FIGURES}
+    FROM pred GROUP BY 1) f USING (instrument))"""
 
 
-ABLATION = f"""full_run AS (SELECT * FROM {_validated(FINGERPRINTS, 'a', ())}), less_run AS (SELECT * FROM {_validated(validation.without_driver(FINGERPRINTS, 'level_percentile'), 'b', ())}),
+ABLATION = f"""full_run AS (SELECT * FROM {_validated(FINGERPRINTS, 'a', ())}),
+less_run AS (SELECT * FROM {_validated(validation.without_driver(FINGERPRINTS, 'level_percentile'), 'b', ())}),
 ablated_runs AS (SELECT instrument, a.sign_agreement AS base, b.sign_agreement AS ablated, round_even(100 * (b.sign_agreement - a.sign_agreement), 2) + 0.0 AS delta,
     b.sign_agreement > a.sign_agreement AS better FROM full_run a JOIN less_run b USING (instrument))"""
 
 #: Bars put right one after the other, each beside the repaired closes before it.
-GLITCHES = """off AS (SELECT key, d, (150000 + close / 100) * CASE WHEN dayofyear(d) % 37 = 0 THEN 0.001::DOUBLE ELSE 1 END AS close, row_number() OVER (PARTITION BY key ORDER BY d) AS rn FROM prices),
+GLITCHES = """off AS (SELECT key, d, (150000 + close / 100) * CASE WHEN dayofyear(d) % 37 = 0 THEN 0.001::DOUBLE ELSE 1 END AS close,
+    row_number() OVER (PARTITION BY key ORDER BY d) AS rn FROM prices),
 walk AS (
     SELECT key, d, close, rn, 1.0::DOUBLE AS factor, [close] AS recent FROM off WHERE rn = 1
     UNION ALL
     SELECT key, d, close, rn, factor, list_append(recent, close * factor)[-15:] FROM (
-        SELECT key, d, close, rn, recent, CASE WHEN len(known) >= 3 AND close > 0 AND abs(close - mid) > 0.5 * mid AND abs(close * power - mid) <= 0.5 * mid THEN power ELSE 1 END AS factor FROM (
+        SELECT key, d, close, rn, recent,
+    CASE WHEN len(known) >= 3 AND close > 0 AND abs(close - mid) > 0.5 * mid AND abs(close * power - mid) <= 0.5 * mid THEN power ELSE 1 END AS factor FROM (
             SELECT *, pow(10.0, greatest(-3, least(3, round_even(log10(mid / close), 0)))) AS power FROM (
                 SELECT *, list_aggregate(known, 'median') AS mid FROM (
-                    SELECT o.key, o.d, o.close, o.rn, w.recent, list_filter(w.recent, lambda x: x > 0) AS known FROM walk w JOIN off o ON o.key = w.key AND o.rn = w.rn + 1)))))
+                    SELECT o.key, o.d, o.close, o.rn, w.recent, list_filter(w.recent, lambda x: x > 0) AS known
+    FROM walk w JOIN off o ON o.key = w.key AND o.rn = w.rn + 1)))))
 SELECT key AS symbol, d, round_even(close * factor, 4) + 0.0 AS close, factor FROM walk WHERE factor <> 1"""
 
 #: Last bars with sorted swings and round numbers.
-LEVELS = f"""fr AS (SELECT *, high = max(high) OVER c AND count(*) OVER c = 7 AS is_high, low = min(low) OVER c AND count(*) OVER c = 7 AS is_low FROM bars WINDOW c AS (PARTITION BY key ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
-now AS MATERIALIZED (SELECT i.instrument, key, any_value(h) AS h, any_value(band) AS band, any_value(least) AS least, any_value(min_hit) AS min_hit, any_value(min_exp) AS min_exp, max(n_bars) AS n_bars, max(d) AS as_of, min(d) AS first_day, arg_max(close, rn) AS entry, arg_max(atr, rn) AS atr, coalesce(list(high) FILTER (is_high AND rn > n_bars - 177 AND rn <= n_bars - 3), []) AS highs, coalesce(list(low) FILTER (is_low AND rn > n_bars - 177 AND rn <= n_bars - 3), []) AS lows
+LEVELS = f"""fr AS (SELECT *, high = max(high) OVER c AND count(*) OVER c = 7 AS is_high, low = min(low) OVER c AND count(*) OVER c = 7 AS is_low
+    FROM bars WINDOW c AS (PARTITION BY key ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+now AS MATERIALIZED (SELECT i.instrument, key, any_value(h) AS h, any_value(band) AS band, any_value(least) AS least, any_value(min_hit) AS min_hit,
+    any_value(min_exp) AS min_exp, max(n_bars) AS n_bars, max(d) AS as_of, min(d) AS first_day, arg_max(close, rn) AS entry, arg_max(atr, rn) AS atr,
+    coalesce(list(high) FILTER (is_high AND rn > n_bars - 177 AND rn <= n_bars - 3), []) AS highs,
+    coalesce(list(low) FILTER (is_low AND rn > n_bars - 177 AND rn <= n_bars - 3), []) AS lows
     FROM (SELECT * EXCLUDE (atr), CASE WHEN atr_w = 10 THEN atr10 ELSE atr END AS atr FROM fr JOIN {IDS} USING (key)) i GROUP BY 1, 2 HAVING max(n_bars) >= 180),
 stepped AS (SELECT *, pow(10.0, floor(log10(entry)) - 1) AS step FROM now),
 rounded AS (SELECT *, list_transform(range(-3, 4), lambda k: round_even((round_even(entry / step, 0) + k) * step, 10)) AS rounds FROM stepped)"""
@@ -284,45 +301,82 @@ def near_sql(swings: str, above: bool, ref: str) -> str:
     return f"coalesce({f}(list_filter({swings}, lambda z: z {op} {ref})), {f}(list_filter(rounds, lambda z: z {op} {ref})))"
 
 
-PLACED = f"""placed AS (SELECT *, CASE WHEN direction = 'LONG' THEN coalesce({near_sql('highs', True, 'entry + 0.3 * atr')}, entry + 2 * atr) ELSE coalesce({near_sql('lows', False, 'entry - 0.3 * atr')}, entry - 2 * atr) END AS tp,
-    CASE WHEN direction = 'LONG' THEN least(coalesce({near_sql('lows', False, 'entry')} - 0.25 * atr, entry - atr), entry - 0.5 * atr) ELSE greatest(coalesce({near_sql('highs', True, 'entry')} + 0.25 * atr, entry + atr), entry + 0.5 * atr) END AS sl FROM sided),
+PLACED = f"""placed AS (SELECT *, CASE WHEN direction = 'LONG' THEN coalesce({near_sql('highs', True, 'entry + 0.3 * atr')}, entry + 2 * atr) ELSE coalesce({near_sql('lows',
+    False, 'entry - 0.3 * atr')}, entry - 2 * atr) END AS tp,
+    CASE WHEN direction = 'LONG' THEN least(coalesce({near_sql('lows', False, 'entry')} - 0.25 * atr, entry - atr),
+    entry - 0.5 * atr) ELSE greatest(coalesce({near_sql('highs', True, 'entry')} + 0.25 * atr, entry + atr), entry + 0.5 * atr) END AS sl FROM sided),
 ratioed AS MATERIALIZED (SELECT *, abs(entry - sl) AS risk, CASE WHEN direction = 'LONG' THEN tp - entry ELSE entry - tp END AS reward, reward / risk AS rr FROM placed)"""
 
 SETUPS = (
-    f"{panel_sql()}, {LEVELS}, now_decisions AS (SELECT instrument, as_of FROM now), now_scores AS MATERIALIZED (SELECT * FROM (WITH {LAST}, {scores_sql(name='final')} SELECT * FROM final)), sided AS (SELECT r.*, s.score, s.raw, CASE WHEN s.score >= 0 THEN 'LONG' ELSE 'SHORT' END AS direction FROM rounded r JOIN now_scores s USING (instrument, as_of)), {PLACED}, "
-    + f"mine AS (SELECT p.*, t.risk / t.atr AS sl_m, t.reward / t.atr AS tp_m FROM panel p JOIN ratioed t USING (instrument) WHERE NOT p.oos AND p.rn + p.h <= t.n_bars), " + barrier_sql("mine", "s.sl_m * s.atr", "s.tp_m * s.atr")
+    f"""{panel_sql()}, {LEVELS}, now_decisions AS (SELECT instrument, as_of FROM now),
+now_scores AS MATERIALIZED (SELECT * FROM (WITH {LAST}, {scores_sql(name='final')} SELECT * FROM final)),
+sided AS (SELECT r.*, s.score, s.raw, CASE WHEN s.score >= 0 THEN 'LONG' ELSE 'SHORT' END AS direction
+    FROM rounded r JOIN now_scores s USING (instrument, as_of)), {PLACED}, """
+    + f"""mine AS (SELECT p.*, t.risk / t.atr AS sl_m, t.reward / t.atr AS tp_m FROM panel p JOIN ratioed t USING (instrument) WHERE NOT p.oos AND p.rn + p.h <= t.n_bars), """ + barrier_sql("mine", "s.sl_m * s.atr", "s.tp_m * s.atr")
     + f", train AS (SELECT * FROM out), cur AS (SELECT * FROM ratioed), {GATE}, "
     + f"graded AS (SELECT *, {GRADE.replace('AS direction', 'AS side')} FROM ratioed), "
-    + """final_rows AS (SELECT g.instrument, g.key AS ticker, g.as_of, g.direction, g.grade, g.score, round_even(entry, 6) AS entry, round_even(sl, 6) AS sl, round_even(tp, 6) AS tp, round_even(atr, 6) AS atr, round_even(rr, 3) AS rr, r.n, r.n_eff, r.hit_rate, r.expectancy_r,
-    concat_ws('; ', CASE WHEN grade = 'NONE' THEN 'no grade' END, CASE WHEN rr < 1.5 THEN 'reward to risk' END, CASE WHEN r.why <> '' THEN 'base rate: ' || r.why END) AS reject_reason, CASE WHEN (g.as_of - first_day) / 365.25 >= 7 THEN 'ok' ELSE 'short history' END AS data_quality, round_even((g.as_of - first_day) / 365.25, 1) AS history_years FROM graded g JOIN rate r USING (instrument, as_of))"""
+    + """final_rows AS (SELECT g.instrument, g.key AS ticker, g.as_of, g.direction, g.grade, g.score, round_even(entry, 6) AS entry, round_even(sl, 6) AS sl, round_even(tp,
+    6) AS tp, round_even(atr, 6) AS atr, round_even(rr, 3) AS rr, r.n, r.n_eff, r.hit_rate, r.expectancy_r,
+    concat_ws('; ', CASE WHEN grade = 'NONE' THEN 'no grade' END, CASE WHEN rr < 1.5 THEN 'reward to risk' END,
+    CASE WHEN r.why <> '' THEN 'base rate: ' || r.why END) AS reject_reason,
+    CASE WHEN (g.as_of - first_day) / 365.25 >= 7 THEN 'ok' ELSE 'short history' END AS data_quality, round_even((g.as_of - first_day) / 365.25,
+    1) AS history_years FROM graded g JOIN rate r USING (instrument, as_of))"""
 )
 
-ENSEMBLES = "WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events), p AS (SELECT user_id, sum((2.0 * i - n - 1) * value) / any_value(n::DOUBLE * n) AS pairs FROM x GROUP BY 1), m AS (SELECT e.event_id, e.event_type, e.user_id, avg(abs(x.value - e.value)) AS near, avg((x.value <= e.value)::INT) AS pit FROM events e JOIN x USING (user_id) GROUP BY 1, 2, 3)"
+ENSEMBLES = """WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+p AS (SELECT user_id, sum((2.0 * i - n - 1) * value) / any_value(n::DOUBLE * n) AS pairs FROM x GROUP BY 1),
+m AS (SELECT e.event_id, e.event_type, e.user_id, avg(abs(x.value - e.value)) AS near, avg((x.value <= e.value)::INT) AS pit
+    FROM events e JOIN x USING (user_id) GROUP BY 1, 2, 3)"""
 
 ORACLE = {
-    "triple_barrier": P.with_views("prices", f"{ATR}, src AS (SELECT key AS instrument, key, d, rn, close, atr, direction, {H} AS h FROM bars, (VALUES ('LONG'), ('SHORT')) t(direction) WHERE atr IS NOT NULL AND rn < n_bars), " + barrier_sql("src", "0.4 * s.atr", "0.6 * s.atr", "0.0") + " SELECT key AS symbol, d, direction, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r FROM out"),
-    "panel_outcomes": P.with_views(VIEWS, outcome_sql() + " SELECT instrument, as_of, score, direction, oos, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r, hit FROM out"),
-    "swap_cost": P.with_views(VIEWS, outcome_sql() + f" SELECT instrument, as_of, direction, held, round_even(outcome_r, 6) + 0.0 AS outcome_r, round_even(outcome_r + {CARRY}, 6) + 0.0 AS gross_r FROM out"),
-    "gate_neighbors": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT} SELECT c.instrument, c.as_of, count(t.score) AS n, round_even(coalesce(avg(t.outcome_r), 0), 6) + 0.0 AS mean_r FROM cur c LEFT JOIN train t ON t.instrument = c.instrument AND t.direction = c.direction AND abs(t.score - c.score) <= c.band GROUP BY 1, 2"),
-    "gate_wilson": "WITH n AS (SELECT user_id, count(*) AS n, count(*) FILTER (value > 50) AS k FROM events GROUP BY 1), w AS (SELECT *, k / n::DOUBLE AS p, 1 + 1.96 * 1.96 / n AS s FROM n) SELECT user_id, n, k, round_even(greatest(0, (p + 1.96 * 1.96 / (2 * n)) / s - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / s), 8) + 0.0 AS lo, round_even(least(1, (p + 1.96 * 1.96 / (2 * n)) / s + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / s), 8) + 0.0 AS hi FROM w",
+    "triple_barrier": P.with_views("prices", f"""{ATR}, src AS (SELECT key AS instrument, key, d, rn, close, atr, direction, {H} AS h
+    FROM bars, (VALUES ('LONG'), ('SHORT')) t(direction) WHERE atr IS NOT NULL AND rn < n_bars), """ + barrier_sql("src", "0.4 * s.atr", "0.6 * s.atr", "0.0") + " SELECT key AS symbol, d, direction, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r FROM out"),
+    "panel_outcomes": P.with_views(VIEWS, outcome_sql() + """ SELECT instrument, as_of, score, direction, oos, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r, hit FROM out"""),
+    "swap_cost": P.with_views(VIEWS, outcome_sql() + f""" SELECT instrument, as_of, direction, held, round_even(outcome_r, 6) + 0.0 AS outcome_r, round_even(outcome_r + {CARRY}, 6) + 0.0 AS gross_r FROM out"""),
+    "gate_neighbors": P.with_views(VIEWS, f"""{outcome_sql()}, {SPLIT} SELECT c.instrument, c.as_of, count(t.score) AS n, round_even(coalesce(avg(t.outcome_r), 0), 6) + 0.0 AS mean_r
+    FROM cur c LEFT JOIN train t ON t.instrument = c.instrument AND t.direction = c.direction AND abs(t.score - c.score) <= c.band GROUP BY 1, 2"""),
+    "gate_wilson": """WITH n AS (SELECT user_id, count(*) AS n, count(*) FILTER (value > 50) AS k FROM events GROUP BY 1),
+w AS (SELECT *, k / n::DOUBLE AS p, 1 + 1.96 * 1.96 / n AS s
+    FROM n) SELECT user_id, n, k, round_even(greatest(0, (p + 1.96 * 1.96 / (2 * n)) / s - 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / s),
+    8) + 0.0 AS lo, round_even(least(1, (p + 1.96 * 1.96 / (2 * n)) / s + 1.96 * sqrt(p * (1 - p) / n + 1.96 * 1.96 / (4.0 * n * n)) / s), 8) + 0.0 AS hi FROM w""",
     "gate_full": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT}, {GATE} SELECT {RATE} FROM rate"),
-    "levels": P.with_views("prices", f"{ATR}, {LEVELS}, sided AS (SELECT * FROM rounded, (VALUES ('LONG'), ('SHORT')) t(direction)), {PLACED} SELECT instrument, direction, round_even(entry, 4) AS entry, round_even(sl, 4) AS sl, round_even(tp, 4) AS tp, round_even(rr, 4) AS rr FROM ratioed"),
+    "levels": P.with_views("prices", f"""{ATR}, {LEVELS}, sided AS (SELECT * FROM rounded, (VALUES ('LONG'), ('SHORT')) t(direction)), {PLACED} SELECT instrument, direction, round_even(entry, 4) AS entry,
+    round_even(sl, 4) AS sl, round_even(tp, 4) AS tp, round_even(rr, 4) AS rr FROM ratioed"""),
     "setups": P.with_views(VIEWS, SETUPS + " SELECT *, reject_reason = '' AS published FROM final_rows"),
-    "publish_order": P.with_views(VIEWS, SETUPS + " SELECT CAST(row_number() OVER (ORDER BY reject_reason = '' DESC, abs(score) DESC, instrument) AS INTEGER) AS position, instrument, reject_reason = '' AS published, score FROM final_rows"),
-    "driver_ic": P.with_views(VIEWS, outcome_sql() + """, each AS (SELECT o.instrument, f.name AS driver, f.score AS x, o.outcome_r AS y FROM out o JOIN frame_scores f USING (instrument, as_of) WHERE f.ok AND (o.oos OR o.instrument NOT IN (SELECT instrument FROM out WHERE oos)))
-SELECT instrument, driver, round_even(CASE WHEN count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) ELSE 0 END, 4) + 0.0 AS ic, count(*) AS n FROM each GROUP BY 1, 2"""),
-    "validate_oos": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT}, {PREDICT.format(rows='cur', train='train', more='')}, {GATE}, " + f"""base AS (SELECT instrument, count(*) FILTER (NOT oos) AS n_train, count(*) FILTER (oos) AS n_oos, round_even(coalesce(avg(hit::INT) FILTER (oos), 0), 4) + 0.0 AS base_hit, round_even(coalesce(avg(outcome_r) FILTER (oos), 0), 4) + 0.0 AS base_exp FROM out GROUP BY 1),
+    "publish_order": P.with_views(VIEWS, SETUPS + """ SELECT CAST(row_number() OVER (ORDER BY reject_reason = '' DESC, abs(score) DESC, instrument) AS INTEGER) AS position, instrument, reject_reason = '' AS published,
+    score FROM final_rows"""),
+    "driver_ic": P.with_views(VIEWS, outcome_sql() + """, each AS (SELECT o.instrument, f.name AS driver, f.score AS x, o.outcome_r AS y
+    FROM out o JOIN frame_scores f USING (instrument, as_of) WHERE f.ok AND (o.oos OR o.instrument NOT IN (SELECT instrument FROM out WHERE oos)))
+SELECT instrument, driver, round_even(CASE WHEN count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x,
+    y) / nullif(stddev_pop(x) * stddev_pop(y), 0) ELSE 0 END, 4) + 0.0 AS ic, count(*) AS n FROM each GROUP BY 1, 2"""),
+    "validate_oos": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT}, {PREDICT.format(rows='cur', train='train', more='')}, {GATE}, " + f"""base AS (SELECT instrument, count(*) FILTER (NOT oos) AS n_train, count(*) FILTER (oos) AS n_oos, round_even(coalesce(avg(hit::INT) FILTER (oos), 0),
+    4) + 0.0 AS base_hit, round_even(coalesce(avg(outcome_r) FILTER (oos), 0), 4) + 0.0 AS base_exp FROM out GROUP BY 1),
 fig AS (SELECT instrument, {FIGURES}, round_even(coalesce(avg(actual) FILTER (predicted <= 0), 0), 4) + 0.0 AS exp_when_pred_bear FROM pred GROUP BY 1),
-good AS (SELECT r.instrument, count(*) AS n_gate_pass, round_even(avg(c.hit::INT), 4) + 0.0 AS gate_hit, round_even(avg(c.outcome_r), 4) + 0.0 AS gate_exp FROM rate r JOIN cur c USING (instrument, as_of) WHERE r.why = '' GROUP BY 1)
-SELECT instrument, n_train, n_oos, base_hit, base_exp, coalesce(n_predicted, 0) AS n_predicted, coalesce(sign_agreement, 0) AS sign_agreement, coalesce(exp_when_pred_bull, 0) AS exp_when_pred_bull, coalesce(exp_when_pred_bear, 0) AS exp_when_pred_bear, coalesce(n_gate_pass, 0) AS n_gate_pass, coalesce(gate_hit, 0) AS gate_hit, coalesce(gate_exp, 0) AS gate_exp FROM base LEFT JOIN fig USING (instrument) LEFT JOIN good USING (instrument)"""),
-    "walk_forward": P.with_views(VIEWS, f"{outcome_sql()}, {PREDICT.format(rows='out', train='out', more='AND year(t.as_of) < year(c.as_of)')}, counts AS (SELECT instrument, CAST(year(as_of) AS INTEGER) AS fold, count(*) AS m FROM out GROUP BY 1, 2), fig AS (SELECT instrument, CAST(year(as_of) AS INTEGER) AS fold, {FIGURES} FROM pred GROUP BY 1, 2) SELECT a.instrument, a.fold, CAST(any_value(a.m) AS BIGINT) AS n_test, CAST(sum(b.m) AS BIGINT) AS n_train, coalesce(any_value(f.n_predicted), 0) AS n_predicted, coalesce(any_value(f.sign_agreement), 0) AS sign_agreement, coalesce(any_value(f.exp_when_pred_bull), 0) AS exp_when_pred_bull FROM counts a JOIN counts b ON a.instrument = b.instrument AND b.fold < a.fold LEFT JOIN fig f ON f.instrument = a.instrument AND f.fold = a.fold GROUP BY 1, 2"),
+good AS (SELECT r.instrument, count(*) AS n_gate_pass, round_even(avg(c.hit::INT), 4) + 0.0 AS gate_hit, round_even(avg(c.outcome_r), 4) + 0.0 AS gate_exp
+    FROM rate r JOIN cur c USING (instrument, as_of) WHERE r.why = '' GROUP BY 1)
+SELECT instrument, n_train, n_oos, base_hit, base_exp, coalesce(n_predicted, 0) AS n_predicted, coalesce(sign_agreement, 0) AS sign_agreement,
+    coalesce(exp_when_pred_bull, 0) AS exp_when_pred_bull, coalesce(exp_when_pred_bear, 0) AS exp_when_pred_bear, coalesce(n_gate_pass, 0) AS n_gate_pass,
+    coalesce(gate_hit, 0) AS gate_hit, coalesce(gate_exp, 0) AS gate_exp FROM base LEFT JOIN fig USING (instrument) LEFT JOIN good USING (instrument)"""),
+    "walk_forward": P.with_views(VIEWS, f"""{outcome_sql()}, {PREDICT.format(rows='out', train='out', more='AND year(t.as_of) < year(c.as_of)')}, counts AS (SELECT instrument,
+    CAST(year(as_of) AS INTEGER) AS fold, count(*) AS m FROM out GROUP BY 1, 2),
+fig AS (SELECT instrument, CAST(year(as_of) AS INTEGER) AS fold, {FIGURES}
+    FROM pred GROUP BY 1, 2) SELECT a.instrument, a.fold, CAST(any_value(a.m) AS BIGINT) AS n_test, CAST(sum(b.m) AS BIGINT) AS n_train,
+    coalesce(any_value(f.n_predicted), 0) AS n_predicted, coalesce(any_value(f.sign_agreement), 0) AS sign_agreement, coalesce(any_value(f.exp_when_pred_bull),
+    0) AS exp_when_pred_bull FROM counts a JOIN counts b ON a.instrument = b.instrument AND b.fold < a.fold
+    LEFT JOIN fig f ON f.instrument = a.instrument AND f.fold = a.fold GROUP BY 1, 2"""),
     "ablation": P.with_views(VIEWS, f"{ABLATION} SELECT * FROM ablated_runs"),
-    "ablation_summary": P.with_views(VIEWS, f"{ABLATION} SELECT round_even(avg(delta), 2) + 0.0 AS mean_delta, count(*) FILTER (better) AS n_better, count(*) AS n FROM ablated_runs"),
+    "ablation_summary": P.with_views(VIEWS, f"""{ABLATION} SELECT round_even(avg(delta), 2) + 0.0 AS mean_delta, count(*) FILTER (better) AS n_better, count(*) AS n FROM ablated_runs"""),
     "clean_glitches": P.with_views("prices", GLITCHES),
-    "crps_ensemble": ENSEMBLES + " SELECT event_id, floor((near - pairs) * 1000000 + 0.500001) / 1000000 + 0.0 AS crps, floor((near - 0.5 * pairs) * 1000000 + 0.500001) / 1000000 + 0.0 AS crps_legacy, round_even(pit, 6) + 0.0 AS pit FROM m JOIN p USING (user_id)",
-    "pit_hist": ENSEMBLES + """, s AS (SELECT event_type, least(floor(pit * 10), 9) AS bin, near - pairs AS crps FROM m JOIN p USING (user_id)), c AS (SELECT event_type, bin, count(*) AS c, sum(crps) AS s FROM s GROUP BY 1, 2), t AS (SELECT event_type, sum(c) AS n, sum(s) AS s FROM c GROUP BY 1)
-SELECT t.event_type, CAST(n AS BIGINT) AS n, round_even(t.s / n, 5) + 0.0 AS mean_crps, round_even(avg(abs(coalesce(c.c, 0) - n / 10)) / (n / 10), 3) + 0.0 AS pit_uniformity FROM t CROSS JOIN range(10) b(k) LEFT JOIN c ON c.event_type = t.event_type AND c.bin = b.k GROUP BY t.event_type, n, t.s""",
-    "quantile_cone": "SELECT event_type, round_even(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round_even(quantile_cont(value, 0.25), 6) + 0.0 AS p25, round_even(quantile_cont(value, 0.5), 6) + 0.0 AS median, round_even(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round_even(quantile_cont(value, 0.95), 6) + 0.0 AS p95, round_even(avg((value > 50)::INT), 4) + 0.0 AS prob_up, round_even(avg(value), 4) + 0.0 AS expected FROM events GROUP BY 1",
+    "crps_ensemble": ENSEMBLES + """ SELECT event_id, floor((near - pairs) * 1000000 + 0.500001) / 1000000 + 0.0 AS crps,
+    floor((near - 0.5 * pairs) * 1000000 + 0.500001) / 1000000 + 0.0 AS crps_legacy, round_even(pit, 6) + 0.0 AS pit FROM m JOIN p USING (user_id)""",
+    "pit_hist": ENSEMBLES + """, s AS (SELECT event_type, least(floor(pit * 10), 9) AS bin, near - pairs AS crps FROM m JOIN p USING (user_id)),
+c AS (SELECT event_type, bin, count(*) AS c, sum(crps) AS s FROM s GROUP BY 1, 2),
+t AS (SELECT event_type, sum(c) AS n, sum(s) AS s FROM c GROUP BY 1)
+SELECT t.event_type, CAST(n AS BIGINT) AS n, round_even(t.s / n, 5) + 0.0 AS mean_crps, round_even(avg(abs(coalesce(c.c, 0) - n / 10)) / (n / 10),
+    3) + 0.0 AS pit_uniformity FROM t CROSS JOIN range(10) b(k) LEFT JOIN c ON c.event_type = t.event_type AND c.bin = b.k GROUP BY t.event_type, n, t.s""",
+    "quantile_cone": """SELECT event_type, round_even(quantile_cont(value, 0.05), 6) + 0.0 AS p05, round_even(quantile_cont(value, 0.25), 6) + 0.0 AS p25, round_even(quantile_cont(value,
+    0.5), 6) + 0.0 AS median, round_even(quantile_cont(value, 0.75), 6) + 0.0 AS p75, round_even(quantile_cont(value, 0.95), 6) + 0.0 AS p95,
+    round_even(avg((value > 50)::INT), 4) + 0.0 AS prob_up, round_even(avg(value), 4) + 0.0 AS expected FROM events GROUP BY 1""",
     "ewma_vol": P.with_views("closes", """x AS (SELECT * FROM (SELECT key, d, ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)) AS r FROM closes) WHERE r IS NOT NULL),
 l AS (SELECT key, list(r ORDER BY d) AS xs FROM x GROUP BY 1), h AS (SELECT key, xs, list_aggregate(xs[1:20], 'var_pop') AS v0 FROM l)
 SELECT key AS symbol, CAST(len(xs) AS INTEGER) AS n, round_even(sqrt(list_reduce(xs, lambda a, x: 0.94 * a + 0.06 * x * x, v0)), 8) AS next_volatility FROM h"""),

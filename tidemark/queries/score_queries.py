@@ -43,30 +43,46 @@ def driver_sql(name: str, p: dict) -> str:
     asof = ", x AS (SELECT p.as_of, q.* FROM dates p ASOF LEFT JOIN q ON p.as_of >= q.d) "
     if name == "momentum":
         h = p.get("horizon_days", 21)
-        return f"WITH {dates}, c AS (SELECT d, v - lag(v, {h}) {over} AS cur, row_number() {over} AS n FROM macro WHERE key = '{p['series']}'), q AS (SELECT *, stddev_pop(cur) {over} AS sd FROM c)" + asof + tanh(f"cur / {SD}", f"n >= {h + 20}")
+        return f"""WITH {dates}, c AS (SELECT d, v - lag(v, {h}) {over} AS cur, row_number() {over} AS n FROM macro WHERE key = '{p['series']}'),
+q AS (SELECT *, stddev_pop(cur) {over} AS sd FROM c)""" + asof + tanh(f"cur / {SD}", f"n >= {h + 20}")
     if name == "price_vs_sma":
         w, h = p.get("window", 200), p.get("hist", 250)
-        return f"WITH {dates}, c AS (SELECT d, v, row_number() {over} AS n, avg(v) OVER (ORDER BY d ROWS {w - 1} PRECEDING) AS sma FROM closes WHERE key = '{p['symbol']}'), e AS (SELECT *, CASE WHEN n >= {w} THEN (v - sma) / sma END AS cur FROM c), q AS (SELECT *, stddev_pop(cur) OVER (ORDER BY d ROWS {h} PRECEDING) AS sd FROM e)" + asof + tanh(f"cur / {SD}", f"n >= {w + 1}")
+        return f"""WITH {dates}, c AS (SELECT d, v, row_number() {over} AS n, avg(v) OVER (ORDER BY d ROWS {w - 1} PRECEDING) AS sma FROM closes WHERE key = '{p['symbol']}'),
+e AS (SELECT *, CASE WHEN n >= {w} THEN (v - sma) / sma END AS cur FROM c),
+q AS (SELECT *, stddev_pop(cur) OVER (ORDER BY d ROWS {h} PRECEDING) AS sd FROM e)""" + asof + tanh(f"cur / {SD}", f"n >= {w + 1}")
     if name == "etf_flow":
-        return f"WITH {dates}, c AS (SELECT d, v, lag(v, 63) {over} AS old, row_number() {over} AS n FROM etf), e AS (SELECT *, (v - old) / nullif(old, 0) AS cur FROM c), q AS (SELECT *, stddev_pop(cur) {over} AS sd, count(cur) {over} AS m FROM e)" + asof + tanh(f"cur / {SD}", "n >= 93 AND old > 0 AND m >= 20")
+        return f"""WITH {dates}, c AS (SELECT d, v, lag(v, 63) {over} AS old, row_number() {over} AS n FROM etf),
+e AS (SELECT *, (v - old) / nullif(old, 0) AS cur FROM c),
+q AS (SELECT *, stddev_pop(cur) {over} AS sd, count(cur) {over} AS m FROM e)""" + asof + tanh(f"cur / {SD}", "n >= 93 AND old > 0 AND m >= 20")
     share = f"SELECT as_of, coalesce(len(h), 0) >= 20 AS ok, {sign} * (2.0 * len(list_filter(h, lambda z: z <= cur)) / len(h) - 1) AS s FROM x"
     if name == "level_percentile":
-        return f"WITH {dates}, x AS (SELECT p.as_of, arg_max(v, d) AS cur, list(v) FILTER (v IS NOT NULL) AS h FROM dates p LEFT JOIN macro m ON m.key = '{p['series']}' AND d <= p.as_of AND d >= p.as_of - {p.get('lookback_days', 504)} GROUP BY 1) " + share
+        return f"""WITH {dates}, x AS (SELECT p.as_of, arg_max(v, d) AS cur, list(v) FILTER (v IS NOT NULL) AS h
+    FROM dates p LEFT JOIN macro m ON m.key = '{p['series']}' AND d <= p.as_of AND d >= p.as_of - {p.get('lookback_days', 504)} GROUP BY 1) """ + share
     if name == "cot_spec_net_percentile":
-        return f"WITH {dates}, c AS (SELECT d + 3 AS d, (long_spec - short_spec) / open_interest::DOUBLE AS cur FROM cot WHERE key = '{p['market']}'), q AS (SELECT *, list(cur) OVER (ORDER BY d ROWS 155 PRECEDING) AS h FROM c)" + asof + share
+        return f"""WITH {dates}, c AS (SELECT d + 3 AS d, (long_spec - short_spec) / open_interest::DOUBLE AS cur FROM cot WHERE key = '{p['market']}'),
+q AS (SELECT *, list(cur) OVER (ORDER BY d ROWS 155 PRECEDING) AS h FROM c)""" + asof + share
     if name == "rainfall_anomaly":
-        return f"""WITH {dates}, q AS (SELECT d, sum(precip) OVER (ORDER BY d ROWS 29 PRECEDING) AS v, row_number() {over} AS rn, dayofyear(d) AS doy FROM weather WHERE key = '{p['region']}'), y AS (SELECT p.as_of, q.* FROM dates p ASOF LEFT JOIN q ON p.as_of >= q.d),
-x AS (SELECT y.as_of, any_value(y.rn) AS n, any_value(y.v) AS v, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS m FROM y LEFT JOIN q o ON o.rn <= y.rn - 60 AND least(abs(o.doy - y.doy), 366 - abs(o.doy - y.doy)) <= 15 GROUP BY 1) """ + tanh(f"abs((v - mean) / {SD}) - 1", "n >= 1095 AND m >= 20")
+        return f"""WITH {dates}, q AS (SELECT d, sum(precip) OVER (ORDER BY d ROWS 29 PRECEDING) AS v, row_number() {over} AS rn, dayofyear(d) AS doy
+    FROM weather WHERE key = '{p['region']}'),
+y AS (SELECT p.as_of, q.* FROM dates p ASOF LEFT JOIN q ON p.as_of >= q.d),
+x AS (SELECT y.as_of, any_value(y.rn) AS n, any_value(y.v) AS v, avg(o.v) AS mean, stddev_pop(o.v) AS sd, count(o.v) AS m
+    FROM y LEFT JOIN q o ON o.rn <= y.rn - 60 AND least(abs(o.doy - y.doy), 366 - abs(o.doy - y.doy)) <= 15 GROUP BY 1) """ + tanh(f"abs((v - mean) / {SD}) - 1", "n >= 1095 AND m >= 20")
     raise KeyError(name)
 
 
 def scores_sql(fingerprints: list[dict] = FINGERPRINTS, name: str = "scores") -> str:
     """CTEs frame and ``name`` (instrument, as_of, raw, score, n_ok) over ``decisions`` (instrument, as_of)."""
     parts = [
-        f"SELECT d.instrument, d.as_of, {i} AS driver_idx, '{s['name']}' AS name, {s['weight']}::DOUBLE AS weight, coalesce(x.ok, false) AS ok, CASE WHEN x.ok THEN round_even(x.s, 4) + 0.0 ELSE 0.0 END AS score FROM decisions d JOIN ({driver_sql(s['name'], s.get('params', {}))}) x USING (as_of) WHERE d.instrument = '{f['id']}'"
+        f"""SELECT d.instrument, d.as_of, {i} AS driver_idx, '{s['name']}' AS name, {s['weight']}::DOUBLE AS weight, coalesce(x.ok, false) AS ok,
+    CASE WHEN x.ok THEN round_even(x.s, 4) + 0.0 ELSE 0.0 END AS score
+    FROM decisions d JOIN ({driver_sql(s['name'], s.get('params', {}))}) x USING (as_of) WHERE d.instrument = '{f['id']}'"""
         for f in fingerprints for i, s in enumerate(f["drivers"])
     ]
-    return f"frame_{name} AS MATERIALIZED ({' UNION ALL '.join(parts)}), {name} AS MATERIALIZED (SELECT instrument, as_of, round_even(coalesce(list_sum(list(weight * score ORDER BY driver_idx) FILTER (ok)) / nullif(list_sum(list(weight ORDER BY driver_idx) FILTER (ok)), 0), 0), 10) + 0.0 AS raw, floor(raw * 10000 + 0.500001) / 10000 + 0.0 AS score, coalesce(abs(sum(weight * score) FILTER (ok)) / nullif(sum(weight * abs(score)) FILTER (ok), 0), 1) AS agreement, count(*) FILTER (ok) AS n_ok FROM frame_{name} GROUP BY 1, 2)"
+    return f"""frame_{name} AS MATERIALIZED ({' UNION ALL '.join(parts)}), {name} AS MATERIALIZED (SELECT instrument, as_of,
+    round_even(coalesce(list_sum(list(weight * score ORDER BY driver_idx) FILTER (ok)) / nullif(list_sum(list(weight ORDER BY driver_idx) FILTER (ok)), 0), 0),
+    10) + 0.0 AS raw, floor(raw * 10000 + 0.500001) / 10000 + 0.0 AS score,
+    coalesce(abs(sum(weight * score) FILTER (ok)) / nullif(sum(weight * abs(score)) FILTER (ok), 0), 1) AS agreement, count(*) FILTER (ok) AS n_ok
+    FROM frame_{name} GROUP BY 1, 2)"""
 
 
 #: What the instruments without settings of their own go by.
@@ -131,8 +147,9 @@ QUERIES = {"score_all": score_all, "score_drivers": score_drivers, "score_agreem
 ORACLE = {
     "score_all": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, score, {GRADE}, CAST(n_ok AS INTEGER) AS n_ok FROM scores"),
     "score_drivers": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, driver_idx, name, weight, ok, score FROM frame_scores"),
-    "score_agreement": P.with_views(VIEWS, f"{LAST}, {scores_sql()} SELECT instrument, as_of, floor(raw * pow(agreement, 2.0) * 10000 + 0.500001) / 10000 + 0.0 AS score FROM scores"),
+    "score_agreement": P.with_views(VIEWS, f"""{LAST}, {scores_sql()} SELECT instrument, as_of, floor(raw * pow(agreement, 2.0) * 10000 + 0.500001) / 10000 + 0.0 AS score FROM scores"""),
     "explain_json": P.with_views(VIEWS, f"""{LAST}, {scores_sql()}, graded AS (SELECT *, {GRADE} FROM scores)
-SELECT instrument, CAST(as_of AS VARCHAR) AS as_of, g.score, direction, grade, driver_idx, name, ok, f.score AS driver_score, weight, round_even(weight * f.score, 4) + 0.0 AS contribution FROM frame_scores f JOIN graded g USING (instrument, as_of)"""),
+SELECT instrument, CAST(as_of AS VARCHAR) AS as_of, g.score, direction, grade, driver_idx, name, ok, f.score AS driver_score, weight, round_even(weight * f.score,
+    4) + 0.0 AS contribution FROM frame_scores f JOIN graded g USING (instrument, as_of)"""),
     "grades": f"SELECT event_id, {GRADE} FROM (SELECT event_id, value / 100 - 0.5 AS raw FROM events)",
 }

@@ -90,13 +90,18 @@ def options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same views for SQL; a query lists those it needs.
 SQL = {
-    "prices": "SELECT 'ORD_' || o_orderstatus AS key, CAST(o_orderdate AS DATE) AS d, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY 1, 2",
+    "prices": """SELECT 'ORD_' || o_orderstatus AS key, CAST(o_orderdate AS DATE) AS d, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high,
+    min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY 1, 2""",
     "closes": "SELECT key, d, close AS v FROM prices",
-    "macro": "SELECT l_returnflag AS key, CAST(l_shipdate AS DATE) AS d, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / count(*) / 100.0::DOUBLE AS v FROM lineitem GROUP BY 1, 2",
-    "cot": "SELECT o_orderstatus AS key, CAST(date_trunc('week', o_orderdate) AS DATE) AS d, count(*) FILTER (o_orderpriority[1] IN ('1', '2')) AS long_spec, count(*) FILTER (o_orderpriority[1] IN ('4', '5')) AS short_spec, count(*) AS open_interest FROM orders GROUP BY 1, 2",
-    "weather": "SELECT l_linestatus AS key, CAST(l_shipdate AS DATE) AS d, max(l_quantity) AS tmax, min(l_quantity) AS tmin, sum(l_quantity) / count(*) AS precip FROM lineitem GROUP BY 1, 2",
+    "macro": """SELECT l_returnflag AS key, CAST(l_shipdate AS DATE) AS d, sum(CAST(round(l_extendedprice * 100) AS BIGINT))::DOUBLE / count(*) / 100.0::DOUBLE AS v
+    FROM lineitem GROUP BY 1, 2""",
+    "cot": """SELECT o_orderstatus AS key, CAST(date_trunc('week', o_orderdate) AS DATE) AS d, count(*) FILTER (o_orderpriority[1] IN ('1', '2')) AS long_spec,
+    count(*) FILTER (o_orderpriority[1] IN ('4', '5')) AS short_spec, count(*) AS open_interest FROM orders GROUP BY 1, 2""",
+    "weather": """SELECT l_linestatus AS key, CAST(l_shipdate AS DATE) AS d, max(l_quantity) AS tmax, min(l_quantity) AS tmin, sum(l_quantity) / count(*) AS precip
+    FROM lineitem GROUP BY 1, 2""",
     "etf": "SELECT 'ETF' AS key, d, sum(q) OVER (ORDER BY d) AS v FROM (SELECT CAST(l_shipdate AS DATE) AS d, sum(l_quantity) AS q FROM lineitem GROUP BY 1)",
-    "options": "SELECT 'OPT' AS key, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, p_retailprice AS strike, CASE WHEN l_linestatus = 'O' THEN 'C' ELSE 'P' END AS kind, l_quantity AS oi, 20 + 100 * l_discount AS iv, l_linenumber / 12.0::DOUBLE AS years, 950.0::DOUBLE AS spot FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "options": """SELECT 'OPT' AS key, CAST(date_trunc('month', l_shipdate) AS DATE) AS d, p_retailprice AS strike, CASE WHEN l_linestatus = 'O' THEN 'C' ELSE 'P' END AS kind,
+    l_quantity AS oi, 20 + 100 * l_discount AS iv, l_linenumber / 12.0::DOUBLE AS years, 950.0::DOUBLE AS spot FROM lineitem JOIN part ON l_partkey = p_partkey""",
 }
 
 
