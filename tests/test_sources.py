@@ -121,6 +121,27 @@ def test_stream(spark, tmp_path):
     assert len(seen) == 1
 
 
+def test_stream_goes_on_after_a_restart(spark, tmp_path):
+    """Batches are upserted; a tick behind the watermark changes nothing, one of an open hour does, and a batch may come twice."""
+    t = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    shape, table = "key string, ts timestamp, seq long, value double", [spark.createDataFrame([], "key string, ts timestamp, open double, high double, low double, close double, volume long")]
+
+    def upsert(df, n):
+        rows = df.collect()
+        for _ in range(2):
+            table[0] = spark.createDataFrame(ingest.upsert(table[0], spark.createDataFrame(rows, df.schema), ["key", "ts"]).collect(), table[0].schema)
+
+    def land(*rows):
+        spark.createDataFrame(list(rows), shape).write.mode("append").parquet(f"{tmp_path}/in")
+        run_available(stream_bars(spark.readStream.schema(shape).parquet(f"{tmp_path}/in")), upsert, f"{tmp_path}/cp")
+        return {(r.key, r.ts.hour): (r.open, r.high, r.low, r.close, r.volume) for r in table[0].collect()}
+
+    assert land(("k", t(0, 5), 1, 5.0), ("k", t(0, 9), 2, 7.0), ("k", t(5, 1), 3, 1.0)) == {("k", 0): (5.0, 7.0, 5.0, 7.0, 2), ("k", 5): (1.0, 1.0, 1.0, 1.0, 1)}
+    land(("k", t(5, 2), 4, 9.0))  # the watermark moves on with a batch
+    late = land(("k", t(0, 30), 5, 99.0), ("k", t(5, 3), 6, 0.5), ("j", t(5, 3), 7, 2.0))
+    assert late == {("k", 0): (5.0, 7.0, 5.0, 7.0, 2), ("k", 5): (1.0, 9.0, 0.5, 0.5, 3), ("j", 5): (2.0, 2.0, 2.0, 2.0, 1)}
+
+
 def test_entry_stands_without_the_corpus_operators(tmp_path):
     import shutil
     import subprocess
