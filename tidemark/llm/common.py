@@ -1,17 +1,17 @@
-"""Shared pieces of the corpus operators: shared-folder tables, partition counts, text hashing."""
+"""Shared pieces of the corpus operators: batches, partition counts, columns by exact name, text hashing."""
 
 from __future__ import annotations
 
 import contextlib
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize as materialize
+
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
@@ -19,24 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local session, whose tasks run on this machine, has a fallback."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"file://{tempfile.gettempdir()}/tidemark-shared"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @contextlib.contextmanager
 def modest_batches(spark: SparkSession, rows: int = 1000):
     """While it is open, rows go to Python at most ``rows`` at a time, so that whole texts don't fill a worker."""
@@ -56,6 +38,14 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def sliced(batches, rows: int = 1000):
+    """Arrow batches in pieces of at most ``rows``, so that only a piece's texts are Python objects at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+    give_back()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

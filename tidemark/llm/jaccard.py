@@ -30,13 +30,14 @@ none); other columns, also of names that differ in case only, are ignored; an em
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, documents, give_back, materialize, mix, modest_batches, only, place, plain, shingle_set
+from .common import buckets, documents, give_back, materialize, mix, modest_batches, only, place, plain, shingle_set, sliced
 from .substrings import by_bucket, doc_bucket, joined, pack, spread, unpack
 
 FIRST = 32  # in the lowest band each shingle is a block
@@ -119,7 +120,7 @@ def _sketch(rows, n: int, words: int, measure: Measure, seed: int):
         keys, facts, size = [], [], 0
         return _parts(found)
 
-    for b in rows:
+    for b in sliced(rows):
         for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             s = shingle_set(text, words)
             f = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -242,11 +243,16 @@ class Join:
         lead = rows.groupBy("word").agg(F.min("node").alias("lead"), F.count("*").alias("m")).filter("m > 1").drop("m")
         self.rows = materialize(rows.join(lead, "word"), "words")
 
+    @staticmethod
+    def _wide(rows: DataFrame) -> DataFrame:
+        """``rows`` with the sketch's words as columns, which a join's condition compares faster than an array's places."""
+        return rows.select(*(c for c in rows.columns if c != "sketch"), *(F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(BITS // 64)))
+
     def _near(self, a: str, b: str):
         """What two sketches allow: sizes in range and no more odd bits than similar sets can have."""
         p = self.measure.percent
         na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-        odd = sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col(f"{a}.sketch")[0].bitwiseXOR(F.col(f"{b}.sketch")[0])))
+        odd = reduce(Column.__add__, (F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(BITS // 64)))
         return (100 * F.least(na, nb) >= p * F.greatest(na, nb)) & (odd * (100 + p) <= (na + nb) * (100 - p))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
@@ -255,7 +261,7 @@ class Join:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
         def sets(rows):
-            for b in rows:
+            for b in sliced(rows):
                 found = [shingle_set(t, words).view(np.int64) for t in b.column(1).to_pylist()]
                 offset = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
                 flat = np.concatenate(found) if found else np.empty(0, np.int64)
@@ -270,7 +276,7 @@ class Join:
 
     def links(self) -> DataFrame:
         """Enough verified links (a, b) to connect every component of single nodes."""
-        x, y = self.single.alias("x"), self.single.alias("y")
+        x, y = (self._wide(self.single).alias(k) for k in "xy")
         pairs = self.rows.filter("lead <> node").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         first = materialize(pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node")).filter(self._near("x", "y")).select("a", "b"), "candidates")
         found = materialize(self.verify(first), "links")
@@ -279,7 +285,7 @@ class Join:
         rows = self.rows.join(root, "node", "left").select("word", "node", F.coalesce("root", "node").alias("root"))
         open_words = rows.groupBy("word").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("word")
         rest = materialize(rows.join(open_words, "word").join(self.single, "node"), "apart")
-        u, v = rest.alias("u"), rest.alias("v")
+        u, v = (self._wide(rest).alias(k) for k in "uv")
         apart = u.join(v, (F.col("u.word") == F.col("v.word")) & (F.col("u.node") < F.col("v.node")) & (F.col("u.root") != F.col("v.root")) & self._near("u", "v"))
         second = materialize(apart.select(F.col("u.node").alias("a"), F.col("v.node").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "candidates")
         return found.unionByName(self.verify(second)) if not second.isEmpty() else found

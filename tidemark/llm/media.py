@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, materialize, modest_batches, only
+from .common import documents, materialize, modest_batches, only, sliced
 
 _TOKEN = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([^\s#]+)")
 
@@ -140,7 +140,7 @@ def text_to_media(docs: DataFrame, width: int = 64) -> DataFrame:
     """(doc_id, n_bytes, media): the text's bytes, padded with 0, as an 8-bit PGM ``width`` wide."""
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             size, media = [], []
             for text in b.column(1).to_pylist():
                 data = (text or "").encode("utf-8")
@@ -171,7 +171,7 @@ def media_features(media: DataFrame, tile: int = 16) -> DataFrame:
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "npy"]
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             found = list(zip(*(one(x.as_py()) for x in b.column(2)), strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(found, kinds, strict=True))], names=["doc_id", "n_bytes", *names])
 

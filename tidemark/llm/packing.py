@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, only, word_hashes
+from .common import documents, only, sliced, word_hashes
 from .tokens import batches, coder, default_vocabulary
 
 K1, B = 1.2, 0.75
@@ -137,7 +137,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, window: int = 2048, end_id:
             keys, ids, words, n = [], [], [], 0
             return pa.RecordBatch.from_arrays(row, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        pairs = (x for b in rows for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        pairs = (x for b in sliced(rows) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for part in batches(pairs, 1_000_000):
             for (key, text), x in zip(part, code([t for _, t in part]), strict=True):
                 keys.append(key)

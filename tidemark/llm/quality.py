@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, only, place, plain, recounted
+from .common import documents, materialize, only, place, plain, recounted, sliced
 
 # White space, and the characters that count as symbols.
 _SPACE = " \t\n\x0b\x0c\r"
@@ -74,7 +74,7 @@ def judge(docs: DataFrame, most_share: float = MOST_SHARE, least_docs: int = LEA
     """doc_id, host, the measures, ``boilerplate_words``, ``base_failed`` and ``kept``; with ``carry`` also ``doc``, the row (c0, c1 ...), and ``boilerplate``, its lines' hashes."""
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             texts = [t or "" for t in b.column(2).to_pylist()]
             made = list(zip(*map(measures, texts), strict=True)) or [[]] * 5
             lines = [_lines(t) for t in texts]
@@ -115,7 +115,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             texts = []
             for text, lines in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
                 if lines:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, only, partitions
+from .common import documents, materialize, only, partitions, sliced
 from .tokens import batches, coder, default_vocabulary
 
 MAGIC = b"RPG2"
@@ -203,7 +203,7 @@ def write_shards(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_ids: i
             keys, held, n, k = [], [], 0, k + 1
             return row
 
-        pairs = (x for b in rows for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        pairs = (x for b in sliced(rows) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for part in batches(pairs, 1_000_000):
             for (key, _), ids in zip(part, code([t for _, t in part]), strict=True):
                 keys.append(key)

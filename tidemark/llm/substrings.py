@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, RangeHash, buckets, documents, give_back, materialize, mix, modest_batches, only
+from .common import CHUNK, RangeHash, buckets, documents, give_back, materialize, mix, modest_batches, only, sliced
 
 GRAM = 32
 _LOW = np.uint64((1 << 24) - 1)
@@ -136,7 +136,7 @@ def find_segments(rows, length: int, n: int):
     """Documents -> (bucket of the anchor; anchor, form, doc, first, last - first, anchor's place - first)."""
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
-    for b in rows:
+    for b in sliced(rows):
         for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             first, last, place, anchor, form = segments((text or "").encode("utf-8", "surrogatepass"), length)
             if len(first):
