@@ -7,7 +7,9 @@ Every character of a layer knows the part of the original text that it came from
 layer is reported as that part. A layer with the same text from the same parts isn't taken again:
 parts only narrow, so cycles end, and a text that occurs at several places is unwrapped at each.
 
-Defined results: a null text is an empty one; a span found both ways is reported once; a stream
+Defined results: a null text is an empty one; rows with null or repeated doc_id are scanned each; an empty
+table gives an empty one; other columns, also of names that differ in case only, are ignored by
+``find_secrets`` and kept by ``mask_secrets``; a span found both ways is reported once; a stream
 that grows beyond ``most`` bytes counts in ``n_skipped`` and is gone through in windows of ``most`` bytes,
 each over half of the one before, so only what is longer than that half may be missed in it.
 """
@@ -25,9 +27,8 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import documents, only
+from .common import documents, only, plain, recounted, sliced
 
 KINDS = ("assign", "access", "hex")
 # The patterns of the base scan.
@@ -329,7 +330,7 @@ def find_secrets(docs: DataFrame, most: int = 1 << 26) -> DataFrame:
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string()]
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             found = []
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 base, spans, layers, skipped = scan_layers(text or "", most)
@@ -343,16 +344,14 @@ def find_secrets(docs: DataFrame, most: int = 1 << 26) -> DataFrame:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns with every found span masked in ``text``; ``n_chars`` follows where there is one."""
-    names = docs.columns
-    at = names.index("text")
+    at, rows_ = docs.columns.index("text"), plain(docs)
 
     def run(rows):
-        for b in rows:
+        for b in sliced(rows):
             texts = [t if not t or not (s := scan_layers(t)[1]) else redact(t, s) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(texts, b.schema.field(at).type), *b.columns[at + 1 :]], schema=b.schema)
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))) if "n_chars" in names else out
+    return recounted(rows_.mapInArrow(run, rows_.schema), docs)
 
 
 def op6_secrets(spark, sf_dir):

@@ -10,7 +10,8 @@ significant bits, so it has at most 8,192 + 4,096 x 50 rows at any scale. Groups
 interchangeable; their ranks come from a range sort, and slots in a shard from counts by partition.
 
 Defined results: a null text has size 1 and is not equal to an empty one; repeated rows belong to
-one group; an empty table gives an empty one.
+one group; null ids are rows like others; other columns, also of names that differ in case only, are
+ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, partitions
+from .common import documents, materialize, only, partitions
 
 
 class Tree:
@@ -129,9 +130,9 @@ def size_class(size: str):
 def shard_documents(docs: DataFrame, n_shards: int = 8) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
-    text = docs["text"]
+    docs, text = only(docs, "doc_id", "text"), F.col("text")
     digest = docs.select(
-        docs["doc_id"].cast("long"),
+        F.col("doc_id").cast("long"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(text.cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
         F.coalesce(F.sha2(text, 256), F.lit("null")).alias("content"),
