@@ -67,6 +67,49 @@ def test_components_against_brute_force(spark, seed):
     assert len({c for _, c in want}) < len(texts) - 60
 
 
+@pytest.mark.parametrize("parts, falling", [(1, True), (1, False), (5, True)])
+def test_components_do_not_depend_on_ids_and_order(spark, parts, falling):
+    r = random.Random(parts)
+    texts = corpus(3)
+    texts += r.sample(texts, 40)  # copies beside near copies
+    ids = r.sample(range(-(10**12), 10**12), len(texts))
+    rows = sorted(zip(ids, texts, strict=True), reverse=falling)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = docs.coalesce(1) if parts == 1 else docs.repartition(parts)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.near_duplicates(docs).collect()}
+    want = brute(texts)
+    least = {}
+    for i, (_, c) in zip(ids, want, strict=True):
+        least[c] = min(i, least.get(c, i))
+    assert got == {i: (n, least[c]) for i, (n, c) in zip(ids, want, strict=True)}
+
+
+def test_a_whole_table(spark):
+    rows = [(x.doc_id, x.text) for x in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rows.sort(reverse=True)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {x.doc_id: x.component_id for x in jaccard.near_duplicates(docs).collect()}
+    root = {i: i for i, _ in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    held = {}  # documents by shingle: only those that share one can be similar
+    for i, s in ((i, shingles(t)) for i, t in rows):
+        count = {}
+        for g in s:
+            for j in held.setdefault(g, []):
+                count[j] = count.get(j, 0) + 1
+            held[g].append((i, len(s)))
+        for (j, n), same in count.items():
+            if 100 * same >= 75 * (len(s) + n - same):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert got == {i: find(i) for i, _ in rows}
+
+
 def test_words_are_shared_by_similar_sets():
     """Any pair at the limit shares one of the words that are kept, in any common order."""
     r = np.random.default_rng(0)
