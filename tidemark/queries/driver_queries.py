@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import r
+from ..functions import r, steady
 from ..operators import asof, spine_spread
 from ..operators.bars import atr, fractals, log_returns
 from ..plans import drivers
@@ -90,13 +90,13 @@ def fractals_query(spark, sf_dir):
     return fractals(P.prices(spark, sf_dir), 3).filter("is_high OR is_low").select(F.col("key").alias("symbol"), "d", "is_high", "is_low")
 
 
-SPREAD = """spread AS (SELECT 'A-N' AS key, a.d, a.v - b.v AS v FROM macro a ASOF JOIN (SELECT last_day(d) AS d, round_even(avg(v), 6) AS v
+SPREAD = """spread AS (SELECT 'A-N' AS key, a.d, a.v - b.v AS v FROM macro a ASOF JOIN (SELECT last_day(d) AS d, floor(avg(v) * 100 + 0.500001) / 100 AS v
     FROM macro WHERE key = 'N' GROUP BY 1) b ON a.d >= b.d WHERE a.key = 'A')"""
 
 
 def monthly(spark, sf_dir):
     """A monthly series: the means of a daily one's months, at their last days."""
-    return one(P.macro(spark, sf_dir), "N", "A-N").groupBy("key", F.last_day("d").alias("d")).agg(r(F.avg("v"), 6).alias("v"))
+    return one(P.macro(spark, sf_dir), "N", "A-N").groupBy("key", F.last_day("d").alias("d")).agg(steady(F.avg("v"), 2).alias("v"))
 
 
 @query("asof_spread", P.with_views("macro", SPREAD + " SELECT d, round_even(v, 7) + 0.0 AS spread FROM spread"))
