@@ -10,7 +10,7 @@ from ..test_oracle import DIR, canonical
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got = QUERIES[name](spark, DIR)
     columns = sorted(got.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, packing, quality, repair, secrets, sharding, substrings, urls
+from . import jaccard, media, mixing, packing, quality, repair, secrets, sharding, structure, substrings, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_token_ids": repair.op9_token_ids,
     "op10_url_filters": urls.op10_url_filters,
+    "op11_structure_repair": structure.op11_structure_repair,
 }
-ORACLE: dict[str, str] = {"op4_mixing": mixing.oracle_sql(), "op7_quality": quality.oracle_sql(), "op10_url_filters": urls.oracle_sql()}
+ORACLE: dict[str, str] = {"op4_mixing": mixing.oracle_sql(), "op7_quality": quality.oracle_sql(), "op10_url_filters": urls.oracle_sql(), "op11_structure_repair": structure.oracle_sql()}
