@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, media, mixing, packing, quality, repair, secrets, sharding, structure, substrings, urls
+from . import benchmarks, jaccard, media, mixing, packing, quality, repair, secrets, sharding, structure, substrings, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -16,5 +16,12 @@ QUERIES = {
     "op9_token_ids": repair.op9_token_ids,
     "op10_url_filters": urls.op10_url_filters,
     "op11_structure_repair": structure.op11_structure_repair,
+    "op12_decontamination": benchmarks.op12_decontamination,
+}
+ORACLE: dict[str, str] = {
+    "op4_mixing": mixing.oracle_sql(),
+    "op7_quality": quality.oracle_sql(),
+    "op10_url_filters": urls.oracle_sql(),
+    "op11_structure_repair": structure.oracle_sql(),
+    "op12_decontamination": benchmarks.oracle_sql(),
 }
-ORACLE: dict[str, str] = {"op4_mixing": mixing.oracle_sql(), "op7_quality": quality.oracle_sql(), "op10_url_filters": urls.oracle_sql(), "op11_structure_repair": structure.oracle_sql()}
