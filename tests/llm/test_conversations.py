@@ -7,7 +7,7 @@ import zlib
 from collections import defaultdict
 
 from pyspark.sql import functions as F
-from tidemark.llm import structure
+from tidemark.llm import structure, trie
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 EXTRA = ["TEXT", "Conv_ID", "slice", "rn", "edit", "fault", "same", "letters", "node", "path", "c0"]
@@ -145,3 +145,96 @@ def test_long_conversation_over_slices(spark):
     assert (at, cost) == (700, found.cost)
     assert re.fullmatch("(s?(ua)+)?", "".join(x[0][0] for x in lines))
     assert {(x.position, x.role, x.text) for x in structure.repaired(spark.createDataFrame(rows, SCHEMA)).collect()} == {(i, *x) for i, x in enumerate(lines)}
+
+
+# --- prefix trie ----------------------------------------------------------------------------------
+
+
+def trie_plain(rows):
+    own = defaultdict(list)
+    for conv, turn, role, said in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, (role or "").encode(), (said or "").encode()))
+    own = {c: [x[2:] for x in sorted(v)] for c, v in own.items()}
+    members, ends = defaultdict(list), defaultdict(list)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % 9
+        path = tuple(own.get(c - c % 5, [])[:h] + own[c][h:])
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+        ends[path].append(c)
+    below = defaultdict(list)
+    for p in members:
+        for d in range(len(p) + 1):
+            below[p[:d]].append(p)
+    children = {p: sum(len(q) == len(p) + 1 for q in below[p]) for p in members}
+    saved = {p: (len(m) - 1) * len(p[-1][1]) if p else 0 for p, m in members.items()}
+    return sorted(
+        (
+            m[0], len(p), members[p[:-1]][0] if p else None, len(m), children[p], sum(not children[q] for q in below[p]), sum(saved[q] for q in below[p]),
+            hashlib.sha256(",".join(map(str, ends[p])).encode()).hexdigest(),
+        )
+        for p, m in members.items()
+    )
+
+
+NODES = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def trie_found(spark, rows, extra=False):
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    if extra:
+        df = df.select("*", *(F.lit(f"extra {c}").alias(c) for c in EXTRA))
+    return sorted(tuple(r[c] for c in NODES) for r in trie.trie(trie.rebuilt(trie.numbered(df))).collect())
+
+
+def many_talks(r, convs):
+    said = [("user", "Hi."), ("assistant", "Hé?"), ("user", "Go on."), (None, None), ("user", "z" * 50)]
+    return [(c, t, *said[min(r.randint(0, 9), 4) if t > 1 else 0]) for c in convs for t in range(r.choice([0, 1, 2, 3, 3, 4, 9, 12]))]
+
+
+def test_trie_against_a_plain_one(spark):
+    rows = many_talks(random.Random(8), [*range(150), *range(300, 400, 3)])
+    rows += [(900 + i, t, "user", f"turn {t}") for i in range(60) for t in range(5)]  # whole copies
+    want = trie_plain(rows)
+    assert any(x[4] > 2 for x in want) and any(x[3] > 50 for x in want)
+    assert trie_found(spark, rows) == want
+    assert trie_found(spark, rows, extra=True) == want
+
+
+def test_trie_of_any_rows(spark):
+    rows = [(None, 0, "user", "a"), (7, None, "user", None), (7, None, None, "x"), (7, 1, "user", "b"), (7, 1, "user", "b"), (8, 0, "user", "c"), (5, 0, "assistant", "w " * 200_000), (11, -3, "", "")]
+    assert trie_found(spark, rows) == trie_plain(rows)
+    assert trie_found(spark, []) == []
+
+
+def test_parts_of_ranges_join_to_the_same_nodes():
+    """However sorted strings are cut into ranges, also ranges of one string, the nodes are the same."""
+    r = random.Random(2)
+    strings = sorted({b"".join(bytes([r.randint(0, 2)]) * trie.ID for _ in range(r.randint(0, 6))) for _ in range(200)})
+    strings = [(s, [10] * (len(s) // trie.ID), r.randint(1, 3), i, "e") for i, s in enumerate(strings)]
+
+    def nodes(cuts):
+        out, parts = [], []
+        for a, b in zip([0, *cuts], [*cuts, len(strings)], strict=True):
+            for row in trie.range_nodes(iter(trie.sorted_run(strings[a:b]))):
+                (out if row[9] is None else parts).append(row)
+        return sorted(x[:9] for x in out + list(trie.joined_nodes(parts)))
+
+    want = nodes([])
+    assert want[0][3] is not None and len(want) == len({x[0] for x in want})
+    assert nodes(list(range(1, len(strings)))) == want
+    for _ in range(30):
+        assert nodes(sorted(r.sample(range(len(strings)), 5))) == want
+
+
+def test_loser_tree_sorts_and_knows_shared_turns():
+    r = random.Random(1)
+    for n_runs in (0, 1, 2, 3, 7, 8):
+        runs = [[(b"".join(bytes([r.randint(0, 1)]) * trie.ID for _ in range(r.randint(0, 12))), i) for _ in range(r.choice([0, 1, 40]))] for i in range(n_runs)]
+        want = sorted((s for run in runs for s in run), key=lambda s: s[0])
+        tree = trie.LoserTree([trie.sorted_run(run) for run in runs])
+        found = list(tree)
+        assert [s[0] for _, s in found] == [s[0] for s in want]
+        assert [lcp for lcp, _ in found[1:]] == [trie.common_turns(a[0], b[0]) for a, b in zip(want, want[1:], strict=False)]
+        assert tree.compared <= sum(len(s[0]) // trie.ID for s in want) + 4 * len(want)  # a turn is compared once, and one that differs in each game

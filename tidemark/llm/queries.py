@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import benchmarks, jaccard, media, mixing, packing, quality, repair, secrets, sharding, structure, substrings, urls
+from . import benchmarks, jaccard, media, mixing, packing, quality, repair, secrets, sharding, structure, substrings, trie, urls
 
 QUERIES = {
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_url_filters": urls.op10_url_filters,
     "op11_structure_repair": structure.op11_structure_repair,
     "op12_decontamination": benchmarks.op12_decontamination,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 ORACLE: dict[str, str] = {
     "op4_mixing": mixing.oracle_sql(),
@@ -24,4 +25,5 @@ ORACLE: dict[str, str] = {
     "op10_url_filters": urls.oracle_sql(),
     "op11_structure_repair": structure.oracle_sql(),
     "op12_decontamination": benchmarks.oracle_sql(),
+    "op13_prefix_trie": trie.oracle_sql(),
 }
