@@ -62,7 +62,7 @@ def faults(rows: DataFrame) -> DataFrame:
     end = F.substring(F.regexp_replace("text", "[\\x20\\x09-\\x0D]+$", ""), -1, 1)
     same = F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")))
     seen = Window.partitionBy("conv_id", "same").orderBy("turn")
-    place = Window.partitionBy("conv_id", "slice").orderBy("turn", "role", "text")
+    place = Window.partitionBy("conv_id", "slice").orderBy("turn", "role", "text", "again")  # of equal rows the repeated ones come last
     first = rows.withColumn("same", same).withColumn("again", F.row_number().over(seen) > 1).drop("same")
     fault = F.when(end == "", "blank").when(F.col("again"), "duplicate").when(~end.isin(".", "!", "?"), "truncated").otherwise("none")
     return (
@@ -246,8 +246,9 @@ WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coal
 kinds AS (SELECT *, {crc32_sql("name")} % 20 AS kind FROM named),
 made AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
     CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM kinds, range(2) r(n) WHERE kind <> 0 AND (n = 0 OR kind = 3)),
-told AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, left(role, 1) AS initial,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again, regexp_extract(text, '([^ 	-])[ 	-]*$', 1) AS closing FROM made),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM made),
+told AS (SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS again,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS closing FROM placed),
 judged AS (SELECT *, CASE WHEN closing = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN closing NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault,
     lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial NOT IN ('su', 'ua', 'au') AS illegal FROM told),
 t AS (SELECT *, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM judged),
