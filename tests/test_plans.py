@@ -228,48 +228,92 @@ def test_pearson_guards(spark):
     assert got == pytest.approx(statistics.correlation(*zip(*pts, strict=True)))
 
 
-def test_simulation():
-    r = np.random.default_rng(1).normal(0, 0.01, 500)
-    a, b = (scenario.simulate(r, 499, 20, 2000) for _ in range(2))
-    assert (a == b).all() and a.shape == (2000, 20)
-    out = scenario.barrier(a, True, 0.03, 0.03)
-    assert out["prob_tp"] + out["prob_sl"] + out["prob_time"] == pytest.approx(1) and abs(out["prob_tp"] - out["prob_sl"]) < 0.15
-    assert scenario.barrier(a, True, 0.01, 0.03)["prob_tp"] > scenario.barrier(a, True, 0.06, 0.03)["prob_tp"]
-    assert scenario.barrier(a, True, 0.03, 0.03, 0.001)["expectancy_r"] < out["expectancy_r"]
-    c = scenario.cone(a)
-    assert c["p05"] < c["p25"] < c["median"] < c["p75"] < c["p95"]
-    later = np.append(r, [9.0] * 30)
-    assert (scenario.simulate(later, 499, 20, 2000) == a).all()
-    with pytest.raises(ValueError):
-        scenario.barrier(a, True, 0, 1)
-
-
-def test_ewma_is_the_recursion():
-    x = np.random.default_rng(2).normal(0, 1, 50)
-    v = scenario.ewma_volatility(x) ** 2
-    assert len(v) == 51 and v[0] == pytest.approx(np.var(x[:20])) and all(v[i + 1] == pytest.approx(0.94 * v[i] + 0.06 * x[i] ** 2) for i in range(50))
-    long = np.random.default_rng(3).normal(0, 1, 1500)
-    for decay in (0.2, 0.94, 0.999):  # over several blocks
-        v = scenario.decayed(2.0, long, decay)
-        want = [2.0]
-        for y in long:
-            want.append(decay * want[-1] + y)
-        assert v == pytest.approx(np.array(want))
-    assert (scenario.ewma_volatility(np.zeros(5)) ** 2)[0] == pytest.approx(1e-8) and not scenario.ewma_volatility(np.zeros(30)).any()
-
-
-def test_crps_rewards_the_true_spread():
+def random_closes(spark, n=500, keys="a", seed=1, tail=()):
+    r = np.random.default_rng(seed)
+    rows = [(k, day(i), float(v)) for k in keys for i, v in enumerate(np.append(100 * np.exp(np.cumsum(r.normal(0, 0.01, n))), tail))]
+    return spark.createDataFrame(rows, "key string, d date, v double").repartition(3)
+
+
+def test_simulation(spark):
+    closes = random_closes(spark)
+
+    def steps(c, horizon=20):
+        known = scenario.histories(c)
+        at = known.filter("place = 498").select("key", F.col("d").alias("as_of"), "sigma", "n_pool", F.lit(horizon).alias("horizon"))
+        return scenario.simulate(at, known, 300)
+
+    a = {(x.path, x.step): x.shock for x in steps(closes).collect()}
+    assert len(a) == 300 * 20
+    # The same draws from other partitions, over a shorter horizon, and whatever comes later.
+    assert {(x.path, x.step): x.shock for x in steps(closes.repartition(7), 12).collect()} == pytest.approx({k: v for k, v in a.items() if k[1] < 12})
+    later = {(x.path, x.step): x.shock for x in steps(random_closes(spark, tail=[9.0] * 30)).collect()}
+    assert later == pytest.approx(a)
+    trade = lambda tp, sl, cost=0.0, side="LONG": spark.createDataFrame([("a", side, tp, sl, cost)], "key string, direction string, tp double, sl double, daily_cost double")
+    run = lambda *t: scenario.barriers(closes, trade(*t)).first()
+    out = run(0.03, 0.03)
+    assert out.prob_tp + out.prob_sl + out.prob_time == pytest.approx(1) and abs(out.prob_tp - out.prob_sl) < 0.15 and out.exp_lo < out.expectancy_r < out.exp_hi
+    assert run(0.01, 0.03).prob_tp > run(0.06, 0.03).prob_tp
+    assert run(0.03, 0.03, 0.001).expectancy_r < out.expectancy_r
+    c = scenario.cones(closes).first()
+    assert c.p05 < c.p25 < c.median < c.p75 < c.p95
+    with pytest.raises(Exception, match="distances must be positive"):
+        run(0.0, 1.0)
+
+
+def test_paths_meet_barriers_as_a_loop_says(spark):
+    closes = random_closes(spark, seed=6)
+    known = scenario.histories(closes)
+    at = scenario.last_returns(known).withColumn("horizon", F.lit(20))
+    paths = {}
+    for x in scenario.simulate(at, known, 150).collect():
+        paths.setdefault(x.path, {})[x.step] = x.shock
+    for side, tp, sl, cost in (("LONG", 0.02, 0.03, 0.0005), ("SHORT", 0.04, 0.015, 0.0)):
+        outcomes, labels = [], []
+        for p in paths.values():
+            level = np.expm1(np.cumsum([p[t] for t in range(20)])) * (1 if side == "LONG" else -1)
+            label, held, gain = "TIME", 20, level[-1] / sl
+            for t, v in enumerate(level):
+                if v <= -sl or v >= tp:
+                    label, held, gain = ("SL", t + 1, -1.0) if v <= -sl else ("TP", t + 1, tp / sl)
+                    break
+            outcomes.append(gain - cost * held / sl)
+            labels.append(label)
+        x = scenario.barriers(closes, spark.createDataFrame([("a", side, tp, sl, cost)], "key string, direction string, tp double, sl double, daily_cost double"), paths=150).first()
+        assert (x.prob_tp, x.prob_sl) == pytest.approx((labels.count("TP") / 150, labels.count("SL") / 150), abs=1e-4)
+        assert x.expectancy_r == pytest.approx(np.mean(outcomes), abs=1e-4)
+        assert x.exp_hi - x.exp_lo == pytest.approx(2 * 1.96 * np.std(outcomes, ddof=1) / 150**0.5, abs=2e-4)
+
+
+def test_blocks_are_runs_of_residuals(spark):
+    at = spark.createDataFrame([("a", day(0), 0.01, 50, 20), ("b", day(0), 0.01, 3, 20)], "key string, as_of date, sigma double, n_pool int, horizon int")
+    rows = scenario.islands(at, 2000).collect()
+    lengths, n = {}, {}
+    for x in rows:
+        assert 0 <= x.start < x.n_pool and x.length > 0
+        lengths[x.key, x.path] = lengths.get((x.key, x.path), 0) + x.length
+        n[x.key] = n.get(x.key, 0) + 1
+    assert len(lengths) == 4000 and set(lengths.values()) == {20}
+    assert n["a"] / 2000 == pytest.approx(1 + 19 / 5, rel=0.03)  # a restart at one step in five
+    starts = [x.start for x in rows if x.key == "a"]
+    counts = np.bincount(starts, minlength=50)
+    assert ((counts - len(starts) / 50) ** 2 / (len(starts) / 50)).sum() < 90  # chi-squared with 49 degrees, 0.9997
+
+
+def plain_crps(x, y, legacy=False):
+    return np.abs(x - y).mean() - (0.25 if legacy else 0.5) * np.abs(x[:, None] - x[None]).mean()
+
+
+def test_crps_rewards_the_true_spread(spark):
     r = np.random.default_rng(3)
-    y = r.normal(0, 1, 400)
-    mean = lambda scale, legacy: np.mean([scenario.ensemble_crps(r.normal(0, scale, 200), v, legacy) for v in y])
-    assert mean(1.0, False) < mean(0.6, False) and mean(1.0, False) < mean(1.6, False)
-    x = r.normal(0, 1, 60)
-    want = np.abs(x - 0.3).mean() - 0.5 * np.abs(x[:, None] - x[None]).mean()
-    assert scenario.ensemble_crps(x, 0.3) == pytest.approx(want)
-    x, spread = np.round(x, 1), lambda x: np.abs(x[:, None] - x[None]).mean()  # noqa: E731  ties
-    for y in (-9.0, -0.5, 0.0, float(x[3]), 9.0):
-        assert scenario.ensemble_crps(x, y) == pytest.approx(np.abs(x - y).mean() - 0.5 * spread(x))
-        assert scenario.ensemble_crps(x, y, legacy=True) == pytest.approx(np.abs(x - y).mean() - 0.25 * spread(x))
+    rows, cases = [], []
+    for i in range(200):
+        y = r.normal()
+        for scale in (0.6, 1.0, 1.6):
+            rows += [(f"{scale} {i}", float(v)) for v in r.normal(0, scale, 100)]
+            cases.append((f"{scale} {i}", float(y)))
+    got = scenario.against_ensembles(spark.createDataFrame(rows, "k string, value double"), spark.createDataFrame(cases, "k string, value double"), "k").collect()
+    mean = lambda s: np.mean([x.crps for x in got if x.k.startswith(s)])
+    assert mean("1.0") < mean("0.6") and mean("1.0") < mean("1.6")
 
 
 def test_scores_against_ensembles_of_other_rows(spark):
@@ -283,7 +327,7 @@ def test_scores_against_ensembles_of_other_rows(spark):
         if x.k == "c":
             assert x.crps is None and x.pit is None
             continue
-        assert x.crps == pytest.approx(scenario.ensemble_crps(have, x.value)) and x.crps_legacy == pytest.approx(scenario.ensemble_crps(have, x.value, True))
+        assert x.crps == pytest.approx(plain_crps(have, x.value)) and x.crps_legacy == pytest.approx(plain_crps(have, x.value, True))
         assert x.pit == pytest.approx((have <= x.value).mean())
 
 
@@ -291,7 +335,7 @@ def test_models_and_routing(spark):
     r = np.random.default_rng(4)
     rows = [(k, day(i), float(v)) for k in "ab" for i, v in enumerate(100 * np.exp(np.cumsum(r.normal(0, 0.01, 700))))]
     closes = spark.createDataFrame(rows, "key string, d date, v double")
-    ev = scenario.evaluate(closes, start=520, paths=50, shards=3)
+    ev = scenario.evaluate(closes, start=520, paths=50)
     assert ev.count() == 2 * 2 * len(range(520, 699 - 20, 20))
     figures = scenario.pit_deviation(ev)
     assert {x.n for x in figures.collect()} == {len(range(520, 679, 20))} and {x.winner for x in scenario.route(figures).collect()} <= {"fhs", "normal"}
@@ -312,12 +356,14 @@ def test_models_and_routing(spark):
         return np.zeros(n)
 
     scenario.register_model("own", limited, context=100)
-    figures = scenario.pit_deviation(scenario.evaluate(closes, ("fhs", "own"), start=520, paths=50, shards=2))
+    figures = scenario.pit_deviation(scenario.evaluate(closes, ("fhs", "own"), start=520, paths=50))
     assert {x.model for x in figures.collect()} == {"fhs", "own"}
-    scenario.MODELS["own"] = lambda v, x, sigma, at, horizon, n: np.zeros(n) if at < len(x) - 1 else 1 / 0
-    flat = closes.withColumn("v", F.lit(100.0) + F.dayofyear("d") % 2)  # the constant forecast wins, then fails
+    flat = closes.withColumn("v", F.when(F.col("d") == day(699), 100.25).otherwise(F.lit(100.0) + F.dayofyear("d") % 2))
+    scenario.register_model("own", lambda v, horizon, n: np.zeros(n) if v[-1] != 100.25 else 1 / 0)  # the constant forecast wins, then fails
     x = scenario.routed_cones(flat, ("fhs", "own"), paths=50).first()
     assert (x.winner, x.used) == ("own", "fhs")
     del scenario.MODELS["own"]
+    with pytest.raises(ValueError):
+        scenario.register_model("fhs", limited)
     pits = spark.createDataFrame([("k", "m", (i + 0.5) / 10, 1.0) for i in range(10)] + [("u", "m", 1.0, 1.0)] * 10, "key string, model string, pit double, crps double")
     assert {x.key: x.pit_uniformity for x in scenario.pit_deviation(pits).collect()} == {"k": 0.0, "u": 1.8}

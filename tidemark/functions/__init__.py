@@ -13,6 +13,12 @@ def r(x: Column, places: int = 4) -> Column:
     return F.bround(x, places) + F.lit(0.0)
 
 
+def tidy(x: Column, places: int = 4, digits: int = 9) -> Column:
+    """``r`` for numbers of any size: large ones keep so many significant digits, as a sum's last ones follow its order."""
+    scale = F.pow(F.lit(10.0), F.when(F.abs(x) < 10.0 ** (digits - places), places).otherwise(digits - 1 - F.floor(F.log10(F.abs(x)))))
+    return F.bround(x * scale) / scale + F.lit(0.0)
+
+
 def steady(x: Column, places: int = 4) -> Column:
     """Rounding half up that the last digits of a sum don't sway: weighted means of rounded scores often are halves."""
     return F.floor(x * 10**places + 0.500001) / 10**places + F.lit(0.0)
@@ -69,17 +75,15 @@ def option_gamma(spot: Column, strike: Column, years: Column, sigma: Column, rat
     return F.coalesce(F.exp(-0.5 * d1 * d1) / math.sqrt(2 * math.pi) / (s * v * F.sqrt(t)), F.lit(0.0))
 
 
-def crps(sorted_samples: Column, y: Column, legacy: bool = False) -> Column:
-    """Continuous ranked probability score of a sorted ensemble array.
+#: Names and places of the quantiles of a forward distribution (fixed values).
+QUANTILES = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+
 
-    ``legacy`` halves the term of the pairwise distance, as older figures did; the score is not proper then.
-    """
-    n = F.size(sorted_samples).cast("double")
-    near = F.aggregate(sorted_samples, F.lit(0.0), lambda a, x: a + F.abs(x - y)) / n
-    pairs = F.aggregate(F.transform(sorted_samples, lambda x, i: (2.0 * (i + 1) - n - 1) * x), F.lit(0.0), lambda a, x: a + x) / (n * n)
-    return near - (0.5 if legacy else 1.0) * pairs
+def quantile_columns(x: Column, places: int = 4) -> list[Column]:
+    """Interpolated quantiles as aggregates, under their names."""
+    return [r(F.percentile(x, q), places).alias(n) for n, q in QUANTILES.items()]
 
 
-def pit(samples: Column, y: Column) -> Column:
-    """Share of samples at or below the outcome."""
-    return F.size(F.filter(samples, lambda x: x <= y)) / F.size(samples)
+def prob_up(x: Column, places: int = 4, above: float = 0.0) -> Column:
+    """The share of values above ``above``, as an aggregate."""
+    return r(F.avg((x > above).cast("double")), places).alias("prob_up")

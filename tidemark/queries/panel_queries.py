@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import r, steady
+from ..functions import prob_up, quantile_columns, r, steady
 from ..operators.bars import ahead, atr, numbered, repair_scales, triple_barrier
 from ..plans import panel as panels
 from ..plans import rules, scenario, setups, validation
@@ -196,22 +196,13 @@ def pit_hist(spark, sf_dir):
 
 def quantile_cone(spark, sf_dir):
     e = P.table(spark, sf_dir, "events").groupBy("event_type")
-    q = F.percentile("value", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q")
-    out = e.agg(q, F.avg((F.col("value") > 50).cast("double")).alias("up"), F.avg("value").alias("mean"))
-    return out.select("event_type", *(r(F.col("q")[i], 6).alias(n) for i, n in enumerate(("p05", "p25", "median", "p75", "p95"))), r(F.col("up")).alias("prob_up"), r(F.col("mean")).alias("expected"))
+    return e.agg(*quantile_columns(F.col("value"), 6), prob_up(F.col("value"), above=50), r(F.avg("value")).alias("expected"))
 
 
 def ewma_vol(spark, sf_dir):
-    """The next day's conditional volatility, by a fold over each symbol's returns."""
-    from ..operators.bars import log_returns
-
-    x = log_returns(P.closes(spark, sf_dir)).filter("log_return IS NOT NULL")
-    x = x.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "log_return"))).alias("x"))
-    head = F.slice("x", 1, 20)
-    mean = F.aggregate(head, F.lit(0.0), lambda a, e: a + e["log_return"]) / F.size(head)
-    var = F.aggregate(head, F.lit(0.0), lambda a, e: a + (e["log_return"] - mean) * (e["log_return"] - mean)) / F.size(head)
-    v = F.aggregate("x", var, lambda a, e: 0.94 * a + 0.06 * e["log_return"] * e["log_return"])
-    return x.select(F.col("key").alias("symbol"), F.size("x").alias("n"), r(F.sqrt(v), 8).alias("next_volatility"))
+    """The next day's conditional volatility of each symbol."""
+    known = scenario.histories(P.closes(spark, sf_dir))
+    return known.groupBy(F.col("key").alias("symbol")).agg(F.count("*").cast("int").alias("n"), r(F.max_by("next_sigma", "d"), 8).alias("next_volatility"))
 
 
 def clean_glitches(spark, sf_dir):
@@ -315,12 +306,105 @@ sided AS (SELECT r.*, s.score, s.raw, CASE WHEN s.score >= 0 THEN 'LONG' ELSE 'S
     + f"""mine AS (SELECT p.*, t.risk / t.atr AS sl_m, t.reward / t.atr AS tp_m FROM panel p JOIN ratioed t USING (instrument) WHERE NOT p.oos AND p.rn + p.h <= t.n_bars), """ + barrier_sql("mine", "s.sl_m * s.atr", "s.tp_m * s.atr")
     + f", train AS (SELECT * FROM out), cur AS (SELECT * FROM ratioed), {GATE}, "
     + f"graded AS (SELECT *, {GRADE.replace('AS direction', 'AS side')} FROM ratioed), "
-    + """final_rows AS (SELECT g.instrument, g.key AS ticker, g.as_of, g.direction, g.grade, g.score, round_even(entry, 6) AS entry, round_even(sl, 6) AS sl, round_even(tp,
-    6) AS tp, round_even(atr, 6) AS atr, round_even(rr, 3) AS rr, r.n, r.n_eff, r.hit_rate, r.expectancy_r,
-    concat_ws('; ', CASE WHEN grade = 'NONE' THEN 'no grade' END, CASE WHEN rr < 1.5 THEN 'reward to risk' END,
-    CASE WHEN r.why <> '' THEN 'base rate: ' || r.why END) AS reject_reason,
+    + "{more}final_rows AS (SELECT g.instrument, g.key AS ticker, g.as_of, g.direction, g.grade, g.score, round_even(entry, 6) AS entry, round_even(sl, 6) AS sl, round_even(tp, 6) AS tp,"
+    + """ round_even(atr, 6) AS atr, round_even(rr, 3) AS rr, r.n, r.n_eff, r.hit_rate, r.expectancy_r, {columns}
+    concat_ws('; ', CASE WHEN grade = 'NONE' THEN 'no grade' END, CASE WHEN rr < 1.5 THEN 'reward to risk' END, {why}) AS reject_reason,
     CASE WHEN (g.as_of - first_day) / 365.25 >= 7 THEN 'ok' ELSE 'short history' END AS data_quality, round_even((g.as_of - first_day) / 365.25,
-    1) AS history_years FROM graded g JOIN rate r USING (instrument, as_of))"""
+    1) AS history_years FROM graded g JOIN rate r USING (instrument, as_of) {join})"""
+)
+BY_RATE = "CASE WHEN r.why <> '' THEN 'base rate: ' || r.why END"
+
+
+def _setups_sql(more: str = "", columns: str = "", why: str = BY_RATE, join: str = "") -> str:
+    out = SETUPS
+    for name, value in (("more", more), ("columns", columns), ("why", why), ("join", join)):
+        out = out.replace("{" + name + "}", value)
+    return out
+
+
+#: Returns, volatilities and residuals of each series.
+HISTORY = """logs AS (SELECT key, d, ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)) AS x FROM closes),
+placed_returns AS (SELECT key, d, x, row_number() OVER (PARTITION BY key ORDER BY d) - 1 AS place, count(*) OVER (PARTITION BY key) AS n_returns FROM logs WHERE x IS NOT NULL),
+starts AS (SELECT key, CASE WHEN count(*) < 20 AND var_pop(x) = 0 THEN 1e-8 ELSE var_pop(x) END AS v0 FROM placed_returns WHERE place < 20 GROUP BY 1),
+filtered AS (SELECT p.*, sqrt(pow(0.94, place) * (v0 + coalesce(sum(0.06 * x * x * pow(0.94, -place - 1)) OVER (PARTITION BY key ORDER BY d
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS sigma FROM placed_returns p JOIN starts USING (key)),
+residuals AS (SELECT *, CASE WHEN sigma > 0 THEN greatest(-8, least(8, x / sigma)) END AS z FROM filtered),
+history AS MATERIALIZED (SELECT *, count(z) OVER (PARTITION BY key ORDER BY d) AS n_pool FROM residuals)"""
+
+
+def tidy_sql(x: str, places: int) -> str:
+    """To so many places, or nine significant digits."""
+    scale = f"pow(10.0, CASE WHEN abs({x}) < 1e{9 - places} THEN {places} ELSE 8 - floor(log10(abs({x}))) END)"
+    return f"round_even({x} * {scale}, 0) / {scale} + 0.0"
+
+
+def _digits(part: int) -> str:
+    return f"CAST('0x' || substr(m, {8 * part + 1}, 8) AS BIGINT) / 4294967296.0"
+
+
+def steps_sql(at: str, paths: int) -> str:
+    """CTE ``steps``: shocks of each path of ``at`` (key, series, as_of, sigma, n_pool, horizon). A restart holds until the next."""
+    return f"""draws AS (SELECT a.*, p.path, t.step, md5(concat_ws('|', a.key, a.as_of, p.path, t.step)) AS m FROM {at} a, range({paths}) p(path), unnest(range(a.horizon)) t(step)),
+marked AS (SELECT * EXCLUDE (m), step = 0 OR {_digits(0)} < 0.2 AS begins, CAST(floor({_digits(1)} * n_pool) AS BIGINT) AS start FROM draws),
+carried AS (SELECT *, last_value(CASE WHEN begins THEN start - step END IGNORE NULLS) OVER (PARTITION BY key, as_of, path ORDER BY step) AS off FROM marked),
+steps AS MATERIALIZED (SELECT c.key, c.as_of, c.path, c.step, h.z * c.sigma AS shock FROM carried c JOIN history h ON h.key = c.series AND h.z IS NOT NULL AND h.n_pool - 1 = (c.off + c.step) % c.n_pool)"""
+
+
+_Q = ", ".join(f"round_even(quantile_cont(\"end\", {q}), 4) + 0.0 AS {n}" for n, q in (("p05", 0.05), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p95", 0.95)))
+CONE_SQL = f"""{_Q}, round_even(avg(("end" > 0)::INT), 3) + 0.0 AS prob_up, {tidy_sql('avg("end")', 4)} AS expected"""
+LAST_RETURN = "(SELECT key, max(d) AS d FROM history GROUP BY 1)"
+
+
+def chances_sql(trades: str) -> str:
+    """CTE ``chances``: what paths of ``steps`` meet first, for ``trades`` (key, direction, tp, sl, cost, horizon)."""
+    return f"""levels AS (SELECT t.*, path, step, (exp(sum(shock) OVER (PARTITION BY t.key, t.direction, path ORDER BY step)) - 1) * CASE direction WHEN 'LONG' THEN 1 ELSE -1 END AS level
+    FROM {trades} t JOIN steps s ON s.key = t.key AND s.step < t.horizon),
+met AS (SELECT key, direction, path, any_value(tp) AS tp, any_value(sl) AS sl, any_value(cost) AS cost, any_value(horizon) AS horizon, min(step) FILTER (level >= tp) AS t_tp,
+    min(step) FILTER (level <= -sl) AS t_sl, arg_max(level, step) AS last_level FROM levels GROUP BY 1, 2, 3),
+ended AS (SELECT *, CASE WHEN t_sl <= coalesce(t_tp, t_sl) THEN 'SL' WHEN t_tp IS NOT NULL THEN 'TP' ELSE 'TIME' END AS label FROM met),
+paid AS (SELECT *, CASE label WHEN 'SL' THEN -1 WHEN 'TP' THEN tp / sl ELSE last_level / sl END - cost * CASE label WHEN 'SL' THEN t_sl + 1 WHEN 'TP' THEN t_tp + 1 ELSE horizon END / sl AS gain FROM ended),
+chances AS MATERIALIZED (SELECT key, direction, round_even(avg((label = 'TP')::INT), 4) + 0.0 AS prob_tp, round_even(avg((label = 'SL')::INT), 4) + 0.0 AS prob_sl,
+    round_even(avg((label = 'TIME')::INT), 4) + 0.0 AS prob_time, round_even(avg(gain), 4) + 0.0 AS expectancy_r, round_even(avg(gain) - 1.96 * stddev_samp(gain) / sqrt(count(*)), 4) + 0.0 AS exp_lo,
+    round_even(avg(gain) + 1.96 * stddev_samp(gain) / sqrt(count(*)), 4) + 0.0 AS exp_hi FROM paid GROUP BY 1, 2)"""
+
+
+def scores_of_models_sql(start: int, horizon: int, step: int, paths: int) -> str:
+    """CTE ``figures``: mean score and calibration of both built-in models by key."""
+    return f"""{HISTORY}, decided_at AS MATERIALIZED (SELECT key, key AS series, d AS as_of, sigma, n_pool, {horizon} AS horizon, exp(f.later) - 1 AS value FROM history h JOIN (SELECT key, d,
+    sum(x) OVER (PARTITION BY key ORDER BY d ROWS BETWEEN 1 FOLLOWING AND {horizon} FOLLOWING) AS later FROM history) f USING (key, d)
+    WHERE place >= {start} AND (place - {start}) % {step} = 0 AND place < n_returns - {horizon}),
+{steps_sql('decided_at', paths)},
+drawn AS (SELECT 'fhs' AS model, key, as_of, path, exp(sum(shock)) - 1 AS "end" FROM steps GROUP BY ALL UNION ALL
+    SELECT 'normal', key, as_of, path, exp(sqrt(-2 * ln({_digits(0)} + 1 / 4294967296.0)) * cos(2 * pi() * {_digits(1)}) * sigma * sqrt(horizon)) - 1
+    FROM (SELECT a.*, path, md5(concat_ws('|', key, as_of, path, 'normal')) AS m FROM decided_at a, range({paths}) p(path))),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model, key, as_of ORDER BY "end") AS i FROM drawn),
+scored AS (SELECT model, key, as_of, avg(abs("end" - value)) - sum((2.0 * i - {paths} - 1) * "end") / {paths * paths}.0 AS crps, avg(("end" <= value)::INT) AS pit
+    FROM ranked JOIN decided_at USING (key, as_of) GROUP BY 1, 2, 3),
+binned AS (SELECT model, key, least(floor(pit * 10), 9) AS bin, count(*) AS c, sum(crps) AS s FROM scored GROUP BY 1, 2, 3),
+totals AS (SELECT model, key, CAST(sum(c) AS BIGINT) AS n, sum(s) AS s FROM binned GROUP BY 1, 2),
+figures AS MATERIALIZED (SELECT t.key, t.model, n, {tidy_sql('(t.s / n)', 5)} AS mean_crps, round_even(avg(abs(coalesce(c, 0) - n / 10)) / (n / 10), 3) + 0.0 AS pit_uniformity
+    FROM totals t CROSS JOIN range(10) k(bin) LEFT JOIN binned b ON b.model = t.model AND b.key = t.key AND b.bin = k.bin GROUP BY t.key, t.model, n, t.s)"""
+
+
+WINNERS = "winners AS MATERIALIZED (SELECT key, arg_min(model, (mean_crps, model <> 'fhs', model)) AS winner FROM figures GROUP BY 1)"
+MODEL_RUN = (300, 20, 20, 100)
+ROUTED = f"""{scores_of_models_sql(*MODEL_RUN)}, {WINNERS}, long_series AS (SELECT key FROM closes GROUP BY 1 HAVING count(*) >= 400),
+final_at AS (SELECT h.key, h.key AS series, h.d AS as_of, sigma, n_pool, 20 AS horizon, winner FROM history h JOIN {LAST_RETURN} USING (key, d) JOIN winners USING (key) JOIN long_series USING (key)),
+{steps_sql('final_at', 100).replace('draws AS', 'draws2 AS').replace('FROM draws)', 'FROM draws2)').replace('marked AS', 'marked2 AS').replace('FROM marked)', 'FROM marked2)').replace('carried AS', 'carried2 AS').replace('FROM carried c', 'FROM carried2 c').replace('steps AS', 'steps2 AS')},
+last_drawn AS (SELECT 'fhs' AS used, key, as_of, path, exp(sum(shock)) - 1 AS "end" FROM steps2 GROUP BY ALL UNION ALL
+    SELECT 'normal', key, as_of, path, exp(sqrt(-2 * ln({_digits(0)} + 1 / 4294967296.0)) * cos(2 * pi() * {_digits(1)}) * sigma * sqrt(horizon)) - 1
+    FROM (SELECT a.*, path, md5(concat_ws('|', key, as_of, path, 'normal')) AS m FROM final_at a, range(100) p(path)))
+SELECT key, winner, used, as_of, {CONE_SQL} FROM last_drawn JOIN winners USING (key) WHERE used = winner GROUP BY 1, 2, 3, 4"""
+
+SIMULATED_SETUPS = _setups_sql(
+    f"""{HISTORY}, trades AS MATERIALIZED (SELECT r.instrument AS key, r.key AS series, as_of, direction, reward / entry AS tp, risk / entry AS sl,
+    CASE WHEN direction = 'LONG' THEN carry_long ELSE carry_short END AS cost, CAST(r.h AS INTEGER) AS horizon FROM ratioed r JOIN {IDS} ON i.instrument = r.instrument WHERE reward > 0 AND risk > 0),
+decided_at AS (SELECT t.key, t.series, t.as_of, t.horizon, h.sigma, h.n_pool FROM trades t JOIN history h ON h.key = t.series AND h.d = t.as_of WHERE n_returns >= 79), {steps_sql('decided_at', 2000)}, {chances_sql('trades')},
+cone AS MATERIALIZED (SELECT key, {CONE_SQL} FROM (SELECT key, path, exp(sum(shock)) - 1 AS "end" FROM steps GROUP BY 1, 2) GROUP BY 1), """,
+    "prob_tp, prob_sl, prob_time, c.expectancy_r AS sim_expectancy_r, c.exp_lo AS sim_lo, c.exp_hi AS sim_hi, p05, p25, median, p75, p95, prob_up, expected,",
+    f"""CASE WHEN g.instrument <> 'OPN' THEN {BY_RATE} WHEN prob_tp IS NULL THEN 'scenario: too little history' ELSE nullif(concat_ws('; ',
+    CASE WHEN prob_tp < 0.5 THEN 'scenario: probability' END, CASE WHEN c.expectancy_r < g.min_exp THEN 'scenario: expectancy' END, CASE WHEN c.exp_lo <= 0 THEN 'scenario: expectancy interval' END), '') END""",
+    "LEFT JOIN chances c ON c.key = g.instrument LEFT JOIN cone ON cone.key = g.instrument",
 )
 
 ENSEMBLES = """WITH x AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
@@ -342,8 +426,8 @@ w AS (SELECT *, k / n::DOUBLE AS p, 1 + 1.96 * 1.96 / n AS s
     "gate_full": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT}, {GATE} SELECT {RATE} FROM rate"),
     "levels": P.with_views("prices", f"""{ATR}, {LEVELS}, sided AS (SELECT * FROM rounded, (VALUES ('LONG'), ('SHORT')) t(direction)), {PLACED} SELECT instrument, direction, round_even(entry, 4) AS entry,
     round_even(sl, 4) AS sl, round_even(tp, 4) AS tp, round_even(rr, 4) AS rr FROM ratioed"""),
-    "setups": P.with_views(VIEWS, SETUPS + " SELECT *, reject_reason = '' AS published FROM final_rows"),
-    "publish_order": P.with_views(VIEWS, SETUPS + """ SELECT CAST(row_number() OVER (ORDER BY reject_reason = '' DESC, abs(score) DESC, instrument) AS INTEGER) AS position, instrument, reject_reason = '' AS published,
+    "setups": P.with_views(VIEWS, _setups_sql() + " SELECT *, reject_reason = '' AS published FROM final_rows"),
+    "publish_order": P.with_views(VIEWS, _setups_sql() + """ SELECT CAST(row_number() OVER (ORDER BY reject_reason = '' DESC, abs(score) DESC, instrument) AS INTEGER) AS position, instrument, reject_reason = '' AS published,
     score FROM final_rows"""),
     "driver_ic": P.with_views(VIEWS, outcome_sql() + """, each AS (SELECT o.instrument, f.name AS driver, f.score AS x, o.outcome_r AS y
     FROM out o JOIN frame_scores f USING (instrument, as_of) WHERE f.ok AND (o.oos OR o.instrument NOT IN (SELECT instrument FROM out WHERE oos)))
@@ -380,4 +464,12 @@ SELECT t.event_type, CAST(n AS BIGINT) AS n, round_even(t.s / n, 5) + 0.0 AS mea
     "ewma_vol": P.with_views("closes", """x AS (SELECT * FROM (SELECT key, d, ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)) AS r FROM closes) WHERE r IS NOT NULL),
 l AS (SELECT key, list(r ORDER BY d) AS xs FROM x GROUP BY 1), h AS (SELECT key, xs, list_aggregate(xs[1:20], 'var_pop') AS v0 FROM l)
 SELECT key AS symbol, CAST(len(xs) AS INTEGER) AS n, round_even(sqrt(list_reduce(xs, lambda a, x: 0.94 * a + 0.06 * x * x, v0)), 8) AS next_volatility FROM h"""),
+    "fhs_cone": P.with_views("closes", f"""{HISTORY}, decided_at AS (SELECT key, key AS series, d AS as_of, sigma, n_pool, 20 AS horizon FROM history JOIN {LAST_RETURN} USING (key, d) WHERE n_returns >= 60),
+{steps_sql('decided_at', 1000)} SELECT key, as_of, {CONE_SQL} FROM (SELECT key, as_of, path, exp(sum(shock)) - 1 AS "end" FROM steps GROUP BY 1, 2, 3) GROUP BY 1, 2"""),
+    "fhs_barrier": P.with_views("closes", f"""{HISTORY}, decided_at AS (SELECT key, key AS series, d AS as_of, sigma, n_pool, 20 AS horizon FROM history JOIN {LAST_RETURN} USING (key, d) WHERE n_returns >= 60),
+{steps_sql('decided_at', 2000)}, trades AS (SELECT key, direction, 0.3::DOUBLE AS tp, 0.2::DOUBLE AS sl, 0.0001::DOUBLE AS cost, 20 AS horizon FROM decided_at, (VALUES ('LONG'), ('SHORT')) t(direction)), {chances_sql('trades')} SELECT * FROM chances"""),
+    "model_scores": P.with_views("closes", f"{scores_of_models_sql(*MODEL_RUN)} SELECT * FROM figures"),
+    "route_models": P.with_views("closes", f"{scores_of_models_sql(*MODEL_RUN)}, {WINNERS} SELECT * FROM winners"),
+    "routed_cones": P.with_views("closes", ROUTED),
+    "setups_simulated": P.with_views(VIEWS, SIMULATED_SETUPS + " SELECT *, reject_reason = '' AS published FROM final_rows"),
 }
