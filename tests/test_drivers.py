@@ -7,7 +7,7 @@ import statistics
 
 import pytest
 from pyspark.sql import functions as F
-from tidemark.operators import asof, look_back, seasonal_baseline, share_at_most
+from tidemark.operators import asof, counts_at_most, look_back, seasonal_baseline
 from tidemark.plans import drivers
 
 D0 = dt.date(2015, 1, 1)
@@ -96,9 +96,12 @@ def test_ratio_and_spread_are_carried_forward(series, probe):
     assert scores(drivers.ethanol_parity(probe(59), full, a, series([5.0] * 60)))[59][1] > 0.5
 
 
-def test_look_back_counts_and_shares(series, probe):
-    h = look_back(probe(9), series(range(10)), 4).select("cur", F.size("h").alias("n"), share_at_most(F.col("h"), F.col("cur") - 1).alias("p")).first()
-    assert (h.cur, h.n, h.p) == (9.0, 5, 0.8)
+def test_look_back_counts_and_shares(spark, series, probe):
+    h = look_back(probe(9), series(range(10)), 4).first()
+    assert (h.cur, h.n, h.share) == (9.0, 5, 1.0)
+    points = series(range(10)).select("key", F.unix_date("d").alias("t"), "v").filter("v >= 5")
+    below = counts_at_most(points, spark.createDataFrame([("k", 1, 2**30, 8.0)], "key string, id long, t int, v double")).first()
+    assert below.n / h.n == pytest.approx(0.8)
 
 
 def daily(spark, years=6, last=None, **columns):

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidemark.operators import scans
+from tidemark.operators import asof, counts_at_most, last_rows_share, look_back, scans
 from tidemark.plans import scenario
 
 
@@ -67,7 +67,7 @@ def test_a_single_series_spreads_over_tasks(spark, series):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         out = scans.previous(one, "v", "p")
-        used = out.select(F.spark_partition_id().alias("p")).groupBy("p").count().count()
+        used = len({x.i for x in out.select("p", F.spark_partition_id().alias("i")).collect()})
         plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
@@ -96,3 +96,61 @@ def test_volatility_is_the_recursion(spark):
         assert x.sigma == pytest.approx(want[x.key, x.d], rel=1e-9, abs=1e-300)
         last[x.key] = max(last.get(x.key, (dt.date.min, 0)), (x.d, x.next_sigma))
     assert {k: v[1] for k, v in last.items()} == pytest.approx({k: want[k, None] for k in last}, rel=1e-9)
+
+
+def test_sliced_asof_is_the_unsliced_one(spark):
+    r = random.Random(4)
+    base = dt.datetime(2001, 1, 1)
+    for make, name in ((day, "date"), (lambda i: base + dt.timedelta(seconds=7 * i), "timestamp")):
+        left = [(r.choice("ab"), make(r.randint(0, 3000)), i) for i in range(400)] + [("none", make(5), 400), ("a", make(0), 401), (None, make(50), 402)]
+        right = sorted({(r.choice("ab"), r.randint(200, 2800)) for _ in range(60)})
+        right = [(k, make(i), float(i)) for k, i in right] + [(None, make(40), 1.0)]
+        a = spark.createDataFrame(left, f"key string, t {name}, i int").repartition(3)
+        b = spark.createDataFrame(right, f"key string, d {name}, v double").repartition(2)
+        for options in ({}, {"lag_days": 3, "max_age_days": 40}):
+            plain = sorted((x.i, x.v) for x in asof(a, b, "t", "d", ["v"], **options).collect())
+            for width in (1, 64, 100_000):
+                assert sorted((x.i, x.v) for x in asof(a, b, "t", "d", ["v"], width=width, **options).collect()) == plain
+        assert len(plain) == len(left)
+
+
+def test_sliced_asof_spreads_one_key(spark):
+    a = spark.createDataFrame([("k", day(i)) for i in range(3000)], "key string, t date")
+    b = spark.createDataFrame([("k", day(i), float(i)) for i in range(0, 3000, 400)], "key string, d date, v double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = [len({x.p for x in asof(a, b, "t", "d", ["v"], width=w).select("v", F.spark_partition_id().alias("p")).collect()}) for w in (None, 128)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert tasks[0] == 1 < tasks[1]
+
+
+def test_counts_at_most(spark):
+    r = random.Random(5)
+    points = [(k, r.randint(0, 60), round(r.gauss(0, 1), 1)) for k in "abc" for _ in range({"a": 200, "b": 1, "c": 40}[k])]
+    queries = [(k, i, r.randint(-1, 61), round(r.gauss(0, 1), 1)) for i, k in enumerate(r.choices("abcd", k=300))]
+    got = {(x.key, x.id): x.n for x in counts_at_most(spark.createDataFrame(points, "key string, t int, v double").repartition(3), spark.createDataFrame(queries, "key string, id long, t int, v double")).collect()}
+    for k, i, t, v in queries:
+        assert got.get((k, i), 0) == sum(p[0] == k and p[1] <= t and p[2] <= v for p in points)
+
+
+def test_look_backs_hold_no_arrays(spark, series):
+    rows, df = series
+    df = df.drop("_slice")
+    probes = spark.createDataFrame([(k, day(i)) for k in ("long", "short", "gappy", "absent") for i in range(0, 9000, 311)], "key string, as_of date")
+    shares = look_back(probes, df, 700)
+    known = by_key(rows)
+    for x in shares.collect():
+        h = [v for d, v in known.get(x.key, []) if x.as_of - dt.timedelta(700) <= d <= x.as_of]
+        assert (x.n, x.cur) == (len(h), h[-1] if h else None) and (x.share is None if not h else x.share == pytest.approx(sum(v <= h[-1] for v in h) / len(h)))
+    holes = df.withColumn("v", F.when(F.dayofyear("d") % 3 != 0, F.col("v")))
+    by_rows = last_rows_share(holes, 25)
+    seen = {}
+    for x in holes.orderBy("key", "d").collect():
+        seen.setdefault(x.key, []).append((x.d, x.v))
+    for x in by_rows.collect():
+        at = [d for d, _ in seen[x.key]].index(x.d)
+        h = [v for _, v in seen[x.key][max(0, at - 24) : at + 1] if v is not None]
+        assert (x.n, x.cur) == (len(h), h[-1] if h else None) and (x.share is None if not h else x.share == pytest.approx(sum(v <= h[-1] for v in h) / len(h)))
+    for df in (shares, by_rows):
+        assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()

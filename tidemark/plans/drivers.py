@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import r, ratio, sign, spread_or_tiny
-from ..operators import asof, expanding, last_rows, look_back, rows_before, seasonal_baseline, share_at_most, spine_ratio, spine_spread
+from ..operators import asof, expanding, last_rows, last_rows_share, look_back, rows_before, seasonal_baseline, spine_ratio, spine_spread
 
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
@@ -48,8 +48,7 @@ def _tanh(cur: Column, sd: Column) -> Column:
 
 
 def _percentile(df: DataFrame, bull_when: str, least: int = 20) -> DataFrame:
-    h, cur = F.col("h"), F.col("cur")
-    return _result(df, F.size(h) >= least, (2 * share_at_most(h, cur) - 1) * sign(bull_when), cur)
+    return _result(df, F.col("n") >= least, (2 * F.col("share") - 1) * sign(bull_when), F.col("cur"))
 
 
 def _at(probes: DataFrame, rows: DataFrame, *values: str, **options) -> DataFrame:
@@ -95,9 +94,8 @@ def price_vs_sma(probes, closes, window=200, hist=250):
 def cot_spec_net_percentile(probes, cot, lookback_weeks=156, release_days=3, bull_when="high"):
     net = F.col("long_spec") - F.col("short_spec")
     rows = cot.withColumn("net", F.when(F.coalesce("open_interest", F.lit(0)) != 0, net / F.col("open_interest")).otherwise(net.cast("double")))
-    w = last_rows(lookback_weeks)
-    rows = rows.select("key", "d", F.collect_list("net").over(w).alias("h"), F.last("net", ignorenulls=True).over(w).alias("cur"))
-    return _percentile(_at(probes, rows, "h", "cur", lag_days=release_days), bull_when)
+    rows = last_rows_share(rows.select("key", "d", F.col("net").alias("v")), lookback_weeks)
+    return _percentile(_at(probes, rows, "cur", "n", "share", lag_days=release_days), bull_when)
 
 
 def _z(probes, ratios, least: int, bull_when: str, extra: Column | None = None, places: int = 6):
@@ -132,12 +130,13 @@ def price_ratio(probes, numerator, denominator, bull_when="high"):
 
 @register("series_ratio")
 def series_ratio(probes, numerator, denominator, lookback_days=1825, bull_when="high"):
-    out = look_back(probes, spine_ratio(numerator, denominator), lookback_days)
-    n = F.size("h")
-    out = out.withColumn("mean", F.aggregate("h", F.lit(0.0), lambda a, x: a + x) / F.nullif(n, F.lit(0)))
-    out = out.withColumn("sd", F.sqrt(F.aggregate("h", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(n, F.lit(0))))
+    ratios = spine_ratio(numerator, denominator).select("key", "d", "v", F.lit(False).alias("probe"))
+    both = ratios.unionByName(probes.select("key", F.col("as_of").alias("d"), F.lit(None).cast("double").alias("v"), F.lit(True).alias("probe")))
+    w = rows_before(order=F.unix_date("d")).rangeBetween(-lookback_days, 0)
+    cur = F.max(F.when(F.col("v").isNotNull(), F.struct("d", "v"))).over(w)["v"]
+    out = both.select("key", F.col("d").alias("as_of"), "probe", cur.alias("cur"), F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("mean"), F.stddev_pop("v").over(w).alias("sd")).filter("probe")
     out = _counted(out, n_a=numerator, n_b=denominator)
-    return _result(out, (F.size("h") >= 20) & (F.col("n_a") >= 20) & (F.col("n_b") >= 20), _tanh(F.col("cur") - F.col("mean"), F.col("sd")) * sign(bull_when), F.col("cur"))
+    return _result(out, (F.col("n") >= 20) & (F.col("n_a") >= 20) & (F.col("n_b") >= 20), _tanh(F.col("cur") - F.col("mean"), F.col("sd")) * sign(bull_when), F.col("cur"))
 
 
 @register("etf_flow")

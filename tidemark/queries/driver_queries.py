@@ -101,7 +101,17 @@ def monthly(spark, sf_dir):
 
 @query("asof_spread", P.with_views("macro", SPREAD + " SELECT d, round_even(v, 7) + 0.0 AS spread FROM spread"))
 def asof_spread(spark, sf_dir):
-    return spine_spread(one(P.macro(spark, sf_dir), "A", "A-N"), monthly(spark, sf_dir)).select("d", r(F.col("v"), 7).alias("spread"))
+    return spine_spread(one(P.macro(spark, sf_dir), "A", "A-N"), monthly(spark, sf_dir), width=512).select("d", r(F.col("v"), 7).alias("spread"))
+
+
+@query("asof_events", """SELECT e.event_id, e.value, b.value AS last_purchase, CAST(epoch(date_trunc('second', e.ts)) - epoch(date_trunc('second', b.ts)) AS BIGINT) AS age_seconds
+    FROM (SELECT * FROM events WHERE event_type <> 'purchase') e ASOF LEFT JOIN (SELECT ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1) b ON e.ts >= b.ts""")
+def asof_events(spark, sf_dir):
+    """Every event beside the last purchase of all users: one series, which slices of a day spread over tasks."""
+    events = P.table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", F.lit("all").alias("key"))
+    bought = events.filter("event_type = 'purchase'").groupBy("key", "ts").agg(F.max_by("value", "event_id").alias("bought")).withColumn("at", F.col("ts"))
+    out = asof(events.filter("event_type <> 'purchase'"), bought, "ts", "ts", ["bought", "at"], width=86_400)
+    return out.select("event_id", "value", F.col("bought").alias("last_purchase"), (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp"))).alias("age_seconds"))
 
 
 @query("drv_level_pct", P.with_views("prices macro", probes_sql("A", "N", "R") + ", series AS (SELECT * FROM macro), " + LOOK.format(days=504) + PCT.format(sign=-1)))
