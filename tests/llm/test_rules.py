@@ -139,20 +139,30 @@ def reveals(text, what, depth=0):
         return True
     if depth == 9:
         return False
+    if depth and not re.search(r"%[0-9A-Fa-f]{2}|\\u|[A-Za-z0-9+/_-]{16}|\n", text):
+        return False
     inner = {urllib.parse.unquote(text), re.sub(r"\\u([0-9a-f]{4})", lambda m: chr(int(m[1], 16)), text)} - {text}
+    inner |= {re.sub(r"\\u\{([0-9a-f]+)\}", lambda m: chr(int(m[1], 16)), text)} - {text}
     for joined in {text, re.sub(r"\s*\n\s*", "", text)}:
         for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", joined):
-            for cut in range(len(m[0]) - len(m[0]) % 4, len(m[0]) + 1):
-                try:
-                    data = base64.b64decode(m[0][:cut].replace("-", "+").replace("_", "/") + "=" * (-cut % 4))
-                except ValueError:
-                    continue
-                for _ in range(4):
-                    inner.add(data.decode("latin-1"))
+            for off in range(4):  # every start shares an alignment with one of the first four
+                part = m[0][off:]
+                for cut in range(len(part) - len(part) % 4, len(part) + 1):
                     try:
-                        data = zlib.decompress(data, 47)
-                    except zlib.error:
-                        break
+                        data = base64.b64decode(part[:cut].replace("-", "+").replace("_", "/") + "=" * (-cut % 4))
+                    except ValueError:
+                        continue
+                    work = [data]
+                    while work:
+                        data = work.pop()
+                        inner.add(data.decode("latin-1"))
+                        for h in re.finditer(rb"\x1f\x8b|[\x08\x18\x28\x38\x48\x58\x68\x78]", data):
+                            try:
+                                work.append(zlib.decompressobj(47).decompress(data[h.start() :]))
+                            except zlib.error:
+                                continue
+                            if not work[-1]:
+                                work.pop()
     return any(reveals(x, what, depth + 1) for x in inner)
 
 
@@ -164,7 +174,7 @@ def test_random_nestings_leave_nothing():
         "b64": lambda s: base64.b64encode(s.encode()).decode(), "url64": lambda s: base64.urlsafe_b64encode(s.encode()).decode().rstrip("="),
         "gzip": lambda s: base64.b64encode(gzip.compress(s.encode())).decode(), "zlib": lambda s: base64.b64encode(zlib.compress(zlib.compress(s.encode()))).decode(),
         "percent": lambda s: "".join(f"%{ord(c):02X}" for c in s), "escape": lambda s: "".join(f"\\u{ord(c):04x}" for c in s),
-        "lines": lambda s: lines(s.encode(), r.choice([20, 44, 76])), "words": lambda s: f"some {s} words",
+        "lines": lambda s: lines(s.encode(), r.choice([20, 44, 76])), "words": lambda s: f"some {s} words", "braces": lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
     }
     for _ in range(60):
         inner, used = "password=hunter2hunter2", r.choices(list(wraps), k=r.randint(1, 4))
@@ -180,6 +190,31 @@ def test_random_nestings_leave_nothing():
         assert clean.startswith("plain text; ") and clean.endswith("; the end")
 
 
+@pytest.mark.parametrize("wrap", ["b64", "url64", "gzip", "zlib", "twice", "percent", "lines"])
+def test_what_stands_before_a_layer_hides_nothing(wrap):
+    secret = b"password=hunter2hunter2"
+    make = {
+        "b64": base64.b64encode, "url64": lambda x: base64.urlsafe_b64encode(x).rstrip(b"="), "gzip": lambda x: base64.b64encode(gzip.compress(x, mtime=0)), "zlib": lambda x: base64.b64encode(zlib.compress(x)),
+        "twice": lambda x: base64.b64encode(b"abc/" + base64.b64encode(x)), "percent": lambda x: b"".join(b"%%%02X" % c for c in base64.b64encode(x)), "lines": lambda x: lines(x, 20).encode(),
+    }[wrap]
+    inner = make(secret).decode()
+    for before in [*("a" * i + "/" for i in range(8)), "", "aa", "https://ex.com/data/", "a-slug_for-it-", "key/of/"]:
+        t = f"see {before}{inner} there"
+        found = secrets.scan_layers(t)[1]
+        assert found and all(s >= 4 for s, _, _ in found), (before, found)
+        clean = secrets.redact(t, found)
+        assert not reveals(clean, "hunter2hunter2") and clean.startswith("see ") and clean.endswith(" there")
+        if wrap in ("b64", "url64"):  # the path before it stays
+            assert clean.startswith(f"see {before}")
+
+
+def test_planted_layers_are_masked_in_a_table(spark):
+    inner = base64.b64encode(b"api_key: 0123456789abcdef0123").decode()
+    rows = [(i, f"line {i}\nhttps://host/{'x' * i}/{inner}\nmore", "s", "en", 0, "") for i in range(9)] + [(9, "plain " * 50, "s", "en", 0, "")]
+    kept = {x.doc_id: x.text for x in secrets.mask_secrets(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all("[SECRET]" in kept[i] and not reveals(kept[i], "0123456789abcdef") and kept[i].startswith(f"line {i}\nhttps://host/") for i in range(9)) and kept[9] == rows[9][1]
+
+
 def test_large_layers_are_gone_through_in_pieces():
     big = b"a few plain words " * 5000
     for data in (big + SECRET + big, gzip.compress(big + SECRET + big), gzip.compress(big + base64.b64encode(SECRET) + b" " + big)):

@@ -1,8 +1,11 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is scanned for assignments, access keys and hexadecimal keys. Then encoded parts are
-unwrapped: percent and backslash sequences (all of a layer at once), base64 runs, also over line ends, and
-zlib or gzip streams in base64, one in or after the other. Bytes that aren't UTF-8 are scanned as they are. Each decoded layer is scanned like the text and unwrapped in turn, until no layer is new.
+unwrapped: percent and backslash sequences (all of a layer at once: ``%70``, ``\\x70``, ``\\u0070``, ``\\u{70}``, ``\\U00000070``),
+base64 runs, also over line ends, and zlib or gzip streams in base64, one in or after the other. A path, a slug or a word may stand
+right before a base64 part, so a run is decoded at each of the four alignments, which all starts share, and streams are looked
+for at every byte. Bytes that aren't UTF-8 are scanned as they are. Each decoded layer that may hold a find or a further layer is
+scanned like the text and unwrapped in turn, until no layer is new.
 Every character of a layer knows the part of the original text that it came from; a find in a
 layer is reported as that part. A layer with the same text from the same parts isn't taken again:
 parts only narrow, so cycles end, and a text that occurs at several places is unwrapped at each.
@@ -16,7 +19,6 @@ each over half of the one before, so only what is longer than that half may be m
 
 from __future__ import annotations
 
-import base64
 import binascii
 import hashlib
 import re
@@ -38,12 +40,15 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
-_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8}))")
+_ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|U([0-9A-Fa-f]{8})|u\{([0-9A-Fa-f]{1,6})\})")
 # The shortest find, an assignment of 12 bytes, has 16 characters in base64.
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-# Runs that go on over line ends, and the lines of one.
-_WRAPPED = re.compile(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_IN_RUN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+_STANDARD = str.maketrans("-_", "+/")
+# What decoded bytes must have somewhere to hold a find or a layer, besides packed streams.
+_HOLDS = re.compile(rb"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|%[0-9A-Fa-f]{2}|\\[uxU]|[A-Za-z0-9+/_-]{16}|[A-Za-z0-9+/_-][ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]")
+_HEADER = re.compile(rb"\x1f(?=\x8b\x08)|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
@@ -120,7 +125,7 @@ def _escaped(text: str) -> Layer:
         start += range(at, stop)
         end += range(at + 1, stop + 1)
         if m:
-            code = int(m[1] or m[2] or m[3], 16)
+            code = int(m[1] or m[2] or m[3] or m[4], 16)
             if out and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(out[-1]) < 0xDC00:  # a surrogate pair
                 out[-1], end[-1] = chr(0x10000 + (ord(out[-1]) - 0xD800 << 10) + code - 0xDC00), m.end()
             else:
@@ -214,51 +219,66 @@ def _innermost(chunks: Iterator[bytes]) -> Iterator[bytes]:
         chunks = _inflate(chunks)
 
 
-def _base64(text: str, most: int, at: np.ndarray) -> Iterator[Layer | OverflowError]:
-    """The layers of a base64 run whose characters lie at ``at``."""
-    body = text.rstrip("=")
-    if len(body) % 4 == 1:
-        return
-    try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return
-    k = np.arange(len(data))
-    k = k // 3 * 4 + k % 3
-    start, end = at[k], at[np.minimum(k + 1, len(body) - 1)] + 1
-    try:
-        data.decode("utf-8")
-        yield _from_bytes(data, start, end)
-    except UnicodeDecodeError:
-        yield Layer(data.decode("latin-1"), start, end)
-    for x in _opened(data, most):
-        yield x if isinstance(x, OverflowError) else Layer(_read(x), int(at[0]), int(at[len(body) - 1]) + 1)
+def _base64(text: str, most: int, at: np.ndarray | int) -> Iterator[Layer | OverflowError]:
+    """The layers of a base64 run whose characters lie at ``at``, or one after the other from there, at all four alignments."""
+    body = text.rstrip("=").translate(_STANDARD)
+    for off in range(4):
+        n = len(body) - off
+        n -= n % 4 == 1
+        if n < 16:
+            return
+        data = binascii.a2b_base64(body[off : off + n] + "=" * (-n % 4))
+        streams = [m.start() for m in _HEADER.finditer(data) if _packed(data[m.start() : m.start() + 3])]
+        holds = _HOLDS.search(data) is not None
+        if not holds and not streams:
+            continue
+        k = np.arange(len(data))
+        k = off + k // 3 * 4 + k % 3
+        first, last = k, np.minimum(k + 1, off + n - 1)
+        start, end = (first + at, last + at + 1) if isinstance(at, int) else (at[first], at[last] + 1)
+        if holds:
+            try:
+                data.decode("utf-8")
+                yield _from_bytes(data, start, end)
+            except UnicodeDecodeError:
+                yield Layer(data.decode("latin-1"), start, end)
+        for s in streams:
+            for x in _opened(data[s:], most):
+                yield x if isinstance(x, OverflowError) else Layer(_read(x), int(start[s]), int(end[-1]))
 
 
 def _wrapped(text: str) -> Iterator[tuple[str, np.ndarray]]:
-    """Base64 runs over several lines, joined, and where their characters lie.
-
-    The first and the last line may be words of their own, and lines of one length with a shorter last one
-    are a run by themselves, as other lines may stand before them.
-    """
-    for m in _WRAPPED.finditer(text):
-        pad = m[0][len(m[0].rstrip("=")) :]
-        lines = [(x.start() + m.start(), x[0]) for x in _LINE.finditer(m[0])]
-        n = len(lines)
-        runs = {(i, j) for i in (0, 1) for j in (n - 1, n)}
-        i = 0
-        while i < n:
-            j = i + 1
-            while j < n and len(lines[j][1]) == len(lines[i][1]):
-                j += 1
-            runs.add((i, j))
-            if j < n and len(lines[j][1]) < len(lines[i][1]):
-                runs.add((i, j + 1))
-            i = j
-        for i, j in sorted(runs):
-            if j - i > 1 and sum(len(x) for _, x in lines[i:j]) >= 16:
-                at = np.concatenate([np.arange(a, a + len(x)) for a, x in lines[i:j]])
-                yield "".join(x for _, x in lines[i:j]) + (pad if j == n else ""), at
+    """Base64 runs over several lines, joined, and where their characters lie. Words on their first and last line only shift them."""
+    at, size = 0, len(text)
+    while (line := text.find("\n", at)) >= 0:
+        at, left = line + 1, line - 1
+        if left >= 0 and text[left] == "\r":
+            left -= 1
+        while left >= 0 and text[left] in " \t":
+            left -= 1
+        if left < 0 or text[left] not in _IN_RUN:
+            continue
+        end = left + 1
+        while left >= 0 and text[left] in _IN_RUN:
+            left -= 1
+        lines = [(left + 1, end)]
+        while True:  # from the end of a line to the next one
+            i = lines[-1][1]
+            while i < size and text[i] in " \t":
+                i += 1
+            i += text[i : i + 2] == "\r\n"
+            if text[i : i + 1] != "\n":
+                break
+            i += 1
+            while i < size and text[i] in " \t":
+                i += 1
+            if not (m := _LINE.match(text, i)):
+                break
+            lines.append((i, m.end()))
+        end = lines[-1][1]
+        at = max(at, end)
+        if len(lines) > 1 and sum(b - a for a, b in lines) >= 16:
+            yield "".join(text[a:b] for a, b in lines), np.concatenate([np.arange(a, b) for a, b in lines])
 
 
 def _parts(text: str, most: int) -> Iterator[Layer | OverflowError]:
@@ -268,7 +288,7 @@ def _parts(text: str, most: int) -> Iterator[Layer | OverflowError]:
     if "\\" in text and _ESCAPE.search(text):
         yield _escaped(text)
     for m in _BASE64.finditer(text):
-        yield from _base64(m[0], most, np.arange(m.start(), m.end()))
+        yield from _base64(m[0], most, m.start())
     if "\n" in text:
         for run, at in _wrapped(text):
             yield from _base64(run, most, at)
