@@ -3,7 +3,8 @@
 A byte-level BPE with the usual pre-tokeniser pattern treats ``" word"`` on its own wherever a
 single space stands between two characters that are not white space. So a text is cut there, and
 each distinct piece is encoded once per worker, by the library's own model; the ids are those of
-the whole text. Texts that cannot be cut so are cut at fewer places.
+the whole text. Texts that cannot be cut so are cut at fewer places, and texts that hold an added token's string, such as
+``<|endoftext|>``, are not cut: the library's default call makes one id of it.
 """
 
 from __future__ import annotations
@@ -42,7 +43,9 @@ class Coder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        #: Texts that hold one of these go to the library as they are, as it cuts them out first.
+        self.added = [t.content for t in added]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.most = most
@@ -50,6 +53,8 @@ class Coder(dict):
         shape = json.loads(self.tokenizer.to_str())
         before = shape.get("pre_tokenizer") or {}
         self.direct = shape.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        #: A normaliser may make an added token of other text.
+        self.always_whole = shape.get("normalizer") is not None and any(t.normalized for t in added)
         self.find = regex.compile(_PATTERN).findall
         self.letters = _byte_letters()
         self.space = self.letters[ord(" ")]
@@ -90,6 +95,9 @@ class Coder(dict):
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         get, out = self.__getitem__, []
         for t in texts:
+            if t and (self.always_whole or any(map(t.__contains__, self.added))):
+                out.append(self.whole(t))
+                continue
             first, *rest = (t or "").split(" ")
             try:
                 if rest and (not first or first[-1].isspace()):
