@@ -175,13 +175,47 @@ def test_limits_may_be_fields_of_the_rows(spark):
         assert got == panel.gate(now, train, **limits).first()
 
 
-def test_band_join_equals_all_pairs(spark):
+@pytest.mark.parametrize("band", [0.1, 0.15, 0.22, 0.0])
+def test_band_sums_equal_all_pairs(spark, band):
+    """Also for scores right at the edges of the band, which differences of doubles put now inside, now outside."""
     r = random.Random(7)
-    rows = [(i, round(r.uniform(-1, 1), 4), r.choice(["LONG", "SHORT"]), r.gauss(0, 1), r.random() < 0.5, i >= 150) for i in range(300)]
+    rows = [(i, round(r.choice([r.uniform(-1, 1), 0.01 * r.randint(-40, 40)]), 4), r.choice(["LONG", "SHORT"]), r.gauss(0, 1), r.random() < 0.5, i >= 150) for i in range(300)]
     p = panel_rows(spark, rows)
-    got = sorted((x[0], x[1]) for x in panel.neighbours(p.filter("oos"), p.filter("not oos"), 0.1).filter("t.rn IS NOT NULL").select("c.rn", "t.rn").collect())
-    want = sorted((a[0], b[0]) for a in rows if a[5] for b in rows if not b[5] and a[2] == b[2] and abs(a[1] - b[1]) <= 0.1)
-    assert got == want
+    near = lambda a: [b for b in rows if not b[5] and a[2] == b[2] and abs(a[1] - b[1]) <= band]
+    got = {x.as_of: x for x in panel.band_sums(p.filter("oos"), p.filter("not oos"), band).collect()}
+    assert len(got) == 150
+    for a in rows[150:]:
+        x, own = got[day(a[0])], near(a)
+        assert (x.n, x.hits) == (len(own), sum(b[4] for b in own))
+        assert (x.total, x.squares) == (pytest.approx(sum(b[3] for b in own), abs=1e-12), pytest.approx(sum(b[3] ** 2 for b in own), abs=1e-12))
+    halves = {x.as_of: x.n for x in panel.band_sums(p, p, band, before=(F.col("rn") % 4, F.col("rn") % 4)).collect()}
+    for a in rows:
+        assert halves[day(a[0])] == sum(a[2] == b[2] and b[0] % 4 < a[0] % 4 and abs(a[1] - b[1]) <= band for b in rows)
+    counted = {x.as_of: x.n_eff for x in panel.band_days(p.filter("oos"), p.filter("not oos"), band, 7).collect()}
+    for a in rows[150:]:
+        n, last = 0, None
+        for d in sorted(b[0] for b in near(a)):
+            if last is None or d - last >= 7:
+                n, last = n + 1, d
+        assert counted.get(day(a[0]), 0) == n
+
+
+def test_gates_make_no_pairs(spark):
+    p = panel_rows(spark, [(i, round(0.001 * (i % 900), 4), "LONG", 1.0, True, i % 2 == 0) for i in range(3000)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = panel.gate(p.filter("oos"), p.filter("not oos"), band=0.5)
+        rows.collect()
+        metrics = rows._jdf.queryExecution().executedPlan()
+        found, work = [], [metrics]
+        while work:
+            node = work.pop()
+            work += [node.children().apply(i) for i in range(node.children().size())]
+            if node.metrics().contains("numOutputRows"):
+                found.append(node.metrics().apply("numOutputRows").value())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert rows.count() == 1500 and found and max(found) <= 3 * 3000  # pairs would be over a million
 
 
 def test_levels(spark):

@@ -54,11 +54,11 @@ def mean_interval(mean: Column, variance: Column, n: Column, n_eff: Column, z: f
     return mean - half, mean + half
 
 
-def effective_n(days: Column, horizon: int | Column) -> Column:
-    """Greedy count of the dates of an array that lie ``horizon`` days or more after the last one counted."""
+def effective_n(days: Column, horizon: int | Column, ordered: bool = False) -> Column:
+    """Greedy count of the dates of an array that lie ``horizon`` days or more after the last one counted; ``ordered`` says they ascend."""
     empty = F.struct(F.lit(0).alias("n"), F.lit(None).cast("date").alias("last"))
     step = lambda s, d: F.when(s["last"].isNull() | (F.datediff(d, s["last"]) >= horizon), F.struct((s["n"] + 1).alias("n"), d.alias("last"))).otherwise(s)
-    return F.aggregate(F.array_sort(days), empty, step, lambda s: s["n"])
+    return F.aggregate(days if ordered else F.array_sort(days), empty, step, lambda s: s["n"])
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -38,12 +38,14 @@ def previous(rows: DataFrame, value: str, name: str, key: str = "key", order: st
     return rows.withColumn("_own", own).join(before, [key, SLICE], "left").withColumn(name, F.coalesce("_own", "_before")[value]).drop("_own", "_before")
 
 
-def running(rows: DataFrame, key: str = "key", order: str = "d", **values: Column) -> DataFrame:
+def running(rows: DataFrame, key: str | tuple[str, ...] = "key", order: str = "d", **values: Column) -> DataFrame:
     """Adds sums of ``values`` over all rows up to and with the row, under their names. Rows of equal order count together."""
-    sums = rows.groupBy(key, SLICE).agg(*(F.sum(x).alias(f"_{n}") for n, x in values.items()))
-    before = _entering(sums, key, **{f"_{n}": F.sum(f"_{n}") for n in values})
-    inside = _within(key, order).rangeBetween(Window.unboundedPreceding, 0)
-    out = rows.select("*", *(F.sum(x).over(inside).alias(n) for n, x in values.items())).join(before, [key, SLICE], "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    sums = rows.groupBy(*keys, SLICE).agg(*(F.sum(x).alias(f"_{n}") for n, x in values.items()))
+    w = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, SLICE, *(F.sum(f"_{n}").over(w).alias(f"_{n}") for n in values))
+    inside = Window.partitionBy(*keys, SLICE).orderBy(order).rangeBetween(Window.unboundedPreceding, 0)
+    out = rows.select("*", *(F.sum(x).over(inside).alias(n) for n, x in values.items())).join(before, [*keys, SLICE], "left")
     for n in values:
         out = out.withColumn(n, F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0)))
     return out.drop(*(f"_{n}" for n in values))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import effective_n, mean_interval, r, wilson
-from ..operators import last_rows
+from ..operators import last_rows, scans
 from ..operators.bars import ahead, atr, numbered, sampled, triple_barrier
 from . import rules
 from .score import score_instruments
@@ -57,27 +57,75 @@ def outcomes(panel: DataFrame, sl_atr: Column | float = 1.0, tp_atr: Column | fl
     return triple_barrier(panel, sl * F.col("atr"), tp * F.col("atr"), rr, rules.daily_cost()).withColumn("hit", F.col("label") == "TP")
 
 
-def _value(x, side: str) -> Column:
-    """A number, or a field of the rows of one side of the join."""
-    return F.col(f"{side}.{x}") if isinstance(x, str) else F.lit(x)
+def _value(x) -> Column:
+    """A number, or a field of the rows."""
+    return F.col(x) if isinstance(x, str) else F.lit(x)
 
 
-def neighbours(current: DataFrame, train: DataFrame, band: float | str, match_coverage: bool | str = False, before: Column | None = None) -> DataFrame:
-    """Pairs of current rows (c.*) with train rows (t.*) of the same instrument and direction and a score within ``band``.
+#: Scores nearer to an edge of the band than this lie on it. Scores are multiples of GRID.
+NEAR, GRID = 1e-9, 1e-4
 
-    A band join as an equality: scores fall into bins as wide as the band, and a current row looks into three.
-    ``band`` may be a field, equal for all rows of an instrument.
+
+def _edges(score: Column, band: Column) -> tuple[Column, Column]:
+    """Between which scores a neighbour lies, so that scores on the edges are told as ``abs(a - b) <= band`` tells them."""
+    out = []
+    for sign in (-1, 1):
+        edge = score + sign * band
+        on_grid = F.round(edge / GRID) / (1 / GRID)
+        included = F.abs(on_grid - score) <= band
+        out.append(F.when(F.abs(on_grid - edge) < NEAR, on_grid + F.when(included, sign * NEAR).otherwise(-sign * NEAR)).otherwise(edge))
+    return out[0], out[1]
+
+
+def _coverage(match: bool | str) -> Column:
+    """What must be equal besides instrument and direction: the set of drivers that have data, where the rule asks for it."""
+    drivers = F.array_join(F.array_sort(F.map_keys("vector")), "\n")
+    return F.lit("") if match is False else drivers if match is True else F.when(_value(match), drivers).otherwise("")
+
+
+def band_sums(current: DataFrame, train: DataFrame, band: float | str, match_coverage: bool | str = False, keys: tuple[str, ...] = ("instrument", "as_of"), before: tuple[Column, Column] | None = None) -> DataFrame:
+    """(keys, n, hits, total, squares) over the train rows of the same instrument and direction with a score within ``band``.
+
+    No pairs are made: train rows and both edges of each current row's band are sorted by score together, and sums up to
+    the edges are taken from each other; sums of decimals are exact, so that differences are. ``band`` and ``match_coverage``
+    may be fields of a row, equal for all rows of an instrument. With ``before``, a number of the train rows and
+    one of the current rows, such as years, only train rows with a lesser number count: a current row has edges for
+    each number before its own.
     """
-    c, t = current.alias("c"), train.alias("t")
-    bin_ = lambda side: F.floor(F.col(f"{side}.score") / _value(band, side))
-    c = c.withColumn("bin", F.explode(F.array(bin_("c") - 1, bin_("c"), bin_("c") + 1))).alias("c")
-    t = t.withColumn("bin", bin_("t")).alias("t")
-    on = (F.col("c.instrument") == F.col("t.instrument")) & (F.col("c.direction") == F.col("t.direction")) & (F.col("c.bin") == F.col("t.bin"))
-    on &= F.abs(F.col("t.score") - F.col("c.score")) <= _value(band, "c")
-    if match_coverage:
-        same = F.array_sort(F.map_keys("c.vector")) == F.array_sort(F.map_keys("t.vector"))
-        on &= same if match_coverage is True else ~_value(match_coverage, "c") | same
-    return c.join(t, on if before is None else on & before, "left")
+    group = ["instrument", "direction", "_cov", "_turn"]
+    exact = lambda x: x.cast("decimal(30,15)")
+    turn, own = (F.lit(0), F.lit(1)) if before is None else before
+    t = train.select(
+        "instrument", "direction", _coverage(match_coverage).alias("_cov"), turn.alias("_turn"), F.struct(F.col("score").alias("at"), F.lit(0).alias("side")).alias("_at"),
+        F.col("hit").cast("long").alias("_hit"), exact(F.col("outcome_r")).alias("_r"), exact(F.col("outcome_r") * F.col("outcome_r")).alias("_q"), F.lit(None).cast(current.select(*keys).schema.simpleString()).alias("_c"),
+    )
+    lower, upper = _edges(F.col("score"), _value(band))
+    both = F.explode(F.array(F.struct(lower.alias("at"), F.lit(-1).alias("side")), F.struct(upper.alias("at"), F.lit(1).alias("side"))))
+    c = current.select("instrument", "direction", _coverage(match_coverage).alias("_cov"), own.alias("_own"), both.alias("_at"), F.struct(*keys).alias("_c"))
+    turns = train.select("instrument", turn.alias("_turn")).distinct()
+    c = c.join(turns, "instrument").filter("_turn < _own").select(*group, "_at", F.lit(None).cast("long").alias("_hit"), *(F.lit(None).cast("decimal(30,15)").alias(x) for x in ("_r", "_q")), "_c")
+    rows = scans.cut(t.unionByName(c), F.col("_at.at"), 0.05)
+    rows = scans.running(rows, tuple(group), "_at", n=F.when(F.col("_c").isNull(), 1).otherwise(0), hits=F.coalesce("_hit", F.lit(0)), total=F.coalesce("_r", exact(F.lit(0))), squares=F.coalesce("_q", exact(F.lit(0))))
+    names = ["n", "hits", "total", "squares"]
+    sums = rows.filter("_c IS NOT NULL").groupBy(*(F.col(f"_c.{k}") for k in keys)).agg(*(F.sum(F.when(F.col("_at.side") > 0, F.col(n)).otherwise(-F.col(n))).alias(n) for n in names))
+    out = current.select(*keys).join(sums, list(keys), "left")
+    return out.select(*keys, *(F.coalesce(F.col(n).cast("long" if n in ("n", "hits") else "double"), F.lit(0)).alias(n) for n in names))
+
+
+def band_days(current: DataFrame, train: DataFrame, band: float | str, horizon: int | str, match_coverage: bool | str = False, keys: tuple[str, ...] = ("instrument", "as_of")) -> DataFrame:
+    """(keys, n_eff): how many days of the band's train rows lie ``horizon`` days apart, counted greedily from the first.
+
+    A fold over the days of the instrument and direction, which are one array of both; it makes no pairs.
+    """
+    group = ["instrument", "direction", "_cov"]
+    days = train.withColumn("_cov", _coverage(match_coverage)).groupBy(*group).agg(F.array_sort(F.collect_set(F.struct(F.col("as_of").alias("day"), F.col("score").alias("at")))).alias("_days"))
+    c = current.select(*keys, *(x for x in ("direction",) if x not in keys), "score", _coverage(match_coverage).alias("_cov"), _value(band).alias("_band"), _value(horizon).alias("_h"))
+    near = F.filter("_days", lambda x: F.abs(x["at"] - F.col("score")) <= F.col("_band"))
+    return c.join(days, group).select(*keys, effective_n(F.transform(near, lambda x: x["day"]), F.col("_h"), ordered=True).alias("n_eff"))
+
+
+def mean_of(sums: str = "total") -> Column:
+    return F.col(sums) / F.nullif(F.col("n"), F.lit(0))
 
 
 def gate(
@@ -88,20 +136,21 @@ def gate(
 
     Limits are numbers or fields of the current rows, such as those of ``rules.GATE``.
     """
-    limits = {"_h": horizon, "_least": min_effective_n, "_hit": min_hit_rate_pct, "_exp": min_expectancy_r}
-    pairs = neighbours(current, train, band, match_coverage)
-    agg = pairs.groupBy(*(F.col(f"c.{k}") for k in keys)).agg(
-        F.count("t.outcome_r").alias("n"), F.avg(F.col("t.hit").cast("double")).alias("hit_rate"), F.avg("t.outcome_r").alias("expectancy_r"), F.var_samp("t.outcome_r").alias("_var"), F.collect_set("t.as_of").alias("_days"),
-        *(F.first(_value(v, "c")).alias(k) for k, v in limits.items()),
-    )
-    n, hit, mean = F.col("n"), F.coalesce("hit_rate", F.lit(0.0)), F.coalesce("expectancy_r", F.lit(0.0))
-    agg = agg.withColumn("n_eff", effective_n(F.col("_days"), F.col("_h")) if horizon else F.col("n").cast("int"))
+    limits = {"_least": min_effective_n, "_min_hit": min_hit_rate_pct, "_min_exp": min_expectancy_r}
+    agg = current.select(*keys, *(_value(v).alias(k) for k, v in limits.items())).join(band_sums(current, train, band, match_coverage, keys), list(keys))
+    if horizon:
+        agg = agg.join(band_days(current, train, band, horizon, match_coverage, keys), list(keys), "left").withColumn("n_eff", F.coalesce("n_eff", F.lit(0)))
+    else:
+        agg = agg.withColumn("n_eff", F.col("n").cast("int"))
+    n = F.col("n")
+    variance = F.when(n > 1, F.greatest(F.lit(0.0), (F.col("squares") - F.col("total") * F.col("total") / n) / (n - 1)))
+    hit, mean = F.coalesce(F.col("hits") / F.nullif(n, F.lit(0)), F.lit(0.0)), F.coalesce(mean_of(), F.lit(0.0))
     lo, hi = wilson(hit * F.col("n_eff"), F.col("n_eff"))
-    e_lo, e_hi = mean_interval(mean, F.coalesce("_var", F.lit(0.0)), n, F.col("n_eff"))
+    e_lo, e_hi = mean_interval(mean, F.coalesce(variance, F.lit(0.0)), n, F.col("n_eff"))
     some = n > 0
     reasons = F.concat_ws(
-        "; ", F.when(~some, "no neighbours in the band"), F.when(some & (F.col("n_eff") < F.col("_least")), "too few independent neighbours"), F.when(some & (lo * 100 < F.col("_hit")), "hit rate"),
-        F.when(some & (mean < F.col("_exp")), "expectancy"), F.when(some & (e_lo <= 0), "expectancy interval"),
+        "; ", F.when(~some, "no neighbours in the band"), F.when(some & (F.col("n_eff") < F.col("_least")), "too few independent neighbours"), F.when(some & (lo * 100 < F.col("_min_hit")), "hit rate"),
+        F.when(some & (mean < F.col("_min_exp")), "expectancy"), F.when(some & (e_lo <= 0), "expectancy interval"),
     )
     out = agg.select(*keys, n, "n_eff", r(hit).alias("hit_rate"), r(lo).alias("hit_lo"), r(hi).alias("hit_hi"), r(mean).alias("expectancy_r"), r(e_lo).alias("exp_lo"), r(e_hi).alias("exp_hi"), reasons.alias("reason"))
     return out.withColumn("passes", F.col("reason") == "").withColumn("reason", F.when(F.col("reason") == "", "approved").otherwise(F.col("reason")))

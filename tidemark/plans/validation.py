@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pearson, r
 from . import rules
-from .panel import gate, neighbours
+from .panel import band_sums, gate, mean_of
 
 
 def judged_rows(panel: DataFrame) -> DataFrame:
@@ -24,12 +24,11 @@ def information_coefficients(panel: DataFrame, outcome: str = "outcome_r") -> Da
     return each.groupBy("instrument", "driver").agg(r(pearson(F.col("x"), F.col("y"))).alias("ic"), F.count("*").alias("n"))
 
 
-def _predicted(rows: DataFrame, train: DataFrame, band: float | str, least: int | str, before: Column | None = None) -> DataFrame:
+def _predicted(rows: DataFrame, train: DataFrame, band: float | str, least: int | str, before: tuple[Column, Column] | None = None) -> DataFrame:
     """(instrument, as_of, actual, predicted) of rows with ``least`` neighbours or more."""
-    pairs = neighbours(rows, train, band, before=before)
-    enough = F.first(F.col(f"c.{least}") if isinstance(least, str) else F.lit(least)).alias("least")
-    out = pairs.groupBy(F.col("c.instrument"), F.col("c.as_of"), F.col("c.outcome_r").alias("actual")).agg(F.count("t.score").alias("m"), F.avg("t.outcome_r").alias("predicted"), enough)
-    return out.filter(F.col("m") >= F.col("least")).drop("least")
+    own = rows.select("instrument", "as_of", F.col("outcome_r").alias("actual"), (F.col(least) if isinstance(least, str) else F.lit(least)).alias("least"))
+    out = own.join(band_sums(rows, train, band, before=before), ["instrument", "as_of"]).filter((F.col("n") > 0) & (F.col("n") >= F.col("least")))
+    return out.select("instrument", "as_of", "actual", mean_of().alias("predicted"))
 
 
 def _figures() -> list[Column]:
@@ -70,7 +69,7 @@ def walk_forward(panel: DataFrame, band: float | str = "rule.band", min_effectiv
     first = panel.groupBy("instrument").agg(F.min(year).alias("_y0"))
     rows = panel.withColumn("fold", year).join(first, "instrument")
     test = rows.filter(F.col("fold") > F.col("_y0"))
-    before = F.date_add("t.as_of", embargo_days) < F.make_date("c.fold", F.lit(1), F.lit(1))
+    before = F.year(F.date_add("as_of", embargo_days)), F.year("as_of")
     figures = _predicted(test, panel, band, min_effective_n, before).groupBy("instrument", F.year("as_of").alias("fold")).agg(*_figures())
     counts = rows.groupBy("instrument", "fold").agg(F.count("*").alias("n_test"), F.max("_y0").alias("_y0"))
     earlier = counts.alias("a").join(counts.alias("b"), (F.col("a.instrument") == F.col("b.instrument")) & (F.col("b.fold") < F.col("a.fold"))).groupBy("a.instrument", "a.fold").agg(F.max("a.n_test").alias("n_test"), F.sum("b.n_test").alias("n_train"))

@@ -112,8 +112,8 @@ def swap_cost_query(spark, sf_dir):
 
 def gate_neighbors(spark, sf_dir):
     p = _panel(spark, sf_dir)
-    pairs = panels.neighbours(p.filter("oos"), p.filter("not oos"), "rule.band")
-    return pairs.groupBy(F.col("c.instrument"), F.col("c.as_of")).agg(F.count("t.score").alias("n"), r(F.coalesce(F.avg("t.outcome_r"), F.lit(0.0)), 6).alias("mean_r"))
+    sums = panels.band_sums(p.filter("oos"), p.filter("not oos"), "rule.band")
+    return sums.select("instrument", "as_of", "n", r(F.coalesce(panels.mean_of(), F.lit(0.0)), 6).alias("mean_r"))
 
 
 def gate_full(spark, sf_dir):
