@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators import asof, spine_spread
 from ..operators.bars import atr, fractals, log_returns
 from ..plans import drivers
 from ..sources import proxies as P
+from ..sources.shared import session_dir
+from ..streaming.indicators import SCHEMA, indicators, run_to_files
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -70,6 +74,27 @@ def bars_hourly(spark, sf_dir):
     return P.hourly(spark, sf_dir).withColumnRenamed("key", "symbol")
 
 
+@query("stream_indicators", """WITH t AS (SELECT event_type AS key, ts, event_id, value FROM events WHERE value IS NOT NULL), edge AS (SELECT epoch_ms(max(ts)) - 600000 AS w FROM t),
+bars AS (SELECT key, date_trunc('hour', ts) AS ts, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM t GROUP BY 1, 2),
+shut AS (SELECT * FROM bars, edge WHERE epoch_ms(ts) + 3600000 <= w),
+x AS (SELECT *, ln(close) - ln(lag(close) OVER k) AS x, greatest(high - low, coalesce(abs(high - lag(close) OVER k), 0), coalesce(abs(low - lag(close) OVER k), 0)) AS reach
+    FROM shut WINDOW k AS (PARTITION BY key ORDER BY ts)),
+n AS (SELECT *, count(x) OVER k AS n, CASE WHEN count(*) OVER k >= 14 THEN avg(reach) OVER (PARTITION BY key ORDER BY ts ROWS 13 PRECEDING) END AS atr FROM x WINDOW k AS (PARTITION BY key ORDER BY ts)),
+v AS (SELECT key, var_pop(x) AS v0 FROM n WHERE n <= 20 AND x IS NOT NULL GROUP BY 1)
+SELECT key AS symbol, ts, open, high, low, close, volume, round_even(x, 8) + 0.0 AS log_return, round_even(atr, 6) + 0.0 AS atr,
+    CASE WHEN n >= 20 THEN round_even(sqrt(pow(0.94, n) * v0 + sum(0.06 * x * x * pow(0.94, -n)) OVER (PARTITION BY key ORDER BY ts) * pow(0.94, n)), 6) + 0.0 END AS next_sigma FROM n LEFT JOIN v USING (key)""")
+def stream_indicators(spark, sf_dir):
+    """The events as a stream of ticks, in one run to the end of what has landed."""
+    path = f"{sf_dir}/events.parquet"
+    # As a pattern, the path may be a file or a folder; a stream's plain path must be a folder.
+    ticks = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+    ticks = ticks.select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), "value")
+    place = f"{session_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run_to_files(indicators(ticks), f"{place}/bars", f"{place}/checkpoint")
+    rounded = [r(F.col(c), n).alias(c) for c, n in (("log_return", 8), ("atr", 6), ("next_sigma", 6))]
+    return spark.read.schema(SCHEMA).parquet(f"{place}/bars").select(F.col("key").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume", *rounded)
+
+
 @query("log_returns", P.with_views("closes", """SELECT key AS symbol, d, round_even(ln(v) - ln(lag(v) OVER (PARTITION BY key ORDER BY d)), 8) + 0.0 AS log_return FROM closes"""))
 def log_returns_query(spark, sf_dir):
     return log_returns(P.closes(spark, sf_dir)).select(F.col("key").alias("symbol"), "d", r(F.col("log_return"), 8).alias("log_return"))
