@@ -86,11 +86,10 @@ def seed(spark: SparkSession, root: str, url: str, plan: dict[str, dict]) -> dic
     store.create(spark, root)
     counts = {}
     for target, want in plan.items():
-        rows, log = ingest.seed(store.external(spark, url, want["table"]), target, want.get("keys"), want.get("key"))
-        rows = materialize(rows, "seeded")
-        store.put(spark, root, target, rows)
-        store.put(spark, root, "seed_log", log)
-        counts[target] = rows.count()
+        rows, counted = ingest.seed(store.external(spark, url, want["table"]), target, want.get("keys"), want.get("key"))
+        store.put(spark, root, target, rows)  # the source is read once, and counted on the way
+        counts[target] = counted.get["rows_seeded"]
+        store.put(spark, root, "seed_log", ingest.seed_log(spark, want["table"], target, counts[target]))
     return counts
 
 

@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..sources import ingest
+from ..sources import ingest, manifest
 from ..sources import proxies as P
+from ..sources.shared import session_dir
 
 
 def upsert_latest(spark, sf_dir):
-    """Orders' status by customer: later orders replace earlier ones, and a second feed replaces both."""
-    o = P.table(spark, sf_dir, "orders")
-    old = ingest.latest(o.select(F.col("o_custkey").alias("key"), "o_orderkey", "o_orderstatus", "o_totalprice"), ["key"], "o_orderkey")
-    new = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"), "o_orderkey", F.lit("U").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"), F.col("o_orderkey").alias("_seq"))
-    return ingest.upsert(old, new, ["key"], keep_missing=True)
+    """Orders' status by customer in a versioned table: later orders replace earlier ones, and a second feed replaces both."""
+    o = P.table(spark, sf_dir, "orders").withColumn("order", F.col("o_orderkey"))
+    first = o.select(F.col("o_custkey").alias("key"), "o_orderkey", "o_orderstatus", "o_totalprice", "order")
+    second = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("key"), "o_orderkey", F.lit("U").alias("o_orderstatus"), F.lit(None).cast("double").alias("o_totalprice"), "order")
+    shape, path = first.drop("order").schema, f"{session_dir(spark)}/versions-{uuid.uuid4().hex}"
+    for feed in (first, second):
+        manifest.write_upsert(spark, path, feed, shape, ["key"], "order", keep_missing=True)
+    return manifest.read(spark, path, shape)
 
 
 def unpivot_series(spark, sf_dir):

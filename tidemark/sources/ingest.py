@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .schemas import TABLES, conform, schema
+from .schemas import conform, schema
 
 #: Columns of the report types' speculators and hedgers (fixed values), in the order in which types are tried.
 COT_COLUMNS = {
@@ -26,34 +25,22 @@ def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_")).select(*keys, "_.*").select(*df.columns)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_missing: bool = False) -> DataFrame:
-    """``old`` with the rows of ``new`` in place of those with their keys; the last of equal new rows wins.
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_missing: bool = False, order: str = "_seq", deduplicated: bool = False) -> DataFrame:
+    """``old`` with the rows of ``new`` in place of those with their keys; of several new rows that with the greatest ``order`` counts.
 
-    ``keep_missing`` keeps the old value of a column where the new one is null, so that a partial write
-    doesn't wipe what it doesn't carry.
+    Where ``new`` has no such column, the greatest row counts, as rows themselves have no order. ``keep_missing`` keeps the old
+    value of a column where the new one is null, so that a partial write doesn't wipe what it doesn't carry.
     """
-    new = new.withColumn("_seq", F.monotonically_increasing_id()) if "_seq" not in new.columns else new
-    new = latest(new, keys, "_seq").drop("_seq")
     rest = [c for c in old.columns if c not in keys]
+    if order in new.columns:
+        new = latest(new, keys, order).drop(order)
+    elif not deduplicated:
+        new = new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_")).select(*keys, "_.*")
     both = old.alias("o").join(new.withColumn("_new", F.lit(True)).alias("n"), keys, "full")
     pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")) if keep_missing else F.when(F.col("_new"), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return both.select(*keys, *(pick(c).alias(c) for c in rest)).select(*old.columns)
 
 
-def write_upsert(spark: SparkSession, root: str, name: str, new: DataFrame, keep_missing: bool = False) -> str:
-    """Writes the merged table beside the old one and returns its new path; a reader switches by path."""
-    keys = list(TABLES[name][1])
-    current = spark.read.parquet(f"{root}/{name}") if _exists(spark, f"{root}/{name}") else spark.createDataFrame([], schema(name))
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
-    upsert(conform(current, name), conform(new, name), keys, keep_missing).write.parquet(path)
-    return path
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def trendbars(df: DataFrame) -> DataFrame:
     """Bars from a low and unsigned distances from it, in integers, and minutes since the epoch."""
     price = lambda c: ((F.col("low") + F.col(c)) / PRICE_SCALE) if c else F.col("low") / PRICE_SCALE
@@ -180,9 +167,16 @@ def holdings(df: DataFrame) -> DataFrame:
     return df.select(F.col("ticker").alias("key"), F.col("date").alias("d"), v.alias("v")).filter("v IS NOT NULL")
 
 
-def seed(source: DataFrame, target: str, keys: list[str] | None = None, key: str | None = None, **columns: Column) -> tuple[DataFrame, DataFrame]:
-    """(rows, log): a filtered copy of ``source`` in the shape of ``target`` and its audit row."""
+def seed(source: DataFrame, target: str, keys: list[str] | None = None, key: str | None = None, **columns: Column) -> tuple[DataFrame, Observation]:
+    """(rows, counted): a filtered copy of ``source`` in the shape of ``target``, and the count that its one write takes on the way."""
     rows = source.filter(F.col(key).isin(keys)) if keys is not None else source
     rows = conform(rows.withColumns(columns) if columns else rows, target)
-    log = rows.agg(F.count("*").alias("rows_seeded")).select(F.lit(key or "all").alias("source_table"), F.lit(target).alias("target_table"), F.lit(None).cast("string").alias("market"), "rows_seeded", F.current_timestamp().alias("seeded_at"))
-    return rows, log
+    counted = Observation()
+    return rows.observe(counted, F.count(F.lit(1)).alias("rows_seeded")), counted
+
+
+def seed_log(spark: SparkSession, source: str, target: str, rows_seeded: int) -> DataFrame:
+    """The audit row of a copy."""
+    return spark.range(1).select(
+        F.lit(source).alias("source_table"), F.lit(target).alias("target_table"), F.lit("").alias("market"), F.lit(rows_seeded).cast("long").alias("rows_seeded"), F.current_timestamp().alias("seeded_at")
+    )

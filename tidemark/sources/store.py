@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ingest import holdings, write_upsert
+from . import manifest
+from .ingest import holdings
 from .schemas import TABLES, conform, schema
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(schema(name)).parquet(f"{root}/{name}")
+    return manifest.read(spark, f"{root}/{name}", schema(name))
 
 
 def external(spark: SparkSession, url: str, name: str, column: str | None = None, bounds: tuple | None = None, parts: int = 8, **options: str) -> DataFrame:
@@ -39,18 +40,23 @@ def environment(spark: SparkSession, root: str, tf: str = "D1") -> dict[str, Dat
 def create(spark: SparkSession, root: str) -> None:
     """Empty tables where there are none yet."""
     for name in TABLES:
-        spark.createDataFrame([], schema(name)).write.mode("ignore").parquet(f"{root}/{name}")
-
-
-def put(spark: SparkSession, root: str, name: str, rows: DataFrame, keep_missing: bool = False) -> None:
-    """Upserts rows into a table of the store: the merged table is written beside the old one, which then makes way for it."""
-    merged = write_upsert(spark, root, name, conform(rows, name), keep_missing)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    now, old = path(f"{root}/{name}"), path(f"{merged}-old")
-    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    there = fs.exists(now)
-    if there:
-        fs.rename(now, old)
-    fs.rename(path(merged), now)
-    if there:
-        fs.delete(old, True)
+        path = f"{root}/{name}"
+        if not manifest.current(spark, path).version:
+            manifest.found(spark, path)
+
+
+def put(spark: SparkSession, root: str, name: str, rows: DataFrame, keep_missing: bool = False, order: str | None = None, batch: tuple[str, int] | None = None) -> manifest.Manifest:
+    """Upserts rows into a table of the store as its next version; see ``manifest``."""
+    own = conform(rows, name)
+    if order and order not in own.columns:
+        own = rows.select(*(F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema(name)), order)
+    return manifest.write_upsert(spark, f"{root}/{name}", own, schema(name), list(TABLES[name][1]), order, keep_missing, batch)
+
+
+def batches(root: str, name: str, stream: str, order: str | None = None):
+    """For ``foreachBatch``: upserts each batch of ``stream`` into a table once, also when it comes again after a restart."""
+
+    def apply(rows: DataFrame, n: int) -> None:
+        put(rows.sparkSession, root, name, rows, order=order, batch=(stream, n))
+
+    return apply
