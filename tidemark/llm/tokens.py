@@ -38,7 +38,7 @@ class Coder(dict):
     changes no result.
     """
 
-    def __init__(self, path: str, most: int = 800_000):
+    def __init__(self, path: str, most: int = 1_400_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -59,6 +59,7 @@ class Coder(dict):
         self.letters = _byte_letters()
         self.space = self.letters[ord(" ")]
         self.tokenize = self.tokenizer.model.tokenize
+        self.marks = {m: self._part(m) for m in ".,;:!?)" if self.direct}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -86,6 +87,8 @@ class Coder(dict):
     def __missing__(self, p: str) -> bytes | None:
         if self.direct and p.isalpha():  # letters only: " word" is one pre-token
             ids = self._part(self.space + (p if p.isascii() else p.encode("utf-8").decode("latin-1").translate(self.letters)))
+        elif p and self.direct and p[-1] in self.marks and p[:-1].isalpha():  # a word and one mark: two pre-tokens
+            ids = self[p[:-1]] + self.marks[p[-1]]
         else:
             ids = None if not p or p[0].isspace() or p[-1].isspace() else self.piece(" " + p)
         if len(self) < self.most:
