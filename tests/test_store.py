@@ -5,13 +5,15 @@ import json
 import math
 import random
 import threading
+import urllib.parse
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 from tidemark import cli
 from tidemark.queries import QUERIES
-from tidemark.sources import ingest, rest, schemas, shared, store
+from tidemark.plans import score
+from tidemark.sources import feeds, ingest, rest, schemas, shared, store
 
 D0 = dt.date(2010, 1, 1)
 DERBY = "jdbc:derby:memory:other;create=true"
@@ -141,6 +143,58 @@ def test_fetch_over_http(spark, tmp_path):
     server.shutdown()
 
 
+def test_fetch_of_every_kind(spark, tmp_path, monkeypatch):
+    """Regions with their places, the two calls of a chain, a CSV file, default series, and a key that comes from a secret."""
+    asked = []
+    book = [{"instrument_name": f"BTC-02MAR36-{k}-{c}", "open_interest": 3.0, "mark_iv": 50.0} for k, c in ((60000, "C"), (70000, "P"), (80000, "C"))]
+    daily = {"time": ["2024-01-01", "2024-01-02"], "temperature_2m_max": [3.0], "temperature_2m_min": [1.0, 2.0], "precipitation_sum": [0.0, 5.5]}
+
+    class Server(BaseHTTPRequestHandler):
+        def do_GET(self):
+            asked.append(self.path)
+            at, q = urllib.parse.urlparse(self.path), urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query)
+            said = {
+                "/weather": {"daily": daily}, "/options/get_index_price": {"result": {"index_price": 65000.0}}, "/options/get_book_summary_by_currency": {"result": book},
+                "/macro": {"observations": [{"date": "2024-01-01", "value": "1.5"}]},
+            }.get(at.path)
+            assert at.path != "/macro" or q["api_key"] == ["hidden"]
+            text = "date,price,dix,gex\n2024-01-01,5,0.4,5e9\n2024-01-02,5,,5e9\n" if said is None else json.dumps(said)
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(text.encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base, root = f"http://127.0.0.1:{server.server_port}", str(tmp_path / "s")
+    monkeypatch.setenv("SERIES_KEY", "hidden")
+    assert cli.fetch(spark, root, "weather", f"{base}/weather", ["us_cotton", "own=1.5:-2.5"], "2024-01-01") == 4
+    got = {(x.region, x.date.day): (x.tmax, x.tmin, x.precip) for x in store.table(spark, root, "weather").collect()}
+    assert got["own", 1] == (3.0, 1.0, 0.0) and got["us_cotton", 2] == (None, 2.0, 5.5)
+    assert any("latitude=33.58&longitude=-101.86&start_date=2024-01-01" in x for x in asked) and any("latitude=1.5&longitude=-2.5" in x for x in asked)
+    assert cli.fetch(spark, root, "options", f"{base}/options", ["BTC=Bitcoin"]) == 1
+    row = store.table(spark, root, "gamma").first()
+    assert (row.instrument, row.spot) == ("Bitcoin", 65000.0) and row.gamma_center > 0
+    assert cli.fetch(spark, root, "squeeze", f"{base}/dix.csv") == 2
+    assert cli.fetch(spark, root, "macro", f"{base}/macro", ["A"], secret="SERIES_KEY") == 1
+    assert {(x.series_id, x.value) for x in store.table(spark, root, "macro_series").collect()} == {("SQZ_DIX", 0.4), ("SQZ_GEX", 5e9), ("A", 1.5)}
+    assert len(feeds.requests("macro", "https://host/x")) == 7 and [k for k, _ in feeds.requests("energy", "https://host/v2", api_key="k")] == list(rest.ENERGY_SERIES)
+    assert "hidden" not in feeds.answers(spark, [("A", f"{base}/macro?api_key=hidden")])._jdf.queryExecution().toString()
+    for kind, keys in (("nothing", None), ("weather", ["nowhere"])):
+        with pytest.raises(KeyError):
+            feeds.requests(kind, "https://host", keys)
+    server.shutdown()
+
+
+def test_missing_series_are_told(spark, root, folder, tmp_path, capsys):
+    env = store.environment(spark, root)
+    specs = [{"id": "a", "ticker": "AAA", "drivers": [{"name": "momentum", "params": {"series": "M"}}, {"name": "price_ratio", "params": {"numerator": "AAA", "denominator": "GONE"}}]}, {"id": "b", "ticker": "LOST", "drivers": []}]
+    assert {(x.instrument, x.driver, x.kind, x.series) for x in score.missing_series(env, specs).collect()} == {("a", "price_ratio", "closes", "GONE"), ("b", "ticker", "closes", "LOST")}
+    assert score.missing_series(env, cli.load_specs(str(folder))).count() == 0
+
+
 def test_command_line(spark, root, folder, tmp_path, capsys):
     cli.main(["run", "--store", root, "--specs", str(folder), "--out", str(tmp_path / "x.json")])
     assert "2 signals" in capsys.readouterr().out and (tmp_path / "x.json").exists()

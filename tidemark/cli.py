@@ -6,7 +6,7 @@ ablate    what leaving out a driver does to them
 arbitrate the best forecaster of every symbol and its forecast
 clean     bars whose scale is off, put right
 seed      filtered copies of another database's tables; --inspect only tells its keys
-fetch     JSON series from a server into the store
+fetch     series, weather by region, option chains or the squeeze file from a server into the store
 """
 
 from __future__ import annotations
@@ -14,14 +14,16 @@ from __future__ import annotations
 import argparse
 import datetime as dt
 import json
+import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators.bars import repair_scales
-from .plans import panel, scenario, setups, validation
-from .sources import config, ingest, rest, store
+from .plans import panel, scenario, score, setups, validation
+from .sources import config, feeds, ingest, rest, store
+from .sources.shared import clean as clean_shared
 from .sources.shared import materialize
 
 STEP = 5  # every so many days a decision of the panel
@@ -40,6 +42,8 @@ def scored(env: dict[str, DataFrame], specs: list[dict], **defaults) -> DataFram
 def run(spark: SparkSession, root: str, specs: list[dict], out: str, as_of: str | None = None, generated: str | None = None) -> dict:
     """Writes the published document of all instruments with prices, and returns it."""
     env = store.environment(spark, root)
+    for x in score.missing_series(env, specs).collect():  # a row a parameter of the specifications
+        print(f"{x.instrument}, {x.driver}: there is no series {x.series}", file=sys.stderr)
     found = materialize(setups.build_setups(env, env["bars"], specs, scored(env, specs), as_of), "setups")
     last = found.agg(F.max("as_of")).first()[0]
     day = as_of or (last.isoformat() if last else "")
@@ -106,18 +110,12 @@ def inspect(spark: SparkSession, url: str, plan: dict[str, dict]) -> DataFrame:
     return out
 
 
-def fetch(spark: SparkSession, root: str, kind: str, url: str, keys: list[str]) -> int:
-    """Fetches JSON series (macro, energy or weather; {key} in the address) and upserts them. Returns the rows fetched."""
-    parse, target, names = {
-        "macro": (ingest.macro_observations, "macro_series", {"key": "series_id", "d": "date", "v": "value"}),
-        "energy": (ingest.energy_observations, "macro_series", {"key": "series_id", "d": "date", "v": "value"}),
-        "weather": (ingest.weather_days, "weather", {"key": "region"}),
-    }[kind]
-    store.create(spark, root)
-    spark.dataSource.register(rest.JsonRest)
-    rows = materialize(parse(spark.read.format("json_rest").options(url=url, keys=",".join(keys)).load()).withColumnsRenamed(names), "fetched")
-    store.put(spark, root, target, rows, keep_missing=True)
-    return rows.count()
+def fetch(spark: SparkSession, root: str, kind: str, url: str, keys: list[str] | None = None, start: str = "2000-01-01", secret: str | None = None) -> int:
+    """Fetches macro, energy or weather series, option chains or the squeeze file and upserts them; the rows fetched.
+
+    ``secret`` names the API key, which comes from the environment or the secrets file and so stands in no command line.
+    """
+    return feeds.fetch(spark, root, kind, url, keys, start, rest.secret(secret) if secret else None)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -137,7 +135,7 @@ def main(argv: list[str] | None = None) -> None:
     command("arbitrate", "out", out="scenario_models.json")
     command("clean").add_argument("--apply", action="store_true")
     command("seed", "url", "plan").add_argument("--inspect", action="store_true")
-    command("fetch", "kind", "url", "keys", kind="macro")
+    command("fetch", "kind", "url", "keys", "start", "secret", kind="macro", start="2000-01-01")
     args = top.parse_args(argv)
     spark = SparkSession.builder.appName(f"tidemark {args.command}").getOrCreate()
     specs = load_specs(args.specs, args.swaps) if getattr(args, "specs", None) else []
@@ -163,7 +161,8 @@ def main(argv: list[str] | None = None) -> None:
         else:
             print(seed(spark, args.store, args.url, plan))
     else:
-        print(f"{fetch(spark, args.store, args.kind, args.url, args.keys.split(','))} rows")
+        print(f"{fetch(spark, args.store, args.kind, args.url, args.keys.split(',') if args.keys else None, args.start, args.secret)} rows")
+    clean_shared(spark)
 
 
 if __name__ == "__main__":

@@ -51,7 +51,8 @@ def scored_panel(env: dict[str, DataFrame], bars: DataFrame, fingerprints: list[
 
 
 def outcomes(panel: DataFrame, sl_atr: Column | float = 1.0, tp_atr: Column | float = 2.0) -> DataFrame:
-    """The panel with label, outcome_r, held and hit for stops and targets in multiples of the ATR; carry is taken off."""
+    """The panel with label, outcome_r, held and hit for stops and targets in multiples of the ATR, carry taken off, and the close's plain return over the horizon."""
+    panel = panel.withColumn("forward_return", F.try_element_at("f", F.lit(-1))["close"] / F.col("close") - 1)
     sl, tp = (x if isinstance(x, Column) else F.lit(x) for x in (sl_atr, tp_atr))
     rr = F.when(sl != 0, tp / sl).otherwise(0.0)
     return triple_barrier(panel, sl * F.col("atr"), tp * F.col("atr"), rr, rules.daily_cost()).withColumn("hit", F.col("label") == "TP")

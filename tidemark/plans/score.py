@@ -16,7 +16,7 @@ THRESHOLDS = {"A_plus": 0.55, "A": 0.40, "B": 0.25}
 
 
 def validate_specs(fingerprints: list[dict], known_series: set[str] | None = None) -> None:
-    """Raises on unknown drivers, missing keys and, if ``known_series`` is given, series that are not there."""
+    """Raises on unknown drivers, missing keys and, if ``known_series`` is given, series that are not there; ``missing_series`` asks the tables."""
     for f in fingerprints:
         for field in ("id", "ticker", "drivers"):
             if field not in f:
@@ -42,6 +42,17 @@ ARGUMENTS = {"symbol": "closes", "market": "cot", "region": "weather", "ticker":
 KINDS = {"price_ratio": "closes", "series_ratio": "macro"}
 
 
+def missing_series(env: dict[str, DataFrame], fingerprints: list[dict]) -> DataFrame:
+    """(instrument, driver, kind, series) of the specifications' series that the tables of ``env`` don't have."""
+    rows = [
+        (f["id"], d["name"], SOURCES[k] or KINDS[d["name"]], str(v)) for f in fingerprints for d in f["drivers"] for k, v in d.get("params", {}).items() if k in SOURCES
+    ] + [(f["id"], "ticker", "closes", f["ticker"]) for f in fingerprints]
+    wanted = next(iter(env.values())).sparkSession.createDataFrame(rows, "instrument string, driver string, kind string, series string").distinct()
+    kinds = sorted({r[2] for r in rows})
+    there = reduce(DataFrame.unionByName, (env[k].select(F.lit(k).alias("kind"), F.col("key").alias("series")).distinct() for k in kinds))
+    return wanted.join(there, ["kind", "series"], "left_anti").select("instrument", "driver", "kind", "series")
+
+
 def run_driver(env: dict[str, DataFrame], name: str, params: dict, cases: dict[str, dict[str, str]], probes: DataFrame) -> DataFrame:
     """One driver with one set of parameters for many cases at once: (key, as_of, ok, score, value).
 

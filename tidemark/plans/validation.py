@@ -19,7 +19,11 @@ def judged_rows(panel: DataFrame) -> DataFrame:
 
 
 def information_coefficients(panel: DataFrame, outcome: str = "outcome_r") -> DataFrame:
-    """(instrument, driver, ic, n): correlation of each driver's score with the outcome, out of sample where there are such rows."""
+    """(instrument, driver, ic, n): correlation of each driver's score with the outcome, out of sample where there are such rows.
+
+    Outcomes follow the direction of the whole score, so a useful driver that pulled the other way looks bad there;
+    with ``forward_return`` as the outcome each driver is held against what the price did.
+    """
     each = judged_rows(panel).select("instrument", F.col(outcome).alias("y"), F.explode("vector").alias("driver", "x"))
     return each.groupBy("instrument", "driver").agg(r(pearson(F.col("x"), F.col("y"))).alias("ic"), F.count("*").alias("n"))
 

@@ -158,6 +158,17 @@ def driver_ic(spark, sf_dir):
     return validation.information_coefficients(_panel(spark, sf_dir))
 
 
+def driver_return_ic(spark, sf_dir):
+    """Each driver's scores against the close's plain return."""
+    return validation.information_coefficients(_panel(spark, sf_dir), "forward_return")
+
+
+def validate_ic(spark, sf_dir):
+    """The coefficients that a validation reports, a row each."""
+    found = validation.validate(_panel(spark, sf_dir)).select("instrument", F.explode("driver_ic").alias("driver", "x"))
+    return found.select("instrument", "driver", "x.ic", "x.n")
+
+
 def validate_oos(spark, sf_dir):
     return validation.validate(_panel(spark, sf_dir)).drop("driver_ic")
 
@@ -238,7 +249,7 @@ def route_models(spark, sf_dir):
 
 QUERIES = {
     "triple_barrier": triple_barriers, "panel_outcomes": panel_outcomes, "swap_cost": swap_cost_query, "gate_neighbors": gate_neighbors, "gate_wilson": gate_wilson, "gate_full": gate_full,
-    "levels": levels, "setups": setups_query, "setups_simulated": setups_simulated, "publish_order": publish_order, "driver_ic": driver_ic, "validate_oos": validate_oos, "walk_forward": walk_forward, "ablation": ablation, "ablation_summary": ablation_summary,
+    "levels": levels, "setups": setups_query, "setups_simulated": setups_simulated, "publish_order": publish_order, "driver_ic": driver_ic, "driver_return_ic": driver_return_ic, "validate_ic": validate_ic, "validate_oos": validate_oos, "walk_forward": walk_forward, "ablation": ablation, "ablation_summary": ablation_summary,
     "crps_ensemble": crps_ensemble, "pit_hist": pit_hist, "quantile_cone": quantile_cone, "ewma_vol": ewma_vol, "clean_glitches": clean_glitches, "fhs_cone": fhs_cone,
     "fhs_barrier": fhs_barrier, "model_scores": model_scores, "route_models": route_models, "routed_cones": routed_cones,
 }
@@ -412,6 +423,13 @@ p AS (SELECT user_id, sum((2.0 * i - n - 1) * value) / any_value(n::DOUBLE * n)
 m AS (SELECT e.event_id, e.event_type, e.user_id, avg(abs(x.value - e.value)) AS near, avg((x.value <= e.value)::INT) AS pit
     FROM events e JOIN x USING (user_id) GROUP BY 1, 2, 3)"""
 
+def ic_sql(outcome: str) -> str:
+    return outcome_sql() + f""", each AS (SELECT o.instrument, f.name AS driver, f.score AS x, {outcome} AS y
+    FROM out o JOIN frame_scores f USING (instrument, as_of) WHERE f.ok AND (o.oos OR o.instrument NOT IN (SELECT instrument FROM out WHERE oos)))
+SELECT instrument, driver, round_even(CASE WHEN count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x,
+    y) / nullif(stddev_pop(x) * stddev_pop(y), 0) ELSE 0 END, 4) + 0.0 AS ic, count(*) AS n FROM each GROUP BY 1, 2"""
+
+
 ORACLE = {
     "triple_barrier": P.with_views("prices", f"""{ATR}, src AS (SELECT key AS instrument, key, d, rn, close, atr, direction, {H} AS h
     FROM bars, (VALUES ('LONG'), ('SHORT')) t(direction) WHERE atr IS NOT NULL AND rn < n_bars), """ + barrier_sql("src", "0.4 * s.atr", "0.6 * s.atr", "0.0") + " SELECT key AS symbol, d, direction, label, held, round_even(outcome_r, 6) + 0.0 AS outcome_r FROM out"),
@@ -429,10 +447,9 @@ w AS (SELECT *, k / n::DOUBLE AS p, 1 + 1.96 * 1.96 / n AS s
     "setups": P.with_views(VIEWS, _setups_sql() + " SELECT *, reject_reason = '' AS published FROM final_rows"),
     "publish_order": P.with_views(VIEWS, _setups_sql() + """ SELECT CAST(row_number() OVER (ORDER BY reject_reason = '' DESC, abs(score) DESC, instrument) AS INTEGER) AS position, instrument, reject_reason = '' AS published,
     score FROM final_rows"""),
-    "driver_ic": P.with_views(VIEWS, outcome_sql() + """, each AS (SELECT o.instrument, f.name AS driver, f.score AS x, o.outcome_r AS y
-    FROM out o JOIN frame_scores f USING (instrument, as_of) WHERE f.ok AND (o.oos OR o.instrument NOT IN (SELECT instrument FROM out WHERE oos)))
-SELECT instrument, driver, round_even(CASE WHEN count(*) >= 5 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN covar_pop(x,
-    y) / nullif(stddev_pop(x) * stddev_pop(y), 0) ELSE 0 END, 4) + 0.0 AS ic, count(*) AS n FROM each GROUP BY 1, 2"""),
+    "driver_ic": P.with_views(VIEWS, ic_sql("o.outcome_r")),
+    "validate_ic": P.with_views(VIEWS, ic_sql("o.outcome_r")),
+    "driver_return_ic": P.with_views(VIEWS, ic_sql("o.last_close / o.close - 1")),
     "validate_oos": P.with_views(VIEWS, f"{outcome_sql()}, {SPLIT}, {PREDICT.format(rows='cur', train='train', more='')}, {GATE}, " + f"""base AS (SELECT instrument, count(*) FILTER (NOT oos) AS n_train, count(*) FILTER (oos) AS n_oos, round_even(coalesce(avg(hit::INT) FILTER (oos), 0),
     4) + 0.0 AS base_hit, round_even(coalesce(avg(outcome_r) FILTER (oos), 0), 4) + 0.0 AS base_exp FROM out GROUP BY 1),
 fig AS (SELECT instrument, {FIGURES}, round_even(coalesce(avg(actual) FILTER (predicted <= 0), 0), 4) + 0.0 AS exp_when_pred_bear FROM pred GROUP BY 1),

@@ -1,12 +1,13 @@
 """JSON over HTTP as a Spark data source: one partition per requested key, with retries and spacing.
 
 ``spark.dataSource.register(JsonRest)`` then ``spark.read.format("json_rest").option("keys", "a,b")
-.option("url", "https://host/path?id={key}").load()`` gives (key, payload). The opener can be replaced,
-which the tests do; nothing is fetched at planning.
+.option("url", "https://host/path?id={key}").load()`` gives (key, payload), as does an option ``requests.secret`` with
+a JSON list of keys and addresses. The opener can be replaced, which the tests do; nothing is fetched at planning.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import time
 import urllib.error
@@ -38,27 +39,34 @@ def fetch(url: str, opener: Callable = urllib.request.urlopen, tries: int = 4, p
 
 
 class _Part(InputPartition):
-    def __init__(self, keys: list[str]):
-        self.keys = keys
+    def __init__(self, calls: list[tuple[str, str]]):
+        self.calls = calls
+
+    @property
+    def keys(self) -> list[str]:
+        return [k for k, _ in self.calls]
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.url, self.keys = options["url"], [k for k in options.get("keys", "").split(",") if k]
+        if "requests.secret" in options:
+            self.calls = [tuple(x) for x in json.loads(options["requests.secret"])]
+        else:
+            self.calls = [(k, options["url"].replace("{key}", k)) for k in options.get("keys", "").split(",") if k]
         self.spacing = float(options.get("spacing", "1"))
         self.parallel = int(options.get("parallel", "1"))  # of one server, politely
 
     def partitions(self):
-        n = max(1, min(self.parallel, len(self.keys)))
-        return [_Part(self.keys[i::n]) for i in range(n)]
+        n = max(1, min(self.parallel, len(self.calls)))
+        return [_Part(self.calls[i::n]) for i in range(n)]
 
     def read(self, partition):
         from . import rest
 
-        for i, key in enumerate(partition.keys):
+        for i, (key, url) in enumerate(partition.calls):
             if i:
                 time.sleep(self.spacing)
-            yield key, rest.fetch(self.url.replace("{key}", key))
+            yield key, rest.fetch(url)
 
 
 class JsonRest(DataSource):
