@@ -36,7 +36,7 @@ def mask_secrets(spark, docs, sf_dir):
 def sample_mix(spark, docs, sf_dir):
     """Documents are sampled towards the target weights of source, language and topic.
 
-    Null attributes are a value of their own; repeated rows share one draw, as do rows without id but with one text;
+    Null attributes count as empty ones, a value of their own; repeated rows share one draw, as do rows without id but with one text;
     an empty table gives an empty one.
     """
     return mixing.sample(docs)

@@ -12,7 +12,7 @@ documents are read twice: for the table of cells, and for the draw. Raking works
 over one marginal at a time spread over the cluster, and their rows were aggregated before, so a hot source
 is one row a cell there. ``residuals`` tells how near the targets the weights come.
 
-Defined results: null attributes are a value of their own; documents without tokens keep the
+Defined results: null attributes count as empty ones, which are a value of their own; documents without tokens keep the
 weight of their cell; repeated rows share one draw; other columns are kept, also those whose names
 differ in case only or begin with mix_; an empty table gives an empty one.
 """
