@@ -8,7 +8,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 from tidemark.operators import asof, counts_at_most, look_back, seasonal_baseline
-from tidemark.plans import drivers
+from tidemark.operators.cases import Choice
+from tidemark.plans import drivers, score
 
 D0 = dt.date(2015, 1, 1)
 
@@ -159,3 +160,49 @@ def test_option_names_and_signs(spark):
     shape = "key string, d date, strike double, kind string, oi double, iv double, years double, spot double"
     s = drivers.gamma_snapshot(spark.createDataFrame(rows, shape)).first()
     assert s.net_gex > 0 and s.gamma_center == 100.0
+
+
+def test_choices_of_parameters_equal_calls_of_their_own(series, probe):
+    r = random.Random(4)
+    walk = [100 + sum(r.gauss(0, 1) for _ in range(i % 7)) + i / 9 for i in range(420)]
+    both = series(walk, "a").unionByName(series(walk, "b"))
+    at = probe(250, 400, key="a").unionByName(probe(250, 400, key="b"))
+    apart = {
+        "momentum": ("series", "horizon_days", 5, 30), "price_momentum": ("closes", "horizon_days", 5, 30), "price_vs_sma": ("closes", "window", 20, 100),
+        "etf_flow": ("holdings", "horizon_days", 10, 60), "level_percentile": ("series", "lookback_days", 40, 300), "seasonal_anomaly": ("series", "exclude_rows", 5, 50),
+    }
+    for name, (arg, param, one, other) in apart.items():
+        fn = drivers.get_driver(name)
+        got = {(x.key, x.as_of): (x.ok, x.score, x.value) for x in fn(at, **{arg: both}, **{param: Choice({"a": one, "b": other})}).collect()}
+        want = {}
+        for key, value in (("a", one), ("b", other)):
+            own = fn(at.filter(F.col("key") == key), **{arg: both.filter(F.col("key") == key)}, **{param: value})
+            want |= {(x.key, x.as_of): (x.ok, x.score, x.value) for x in own.collect()}
+        assert got == want and len(got) == 4, name
+
+
+def test_specifications_share_plans(spark, series):
+    """Parameters of their own make no further passes, and a driver that two instruments share is computed once."""
+    closes = series([100 + i % 17 + i / 5 for i in range(400)], "S")
+    env = {"closes": closes, "macro": closes.withColumn("key", F.lit("M"))}
+    momentum = lambda **p: {"name": "momentum", "weight": 1.0, "params": {"series": "M", **p}}
+    specs = [
+        {"id": "one", "ticker": "S", "drivers": [momentum(), {"name": "level_percentile", "weight": 0.5, "params": {"series": "M"}}]},
+        {"id": "two", "ticker": "S", "drivers": [momentum(horizon_days=50, bull_when="low"), momentum(), momentum(horizon_days=50)]},
+    ]
+    at = spark.createDataFrame([(i, D0 + dt.timedelta(days=k)) for i in ("one", "two") for k in (60, 399)], "instrument string, as_of date")
+    frame = score.driver_frame(env, specs, at)
+    got = {(x.instrument, x.driver_idx, (x.as_of - D0).days): (x.ok, x.score) for x in frame.collect()}
+    assert len(got) == 10 and got["one", 0, 399] == got["two", 1, 399] and got["one", 0, 60][0] and not got["two", 0, 60][0]
+    assert got["two", 0, 399][1] == -got["two", 2, 399][1] != 0
+    plans = [score.driver_frame(env, [s], at)._jdf.queryExecution().optimizedPlan().toString().count("Window [") for s in ({"id": "x", "ticker": "S", "drivers": d} for d in ([momentum()], [momentum(), momentum(horizon_days=50)]))]
+    assert plans[0] == plans[1]
+
+
+def test_rows_count_up_to_their_day_and_in_their_months(spark, probe):
+    rows = spark.createDataFrame([("k", D0, True, 0.5, 1.0, D0 + dt.timedelta(days=3), [D0.month])], "key string, d date, ok boolean, score double, value double, until date, months array<int>")
+    got = scores(drivers.at_probes(probe(0, 3, 4), rows))
+    assert got == {0: (True, 0.5), 3: (True, 0.5), 4: (False, 0.0)}
+    late = rows.withColumn("until", F.lit(None).cast("date"))
+    assert scores(drivers.at_probes(probe(0, 45), late)) == {0: (True, 0.5), 45: (True, 0.0)}
+    assert scores(drivers.at_probes(probe(45), late.withColumn("months", F.lit(None).cast("array<int>")))) == {45: (True, 0.5)}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
 from . import scans
+from .cases import Choice, pick
 
 
 def asof(
@@ -85,20 +86,24 @@ def counts_at_most(points: DataFrame, queries: DataFrame) -> DataFrame:
     return each.withColumn("n", F.sum("own").over(w)).filter("own = 0").groupBy("key", "id").agg(F.sum("n").alias("n"))
 
 
-def look_back(probes: DataFrame, series: DataFrame, days: int) -> DataFrame:
-    """(key, as_of, cur, n, share): of the values in [as_of - days, as_of] the last one, their number, and the share at or below the last."""
+def look_back(probes: DataFrame, series: DataFrame, days: int | Choice) -> DataFrame:
+    """(key, as_of, cur, n, share) of each distinct probe: of the values in [as_of - days, as_of] the last one, their number, and the share at or below the last."""
     rows = series.filter(F.col("v").isNotNull()).select("key", "d", "v", F.row_number().over(rows_before()).alias("rn"))
-    now = asof(probes.select("key", "as_of", F.date_sub("as_of", days + 1).alias("_from")), rows, "as_of", "d", ["d", "v", "rn"])
-    now = asof(now, rows.select("key", "d", F.col("rn").alias("gone")), "_from", "d", ["gone"])
+    # Both ends of a look-back are brought to the series together, and meet again without a shuffle.
+    at = lambda day, last: F.struct(day.alias("at"), F.lit(last).alias("last"))
+    ends = probes.select("key", "as_of").distinct().select("key", "as_of", F.explode(F.array(at(F.col("as_of"), True), at(F.date_sub("as_of", pick(days) + 1), False))).alias("e"))
+    found = asof(ends.select("key", "as_of", "e.*"), rows, "at", "d", ["d", "v", "rn"])
+    end = lambda c, last=True: F.max(F.when(F.col("last") == last, F.col(c)))
+    now = found.groupBy("key", "as_of").agg(end("d").alias("d"), end("v").alias("v"), end("rn").alias("rn"), end("rn", False).alias("gone"), end("at", False).alias("_from"))
     inside = F.col("d") > F.col("_from")
     now = now.select("key", "as_of", F.when(inside, F.col("v")).alias("cur"), F.coalesce(F.when(inside, F.col("rn")), F.lit(0)).alias("rn"), F.coalesce(F.when(inside, F.coalesce("gone", F.lit(0))), F.lit(0)).alias("gone"))
     return _shares(rows.select("key", F.col("rn").alias("t"), "v"), now)
 
 
-def last_rows_share(rows: DataFrame, count: int) -> DataFrame:
+def last_rows_share(rows: DataFrame, count: int | Choice) -> DataFrame:
     """``rows`` (key, d, v) with cur, n and share over the last ``count`` of them: null values take a place and count for nothing."""
     placed = rows.select("key", "d", "v", F.row_number().over(rows_before()).alias("rn"), F.count("v").over(expanding()).alias("known"), F.last("v", ignorenulls=True).over(expanding()).alias("last"))
-    gone = F.coalesce(F.lag("known", count).over(rows_before()), F.lit(0))
+    gone = F.coalesce(pick(count, lambda n: F.lag("known", n).over(rows_before())), F.lit(0))
     now = placed.select("key", F.col("d").alias("as_of"), "last", "known", gone.alias("gone"))
     now = now.select("key", "as_of", F.when(F.col("known") > F.col("gone"), F.col("last")).alias("cur"), F.col("known").alias("rn"), "gone")
     return _shares(placed.filter("v IS NOT NULL").select("key", F.col("known").alias("t"), "v"), now).withColumnRenamed("as_of", "d")
@@ -116,7 +121,7 @@ def _shares(points: DataFrame, now: DataFrame) -> DataFrame:
     return out.select("key", "as_of", "cur", n.alias("n"), (F.coalesce("least", F.lit(0)) / F.nullif(n, F.lit(0))).alias("share"))
 
 
-def seasonal_baseline(rows: DataFrame, half_width: int, exclude: int) -> DataFrame:
+def seasonal_baseline(rows: DataFrame, half_width: int | Choice, exclude: int) -> DataFrame:
     """``rows`` (key, d, v) with n_all, and mean, sd, n of the values around the same day of the year.
 
     Days of the year lie on a circle of 366; of the past, the last ``exclude`` rows are left out. Every row
@@ -124,7 +129,7 @@ def seasonal_baseline(rows: DataFrame, half_width: int, exclude: int) -> DataFra
     """
     w = Window.partitionBy("key").orderBy("d")
     doy = F.dayofyear("d")
-    near = rows.withColumn("rn", F.row_number().over(w)).select("*", F.explode(F.sequence(F.lit(-half_width), F.lit(half_width))).alias("k"))
+    near = rows.withColumn("rn", F.row_number().over(w)).select("*", F.explode(F.sequence(-pick(half_width), pick(half_width))).alias("k"))
     near = near.withColumn("bucket", F.pmod(doy - 1 + F.col("k"), F.lit(366)) + 1)
     past = Window.partitionBy("key", "bucket").orderBy("rn").rangeBetween(Window.unboundedPreceding, -exclude)
     out = near.select("key", "d", "v", "k", F.col("rn").alias("n_all"), F.avg("v").over(past).alias("mean"), F.stddev_pop("v").over(past).alias("sd"), F.count("v").over(past).alias("n"))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import r, steady
+from ..operators.cases import Choice
 from ..sources.shared import materialize
-from .drivers import get_driver
+from .drivers import BY_ROWS, at_probes, get_driver
 
 #: Grade limits on the strength of a score (fixed values).
 THRESHOLDS = {"A_plus": 0.55, "A": 0.40, "B": 0.25}
@@ -53,12 +55,8 @@ def missing_series(env: dict[str, DataFrame], fingerprints: list[dict]) -> DataF
     return wanted.join(there, ["kind", "series"], "left_anti").select("instrument", "driver", "kind", "series")
 
 
-def run_driver(env: dict[str, DataFrame], name: str, params: dict, cases: dict[str, dict[str, str]], probes: DataFrame) -> DataFrame:
-    """One driver with one set of parameters for many cases at once: (key, as_of, ok, score, value).
-
-    A case is a label and the series that each of the driver's arguments takes there; ``probes`` are (key, as_of)
-    with labels as keys, and ``env`` has the keyed tables by kind.
-    """
+def _arguments(env: dict[str, DataFrame], name: str, cases: dict[str, dict[str, str]]) -> dict[str, DataFrame]:
+    """The series arguments of a driver for many cases at once: tables whose keys are the cases' labels."""
     args = {}
     for argument in next(iter(cases.values())):
         labels: dict[str, list[str]] = {}
@@ -67,34 +65,57 @@ def run_driver(env: dict[str, DataFrame], name: str, params: dict, cases: dict[s
         to = F.create_map(*(x for k, v in labels.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
         df = env[SOURCES[argument] or KINDS[name]].filter(F.col("key").isin(list(labels)))
         args[ARGUMENTS.get(argument, argument)] = df.select(F.explode(to[F.col("key")]).alias("key"), *(c for c in df.columns if c != "key"))
-    return get_driver(name)(probes, **args, **params)
+    return args
 
 
-def driver_frame(env: dict[str, DataFrame], fingerprints: list[dict], decisions: DataFrame) -> DataFrame:
-    """(instrument, as_of, driver_idx, name, weight, ok, score, value) of all drivers at ``decisions`` (instrument, as_of).
+def _parameters(name: str, cases: dict[str, dict]) -> dict:
+    """What a driver is called with: a value, or a ``Choice`` where the cases' values differ; the driver's default where a case has none."""
+    defaults = {k: p.default for k, p in signature(get_driver(name)).parameters.items()}
+    out = {}
+    for param in sorted({p for own in cases.values() for p in own}):
+        choice = Choice({label: own.get(param, defaults.get(param)) for label, own in cases.items()})
+        out[param] = choice if len(choice.values) > 1 else next(iter(choice.values.values()))[0]
+    return out
 
-    Drivers of one name and the same parameters are computed in one pass over all their series, and equal drivers of
-    several instruments once, at all their dates. The dates are used by every driver, so they are kept as a file.
-    """
-    decisions = materialize(decisions.select("instrument", "as_of").distinct(), "decisions")
-    groups: dict[str, tuple[str, dict, dict, dict]] = {}
+
+def driver_table(fingerprints: list[dict]) -> list[tuple[str, int, str, float, str, dict, dict]]:
+    """(instrument, driver_idx, name, weight, label, series, params) of the specifications' drivers; equal drivers have one label."""
+    rows = []
     for f in fingerprints:
         for i, d in enumerate(f["drivers"]):
             series = {k: v for k, v in d.get("params", {}).items() if k in SOURCES}
             params = {k: v for k, v in d.get("params", {}).items() if k not in SOURCES and k != "tf"}
-            shape = repr((d["name"], sorted(series), sorted(params.items(), key=str)))
-            _, _, cases, users = groups.setdefault(shape, (d["name"], params, {}, {}))
-            label = "/".join(map(str, series.values()))
-            cases[label] = series
-            users.setdefault(label, []).append((f["id"], i, float(d.get("weight", 0.0))))
-    parts = []
-    for name, params, cases, users in groups.values():
-        rows = [(label, *user) for label, found in users.items() for user in found]
-        use = F.explode(F.array(*(F.struct(F.lit(a).alias("key"), F.lit(b).alias("instrument"), F.lit(c).alias("driver_idx"), F.lit(w).alias("weight")) for a, b, c, w in rows))).alias("u")
-        mine = decisions.select("instrument", "as_of", use).filter("u.instrument = instrument").select("u.*", "as_of")
-        got = run_driver(env, name, params, cases, mine.select("key", "as_of").distinct())
-        parts.append(mine.join(got, ["key", "as_of"]).select("instrument", "as_of", "driver_idx", F.lit(name).alias("name"), "weight", "ok", "score", "value"))
-    return reduce(DataFrame.unionByName, parts)
+            label = "/".join([d["name"], *(f"{k}={v}" for k, v in sorted(series.items()) + sorted(params.items()))])
+            rows.append((f["id"], i, d["name"], float(d.get("weight", 0.0)), label, series, params))
+    return rows
+
+
+def driver_frame(env: dict[str, DataFrame], fingerprints: list[dict], decisions: DataFrame) -> DataFrame:
+    """(instrument, as_of, driver_idx, name, weight, ok, score, value) of all drivers at ``decisions`` (instrument, as_of).
+
+    Drivers of one name are computed in one pass over all their series, whatever their parameters, and equal drivers of
+    several instruments once, at all their dates. Those that depend on the rows of their series alone are brought to
+    the dates in one as-of join. The dates are used by several drivers, so they are kept as a file.
+    """
+    table = driver_table(fingerprints)
+    spec = decisions.sparkSession.createDataFrame([row[:5] for row in table], "instrument string, driver_idx int, name string, weight double, key string")
+    mine = materialize(decisions.select("instrument", "as_of").distinct().join(F.broadcast(spec), "instrument"), "decisions")  # a row a driver of the specifications
+    groups: dict[tuple, dict[str, tuple[dict, dict]]] = {}
+    for *_, name, _, label, series, params in table:
+        groups.setdefault((name, *sorted(series)), {})[label] = (series, params)
+    rows, parts = [], []
+    for (name, *_), cases in groups.items():
+        args, params = _arguments(env, name, {k: s for k, (s, _) in cases.items()}), _parameters(name, {k: p for k, (_, p) in cases.items()})
+        if name in BY_ROWS:
+            rows.append(BY_ROWS[name](**args, **params))
+        else:
+            own = mine.filter(F.col("key").isin(list(cases)))
+            got = get_driver(name)(own.select("key", "as_of").distinct(), **args, **params)
+            parts.append(own.join(got, ["key", "as_of"]))
+    if rows:
+        own = mine.filter(F.col("name").isin(sorted({name for name, *_ in groups if name in BY_ROWS})))
+        parts.append(at_probes(own, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)))
+    return reduce(DataFrame.unionByName, [p.select("instrument", "as_of", "driver_idx", "name", "weight", "ok", "score", "value") for p in parts])
 
 
 def grade(score: Column, thresholds: dict[str, float] | None = None) -> tuple[Column, Column]:
