@@ -7,6 +7,8 @@ arbitrate the best forecaster of every symbol and its forecast
 clean     bars whose scale is off, put right
 seed      filtered copies of another database's tables; --inspect only tells its keys
 fetch     series, weather by region, option chains or the squeeze file from a server into the store
+land      bars that a price feed has landed as files
+update    fetches, lands and cleans what a plan names, as far as it goes, and runs; one update at a time
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from .operators.bars import repair_scales
 from .plans import panel, scenario, score, setups, validation
-from .sources import config, feeds, ingest, rest, store
+from .sources import config, feeds, ingest, landing, rest, store
+from .sources.lease import lease
 from .sources.shared import clean as clean_shared
 from .sources.shared import materialize
 
@@ -118,6 +121,33 @@ def fetch(spark: SparkSession, root: str, kind: str, url: str, keys: list[str] |
     return feeds.fetch(spark, root, kind, url, keys, start, rest.secret(secret) if secret else None)
 
 
+def update(spark: SparkSession, root: str, specs: list[dict], out: str, plan: dict, generated: str | None = None) -> dict[str, str] | None:
+    """Brings the store up to date and publishes: what became of each step, or None while another update is at it.
+
+    ``plan`` has ``fetch`` (a list of what ``fetch`` takes: kind, url, keys, start, secret), ``land`` (a folder) and ``clean``.
+    These steps may fail, as yesterday's data are better than no document; errors are told by their type alone,
+    as their texts may hold an API key. If the run itself fails, so does the update.
+    """
+    steps = [(f"fetch {x['kind']}", lambda x=x: fetch(spark, root, **x)) for x in plan.get("fetch", [])]
+    if plan.get("land"):
+        steps.append(("land", lambda: landing.land(spark, root, plan["land"])))
+    if plan.get("clean"):
+        steps.append(("clean", lambda: clean(spark, root, apply=True)))
+    with lease(spark, root) as mine:
+        if not mine:
+            return None
+        store.create(spark, root)
+        told = {}
+        for name, step in steps:
+            try:
+                step()
+                told[name] = "done"
+            except Exception as e:
+                told[name] = f"failed: {type(e).__name__}"
+        document = run(spark, root, specs, out, generated=generated)
+        return told | {"run": f"{len(document['signals'])} signals"}
+
+
 def main(argv: list[str] | None = None) -> None:
     top = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     commands = top.add_subparsers(dest="command", required=True)
@@ -136,6 +166,8 @@ def main(argv: list[str] | None = None) -> None:
     command("clean").add_argument("--apply", action="store_true")
     command("seed", "url", "plan").add_argument("--inspect", action="store_true")
     command("fetch", "kind", "url", "keys", "start", "secret", kind="macro", start="2000-01-01")
+    command("land", "folder")
+    command("update", "specs", "swaps", "plan", "out", out="setups.json")
     args = top.parse_args(argv)
     spark = SparkSession.builder.appName(f"tidemark {args.command}").getOrCreate()
     specs = load_specs(args.specs, args.swaps) if getattr(args, "specs", None) else []
@@ -160,6 +192,11 @@ def main(argv: list[str] | None = None) -> None:
             inspect(spark, args.url, plan).orderBy("target", "key").show(1000, truncate=False)
         else:
             print(seed(spark, args.store, args.url, plan))
+    elif args.command == "land":
+        landing.land(spark, args.store, args.folder)
+    elif args.command == "update":
+        told = update(spark, args.store, specs, args.out, json.loads(Path(args.plan).read_text()))
+        print("another update is at it" if told is None else "\n".join(f"{k}: {v}" for k, v in told.items()))
     else:
         print(f"{fetch(spark, args.store, args.kind, args.url, args.keys.split(',') if args.keys else None, args.start, args.secret)} rows")
     clean_shared(spark)

@@ -41,12 +41,12 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep_missing: bool =
     return both.select(*keys, *(pick(c).alias(c) for c in rest)).select(*old.columns)
 
 
-def trendbars(df: DataFrame) -> DataFrame:
-    """Bars from a low and unsigned distances from it, in integers, and minutes since the epoch."""
+def trendbars(df: DataFrame, *more: str) -> DataFrame:
+    """Bars from a low and unsigned distances from it, in integers, and minutes since the epoch; columns ``more`` are kept."""
     price = lambda c: ((F.col("low") + F.col(c)) / PRICE_SCALE) if c else F.col("low") / PRICE_SCALE
     return df.select(
         "symbol", F.timestamp_seconds(F.col("utcTimestampInMinutes") * 60).alias("ts"), price("deltaOpen").alias("open"), price("deltaHigh").alias("high"), price(None).alias("low"),
-        price("deltaClose").alias("close"), F.col("volume").cast("double").alias("volume"),
+        price("deltaClose").alias("close"), F.col("volume").cast("double").alias("volume"), *more,
     )
 
 

@@ -57,6 +57,20 @@ def _text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a new file; False if there is one already."""
+    p, fs = _path(spark, path)
+    try:
+        stream = fs.create(p, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()):
+            return False
+        raise
+    stream.write(text.encode())
+    stream.close()
+    return True
+
+
 def current(spark: SparkSession, path: str) -> Manifest:
     """The last whole version."""
     for name in reversed(_names(spark, f"{path}/{VERSIONS}")):
@@ -82,15 +96,10 @@ def _commit(spark: SparkSession, path: str, after: int, made: Manifest, stale_s:
         return False
     made.version = max([0, *(int(n[1:-5]) for n in names)]) + 1
     name = f"v{made.version:010d}.json"
+    text = json.dumps({"version": made.version, "after": after, "parts": made.parts, "batches": made.batches})
+    if not create_once(spark, f"{folder}/{name}", text):
+        return False
     p, fs = _path(spark, f"{folder}/{name}")
-    try:
-        stream = fs.create(p, False)
-    except Py4JJavaError as e:
-        if "AlreadyExists" in e.java_exception.getClass().getName() or "already exists" in str(e.java_exception.getMessage()):
-            return False
-        raise
-    stream.write(json.dumps({"version": made.version, "after": after, "parts": made.parts, "batches": made.batches}).encode())
-    stream.close()
     for n in _names(spark, folder):
         if n > name and (later := _readable(spark, f"{folder}/{n}")) and later["after"] < made.version:
             fs.delete(p, False)
